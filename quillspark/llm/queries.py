@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, packing, sp_codec, url_filters
+from quillspark.llm import exact_dedup, packing, quality, sp_codec, url_filters
 from quillspark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digest=True)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 #: The pages carry neither a fetch day nor a list, so both are derived by these rules: page i was fetched i * 37 mod 366
 #: days after the epoch below; of the hosts seen, those whose hash (first 6 hex digits of md5) is divisible by 3 were
 #: blocked on day hash mod 200, allowed 45 days later and, if the hash is even, blocked again 60 days after that; the parent
@@ -84,6 +88,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
 }
 
