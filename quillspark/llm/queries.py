@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, language_id, packing, quality, secret_scan, sp_codec, toxicity, url_filters
+from quillspark.llm import exact_dedup, language_id, near_dedup, packing, quality, secret_scan, sp_codec, toxicity, url_filters
 from quillspark.llm.common import table
 
 
@@ -96,6 +96,10 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
 """
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -105,6 +109,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
