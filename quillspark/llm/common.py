@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Shared:
+    """Parquet tables in the shared folder of spark.checkpoint.dir, for what is read more than once; dropped at the end."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold5(col: str | Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id falls in no fold (null)."""
     c = F.col(col) if isinstance(col, str) else col

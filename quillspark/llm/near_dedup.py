@@ -19,7 +19,6 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, ensure_checkpoint_dir, frame, sized_broadcast, small_batches
+from quillspark.llm.common import Shared, cut, frame, sized_broadcast, small_batches
 
 BASE, LEVELS = 1.001, 65_534
 #: Registers kept for the likelihood, and how many standard errors below the threshold an estimate drops a pair.
@@ -155,22 +154,6 @@ def verify_batches(batches: Iterator[pa.RecordBatch], sketcher: Sketcher) -> Ite
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-class Shared:
-    """Parquet tables in the shared folder of spark.checkpoint.dir, for what is read more than once; dropped at the end."""
-
-    def __init__(self, spark: SparkSession):
-        ensure_checkpoint_dir(spark)
-        self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/near-{uuid.uuid4().hex}"
-
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for edges (a, b): alternating large and small stars until nothing changes."""
     state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
