@@ -4,9 +4,9 @@ A template and a stretch of text are aligned on the words that are unique in bot
 is in order on both sides is kept (patience sorting), equal words next to the anchors join it, and the gaps between are
 aligned in the same way. The share of the template's words that the alignment covers decides.
 
-Stretches are found by a template's key words: places of these in the text, put together while they are no farther
-apart than the template is long, and widened by that length on both sides. So every mention in a long text is judged on its
-own, and a template that occurs twice is found twice.
+Stretches are found by a template's key words: each place of one in the text is taken for its first place in the template,
+which tells where the copy would begin and end, with some slack. So every mention in a long text is judged on its own, and
+a template that occurs twice is found twice.
 
 Defined cases: a null or empty text has no license. Words are runs of letters and digits in lower case; offsets are
 code points, ends exclusive. Of findings of one stretch that overlap, the one that matches more words stays, of equal ones
@@ -148,8 +148,8 @@ def scan(text: str, coverage: float = COVERAGE) -> list[dict]:
                 starts = [p for p in g if lo <= p < hi]
                 if hi - lo < coverage * m or not starts:
                     continue
-                step = (starts[0] - m, starts[0] + 2 * m)
-                a, b = max(lo, step[0]), min(hi, step[1])
+                begin, slack = starts[0] - t.words.index(words[starts[0]]), m // 6 + 2  # where the copy begins if this is the key's first place
+                a, b = max(lo, begin - slack), min(hi, begin + m + slack)
                 pairs = align(t.words, words[a:b])
                 if len(pairs) >= coverage * m:
                     first, last = a + pairs[0][1], a + pairs[-1][1]
