@@ -1,46 +1,4 @@
-"""The registered queries over the star-schema tables and the SQL of each."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query, with the SQL that gives the same rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    """
-WITH y AS (
-  SELECT n_name, year(o_orderdate) AS yr, sum(o_totalprice) AS revenue
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
-SELECT n_name, CAST(yr AS INTEGER) AS yr, round(revenue, 2) AS revenue,
-       round((revenue - lag(revenue) OVER w) / nullif(abs(lag(revenue) OVER w), 0) * 100, 4) AS revenue_yoy_pct
-FROM y WINDOW w AS (PARTITION BY n_name ORDER BY yr)
-"""
-)
-def period_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    yearly = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", F.year("o_orderdate").alias("yr")).agg(F.sum("o_totalprice").alias("revenue"))
-    prior = F.lag("revenue").over(Window.partitionBy("n_name").orderBy("yr"))
-    growth = F.try_divide(F.col("revenue") - prior, F.nullif(F.abs(prior), F.lit(0.0))) * 100
-    return yearly.select("n_name", "yr", F.round("revenue", 2).alias("revenue"), F.round(growth, 4).alias("revenue_yoy_pct"))
+from quillspark.plans import foundation, governance, graphs, metrics, quality, rails, retrieval, storage, texts  # noqa: F401
+from quillspark.plans.registry import ORACLES, QUERIES  # noqa: F401
