@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
 from quillspark.llm.common import Shared, drop_ids, table
 from quillspark.llm.queries import vocabulary
+from quillspark.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +43,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_exact_copies),
-    ("near_dedup", drop_near_copies),
-    ("secret_scan", redact_secrets),
-    ("packing", pack_sequences),
+def staged(f: Stage) -> Stage:
+    """The stage, with this package sent to the executors first."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", staged(identify_language)),
+    ("exact_dedup", staged(drop_exact_copies)),
+    ("near_dedup", staged(drop_near_copies)),
+    ("secret_scan", staged(redact_secrets)),
+    ("packing", staged(pack_sequences)),
 ]
 
 #: Learned stages and tokenizers are beyond SQL; tests/llm holds the pipeline against a brute-force version.
