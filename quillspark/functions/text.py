@@ -41,7 +41,8 @@ def lexicon_tokens(c: Column) -> Column:
 
 def keywords(c: Column) -> Column:
     """Distinct words of four letters and more that say something."""
-    return F.array_except(F.array_distinct(all_matches(F.lower(c), r"\b[a-z]{4,}\b")), array_of(KEYWORD_STOPS))
+    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]{4,}$"))
+    return F.array_except(F.array_distinct(words), array_of(KEYWORD_STOPS))
 
 
 def topic_tokens(c: Column) -> Column:

@@ -1 +1,148 @@
-"""Pending."""
+"""Retrieval queries over documents and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import vectors as V
+from quillspark.operators import retrieval as R
+from quillspark.plans.registry import query, table
+
+QUESTION = "the and that with from the unge"
+TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
+BM25_SQL = f"""
+tok AS (SELECT doc_id, source, {TOKENS} AS t FROM documents),
+len AS (SELECT doc_id, source, len(t) AS dl FROM tok),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, corpus GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+q AS (SELECT term, count(*) AS times FROM (SELECT unnest(string_split('{QUESTION}', ' ')) AS term) GROUP BY term),
+s AS (SELECT tf.doc_id, sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN len USING (doc_id), corpus GROUP BY tf.doc_id),
+b AS (SELECT len.doc_id, coalesce(score, 0) * CASE WHEN source = 'src3' THEN 2.0 ELSE 1.0 END AS score FROM len LEFT JOIN s ON s.doc_id = len.doc_id)"""
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 25")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 with a source boost."""
+    found = R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", QUESTION, 25, F.col("source") == "src3")
+    return found.select("doc_id", F.round("score", 5).alias("score"))
+
+
+def probe() -> list[float]:
+    """A fixed query vector."""
+    return [((i * 37) % 19 - 9) / 50 for i in range(64)]
+
+
+PROBE = "[" + ", ".join(f"{v}::FLOAT" for v in probe()) + "]"
+
+
+@query(f"SELECT vec_id, round(list_distance(embedding, {PROBE}), 3) AS distance FROM embeddings ORDER BY list_distance(embedding, {PROBE}), vec_id LIMIT 20")
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact nearest vectors."""
+    return R.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", probe(), 20).select("vec_id", F.round("distance", 3).alias("distance"))
+
+
+@query(f"SELECT vec_id, round(1 - list_cosine_similarity(embedding, {PROBE}), 3) AS distance FROM embeddings WHERE label < 5 ORDER BY list_cosine_similarity(embedding, {PROBE}) DESC, vec_id LIMIT 20")
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By cosine, filtered before the search."""
+    e = table(spark, sf_dir, "embeddings").filter("label < 5")
+    return R.knn(e, "vec_id", "embedding", probe(), 20, "cosine").select("vec_id", F.round("distance", 3).alias("distance"))
+
+
+@query(
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round(list_distance(embedding, q), 3) AS distance FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, q), vec_id) <= 5"
+)
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated set of queries against all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.knn_batch(e, queries, "vec_id", "query_id", "embedding", 5).select("query_id", "vec_id", F.round("distance", 3).alias("distance"))
+
+
+FUSE_SQL = f"""
+WITH {BM25_SQL},
+l1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b QUALIFY rank < 30),
+l2 AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents QUALIFY rank < 30),
+u AS (SELECT 0 AS l, * FROM l1 UNION ALL SELECT 1, * FROM l2)
+SELECT doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM u GROUP BY doc_id"""
+
+
+@query(FUSE_SQL)
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused ranks of two lists."""
+    d = table(spark, sf_dir, "documents")
+    one = R.ranked(R.bm25(d, "doc_id", "text", QUESTION, 30, F.col("source") == "src3"), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
+    two = R.ranked(d.orderBy(F.desc("n_chars"), "doc_id").limit(30), [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "rank")
+    return R.fuse([one, two], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""
+WITH {BM25_SQL},
+l1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b QUALIFY rank < 20),
+l2 AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_distance(embedding, {PROBE}), vec_id) - 1 AS rank FROM embeddings QUALIFY rank < 20),
+u AS (SELECT 0 AS l, * FROM l1 UNION ALL SELECT 1, * FROM l2),
+f AS (SELECT doc_id, sum(1.0 / (60 + rank + 1)) AS score, min(struct_pack(l := l, r := rank)) AS seen FROM u GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM f ORDER BY f.score DESC, seen LIMIT 10"""
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and vector candidates (twice as many as asked for), fused, the best ten."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    words = R.ranked(R.bm25(d, "doc_id", "text", QUESTION, 20, F.col("source") == "src3"), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
+    near = R.ranked(R.knn(e, "vec_id", "embedding", probe(), 20), [F.col("distance"), F.col("vec_id")]).select(F.col("vec_id").alias("doc_id"), "rank")
+    return R.fuse([words, near], "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+ASKED = "Which erst this that with from whst"
+KEY_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\pL\\pN_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}')))"
+
+
+@query(
+    f"""
+WITH q AS (SELECT ['erst', 'whst'] AS k), d AS (SELECT doc_id, text, list_filter({KEY_SQL.format("text")}, lambda x: x NOT IN ('that', 'this', 'with', 'from', 'were', 'been', 'have', 'will', 'would', 'could', 'should', 'might', 'shall', 'what', 'which', 'when', 'where', 'than', 'then', 'also', 'about', 'after', 'before', 'between', 'during', 'into', 'through', 'each', 'every', 'both', 'more', 'most', 'other', 'some', 'such', 'only', 'same', 'very', 'just', 'because', 'does')) AS k FROM documents),
+s AS (SELECT doc_id, text, CASE WHEN len(d.k) > 0 THEN len(list_intersect(d.k, q.k)) / least(len(d.k), len(q.k)) ELSE 0.0 END AS o FROM d, q)
+SELECT doc_id, round(o, 6) AS overlap FROM s WHERE length(trim(text)) >= 50 AND o >= 0.15"""
+)
+def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that share key words with a question."""
+    from quillspark.functions import text as T
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = R.relevance_filter(d, "text", ASKED)
+    return kept.select("doc_id", F.round(T.overlap(T.keywords(F.lit(ASKED)), T.keywords(F.col("text"))), 6).alias("overlap"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\b(berg|that)\\b', 'i') AND NOT regexp_matches(text, '\\bpour\\b', 'i') THEN CASE WHEN regexp_matches(text, '\\bberg\\b', 'i') THEN 'BRG' ELSE 'THT' END WHEN regexp_matches(text, '\\bberg\\b', 'i') THEN 'BRG' WHEN regexp_matches(text, '\\bpour\\b', 'i') THEN 'POU' WHEN regexp_matches(text, '\\bthat\\b', 'i') THEN 'THT' END AS ticker FROM conversations")
+def ticker_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-word aliases in a text, the longest first, then by name."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", R.resolve_ticker(c, "text", [("that", "THT"), ("pour", "POU"), ("berg", "BRG"), ("on", "ON")]).alias("ticker"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'erst') OR contains(lower(text), 'chkeit') ORDER BY doc_id LIMIT 30")
+def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9, L10."""
+    return R.keyword_fallback(table(spark, sf_dir, "documents"), "doc_id", "text", "the erst of chkeit", 30).select("doc_id", "source")
+
+
+@query("WITH t AS (SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3) SELECT user_id, count(*) AS n, min(event_type) AS first_type FROM t GROUP BY user_id")
+def facts_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key's latest facts as one text, here taken apart again to its number of lines and smallest label."""
+    e = table(spark, sf_dir, "events")
+    order = F.struct("ts", "event_id").desc()
+    texts = R.facts_as_text(e, ["user_id"], F.concat_ws(": ", "event_type", F.col("value").cast("string")), order, 3)
+    lines = F.split("text", "\n")
+    return texts.select("user_id", F.size(lines).cast("long").alias("n"), F.array_min(F.transform(lines, lambda x: F.split(x, ":")[0])).alias("first_type"))
+
+
+@query("WITH u AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL), a AS (SELECT label, list(m ORDER BY i) AS m FROM u GROUP BY label) SELECT x.label, round(list_cosine_similarity(x.m, y.m), 4) AS similarity, CASE WHEN list_cosine_similarity(x.m, y.m) >= 0.95 THEN 'stable' WHEN list_cosine_similarity(x.m, y.m) >= 0.85 THEN 'minor' WHEN list_cosine_similarity(x.m, y.m) >= 0.7 THEN 'moderate' ELSE 'major' END AS band FROM a x JOIN a y ON x.label = y.label + 1")
+def tone_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors of consecutive filings, their cosine and its band."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    pooled = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
+    prior = pooled.select((F.col("label") + 1).alias("label"), F.col("m").alias("p"))
+    s = V.cosine(F.col("m"), F.col("p"))
+    return pooled.join(prior, "label").select("label", F.round(s, 4).alias("similarity"), F.when(s >= 0.95, "stable").when(s >= 0.85, "minor").when(s >= 0.7, "moderate").otherwise("major").alias("band"))
