@@ -6,8 +6,10 @@ registers make candidates, the joint likelihood of two sketches (with the known
 and drops pairs far below the threshold, and the full sets decide.
 
 No bucket is expanded into all its pairs. Sets that are equal form a class, and only its smallest document goes on. In
-every bucket the smallest member is compared with the others; once these links have joined members into components,
-only members of different components of one bucket meet, and only if their set sizes allow the similarity.
+every bucket the smallest member is compared with the others. Verified links join members into components, pairs
+that look related into families. Inside a family that still has several components, whole sets are compared in blocks of bounded size, each pair
+of blocks in a task of its own, and only links that join components are returned; blocks of one component never meet.
+Members of different families that share a bucket meet one by one, if their set sizes allow the similarity.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing (n_shingles 0, kept). A
 text with fewer words than a shingle has the whole sequence as its one shingle. Rows that repeat a doc_id are copies if
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -34,6 +37,10 @@ from quillspark.llm.common import Shared, cut, frame, sized_broadcast, small_bat
 BASE, LEVELS = 1.001, 65_534
 #: Registers kept for the likelihood, and how many standard errors below the threshold an estimate drops a pair.
 KEPT, MARGIN = 128, 5.5
+#: Pairs of at least this estimate belong to one family.
+KIN = 0.4
+#: A block of a family has about so many sets and shingles.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 #: A linked pair is a candidate with a probability of at least 1 - MISS.
 MISS, MOST_BANDS = 1e-6, 40
 
@@ -130,14 +137,16 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def likely_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b, na, nb, ra, rb: keeps pairs whose estimate is not far below the threshold."""
+    """a, b, na, nb, ra, rb: keeps pairs of a family, and tells which of them are not far below the threshold."""
     t = percent / 100
     least = t - MARGIN * math.sqrt(t * (1 - t) / KEPT)
     for whole in batches:
         for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
             first, second = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, KEPT) for i in (4, 5))
-            keep = likely_similarity(first, second, b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)) >= least
-            yield b.select([0, 1]).filter(pa.array(keep))
+            likely = likely_similarity(first, second, b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
+            keep = likely >= min(least, KIN)
+            ids = b.select([0, 1]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(likely[keep] >= least)], names=["a", "b", "likely"])
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch], sketcher: Sketcher) -> Iterator[pa.RecordBatch]:
@@ -154,6 +163,58 @@ def verify_batches(batches: Iterator[pa.RecordBatch], sketcher: Sketcher) -> Ite
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def linked_in_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the left and right sets that join different components, one for each join made."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    fresh = np.append(True, every[1:] != every[:-1])
+    column = np.cumsum(fresh) - 1
+    several = np.bincount(column)[column] > 1  # a shingle of one set alone is shared with nothing
+    column, owner = np.unique(column[several], return_inverse=True)[1], owner[several]
+    shared, width = np.zeros((len(left), len(right)), np.float32), 4096
+    row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
+    bounds = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        if lo == hi:
+            continue
+        c, o = column[lo:hi] % width, owner[lo:hi]
+        m, n = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        m[row_l[o[row_l[o] >= 0]], c[row_l[o] >= 0]] = 1
+        n[row_r[o[row_r[o] >= 0]], c[row_r[o] >= 0]] = 1
+        shared += m @ n.T
+    sizes = np.array([len(s) for s in sets])
+    union = sizes[left][:, None] + sizes[right][None] - shared
+    found, label = [], {}
+
+    def root(x):
+        while label.get(x, x) != x:
+            x = label[x]
+        return x
+
+    for i, j in zip(*np.nonzero(100 * shared >= percent * union), strict=True):
+        a, b = left[i], right[j]
+        x, y = root(component[a]), root(component[b])
+        if x != y:
+            label[max(x, y)] = min(x, y)
+            found.append((int(a), int(b)))
+    return found
+
+
+def compare_blocks(sketcher: Sketcher):
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        """Rows of one pair of blocks: rep, text, component, side (0: only the first block, 1: only the second; a block with itself: 2)."""
+        sets = list(shingle_sets(pa.array(group["text"], pa.string()), sketcher.words))
+        side = group["side"].to_numpy()
+        links = linked_in_block(sets, np.flatnonzero(side != 1), np.flatnonzero(side != 0), group["component"].to_numpy(), sketcher.percent)
+        reps = group["rep"].to_numpy()
+        return pd.DataFrame({"a": [min(reps[i], reps[j]) for i, j in links], "b": [max(reps[i], reps[j]) for i, j in links]}, dtype="int64")
+
+    return compare
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for edges (a, b): alternating large and small stars until nothing changes."""
     state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -190,34 +251,72 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     buckets = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "low")
     members = shared(banded.join(buckets, "key"), "members")
 
-    def link(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the distinct pairs (a, b) that are linked."""
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """The texts of these distinct ids; of rows that repeat an id one is taken."""
+        ids = cut(ids)
+        return shared(rows.join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"texts_{name}")
+
+    def likely_links(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are kin, and whether their sketches allow a link (likely)."""
         a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        likely = shared(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: likely_batches(it, percent), "a long, b long"), f"likely_{name}")
-        ids = cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        # a row that repeats an id with another text: the representative's set decides
-        needed = rows.join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        texts = shared(needed, f"texts_{name}")
+        return shared(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: likely_batches(it, percent), "a long, b long, likely boolean"), f"likely_{name}")
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the likely pairs whose full sets are linked."""
+        likely = pairs.filter("likely").select("a", "b")
+        texts = texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
         with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return shared(both.mapInArrow(lambda it: verify_batches(it, sketcher), "a long, b long"), f"links_{name}")
 
-    stars = members.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    first = link(stars, "stars")
-    joined = components(first)
+    def joined_by(first: DataFrame, *more: DataFrame) -> DataFrame:
+        """node, component of earlier components and new links together."""
+        edges = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        for m in more:
+            edges = edges.unionByName(m)
+        return components(edges)
 
-    # members of one bucket that are still apart
-    placed = members.join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "low", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    stars = members.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = likely_links(stars, "stars")
+    joined = components(links(likely, "stars"))
+    family = components(likely).select("node", F.col("component").alias("family"))
+
+    # families with several components: whole sets, block by block
+    kin = family.join(joined, "node", "left").select("family", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
+    kin = shared(kin.join(sketches.select("rep", "n"), "rep"), "kin")
+    parts = kin.groupBy("family", "component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    large = (F.col("sets") > BLOCK_SETS // 2) | (F.col("shingles") > BLOCK_SHINGLES // 2)
+    blocks_for = lambda sets, shingles: F.ceil(F.greatest(sets / BLOCK_SETS, shingles / BLOCK_SHINGLES)).cast("int")
+    several = parts.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(large, 0).otherwise(F.col("sets"))).alias("s"), F.sum(F.when(large, 0).otherwise(F.col("shingles"))).alias("w")).filter("parts > 1")
+    # small components share blocks, numbered from 0; a large one has blocks of its own, named by the component
+    small = several.select("family", F.greatest(blocks_for(F.col("s"), F.col("w")), F.lit(1)).alias("small_blocks"))
+    own = parts.filter(large).select("family", "component", blocks_for(F.col("sets"), F.col("shingles")).alias("own_blocks"))
+    placed = kin.join(small, "family").join(own, ["family", "component"], "left")
+    of_small = F.struct(F.lit(-1).cast("long").alias("component"), F.pmod(F.hash("component"), F.col("small_blocks")).alias("number"))
+    of_own = F.struct("component", F.pmod(F.hash("rep"), F.col("own_blocks")).alias("number"))
+    placed = cut(placed.select("family", "rep", "component", F.when(F.col("own_blocks").isNull(), of_small).otherwise(of_own).alias("block")))
+    blocks = placed.select("family", "block").distinct()
+    meeting = placed.join(blocks.select("family", F.col("block").alias("other")), "family").filter((F.col("block.component") == -1) | (F.col("block.component") != F.col("other.component")))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    meeting = meeting.select("rep", "family", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
+    texts = texts_of(placed.select(F.col("rep").alias("doc_id")).distinct(), "families")
+    met = meeting.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    inside = shared(met.groupBy("family", "x", "y").applyInPandas(compare_blocks(sketcher), "a long, b long"), "links_inside")
+    joined = joined_by(joined, inside)
+
+    # members of one bucket that belong to different families
+    placed = members.join(joined, F.col("rep") == F.col("node"), "left").drop("node").join(family, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("key", "rep", "n", "low", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family"))
+    apart = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("key")
     apart = shared(placed.join(apart, "key"), "apart")
-    left = apart.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "low")
+    left = apart.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("family").alias("fa"))
+    right = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("family").alias("fb"), "low")
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("low")) & sizes).select("a", "b").distinct()
-    second = link(rest, "rest")
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)) if not second.isEmpty() else joined
+    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("low")) & sizes).select("a", "b").distinct()
+    second = links(likely_links(rest, "rest"), "rest")
+    joined = joined if second.isEmpty() else joined_by(joined, second)
 
     # every document gets the component of its class
     of_class = reps.select("set_hash", "n", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("set_hash", "n", F.coalesce("component", "rep").alias("component"))
