@@ -1 +1,131 @@
-"""Pending."""
+"""Text queries over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as X
+from quillspark.operators import texts as T
+from quillspark.plans.registry import query, table
+
+#: Words that occur in the test documents stand in for a lexicon.
+LEX = {"positive": ["the", "eau", "ciudad", "schein"], "negative": ["that", "des", "los", "nicht"], "uncertainty": ["this", "pour", "para", "und"]}
+TOK = r"list_transform(regexp_extract_all(text, '(?i)[a-z][a-z\-'']*[a-z]|[a-z]'), lambda x: lower(x))"
+IN = {k: "(" + ", ".join(f"'{w}'" for w in v) + ")" for k, v in LEX.items()}
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), c AS (SELECT doc_id, len(t) AS total_words, len(list_filter(list_distinct(t), lambda x: x IN {IN["positive"]})) AS positive, len(list_filter(list_distinct(t), lambda x: x IN {IN["negative"]})) AS negative, len(list_filter(list_distinct(t), lambda x: x IN {IN["uncertainty"]})) AS uncertainty FROM t)
+SELECT *, round((positive - negative) / greatest(total_words, 1), 6) AS net_sentiment, round((positive - negative - uncertainty) / greatest(total_words, 1), 6) AS tone_score FROM c"""
+)
+def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment of every document."""
+    out = T.sentiment(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", LEX)
+    return out.select("doc_id", "total_words", "positive", "negative", "uncertainty", "net_sentiment", "tone_score")
+
+
+SECTION_SQL = f"""
+WITH w AS (SELECT source, lang, unnest({TOK}) AS w FROM documents),
+s AS (SELECT source, lang, count(*) AS total_words, count(DISTINCT w) FILTER (WHERE w IN {IN["positive"]}) AS positive, count(DISTINCT w) FILTER (WHERE w IN {IN["negative"]}) AS negative, count(DISTINCT w) FILTER (WHERE w IN {IN["uncertainty"]}) AS uncertainty FROM w GROUP BY ALL)"""
+
+
+@query(SECTION_SQL + " SELECT *, round((positive - negative) / greatest(total_words, 1), 6) AS net_sentiment, round((positive - negative - uncertainty) / greatest(total_words, 1), 6) AS tone_score FROM s")
+def sentiment_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment of sections, a word counted once a section."""
+    out = T.section_sentiment(table(spark, sf_dir, "documents"), ["source", "lang"], "text", LEX)
+    return out.select("source", "lang", "total_words", "positive", "negative", "uncertainty", "net_sentiment", "tone_score")
+
+
+@query(SECTION_SQL + ", f AS (SELECT source, sum(total_words) AS n, sum(positive) AS positive FROM s GROUP BY source), o AS (SELECT *, lag(n) OVER w AS pn, lag(positive) OVER w AS pp FROM f WINDOW w AS (ORDER BY source)) SELECT source, CAST(n - pn AS BIGINT) AS delta, round((n - pn) / greatest(pn, 1) * 100, 1) AS delta_pct, CAST(positive - pp AS BIGINT) AS delta_positive FROM o")
+def sentiment_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes from filing to filing (one row a source, so the ordering window is small)."""
+    s = T.section_sentiment(table(spark, sf_dir, "documents"), ["source", "lang"], "text", LEX)
+    f = s.groupBy("source").agg(F.sum("total_words").alias("n"), F.sum("positive").alias("positive"))
+    w = Window.orderBy("source")
+    pn, pp = F.lag("n").over(w), F.lag("positive").over(w)
+    return f.select("source", (F.col("n") - pn).alias("delta"), F.round((F.col("n") - pn) / F.greatest(pn, F.lit(1)) * 100, 1).alias("delta_pct"), (F.col("positive") - pp).alias("delta_positive"))
+
+
+@query(
+    r"""
+WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS t FROM documents),
+g AS (SELECT *, list_distinct(list_transform(l, lambda x: len(regexp_extract_all(x, '[ \t]{3,}')))) AS g FROM l)
+SELECT doc_id, coalesce(len(l) >= 3 AND (len(list_filter(l, lambda x: contains(x, '|'))) >= len(l) * 0.6 OR len(list_filter(t, lambda x: regexp_full_match(x, '[$(]?[0-9][0-9,.]*[%)]?'))) > len(t) * 0.25 OR (len(g) = 1 AND g[1] >= 2)), false) AS is_table FROM g"""
+)
+def table_block_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that look like tables."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_table(F.col("text")).alias("is_table"))
+
+
+@query(
+    r"""
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])[ \t\n\r\f]+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '\n{2,}', chr(1), 'g') AS t FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS s FROM m)
+SELECT doc_id, len(s) AS n_sentences, max(list_aggregate(list_transform(s, lambda x: length(x)), 'max')) AS longest FROM s GROUP BY ALL"""
+)
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document; the SQL marks the ends instead of looking behind."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
+
+
+@query()
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic chunks with their places."""
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select("doc_id", F.posexplode(T.semantic_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return chunks.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000)) AS chunk_md5 FROM documents, range(0, 200) r(i) WHERE i * 2000 < length(text)")
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 2000 characters."""
+    c = T.fixed_chunks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return c.select("doc_id", "chunk_index", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query()
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of pages, by a parser."""
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(
+    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<head\b.*?</head\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM pages"""
+)
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text by built-in expressions alone."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.visible_text(F.col("html"))).alias("text_md5"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE page_id % 4 WHEN 0 THEN 'risk_factors' ELSE 'business' END ELSE CASE page_id % 4 WHEN 1 THEN 'mda' ELSE 'narrative' END END AS kind FROM pages")
+def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section types by form and label, whatever the spelling of the label."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id") % 4
+    label = F.when(k == 0, "Item 3").when(k == 2, "item_4").when(k == 1, "Item 7").otherwise("Item 99")
+    form = F.when(F.col("page_id") % 2 == 0, "20-F/A").otherwise("10-K")
+    return p.select("page_id", T.section_type(T.normal_section(label), form).alias("kind"))
+
+
+@query(
+    "WITH n AS (SELECT doc_id, 'Revenue was $' || CAST(n_chars AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.5 Billion' WHEN 1 THEN ' million' WHEN 2 THEN 'K' ELSE '' END || ' in 2024' AS t, n_chars FROM documents) SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (n_chars + 0.5) * 1e9 WHEN 1 THEN n_chars * 1e6 WHEN 2 THEN n_chars * 1e3 ELSE n_chars * 1.0 END AS amount FROM n"
+)
+def scaled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first number of a text with its scale."""
+    k = F.col("doc_id") % 4
+    t = F.concat(F.lit("Revenue was $"), F.col("n_chars").cast("string"), F.when(k == 0, ".5 Billion").when(k == 1, " million").when(k == 2, "K").otherwise(""), F.lit(" in 2024"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.scaled_number(t).alias("amount"))
+
+
+@query(
+    "WITH a AS (SELECT doc_id, lpad(CAST(doc_id + 7 AS VARCHAR), 10, '0') || '-24-' || lpad(CAST(doc_id % 1000000 AS VARCHAR), 6, '0') AS acc, source FROM documents) SELECT doc_id, source || ':' || acc || ':' || CASE WHEN doc_id % 3 = 0 THEN '-' ELSE CAST(doc_id AS VARCHAR) END AS chunk_key, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(substr(acc, 1, 10), '0') || '/' || replace(acc, '-', '') || '/' || acc || '-index.htm' AS url, sha1(lower(source)) AS s1, substr(md5(acc), 1, 16) AS m16 FROM a"
+)
+def keys_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk keys, filing links and hashes."""
+    acc = F.concat(F.lpad((F.col("doc_id") + 7).cast("string"), 10, "0"), F.lit("-24-"), F.lpad((F.col("doc_id") % 1000000).cast("string"), 6, "0"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", acc.alias("acc"))
+    index = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))
+    return d.select("doc_id", X.chunk_id(F.col("source"), F.col("acc"), index).alias("chunk_key"), X.accession_url(F.col("acc")).alias("url"), F.sha1(F.lower("source")).alias("s1"), F.substring(F.md5("acc"), 1, 16).alias("m16"))
