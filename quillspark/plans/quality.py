@@ -1 +1,150 @@
-"""Pending."""
+"""Validation and routing queries; extracted fields are made of orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.operators import quality as Q
+from quillspark.plans.registry import query, table
+
+FIELDS_SQL = """
+o AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 17 = 0 THEN 'x1' ELSE CAST(o_custkey AS VARCHAR) END AS cik,
+ lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-24-' || CASE WHEN o_orderkey % 19 = 0 THEN '12' ELSE lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') END AS accession,
+ CASE o_orderkey % 5 WHEN 0 THEN '8-K' WHEN 1 THEN '10-K' WHEN 2 THEN '10-Q' WHEN 3 THEN '10-K/A' ELSE '10-K' END AS form_type,
+ CASE WHEN o_orderkey % 23 = 0 THEN '2024-13-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period, o_totalprice AS p FROM orders WHERE o_orderkey < 5000),
+n AS (SELECT * FROM (VALUES (1, 'Revenues', 1.0), (2, 'NetIncomeLoss', 0.02), (3, 'Assets', 3.0), (4, 'Liabilities', 2.0), (5, 'StockholdersEquity', 1.0), (6, 'OperatingIncomeLoss', 0.3), (7, 'CostOfRevenue', 0.6), (8, 'GrossProfit', 0.4), (9, 'Item 4.02', 0.0)) t(k, name, factor)),
+fields AS (SELECT record_id, cik, accession, form_type, period, name, CASE WHEN k = 9 OR (k = 2 AND record_id % 7 = 0) THEN NULL ELSE p * factor * CASE WHEN k = 3 AND record_id % 11 = 0 THEN 1.2 ELSE 1 END END AS value,
+ CASE WHEN k = 9 THEN CASE WHEN record_id % 3 = 0 THEN 'Substantial doubt' ELSE 'Auditor left' END END AS text_value,
+ CASE WHEN k % 3 = 0 THEN 'STRUCTURED_TABLE' WHEN k % 5 = 0 THEN 'NARRATIVE_LLM' ELSE 'XBRL' END AS provenance, CASE WHEN k <= 6 THEN name END AS concept
+ FROM o, n WHERE NOT (k = 6 AND record_id % 13 = 0) AND NOT (k = 9 AND record_id % 10 <> 0)),
+filed AS (SELECT cik, name AS concept, period, max(p * factor * CASE WHEN record_id % 29 = 0 THEN 0.5 ELSE 1.001 END) AS filed_value FROM o, n WHERE k <= 3 AND record_id % 2 = 0 GROUP BY ALL)"""
+NAMES = [("Revenues", 1.0), ("NetIncomeLoss", 0.02), ("Assets", 3.0), ("Liabilities", 2.0), ("StockholdersEquity", 1.0), ("OperatingIncomeLoss", 0.3), ("CostOfRevenue", 0.6), ("GrossProfit", 0.4), ("Item 4.02", 0.0)]
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders").filter("o_orderkey < 5000"), F.col("o_orderkey")
+    named = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(n).alias("name"), F.lit(f).alias("factor")) for i, (n, f) in enumerate(NAMES, 1)])
+    rows = o.select(
+        k.alias("record_id"),
+        F.when(k % 17 == 0, "x1").otherwise(F.col("o_custkey").cast("string")).alias("cik"),
+        F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("-24-"), F.when(k % 19 == 0, "12").otherwise(F.lpad((k % 1000000).cast("string"), 6, "0"))).alias("accession"),
+        F.when(k % 5 == 0, "8-K").when(k % 5 == 2, "10-Q").when(k % 5 == 3, "10-K/A").otherwise("10-K").alias("form_type"),
+        F.when(k % 23 == 0, "2024-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("period"),
+        F.col("o_totalprice").alias("p"),
+        F.explode(named).alias("f"),
+    )
+    return rows.select("record_id", "cik", "accession", "form_type", "period", "p", "f.*")
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, r = F.col("k"), F.col("record_id")
+    rows = records(spark, sf_dir).filter(~((k == 6) & (r % 13 == 0)) & ~((k == 9) & (r % 10 != 0)))
+    value = F.when((k == 9) | ((k == 2) & (r % 7 == 0)), None).otherwise(F.col("p") * F.col("factor") * F.when((k == 3) & (r % 11 == 0), 1.2).otherwise(1.0))
+    said = F.when(k == 9, F.when(r % 3 == 0, "Substantial doubt").otherwise("Auditor left"))
+    source = F.when(k % 3 == 0, "STRUCTURED_TABLE").when(k % 5 == 0, "NARRATIVE_LLM").otherwise("XBRL")
+    return rows.withColumns({"value": value, "text_value": said, "provenance": source, "concept": F.when(k <= 6, F.col("name"))}).drop("k", "factor", "p")
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir).filter("k <= 3 and record_id % 2 = 0")
+    return rows.groupBy("cik", F.col("name").alias("concept"), "period").agg(F.max(F.col("p") * F.col("factor") * F.when(F.col("record_id") % 29 == 0, 0.5).otherwise(1.001)).alias("filed_value"))
+
+
+SCHEMA_SQL = """s AS (SELECT record_id, any_value(cik) AS cik, any_value(accession) AS accession, any_value(form_type) AS form_type,
+ list(DISTINCT name) AS names, list(DISTINCT name) FILTER (WHERE value IS NULL) AS texts, coalesce(bool_or(provenance = 'XBRL' AND name IN ('Revenues', 'NetIncomeLoss', 'Assets', 'Liabilities', 'StockholdersEquity', 'OperatingIncomeLoss', 'GrossProfit') AND abs(value) < 10000 AND value <> 0), false) AS small FROM fields GROUP BY record_id),
+sr AS (SELECT *, CASE form_type WHEN '10-K' THEN ['Revenues', 'NetIncomeLoss', 'Assets', 'Liabilities', 'StockholdersEquity', 'OperatingIncomeLoss'] WHEN '10-Q' THEN ['Revenues', 'NetIncomeLoss', 'Assets', 'Liabilities', 'StockholdersEquity'] ELSE CAST([] AS VARCHAR[]) END AS need FROM s),
+schema_c AS (SELECT record_id, concat_ws(',', CASE WHEN NOT regexp_full_match(cik, '[0-9]{1,10}') OR NOT regexp_full_match(accession, '[0-9]{10}-[0-9]{2}-[0-9]{6}') OR len(list_intersect(need, coalesce(texts, []))) > 0 THEN 'BAD_TYPE' END, CASE WHEN len(list_filter(need, lambda x: NOT list_contains(names, x))) > 0 THEN 'MISSING_FIELD' END, CASE WHEN small THEN 'OUT_OF_RANGE' END) AS codes FROM sr)"""
+SEMANTIC_SQL = """m AS (SELECT record_id, any_value(cik) AS cik, any_value(period) AS period, max(value) FILTER (WHERE name = 'Assets') AS a, max(value) FILTER (WHERE name = 'Liabilities') AS l, max(value) FILTER (WHERE name = 'StockholdersEquity') AS e, max(value) FILTER (WHERE name = 'Revenues') AS r, max(value) FILTER (WHERE name = 'CostOfRevenue') AS c, max(value) FILTER (WHERE name = 'GrossProfit') AS g FROM fields GROUP BY record_id),
+far AS (SELECT DISTINCT record_id FROM fields JOIN filed USING (cik, concept, period) WHERE concept IN ('Revenues', 'NetIncomeLoss', 'OperatingIncomeLoss') AND abs(value - filed_value) / greatest(abs(filed_value), 1.0) > 0.6),
+semantic_c AS (SELECT record_id, concat_ws(',', CASE WHEN abs(l + e - a) / greatest(abs(a), 1.0) > 0.05 OR abs(r - c - g) / greatest(abs(g), 1.0) > 0.05 THEN 'IDENTITY_VIOLATION' END, CASE WHEN NOT regexp_full_match(cik, '[0-9]+') OR NOT regexp_full_match(period, '[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])') THEN 'REFERENTIAL' END, CASE WHEN record_id IN (SELECT record_id FROM far) THEN 'OUT_OF_RANGE' END) AS codes FROM m)"""
+CROSS_SQL = """x AS (SELECT f.record_id, f.name, f.value, abs(value - filed_value) / greatest(abs(filed_value), 1.0) AS gap, CASE provenance WHEN 'XBRL' THEN 0.98 WHEN 'STRUCTURED_TABLE' THEN 0.85 ELSE 0.55 END AS base FROM fields f LEFT JOIN filed d ON f.cik = d.cik AND f.concept = d.concept AND f.period = d.period),
+cross_c AS (SELECT record_id, min(CASE WHEN gap <= 0.01 THEN 1.0 WHEN gap > 0.01 THEN 0.0 ELSE base END) AS confidence, coalesce(bool_or(gap > 0.01), false) AS mismatch FROM x GROUP BY record_id)"""
+TRIGGER_SQL = """said AS (SELECT record_id, any_value(form_type) AS form, bool_or(form_type = '8-K' AND name LIKE '%4.02%') AS reliance, bool_or(form_type = '8-K' AND lower(text_value) LIKE '%auditor%') AS auditor, bool_or(lower(text_value) LIKE '%substantial doubt%') AS concern FROM fields GROUP BY record_id),
+trig AS (SELECT record_id, concat_ws(',', CASE WHEN s.codes LIKE '%IDENTITY%' THEN 'balance_sheet_imbalance' END, CASE WHEN form LIKE '%/A%' THEN 'amended_filing' END, CASE WHEN reliance THEN 'non_reliance_8k' END, CASE WHEN auditor THEN 'auditor_change_8k' END, CASE WHEN concern THEN 'going_concern' END, CASE WHEN mismatch THEN 'xbrl_mismatch' END, CASE WHEN record_id % 31 = 0 THEN 'unrecognized_concept' END, CASE WHEN s.codes LIKE '%RANGE%' THEN 'out_of_range' END) AS triggers, confidence FROM said JOIN semantic_c s USING (record_id) JOIN cross_c USING (record_id)),
+routed AS (SELECT *, CASE WHEN triggers <> '' THEN 'ESCALATE' WHEN confidence >= 0.85 THEN 'AUTO' WHEN confidence >= 0.55 THEN 'SAMPLED_REVIEW' ELSE 'ESCALATE' END AS route FROM trig)"""
+ALL_SQL = f"WITH {FIELDS_SQL}, {SCHEMA_SQL}, {SEMANTIC_SQL}, {CROSS_SQL}, {TRIGGER_SQL} "
+
+
+def joined(c: str):
+    return F.array_join(c, ",").alias("codes")
+
+
+@query(ALL_SQL + "SELECT record_id, codes FROM schema_c")
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: keys, required fields, types and scales."""
+    return Q.schema_checks(fields(spark, sf_dir)).select("record_id", joined("schema_codes"))
+
+
+@query(ALL_SQL + "SELECT record_id, codes FROM semantic_c")
+def semantic_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V5: identities, references and plausibility."""
+    return Q.semantic_checks(fields(spark, sf_dir), filed(spark, sf_dir)).select("record_id", joined("semantic_codes"))
+
+
+@query(ALL_SQL + "SELECT record_id, CAST(confidence AS DOUBLE) AS confidence, mismatch FROM cross_c")
+def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields against filed facts."""
+    done = Q.record_confidence(Q.cross_validate(fields(spark, sf_dir), filed(spark, sf_dir)))
+    return done.select("record_id", "confidence", F.col("xbrl_mismatch").alias("mismatch"))
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, confidence, triggers, route."""
+    f, known = fields(spark, sf_dir), filed(spark, sf_dir)
+    confidence = Q.record_confidence(Q.cross_validate(f, known))
+    rich = f.join(Q.semantic_checks(f, known), "record_id").join(confidence, "record_id").withColumns({"unknown_concept": F.col("record_id") % 31 == 0, "downstream": F.lit(False)})
+    fired = Q.triggers(rich)
+    return confidence.join(fired, "record_id").withColumn("route", Q.route(F.col("confidence"), F.col("triggers")))
+
+
+@query(ALL_SQL + "SELECT record_id, triggers, route FROM routed")
+def route_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers and routes."""
+    return routed(spark, sf_dir).select("record_id", F.array_join("triggers", ",").alias("triggers"), "route")
+
+
+@query(ALL_SQL + "SELECT t AS trigger, count(*) AS n FROM (SELECT unnest(string_split(triggers, ',')) AS t FROM routed WHERE triggers <> '') GROUP BY t")
+def trigger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each trigger fired."""
+    return routed(spark, sf_dir).select(F.explode("triggers").alias("trigger")).groupBy("trigger").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ALL_SQL + "SELECT route, CAST(floor(confidence * 10) AS BIGINT) AS bucket, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS share_pct FROM routed GROUP BY ALL")
+def shadow_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by confidence bucket, with shares."""
+    from pyspark.sql import Window
+
+    r = routed(spark, sf_dir).groupBy("route", F.floor(F.col("confidence") * 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return r.withColumn("share_pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))
+
+
+@query("WITH v AS (SELECT doc_id AS id, round(n_chars % 1000 / 1000.0, 3) AS confidence, quality = 1 AS agrees FROM labels JOIN documents USING (doc_id)), r AS (SELECT *, avg(CAST(agrees AS INTEGER)) OVER (ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING) AS rate FROM v), o AS (SELECT count(*) AS n, coalesce(min(confidence) FILTER (WHERE rate >= 0.95), 0.85) AS h, coalesce(min(confidence) FILTER (WHERE rate >= 0.75), 0.65) AS m, avg(CAST(agrees AS INTEGER)) AS a FROM r) SELECT n AS verdicts_used, round(h, 4) AS high_threshold, round(CASE WHEN m >= h THEN greatest(0.0, h - 0.05) ELSE m END, 4) AS medium_threshold, round(a, 4) AS projected_agreement_rate FROM o")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds from cumulative agreement."""
+    v = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return Q.calibrate(v.select(F.col("doc_id").alias("id"), F.round(F.col("n_chars") % 1000 / 1000.0, 3).alias("confidence"), (F.col("quality") == 1).alias("agrees")))
+
+
+@query("WITH v AS (SELECT quality FROM labels ORDER BY doc_id DESC LIMIT 100), c AS (SELECT count(*) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR) SELECT CAST((SELECT count(*) FROM v) AS BIGINT) AS n, round((SELECT avg(quality) FROM v), 6) AS agreement_rate, n AS unrecognized_concept_count, (SELECT avg(quality) FROM v) < 0.9 AS agreement_alert, n > 50 AS concept_alert FROM c")
+def drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the latest verdicts and the count of unknown concepts."""
+    v = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), (F.col("quality") == 1).alias("agrees"))
+    d = table(spark, sf_dir, "events").select(F.col("ts").alias("created_at"), F.when(F.col("event_type") == "error", '["unrecognized_concept"]').otherwise("[]").alias("triggers_fired"))
+    out = Q.drift(v, d, F.lit("2024-01-20").cast("timestamp"), 0.9, 50)
+    return out.select("n", F.round("agreement_rate", 6).alias("agreement_rate"), "unrecognized_concept_count", "agreement_alert", "concept_alert")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN n_chars % 2 = 0 THEN 'PASS' ELSE 'FAIL' END WHEN doc_id % 4 = 1 THEN CASE WHEN n_chars % 3 = 0 THEN 'PASS' ELSE 'FAIL' END WHEN doc_id % 4 = 2 THEN CASE WHEN n_chars % 100 >= 50 THEN 'PASS' ELSE 'FAIL' END ELSE 'SKIPPED' END AS status FROM documents")
+def verification_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first check that could be made decides; model scores come as a column."""
+    k, n = F.col("doc_id") % 4, F.col("n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", Q.verification(F.when(k == 0, n % 2 == 0), F.when(k == 1, n % 3 == 0), F.when(k == 2, n % 100 / 100)).alias("status"))
+
+
+@query("WITH f AS (SELECT c_custkey AS ticker, 'MarketCapitalization' AS concept, c_acctbal AS value FROM customer), m AS (SELECT o_custkey AS ticker, max(o_totalprice) / 50 AS market_value FROM orders GROUP BY 1) SELECT ticker, abs(value - market_value) / greatest(abs(market_value), 1.0) <= 0.05 AS agrees FROM f JOIN m USING (ticker)")
+def market_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts against market figures through a map of names."""
+    f = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.lit("MarketCapitalization").alias("concept"), F.col("c_acctbal").alias("value"))
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg((F.max("o_totalprice") / 50).alias("market_value")).withColumn("field", F.lit("market_cap"))
+    return Q.market_check(f, m, {"MarketCapitalization": "market_cap"}).select("ticker", "agrees")
