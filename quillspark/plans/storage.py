@@ -1 +1,122 @@
-"""Pending."""
+"""Queries on merges, sinks, sources and streams."""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.operators import relational as R
+from quillspark.plans.registry import query, table
+from quillspark.sources import filings, tables
+from quillspark.streaming import events as S
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, where the cluster names one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+@query("WITH u AS (SELECT user_id, event_type, value, ts, event_id % 2 AS new, event_id FROM events) SELECT user_id, event_type, round(arg_max(value, struct_pack(a := ts, b := new, c := event_id)), 2) AS value FROM u GROUP BY ALL")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest row of each key of old and new rows."""
+    e = table(spark, sf_dir, "events")
+    old, new = e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")
+    return R.keyed_latest(old, new, ["user_id", "event_type"], "ts").select("user_id", "event_type", F.round("value", 2).alias("value"))
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are new."""
+    o = table(spark, sf_dir, "orders")
+    return R.insert_ignore(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"), ["o_custkey"]).select("o_custkey")
+
+
+@query("SELECT source, doc_id FROM documents WHERE doc_id % 2 = 0 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 1 AND source IN ('src1', 'src2')) UNION ALL SELECT source, doc_id FROM documents WHERE doc_id % 2 = 1 AND source IN ('src1', 'src2')")
+def delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a key replaced."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    return R.replace_partitions(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1 and source in ('src1', 'src2')"), ["source"]).select("source", "doc_id")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'patched' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 6 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values patched by key."""
+    s = table(spark, sf_dir, "supplier")
+    changes = s.filter("s_suppkey % 3 = 0").select("s_suppkey", F.lit("patched").alias("s_name"), F.when(F.col("s_suppkey") % 6 == 0, 0.0).alias("s_acctbal"))
+    return R.patch(s, changes, "s_suppkey", ["s_name", "s_acctbal"]).select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported to Parquet and restored where nothing is left."""
+    n, folder = table(spark, sf_dir, "nation"), scratch(spark)
+    tables.snapshot({"nation": n}, folder)
+    return tables.restore(spark, folder, "nation", n.limit(0))
+
+
+@query("SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey % 2 = 1 OR s_suppkey % 2 = 0")
+def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the partitions that are brought are rewritten."""
+    s, path = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), scratch(spark)
+    tables.replace_partitions(s, path, ["s_nationkey"])
+    tables.replace_partitions(s.filter("s_nationkey % 2 = 0 and s_suppkey % 2 = 0"), path, ["s_nationkey"])
+    kept = spark.read.parquet(path)
+    none_left = s.filter("s_nationkey % 2 = 0").select("s_nationkey").distinct().join(s.filter("s_nationkey % 2 = 0 and s_suppkey % 2 = 0"), "s_nationkey", "left_anti")
+    return kept.join(none_left, "s_nationkey", "left_anti").select("s_nationkey", "s_suppkey")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0 OR label = 3")
+def resumable_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vector is missing or of the wrong size."""
+    e = table(spark, sf_dir, "embeddings")
+    broken = e.withColumn("embedding", F.when(F.col("vec_id") % 5 == 0, None).when(F.col("label") == 3, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")))
+    return tables.to_embed(broken, "embedding", 64).select("vec_id")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings WHERE vec_id % 97 = 0) GROUP BY label")
+def complete_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings of which no vector is missing."""
+    e = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 97 != 0, F.col("embedding")))
+    return tables.complete_only(e, ["label"], "embedding").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES (320193, 'us-gaap', 'Revenues', 'USD', 100.0, '2023-12-31'), (320193, 'us-gaap', 'Revenues', 'USD', 110.0, '2024-12-31'), (320193, 'us-gaap', 'EPS', 'USD/shares', 2.5, '2024-12-31')) t(cik, taxonomy, concept, unit, value, period_end)")
+def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts out of nested JSON, annual forms, first unit, latest periods."""
+    row = lambda end, val, form="10-K": {"start": None, "end": end, "val": val, "accn": "a", "fy": 2024, "fp": "FY", "form": form, "filed": end, "frame": None}
+    usd = [row("2021-12-31", 80.0), row("2023-12-31", 100.0), row("2024-12-31", 110.0), row("2024-06-30", 55.0, "10-Q")]
+    data = {"cik": 320193, "entityName": "x", "facts": {"us-gaap": {"Revenues": {"label": "r", "units": {"USD": usd, "shares": [row("2024-12-31", 1.0)]}}, "EPS": {"label": "e", "units": {"USD/shares": [row("2024-12-31", 2.5)]}}}}}
+    path = scratch(spark)
+    spark.createDataFrame([(json.dumps(data),)], "value string").write.text(path)
+    facts = filings.latest_periods(filings.first_unit(filings.company_facts(spark, path, filings.ANNUAL_FORMS)), ["cik", "concept"], 2)
+    return facts.select(F.col("cik").cast("int").alias("cik"), "taxonomy", "concept", "unit", "value", "period_end")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 2.17: daily counts by a stream over the events file, the last days flushed at the end."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"daily_{uuid.uuid4().hex}"
+    counted = S.daily_counts(stream)
+    q = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("day", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query()
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact limiter as a stateful stream over the events."""
+    table(spark, sf_dir, "events")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    requests = stream.select((F.col("user_id") % 10).alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("at"))
+    name = f"limited_{uuid.uuid4().hex}"
+    q = S.rate_limited(requests, 3600, 3, forget=False).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)

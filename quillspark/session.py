@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch between the JVM and Python: documents are long, and both sides hold whole batches.
+BATCH_KEY, BATCH_ROWS, SPARK_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
+
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
@@ -22,7 +25,10 @@ def session(app: str = "quillspark", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once a context, so that Python tasks can import it wherever they run."""
+    """Send this package's source to the executors, once a context, so that Python tasks can import it wherever they run.
+    Where the session has Spark's default batch size, batches are made smaller."""
+    if spark.conf.get(BATCH_KEY, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     sc = spark.sparkContext
     if sc in _shipped:
         return
