@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +89,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], text_col: str = "text", cha
         yield b.slice(start)
 
 
+def trimmed(results: Iterator) -> Iterator:
+    """The results; after the last, memory that the task has freed goes back to the system, as Python workers live on for other tasks."""
+    try:
+        yield from results
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def frame(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of Python lists or arrays in the schema's order and types."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

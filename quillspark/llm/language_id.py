@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold5, frame, small_batches
+from quillspark.llm.common import fold5, frame, small_batches, trimmed
 
 UNKNOWN = "und"
 DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20240501
@@ -110,7 +110,7 @@ def train_profiles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Profiles:
         return Profiles([], np.zeros((0, DIMENSIONS), np.float32))
     rates = spark.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"]) * 1e6) for r in sizes], "lang string, rate double")
     drawn = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate")).select("lang", "text")
-    rows = drawn.mapInArrow(gram_batches, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = drawn.mapInArrow(lambda it: trimmed(gram_batches(it)), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     sums = [bundle(x["gram"].to_numpy(np.uint32), x["n"].to_numpy()) for x in (rows[rows["lang"] == lang] for lang in langs)]
     return Profiles(langs, np.array([v / max(1e-9, float(np.sqrt(v @ v))) for v in sums], np.float32).reshape(-1, DIMENSIONS))
@@ -128,7 +128,7 @@ def predict_batches(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> It
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, held_out (not used in training by train_and_identify), lang_pred, score (cosine, at least 0)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold5(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: predict_batches(it, profiles), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lambda it: trimmed(predict_batches(it, profiles)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text") -> DataFrame:
@@ -139,7 +139,10 @@ def keep_known(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str =
         for texts in batches:
             yield pd.Series([profiles.predict(t)[0] != UNKNOWN for t in texts], dtype=bool)
 
-    return docs.filter(F.pandas_udf(known, "boolean")(text_col))
+    def tidy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return trimmed(known(batches))
+
+    return docs.filter(F.pandas_udf(tidy, "boolean")(text_col))
 
 
 def train_and_identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

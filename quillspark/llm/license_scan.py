@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, small_batches
+from quillspark.llm.common import frame, small_batches, trimmed
 
 #: License notices as they are published.
 TEMPLATES = {
@@ -176,7 +176,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, licenses array<struct<license, start, end, matched, coverage>>."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: scan_batches(it, coverage), "doc_id long, licenses array<struct<license string, start int, end int, matched int, coverage double>>")
+    return rows.mapInArrow(lambda it: trimmed(scan_batches(it, coverage)), "doc_id long, licenses array<struct<license string, start int, end int, matched int, coverage double>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Shared, cut, frame, sized_broadcast, small_batches
+from quillspark.llm.common import Shared, cut, frame, sized_broadcast, small_batches, trimmed
 
 BASE, LEVELS = 1.001, 65_534
 #: Registers kept for the likelihood, and how many standard errors below the threshold an estimate drops a pair.
@@ -238,7 +238,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     """A row a document: doc_id, n_shingles, component_id, kept."""
     sketcher, shared = Sketcher(words, percent), Shared(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = shared(rows.mapInArrow(lambda it: sign_batches(it, sketcher), "doc_id long, n long, set_hash binary, registers binary, keys array<long>"), "signed")
+    signed = shared(rows.mapInArrow(lambda it: trimmed(sign_batches(it, sketcher)), "doc_id long, n long, set_hash binary, registers binary, keys array<long>"), "signed")
     live = signed.filter("n > 0 and doc_id is not null")
 
     # one representative a class of equal sets
@@ -261,7 +261,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return shared(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: likely_batches(it, percent), "a long, b long, likely boolean"), f"likely_{name}")
+        return shared(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: trimmed(likely_batches(it, percent)), "a long, b long, likely boolean"), f"likely_{name}")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the likely pairs whose full sets are linked."""
@@ -269,7 +269,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         texts = texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
         with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return shared(both.mapInArrow(lambda it: verify_batches(it, sketcher), "a long, b long"), f"links_{name}")
+        return shared(both.mapInArrow(lambda it: trimmed(verify_batches(it, sketcher)), "a long, b long"), f"links_{name}")
 
     def joined_by(first: DataFrame, *more: DataFrame) -> DataFrame:
         """node, component of earlier components and new links together."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, frame, ragged, small_batches, space_words
+from quillspark.llm.common import cut, frame, ragged, small_batches, space_words, trimmed
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces a packing task holds in memory at once (about 60 bytes each). What is left open at a task's end is the cost of splitting.
@@ -84,7 +84,7 @@ class WordEncoder:
 def encode_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
     encoder, end, step = WordEncoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for b in small_batches(batches):
+    for b in small_batches(batches, chars=4_000_000):
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, text_ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
             ids = text_ids.tobytes() + end
@@ -145,6 +145,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
     shape = PIECES + ", ids binary" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(rows.mapInArrow(lambda it: encode_pieces(it, tokenizer_path, capacity, end_id, with_ids), shape))
+    pieces = cut(rows.mapInArrow(lambda it: trimmed(encode_pieces(it, tokenizer_path, capacity, end_id, with_ids)), shape))
     tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
-    return pieces.repartition(tasks, "doc_id", "piece").mapInArrow(lambda it: pack_batches(it, capacity), f"{shape}, sequence_id long, offset long")
+    return pieces.repartition(tasks, "doc_id", "piece").mapInArrow(lambda it: trimmed(pack_batches(it, capacity)), f"{shape}, sequence_id long, offset long")

@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, sized_broadcast, small_batches
+from quillspark.llm.common import frame, sized_broadcast, small_batches, trimmed
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -120,7 +120,7 @@ class References:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = COMMON_SHARE) -> References:
     """Counts over all documents; only words above the share, at most 1/share a language, reach the driver."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    counts = rows.mapInArrow(lambda it: trimmed(count_batches(it)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     totals = counts.filter("not startswith(word, ' ')").groupBy("lang").agg(F.sum("n").alias("total"))
     totals = sized_broadcast(totals, counts.select("lang").distinct().count())
     kept = counts.join(totals, "lang", "left").withColumn("share", F.col("n") / F.col("total"))
@@ -165,4 +165,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row a document: its counts, base_failed, kept, and the divergences from its nearest language."""
     refs = references(docs, text_col, lang_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: judge_batches(it, refs), JUDGED_SQL)
+    return rows.mapInArrow(lambda it: trimmed(judge_batches(it, refs)), JUDGED_SQL)

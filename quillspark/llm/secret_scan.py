@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, quantile_threshold, small_batches
+from quillspark.llm.common import frame, quantile_threshold, small_batches, trimmed
 
 #: Fixed values of the scan's contract: kinds in order, patterns, least lengths.
 KINDS = ("assign", "access", "hex", "model")
@@ -209,7 +209,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = SAMPL
     """docs: doc_id, text. The sample is taken by hashed id, so it is the same on every run."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = drawn.mapInArrow(sample_batches, "window binary, label int").orderBy(F.xxhash64("window"), "label").limit(findings).collect()
+    found = drawn.mapInArrow(lambda it: trimmed(sample_batches(it)), "window binary, label int").orderBy(F.xxhash64("window"), "label").limit(findings).collect()
     rows, labels = seeded_findings()
     rows, labels = rows + [bytes(r.window) for r in found], np.array(labels + [r.label for r in found], np.float32)
     held = np.random.default_rng(11).random(len(rows)) < 0.2
@@ -249,7 +249,7 @@ def scan_secrets(docs: DataFrame, network: Network | None = None, id_col: str =
     """A row a document: doc_id, findings array<struct<kind, start, end, score>> by start, then kind."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     network = network or train(rows)
-    return rows.mapInArrow(lambda it: scan_batches(it, network), "doc_id long, findings array<struct<kind string, start int, end int, score double>>")
+    return rows.mapInArrow(lambda it: trimmed(scan_batches(it, network)), "doc_id long, findings array<struct<kind string, start int, end int, score double>>")
 
 
 def joined(findings: Column) -> Column:
@@ -282,5 +282,8 @@ def redact(docs: DataFrame, network: Network | None = None, mark: str = "[SECRET
                 out.append(text if text is None or not found else "".join([*parts, text[at:]]))
             yield pd.Series(out, dtype=object)
 
-    cleaned = docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
+    def tidy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return trimmed(clean(batches))
+
+    cleaned = docs.withColumn("text", F.pandas_udf(tidy, "string")("text"))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, ragged, small_batches, space_words
+from quillspark.llm.common import frame, ragged, small_batches, space_words, trimmed
 
 SPACE = "▁"
 #: Distinct words whose pieces a Python worker remembers; beyond it the memory starts afresh.
@@ -192,4 +192,4 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     with digest, their counts and hashes, so that only these leave the Python worker."""
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long" if digest else "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: encode_batches(it, model_path, digest), shape)
+    return rows.mapInArrow(lambda it: trimmed(encode_batches(it, model_path, digest)), shape)
