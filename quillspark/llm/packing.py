@@ -104,10 +104,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     never = np.int64(1) << 60
     for i, size in enumerate(lengths.tolist()):
         gaps = count[size:]
-        change = np.where(gaps > 0, count[: capacity + 1 - size] - gaps, never)  # half of the change in the sum of squares, less one
+        change = np.where(gaps > 0, 2 * (count[: capacity + 1 - size] - gaps) + 2, never)  # in the sum of squares
         if gaps[0] > 0:
-            change[0] = -gaps[0] - 1  # the bin is full and leaves the sum: less by one half
-        change = 2 * change + 2
+            change[0] = 1 - 2 * gaps[0]  # the bin is full and leaves the sum
         best = int(change.argmin())
         fresh = 2 * int(count[capacity - size]) + 1 if size < capacity else 0
         if change[best] <= fresh:
