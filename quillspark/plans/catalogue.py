@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from quillspark.plans import foundation, governance, graphs, metrics, quality, rails, retrieval, storage, texts  # noqa: F401
+from quillspark.plans import foundation, governance, graphs, metrics, quality, questions, rails, retrieval, storage, texts  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES  # noqa: F401
