@@ -175,3 +175,24 @@ def test_limiter_replay(spark):
     judge, state = events.limiter(60, 2, False), State()
     rows = pd.DataFrame({"id": range(5), "at": [0.0, 1.0, 2.0, 59.9, 60.0]})
     assert next(judge((7,), iter([rows]), state))["allowed"].tolist() == [True, True, False, False, True]
+
+
+def test_sections_and_tables():
+    from quillspark.operators import filings
+
+    body = "Item 1A. Risk Factors\n" + "We face risks. " * 40
+    text = "Item 1A. Risk Factors 5\nItem 7. Management 9\n" + body + "\nItem 7. Management\n" + "Revenue grew. " * 40 + "\nItem 9. Other\nx"
+    found = dict(filings.sections(text, filings.ANNUAL_HEADERS, r"item\s+\d"))
+    assert set(found) == {"item_1a", "item_7"} and found["item_1a"].startswith("Item 1A. Risk Factors\nWe") and "Other" not in found["item_7"]
+    assert filings.sections("no headers", filings.ANNUAL_HEADERS) == [("full_text", "no headers")]
+    rows = "\n".join(f"| line {i} | {i * 1000} | {i * 2000} | more words |" for i in range(6))
+    assert [k for k, _ in filings.segments(f"before\n{rows}\nafter")] == ["narrative", "table", "narrative"]
+    assert filings.segments("") == []
+
+
+def test_vectors_are_unit(spark):
+    from quillspark.operators import filings
+
+    df = spark.createDataFrame([("a b c",), ("",), (None,)], "text string")
+    rows = filings.with_vectors(df, filings.hashed_vectors(8)).collect()
+    assert sum(x * x for x in rows[0].embedding) == pytest.approx(1.0) and sum(rows[1].embedding) == 0.0
