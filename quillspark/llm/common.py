@@ -89,6 +89,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], text_col: str = "text", cha
         yield b.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Small Arrow batches put together to about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def trimmed(results: Iterator) -> Iterator:
     """The results; after the last, memory that the task has freed goes back to the system, as Python workers live on for other tasks."""
     try:

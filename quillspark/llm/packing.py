@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, frame, ragged, small_batches, space_words, trimmed
+from quillspark.llm.common import cut, frame, gathered, ragged, small_batches, space_words, trimmed
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces a packing task holds in memory at once (about 60 bytes each). What is left open at a task's end is the cost of splitting.
 PIECES_PER_TASK = 40_000
-#: Distinct words whose ids a Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED_WORDS = 800_000
+#: Distinct words whose ids a Python worker remembers, from task to task; then those not met since half of it filled are forgotten.
+REMEMBERED_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,45 +46,65 @@ class WordEncoder:
     """Ids of whole texts, word by word: the pre-tokenizer never lets a token cross a space, so words are independent."""
 
     def __init__(self, path: str):
-        self.tok, self.known = tokenizer(path), {}
+        self.tok, self.known, self.older = tokenizer(path), {}, {}
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         at, codes, words = space_words(texts, " ")
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
-        known = self.known
-        self.learn([w for w in words if w not in known])
+        if len(self.known) > REMEMBERED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
         ids, ends = ragged([known[w] for w in words], codes, "<u4")
         ends = np.concatenate([[0], ends])[at]
         return [ids[a:b] for a, b in pairwise(ends.tolist())]
 
     def learn(self, new: list[str]) -> None:
         """Letters and the full stops or commas after them are separate pre-tokens: letters are encoded many to a call, once for all their endings."""
-        parts = {w: (core.lower() if core.isascii() else core, w[len(core) :]) for w in new if (core := w.rstrip(".,")).isalpha()}
-        cores, odd = list({c for c, _ in parts.values()}), [w for w in new if w not in parts]
-        ids_of = {}
+        known, older, odd, parts = self.known, self.older, [], []
+        for w in new:
+            core = w.rstrip(".,")
+            if core.isalpha():
+                parts.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                odd.append(w)
+        cores = list({c for _, c, _ in parts if c not in known and c not in older})
         for i in range(0, len(cores), 500):
             some = cores[i : i + 500]
             ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends_word[ids]) + 1
             if len(last) == len(some):
                 raw, at = ids.tobytes(), [0, *(4 * last).tolist()]
-                ids_of.update(zip(some, [raw[a:b] for a, b in pairwise(at)], strict=True))
+                known.update(zip(some, [raw[a:b] for a, b in pairwise(at)], strict=True))
             else:  # a letter that lower case turns into several characters
-                odd += [w for w in new if w in parts and parts[w][0] in set(some)]
-        tails = {t: array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() for t in {t for _, t in parts.values()}}
-        self.known.update({w: ids_of[c] + tails[t] for w, (c, t) in parts.items() if c in ids_of})
-        for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                self.alone(some)
+        tails = {t: array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() for t in {t for _, _, t in parts}}
+        for w, core, tail in parts:
+            known[w] = (known.get(core) or older[core]) + tails[tail]
+        self.alone(odd)
+
+    def alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[w] = array("I", e.ids).tobytes()
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def encode_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
-    encoder, end, step = WordEncoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for b in small_batches(batches, chars=4_000_000):
+    encoder, end, step = word_encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+    for b in small_batches(gathered(batches)):
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, text_ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
             ids = text_ids.tobytes() + end
