@@ -133,35 +133,23 @@ def scan(text: str, coverage: float = COVERAGE) -> list[dict]:
     words, spans = words_of(text)
     found = []
     for rank, t in enumerate(templates()):
-        places, m = [i for i, w in enumerate(words) if w in t.keys], len(t.words)
-        groups: list[list[int]] = []
-        for p in places:
-            if groups and p - groups[-1][-1] <= m:
-                groups[-1].append(p)
-            else:
-                groups.append([p])
-        for g in groups:
-            # a long group can hold several copies: as long as one is found, what lies before and after is looked at again
-            todo = [(max(0, g[0] - m), min(len(words), g[-1] + m + 1))]
-            while todo:
-                lo, hi = todo.pop()
-                starts = [p for p in g if lo <= p < hi]
-                if hi - lo < coverage * m or not starts:
-                    continue
-                begin, slack = starts[0] - t.words.index(words[starts[0]]), m // 6 + 2  # where the copy begins if this is the key's first place
-                a, b = max(lo, begin - slack), min(hi, begin + m + slack)
-                pairs = align(t.words, words[a:b])
-                if len(pairs) >= coverage * m:
-                    first, last = a + pairs[0][1], a + pairs[-1][1]
-                    found.append((len(pairs), -rank, spans[first][0], spans[last][1], t.name, len(pairs) / m))
-                    todo.append((last + 1, hi))
-                elif len(starts) > 1:
-                    todo.append((starts[0] + 1, hi))
-    kept: list[tuple] = []
+        m, free = len(t.words), 0  # words before the free one belong to a finding of this template
+        for p in (i for i, w in enumerate(words) if w in t.keys):
+            if p < free:
+                continue
+            begin, slack = p - t.words.index(words[p]), m // 6 + 2  # where the copy begins if this is the key's first place
+            a, b = max(free, begin - slack), min(len(words), begin + m + slack)
+            pairs = align(t.words, words[a:b])
+            if len(pairs) >= coverage * m:
+                first, last = a + pairs[0][1], a + pairs[-1][1]
+                found.append((len(pairs), -rank, spans[first][0], spans[last][1], t.name, len(pairs) / m))
+                free = last + 1
+    kept: list[tuple] = []  # by start; they don't overlap
     for f in sorted(found, reverse=True):
-        if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
-            kept.append(f)
-    return [{"license": f[4], "start": f[2], "end": f[3], "matched": f[0], "coverage": f[5]} for f in sorted(kept, key=lambda f: f[2])]
+        k = bisect_left(kept, f[2], key=lambda x: x[2])
+        if (k == len(kept) or f[3] <= kept[k][2]) and (not k or kept[k - 1][3] <= f[2]):
+            kept.insert(k, f)
+    return [{"license": f[4], "start": f[2], "end": f[3], "matched": f[0], "coverage": f[5]} for f in kept]
 
 
 ITEM = pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("matched", pa.int32()), ("coverage", pa.float64())])

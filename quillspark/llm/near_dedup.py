@@ -130,7 +130,7 @@ def likely_similarity(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2:
     more, less = np.maximum(chance(u - (1 - u) * grid), 1e-9), np.maximum(chance((1 - u) - u * grid), 1e-9)
     same = np.maximum(1 - more - less, 1e-9)
     fit = up * np.log(more) + down * np.log(less) + (first.shape[1] - up - down) * np.log(same)
-    return grid[np.arange(len(up)), fit.argmax(1)] if grid.shape[0] > 1 else grid[0, fit.argmax(1)]
+    return grid[np.arange(len(up)), fit.argmax(1)]
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -14,8 +14,10 @@ Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -65,8 +67,11 @@ def window(data: bytes, start: int, end: int) -> bytes:
     return data[max(0, start - BEFORE) : start].rjust(BEFORE, b"\0") + run.ljust(INSIDE, b"\0") + data[end : end + AFTER].ljust(AFTER, b"\0")
 
 
-def touches(span: tuple[int, int], spans: list[tuple[int, int, int]]) -> bool:
-    return any(a < span[1] and span[0] < b for a, b, _ in spans)
+def apart(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[bool]:
+    """For each run whether no span overlaps it. spans: by start."""
+    starts = [a for a, _, _ in spans]
+    reach = list(accumulate((b for _, b, _ in spans), max))
+    return [not (k := bisect_left(starts, end)) or reach[k - 1] <= start for start, end in runs]
 
 
 def seeded_findings(n: int = 1200, seed: int = 7) -> tuple[list[bytes], list[int]]:
@@ -198,10 +203,10 @@ def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows, labels = [], []
         for text in b.column(1).to_pylist():
             data = (text or "").encode()
-            spans = base_spans(data)
-            for span in candidates(data):
+            runs = candidates(data)
+            for span, free in zip(runs, apart(runs, base_spans(data)) if runs else [], strict=True):
                 rows.append(window(data, *span))
-                labels.append(int(touches(span, spans)))
+                labels.append(int(not free))
         yield frame({"window": rows, "label": labels}, FINDING)
 
 
@@ -230,14 +235,15 @@ def scan_batches(batches: Iterator[pa.RecordBatch], network: Network) -> Iterato
         for i, text in enumerate(b.column(1).to_pylist()):
             data = (text or "").encode()
             base = base_spans(data)
-            extra = [(*c, 3) for c in candidates(data) if not touches(c, base)]
-            every = sorted([*base, *extra], key=lambda s: (s[0], s[2]))
-            plain = len(data) == len(text or "")
-            point = (lambda at: at) if plain else (lambda at, data=data: len(data[:at].decode()))
+            runs = candidates(data)
+            every = sorted([*base, *[(*c, 3) for c, free in zip(runs, apart(runs, base), strict=True) if free]], key=lambda s: (s[0], s[2]))
+            if not every:
+                continue
+            points = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))  # code points before each byte
             for s in every:
                 windows.append(window(data, s[0], s[1]))
                 owner.append(i)
-                spans.append((KINDS[s[2]], point(s[0]), point(s[1])))
+                spans.append((KINDS[s[2]], int(points[s[0]]), int(points[s[1]])))
         found: list[list] = [[] for _ in range(b.num_rows)]
         for i, (kind, start, end), score in zip(owner, spans, network.score(windows).tolist(), strict=True):
             if kind != "model" or score >= network.threshold:
