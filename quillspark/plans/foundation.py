@@ -9,12 +9,12 @@ from quillspark.operators import relational as R
 from quillspark.plans.registry import query, table
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 AND l_shipdate >= TIMESTAMP '1998-01-01' AND l_suppkey IN (1, 2, 3, 5, 8)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 AND l_shipdate >= TIMESTAMP '1998-01-01' AND l_suppkey IN (1, 2, 3, 5, 8)")
 def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality, range and IN predicates that reach the Parquet scan."""
     li = table(spark, sf_dir, "lineitem")
     kept = li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")) & F.col("l_suppkey").isin(1, 2, 3, 5, 8))
-    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"))
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring%' OR p_name LIKE '%red%'")

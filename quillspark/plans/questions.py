@@ -25,12 +25,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {BASE} SELECT event_id, CASE WHEN {holds_sql(Q.COMPARISON)} THEN 'comparison' WHEN {holds_sql(Q.LATEST)} THEN 'latest' ELSE 'general' END AS intent, CASE WHEN {holds_sql(Q.NUMERIC)} AND NOT {holds_sql(Q.QUALITATIVE)} THEN 'numeric' ELSE 'qualitative' END AS kind, CASE WHEN NOT regexp_matches(t, '(?i)\\b(?:{'|'.join(Q.CHART_VETO)})\\b') THEN "
     + first_sql([(f"\\b(?:{p})\\b", v) for p, v in Q.CHART_METRICS])
-    + " END AS chart, CAST(CASE event_id % 12 WHEN 3 THEN 5 WHEN 4 THEN 3 END AS INTEGER) AS horizon FROM m"
+    + " END AS chart, CAST(CASE event_id % 12 WHEN 3 THEN 5 WHEN 4 THEN 3 ELSE 0 END AS INTEGER) AS horizon FROM m"
 )
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent, kind, chart metric and horizon."""
     t = F.col("t")
-    return asked(spark, sf_dir).select("event_id", Q.intent(t).alias("intent"), Q.kind(t).alias("kind"), Q.chart_metric(t).alias("chart"), Q.year_horizon(t).alias("horizon"))
+    return asked(spark, sf_dir).select("event_id", Q.intent(t).alias("intent"), Q.kind(t).alias("kind"), Q.chart_metric(t).alias("chart"), F.coalesce(Q.year_horizon(t), F.lit(0)).alias("horizon"))
 
 
 @query(f"WITH {BASE} SELECT event_id, CASE event_id % 12 WHEN 1 THEN 'INTC,AMD' WHEN 9 THEN 'AMD,INTC,NVDA' WHEN 10 THEN 'ON,MU' ELSE '' END AS named, CASE event_id % 12 WHEN 1 THEN 'explicit' WHEN 9 THEN 'explicit' WHEN 10 THEN 'explicit' WHEN 11 THEN 'peer' END AS mode FROM m")

@@ -38,13 +38,13 @@ def probe() -> list[float]:
 PROBE = "[" + ", ".join(f"{v}::FLOAT" for v in probe()) + "]"
 
 
-@query(f"SELECT vec_id, round(list_distance(embedding, {PROBE}), 3) AS distance FROM embeddings ORDER BY list_distance(embedding, {PROBE}), vec_id LIMIT 20")
+@query(f"SELECT vec_id, round(CAST(list_distance(embedding, {PROBE}) AS DOUBLE), 3) AS distance FROM embeddings ORDER BY list_distance(embedding, {PROBE}), vec_id LIMIT 20")
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest vectors."""
     return R.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", probe(), 20).select("vec_id", F.round("distance", 3).alias("distance"))
 
 
-@query(f"SELECT vec_id, round(1 - list_cosine_similarity(embedding, {PROBE}), 3) AS distance FROM embeddings WHERE label < 5 ORDER BY list_cosine_similarity(embedding, {PROBE}) DESC, vec_id LIMIT 20")
+@query(f"SELECT vec_id, round(1 - CAST(list_cosine_similarity(embedding, {PROBE}) AS DOUBLE), 3) AS distance FROM embeddings WHERE label < 5 ORDER BY list_cosine_similarity(embedding, {PROBE}) DESC, vec_id LIMIT 20")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By cosine, filtered before the search."""
     e = table(spark, sf_dir, "embeddings").filter("label < 5")
@@ -52,7 +52,7 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round(list_distance(embedding, q), 3) AS distance FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, q), vec_id) <= 5"
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round(CAST(list_distance(embedding, q) AS DOUBLE), 3) AS distance FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, q), vec_id) <= 5"
 )
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated set of queries against all vectors."""

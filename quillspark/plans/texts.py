@@ -38,14 +38,14 @@ def sentiment_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "lang", "total_words", "positive", "negative", "uncertainty", "net_sentiment", "tone_score")
 
 
-@query(SECTION_SQL + ", f AS (SELECT source, sum(total_words) AS n, sum(positive) AS positive FROM s GROUP BY source), o AS (SELECT *, lag(n) OVER w AS pn, lag(positive) OVER w AS pp FROM f WINDOW w AS (ORDER BY source)) SELECT source, CAST(n - pn AS BIGINT) AS delta, round((n - pn) / greatest(pn, 1) * 100, 1) AS delta_pct, CAST(positive - pp AS BIGINT) AS delta_positive FROM o")
+@query(SECTION_SQL + ", f AS (SELECT source, sum(total_words) AS n, sum(positive) AS positive FROM s GROUP BY source), o AS (SELECT *, lag(n) OVER w AS pn, lag(positive) OVER w AS pp FROM f WINDOW w AS (ORDER BY source)) SELECT source, CAST(n - pn AS BIGINT) AS delta, round((n - pn) / greatest(pn, 1) * 100, 1) AS delta_pct, CAST(positive - pp AS BIGINT) AS delta_positive FROM o WHERE pn IS NOT NULL")
 def sentiment_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes from filing to filing (one row a source, so the ordering window is small)."""
     s = T.section_sentiment(table(spark, sf_dir, "documents"), ["source", "lang"], "text", LEX)
     f = s.groupBy("source").agg(F.sum("total_words").alias("n"), F.sum("positive").alias("positive"))
     w = Window.orderBy("source")
     pn, pp = F.lag("n").over(w), F.lag("positive").over(w)
-    return f.select("source", (F.col("n") - pn).alias("delta"), F.round((F.col("n") - pn) / F.greatest(pn, F.lit(1)) * 100, 1).alias("delta_pct"), (F.col("positive") - pp).alias("delta_positive"))
+    return f.select("source", (F.col("n") - pn).alias("delta"), F.round((F.col("n") - pn) / F.greatest(pn, F.lit(1)) * 100, 1).alias("delta_pct"), (F.col("positive") - pp).alias("delta_positive")).filter("delta is not null")
 
 
 @query(
