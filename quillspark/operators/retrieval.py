@@ -44,7 +44,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k: int, boosted: Colu
     part = F.col("idf") * weight[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     summed = scored.groupBy(key).agg(F.sum(part).alias("score"))
     flags = docs.select(key, boosted.alias("_b")) if boosted is not None else docs.select(key, F.lit(False).alias("_b"))
-    every = flags.join(summed, key, "left").select(key, (F.coalesce("score", F.lit(0.0)) * F.when(F.col("_b"), boost).otherwise(1.0)).alias("score"))
+    # sums in another order differ in their last digits: scores equal to 9 digits are ties
+    every = flags.join(summed, key, "left").select(key, F.round(F.coalesce("score", F.lit(0.0)) * F.when(F.col("_b"), boost).otherwise(1.0), 9).alias("score"))
     return every.orderBy(F.desc("score"), key).limit(k)
 
 

@@ -20,7 +20,7 @@ raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf,
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
 q AS (SELECT term, count(*) AS times FROM (SELECT unnest(string_split('{QUESTION}', ' ')) AS term) GROUP BY term),
 s AS (SELECT tf.doc_id, sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN len USING (doc_id), corpus GROUP BY tf.doc_id),
-b AS (SELECT len.doc_id, coalesce(score, 0) * CASE WHEN source = 'src3' THEN 2.0 ELSE 1.0 END AS score FROM len LEFT JOIN s ON s.doc_id = len.doc_id)"""
+b AS (SELECT len.doc_id, round(coalesce(score, 0) * CASE WHEN source = 'src3' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score FROM len LEFT JOIN s ON s.doc_id = len.doc_id)"""
 
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 25")

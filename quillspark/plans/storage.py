@@ -85,7 +85,7 @@ def complete_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.complete_only(e, ["label"], "embedding").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES (320193, 'us-gaap', 'Revenues', 'USD', 100.0, '2023-12-31'), (320193, 'us-gaap', 'Revenues', 'USD', 110.0, '2024-12-31'), (320193, 'us-gaap', 'EPS', 'USD/shares', 2.5, '2024-12-31')) t(cik, taxonomy, concept, unit, value, period_end)")
+@query("SELECT cik, taxonomy, concept, unit, CAST(value AS DOUBLE) AS value, period_end FROM (VALUES (320193, 'us-gaap', 'Revenues', 'USD', 100.0, '2023-12-31'), (320193, 'us-gaap', 'Revenues', 'USD', 110.0, '2024-12-31'), (320193, 'us-gaap', 'EPS', 'USD/shares', 2.5, '2024-12-31')) t(cik, taxonomy, concept, unit, value, period_end)")
 def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts out of nested JSON, annual forms, first unit, latest periods."""
     row = lambda end, val, form="10-K": {"start": None, "end": end, "val": val, "accn": "a", "fy": 2024, "fp": "FY", "form": form, "filed": end, "frame": None}
