@@ -40,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), lean=True)
 
 
 def staged(f: Stage) -> Stage:

@@ -28,32 +28,34 @@ from quillspark.llm.common import cut, frame, gathered, ragged, small_batches, s
 CAPACITY, END_ID = 2048, 0
 #: Pieces a packing task holds in memory at once (about 60 bytes each). What is left open at a task's end is the cost of splitting.
 PIECES_PER_TASK = 40_000
-#: Distinct words whose ids a Python worker remembers, from task to task; then those not met since half of it filled are forgotten.
+#: Distinct words whose ids a Python worker remembers; then those not met since half of it filled are forgotten.
 REMEMBERED_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@cache
-def tokenizer(path: str):
+def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+tokenizer = cache(load_tokenizer)
+
+
 class WordEncoder:
     """Ids of whole texts, word by word: the pre-tokenizer never lets a token cross a space, so words are independent."""
 
-    def __init__(self, path: str):
-        self.tok, self.known, self.older = tokenizer(path), {}, {}
+    def __init__(self, tok, remembered: int = REMEMBERED_WORDS):
+        self.tok, self.remembered, self.known, self.older = tok, remembered, {}, {}
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         at, codes, words = space_words(texts, " ")
-        if len(self.known) > REMEMBERED_WORDS // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
         for w in words:
@@ -97,14 +99,16 @@ class WordEncoder:
 
 
 @cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def lasting_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(tokenizer(path))
 
 
-def encode_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def encode_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool, lean: bool = False) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
-    encoder, end, step = word_encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for b in small_batches(gathered(batches)):
+    encoder = WordEncoder(load_tokenizer(path), REMEMBERED_WORDS // 4) if lean else lasting_encoder(path)
+    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
+    for b in small_batches(batches if lean else gathered(batches)):
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, text_ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
             ids = text_ids.tobytes() + end
@@ -157,13 +161,16 @@ def pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[p
     yield from held.to_batches(max_chunksize=10_000)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lean: bool = False) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
+    lean: the tokenizer and the words met are let go after each task, which costs time and saves memory where Python
+    workers serve other stages too.
+
     The number of packing tasks follows the number of pieces, so waste (a few open sequences a task) stays in proportion.
     """
     shape = PIECES + ", ids binary" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(rows.mapInArrow(lambda it: trimmed(encode_pieces(it, tokenizer_path, capacity, end_id, with_ids)), shape))
+    pieces = cut(rows.mapInArrow(lambda it: trimmed(encode_pieces(it, tokenizer_path, capacity, end_id, with_ids, lean)), shape))
     tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
     return pieces.repartition(tasks, "doc_id", "piece").mapInArrow(lambda it: trimmed(pack_batches(it, capacity)), f"{shape}, sequence_id long, offset long")

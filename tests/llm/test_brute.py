@@ -89,7 +89,7 @@ def test_sum_of_squares_rule(sizes):
 @given(st.text(max_size=60))
 def test_word_encoder_equals_the_library(text):
     path = queries.vocabulary("word_bpe_49k.json")
-    assert packing.WordEncoder(path).encode(pa.array([text]))[0].tolist() == packing.tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert packing.WordEncoder(packing.tokenizer(path)).encode(pa.array([text]))[0].tolist() == packing.tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 CODEC = sp_codec.Codec(queries.vocabulary("piece_bpe_32k.model"))
