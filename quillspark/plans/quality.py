@@ -23,7 +23,7 @@ NAMES = [("Revenues", 1.0), ("NetIncomeLoss", 0.02), ("Assets", 3.0), ("Liabilit
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k = table(spark, sf_dir, "orders").filter("o_orderkey < 5000"), F.col("o_orderkey")
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     named = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(n).alias("name"), F.lit(f).alias("factor")) for i, (n, f) in enumerate(NAMES, 1)])
     rows = o.select(
         k.alias("record_id"),
