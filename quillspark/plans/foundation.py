@@ -176,8 +176,8 @@ def event_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(ts AS DATE) AS day, round(max(value) FILTER (WHERE event_type = 'click'), 2) AS click, round(max(value) FILTER (WHERE event_type = 'error'), 2) AS error, round(max(value) FILTER (WHERE event_type = 'view'), 2) AS view FROM events GROUP BY 1")
 def pivot_period_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Period by label."""
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).pivot("event_type", ["click", "error", "view"]).agg(F.round(F.max("value"), 2))
+    """Period by label; a column for every event type there is."""
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).pivot("event_type").agg(F.round(F.max("value"), 2))
 
 
 @query("SELECT count(*) AS n, count(embedding) AS n_vectors, min(len(embedding)) AS least, max(len(embedding)) AS most, count(DISTINCT len(embedding)) AS n_sizes FROM embeddings")

@@ -29,3 +29,17 @@ def held(spark, duck, name, *changes):
 def test_every_order(spark, duck, name):
     assert duck.execute("select max(o_orderkey) from orders").fetchone()[0] >= 5000
     held(spark, duck, name, (" WHERE o_orderkey < 5000", ""))
+
+
+@pytest.mark.parametrize("name, filtered", [("divergence", " WHERE l_orderkey % 50 = 0"), ("normalize_units", " WHERE l_orderkey % 100 = 0")])
+def test_every_line_item(spark, duck, name, filtered):
+    held(spark, duck, name, (filtered, ""))
+
+
+def test_every_event_type(spark, duck):
+    kinds = [k for (k,) in duck.execute("select distinct event_type from events").fetchall()]
+    df = catalogue.QUERIES["pivot_period_label"](spark, SF)
+    assert sorted(df.columns) == sorted(["day", *kinds]) and len(kinds) > 3
+    want = duck.execute("select cast(ts as date) as day, event_type, round(max(value), 2) from events group by all").fetchall()
+    got = [(r.day, k, r[k]) for r in df.collect() for k in kinds if r[k] is not None]
+    assert rows(["a", "b", "c"], got) == rows(["a", "b", "c"], want)
