@@ -9,6 +9,7 @@ from quillspark.operators import graph as G
 from quillspark.plans.registry import query, table
 
 #: Customer-to-nation, nation-to-region and supplier-to-nation edges with made-up types and confidences.
+#: The SQL deals them to 100 and 10 chunks, edges() to as many or more, in proportion to the tables; on sf0.001 that is the same.
 EDGE_SQL = """edges AS (
 SELECT c_mktsegment AS ticker, 'c' || (c_custkey % 100) AS chunk_id, c_name AS subject, ' has segment' AS predicate, 'NATION_' || c_nationkey AS object, (c_custkey % 13) / 10.0 AS confidence, CASE WHEN c_custkey % 7 = 0 THEN 'Thing' ELSE 'Company' END AS subject_type, CASE WHEN c_custkey % 5 = 0 THEN 'Metric' ELSE 'Segment' END AS object_type FROM customer
 UNION ALL SELECT 'SUPPLY', 's' || (s_suppkey % 10), s_name, 'supplied by', 'NATION_' || s_nationkey, (s_suppkey % 11) / 10.0, 'Company', 'Metric' FROM supplier
@@ -18,12 +19,18 @@ ids AS (SELECT *, sha1(concat_ws(chr(31), ticker, chunk_id, lower(subject), lowe
 triples AS (SELECT * FROM ids QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, id) <= 8)"""
 
 
+def chunks(df: DataFrame, up: int, down: int, least: int) -> int:
+    """How many chunks a table's rows are dealt to: in proportion to the table, so that a chunk holds a few rows at any size."""
+    return max(least, df.count() * up // down)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s, n, r = (table(spark, sf_dir, x) for x in ("customer", "supplier", "nation", "region"))
     tag = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
     part = lambda col, k: (F.col(col) % k) / 10.0
-    a = c.select(F.col("c_mktsegment").alias("ticker"), F.concat(F.lit("c"), (F.col("c_custkey") % 100).cast("string")).alias("chunk_id"), F.col("c_name").alias("subject"), F.lit(" has segment").alias("predicate"), tag("NATION_", "c_nationkey").alias("object"), part("c_custkey", 13).alias("confidence"), F.when(F.col("c_custkey") % 7 == 0, "Thing").otherwise("Company").alias("subject_type"), F.when(F.col("c_custkey") % 5 == 0, "Metric").otherwise("Segment").alias("object_type"))
-    b = s.select(F.lit("SUPPLY").alias("ticker"), F.concat(F.lit("s"), (F.col("s_suppkey") % 10).cast("string")).alias("chunk_id"), F.col("s_name").alias("subject"), F.lit("supplied by").alias("predicate"), tag("NATION_", "s_nationkey").alias("object"), part("s_suppkey", 11).alias("confidence"), F.lit("Company").alias("subject_type"), F.lit("Metric").alias("object_type"))
+    c_chunks, s_chunks = chunks(c, 2, 3, 100), chunks(s, 1, 1, 10)
+    a = c.select(F.col("c_mktsegment").alias("ticker"), F.concat(F.lit("c"), (F.col("c_custkey") % c_chunks).cast("string")).alias("chunk_id"), F.col("c_name").alias("subject"), F.lit(" has segment").alias("predicate"), tag("NATION_", "c_nationkey").alias("object"), part("c_custkey", 13).alias("confidence"), F.when(F.col("c_custkey") % 7 == 0, "Thing").otherwise("Company").alias("subject_type"), F.when(F.col("c_custkey") % 5 == 0, "Metric").otherwise("Segment").alias("object_type"))
+    b = s.select(F.lit("SUPPLY").alias("ticker"), F.concat(F.lit("s"), (F.col("s_suppkey") % s_chunks).cast("string")).alias("chunk_id"), F.col("s_name").alias("subject"), F.lit("supplied by").alias("predicate"), tag("NATION_", "s_nationkey").alias("object"), part("s_suppkey", 11).alias("confidence"), F.lit("Company").alias("subject_type"), F.lit("Metric").alias("object_type"))
     d = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("WORLD").alias("ticker"), F.lit("n").alias("chunk_id"), F.col("n_name").alias("subject"), F.lit("").alias("predicate"), F.col("r_name").alias("object"), F.lit(1.0).alias("confidence"), F.lit("Metric").alias("subject_type"), F.lit("Regulator").alias("object_type"))
     return a.unionByName(b).unionByName(d)
 
@@ -94,9 +101,10 @@ SELECT ticker, peer, CAST(row_number() OVER (PARTITION BY ticker ORDER BY way, p
 )
 def peers_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peers by graph edges, then by sector."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 200")
+    p = table(spark, sf_dir, "part")
+    n = max(1, p.count())
     name = lambda c: F.concat(F.lit("P"), c.cast("string"))
-    e = p.filter("p_partkey % 4 = 0").select(name(F.col("p_partkey")).alias("ticker"), name(F.col("p_partkey") * 7 % 200).alias("object")).distinct()
+    e = p.filter("p_partkey % 4 = 0").select(name(F.col("p_partkey")).alias("ticker"), name(F.col("p_partkey") * 7 % n).alias("object")).distinct()
     return G.peers(e, p.select(name(F.col("p_partkey")).alias("ticker"), F.col("p_brand").alias("sector")))
 
 

@@ -43,3 +43,22 @@ def test_every_event_type(spark, duck):
     want = duck.execute("select cast(ts as date) as day, event_type, round(max(value), 2) from events group by all").fetchall()
     got = [(r.day, k, r[k]) for r in df.collect() for k in kinds if r[k] is not None]
     assert rows(["a", "b", "c"], got) == rows(["a", "b", "c"], want)
+
+
+def test_every_part(spark, duck):
+    n = duck.execute("select count(*) from part").fetchone()[0]
+    assert n > 200
+    held(spark, duck, "peers_resolve", ("p_partkey < 200", "true"), ("% 200", f"% {n}"))
+
+
+@pytest.mark.parametrize("name", ["triple_validate", "triple_dedup", "metric_link", "entity_search", "graph_analytics", "graph_by_ticker", "degree_topn", "triple_evidence"])
+def test_chunks_grow(spark, duck, name):
+    customers, suppliers = (duck.execute(f"select count(*) from {t}").fetchone()[0] for t in ("customer", "supplier"))
+    held(spark, duck, name, ("c_custkey % 100", f"c_custkey % {customers * 2 // 3}"), ("s_suppkey % 10)", f"s_suppkey % {suppliers})"))
+
+
+def test_no_valid_triple_lost(spark, duck):
+    """Customers and suppliers fill no chunk to its limit; the 25 nations share one chunk, where 8 stay."""
+    sql = catalogue.ORACLES["triple_validate"]
+    valid = duck.execute(sql[: sql.index(" SELECT id, chunk_id")] + " SELECT count(*) FROM valid WHERE ticker <> 'WORLD'").fetchone()[0]
+    assert catalogue.QUERIES["triple_validate"](spark, SF).count() == valid + 8
