@@ -2,15 +2,16 @@
 
 A template and a stretch of text are aligned on the words that are unique in both: of these anchors the longest run that
 is in order on both sides is kept (patience sorting), equal words next to the anchors join it, and the gaps between are
-aligned in the same way. The share of the template's words that the alignment covers decides.
+aligned in the same way, and small gaps without such words by a longest common subsequence. The share of the template's words that the alignment covers decides.
 
-Stretches are found by a template's key words: each place of one in the text is taken for its first place in the template,
-which tells where the copy would begin and end, with some slack. So every mention in a long text is judged on its own, and
-a template that occurs twice is found twice.
+Stretches are found by anchors: of a template's words the rarest are taken until they have one place more than a copy may
+lack, so every copy at or above the coverage holds one of them. Each place of an anchor in the text is taken for each of its places in
+the template, which tells where the copy would begin and end, with some slack. Full license texts are tried at every place instead.
+So every mention in a long text is judged on its own, and a template that occurs twice is found twice.
 
 Defined cases: a null or empty text has no license. Words are runs of letters and digits in lower case; offsets are
 code points, ends exclusive. Of findings of one stretch that overlap, the one that matches more words stays, of equal ones
-the one that comes first in the table. Very long texts are scanned whole. Repeated rows give repeated results, rows with
+the one with the higher coverage, then the one that comes first in the table. Very long texts are scanned whole. Repeated rows give repeated results, rows with
 a null id too. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
@@ -22,12 +23,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import frame, small_batches, trimmed
+from quillspark.llm.license_texts import TEXTS
 
 #: License notices as they are published.
 TEMPLATES = {
@@ -60,10 +63,79 @@ governing permissions and limitations under the License.""",
 Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
 version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "bsd-notice": "Released under the BSD License.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "epl-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE.""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "gpl-2.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "lgpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "lgpl-2.1": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "agpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
 }
-#: A stretch of text needs one of these words to be looked at; every template has some.
-KEYS = ("license", "licensed", "copyright", "permission", "reserved", "warranty", "warranties")
-ROOTS = ("licen", "copyright", "permission", "reserved", "warrant")
+#: Words too frequent in any text to look for first.
+COMMON = frozenset("a all an and any are as at be but by for from have if in is it may not of on or other that the their this to under use was we which with you your".split())
+#: Templates of more words than this are looked for at every place, not by anchors.
+LONG = 400
+#: Gaps of at most so many pairs of words are aligned in full where no word is unique on both sides.
+GAP = 2_500
 COVERAGE = 0.75
 WORD = re.compile(r"[^\W_]+")
 
@@ -89,6 +161,39 @@ def longest_rise(values: list[int]) -> list[int]:
     return chain[::-1]
 
 
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of a longest common subsequence, by bits of one long number."""
+    masks: dict[str, int] = {}
+    for i, w in enumerate(a):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for w in b:
+        u = v & masks.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def common(a: list[str], b: list[str], i: int, ie: int, j: int, je: int, most: int = GAP) -> list[tuple[int, int]]:
+    """A longest common subsequence of two small gaps; none for larger gaps."""
+    if (ie - i) * (je - j) > most:
+        return []
+    rest = [[0] * (je - j + 1) for _ in range(ie - i + 1)]
+    for x in range(ie - i - 1, -1, -1):
+        for y in range(je - j - 1, -1, -1):
+            rest[x][y] = rest[x + 1][y + 1] + 1 if a[i + x] == b[j + y] else max(rest[x + 1][y], rest[x][y + 1])
+    pairs, x, y = [], 0, 0
+    while x < ie - i and y < je - j:
+        if a[i + x] == b[j + y]:
+            pairs.append((i + x, j + y))
+            x, y = x + 1, y + 1
+        elif rest[x + 1][y] >= rest[x][y + 1]:
+            x += 1
+        else:
+            y += 1
+    return pairs
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matching places of a and b, in order on both sides."""
     pairs, todo = [], [(0, len(a), 0, len(b))]
@@ -106,7 +211,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         where = {w: n for n, w in enumerate(b[j:je], j) if once_b[w] == 1}
         anchors = [(n, where[w]) for n, w in enumerate(a[i:ie], i) if once_a[w] == 1 and w in where]
         kept = [anchors[k] for k in longest_rise([y for _, y in anchors])]
-        pairs += kept
+        pairs += kept or common(a, b, i, ie, j, je)
         for (x, y), (xe, ye) in zip([(i - 1, j - 1), *kept], [*kept, (ie, je)], strict=True) if kept else ():
             todo.append((x + 1, xe, y + 1, ye))
     return sorted(pairs)
@@ -116,40 +221,94 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Template:
     name: str
     words: list[str]
-    keys: frozenset[str]
+    bag: Counter
+    need: int  # words that a copy matches at least
+    anchors: dict[str, list[int]]  # places of the rarest words, one place more than a copy may lack: every copy has one of them
+
+    @property
+    def slack(self) -> int:
+        return len(self.words) // 6 + 2
+
+
+def template(name: str, text: str, coverage: float) -> Template:
+    words = words_of(text)[0]
+    bag, need = Counter(words), max(1, ceil(coverage * len(words) - 1e-9))
+    anchors: dict[str, list[int]] = {}
+    for w in sorted(bag, key=lambda w: (w in COMMON, bag[w], -len(w), w)):
+        if sum(map(len, anchors.values())) > len(words) - need:
+            break
+        anchors[w] = [i for i, x in enumerate(words) if x == w]
+    return Template(name, words, bag, need, anchors)
+
+
+@cache
+def templates(coverage: float = COVERAGE) -> list[Template]:
+    return [template(name, text, coverage) for name, text in (TEMPLATES | TEXTS).items()]
 
 
 @cache
-def templates() -> list[Template]:
-    split = [(name, words_of(text)[0]) for name, text in TEMPLATES.items()]
-    return [Template(name, words, frozenset(words) & frozenset(KEYS)) for name, words in split]
+def anchor_words(coverage: float) -> frozenset[str]:
+    return frozenset(w for t in templates(coverage) for w in t.anchors)
+
+
+def copies(t: Template, words: list[str]) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of the template, as places in it and in the text, that cover enough; they don't overlap.
+    A stretch has its words in the template's bag counted before it is aligned: places so near that the words which come in
+    between can't make up what lacks are passed over."""
+    m, slack = len(t.words), t.slack
+    if m > LONG:
+        begins = ((i, i) for i in range(-slack, len(words)))
+    else:
+        begins = iter(sorted((p - i, p) for p, w in enumerate(words) if w in t.anchors for i in t.anchors[w]))
+    free = 0  # words before it belong to a finding of this template
+    following = -len(words) - m  # the first begin that may be a copy's
+
+    def pairs_at(begin: int) -> list[tuple[int, int]]:
+        a = max(free, begin - slack)
+        part = words[a : max(a, begin + m + slack)]
+        pairs = align(t.words, part)
+        if len(pairs) < t.need and m <= LONG and common_length(t.words, part) >= t.need:  # unique words that moved misled the alignment
+            pairs = common(t.words, part, 0, m, 0, len(part), m * len(part))
+        return [(x, a + y) for x, y in pairs]
+
+    for begin, p in begins:
+        if begin < following or p < free:
+            continue
+        have = Counter(words[max(free, begin - slack, 0) : max(0, begin + m + slack)])
+        held = sum(min(n, have[w]) for w, n in t.bag.items() if w in have)
+        if held < t.need:
+            following = begin + t.need - held
+            continue
+        pairs = pairs_at(begin)
+        if len(pairs) < t.need:
+            following = begin + (slack // 2 if m > LONG else 1)
+            continue
+        again = pairs_at(pairs[0][1] - pairs[0][0])  # the copy's own place
+        pairs = max(pairs, again, key=len)
+        free = pairs[-1][1] + 1
+        yield pairs
 
 
 def scan(text: str, coverage: float = COVERAGE) -> list[dict]:
     """Findings in order of their start: license, start, end, matched, coverage."""
-    low = text.lower()
-    if not any(root in low for root in ROOTS):
+    words = [w.lower() for w in WORD.findall(text)]
+    present = set(words)
+    if present.isdisjoint(anchor_words(coverage)):
         return []
-    words, spans = words_of(text)
-    found = []
-    for rank, t in enumerate(templates()):
-        m, free = len(t.words), 0  # words before the free one belong to a finding of this template
-        for p in (i for i, w in enumerate(words) if w in t.keys):
-            if p < free:
-                continue
-            begin, slack = p - t.words.index(words[p]), m // 6 + 2  # where the copy begins if this is the key's first place
-            a, b = max(free, begin - slack), min(len(words), begin + m + slack)
-            pairs = align(t.words, words[a:b])
-            if len(pairs) >= coverage * m:
-                first, last = a + pairs[0][1], a + pairs[-1][1]
-                found.append((len(pairs), -rank, spans[first][0], spans[last][1], t.name, len(pairs) / m))
-                free = last + 1
+    found, spans = [], None
+    for rank, t in enumerate(templates(coverage)):
+        m = len(t.words)
+        if len(words) < t.need or present.isdisjoint(t.anchors) or len(t.bag.keys() - present) > m - t.need:
+            continue
+        for pairs in copies(t, words):
+            spans = spans or words_of(text)[1]
+            found.append((len(pairs), len(pairs) / m, -rank, spans[pairs[0][1]][0], spans[pairs[-1][1]][1], t.name))
     kept: list[tuple] = []  # by start; they don't overlap
     for f in sorted(found, reverse=True):
-        k = bisect_left(kept, f[2], key=lambda x: x[2])
-        if (k == len(kept) or f[3] <= kept[k][2]) and (not k or kept[k - 1][3] <= f[2]):
+        k = bisect_left(kept, f[3], key=lambda x: x[3])
+        if (k == len(kept) or f[4] <= kept[k][3]) and (not k or kept[k - 1][4] <= f[3]):
             kept.insert(k, f)
-    return [{"license": f[4], "start": f[2], "end": f[3], "matched": f[0], "coverage": f[5]} for f in kept]
+    return [{"license": f[5], "start": f[3], "end": f[4], "matched": f[0], "coverage": f[1]} for f in kept]
 
 
 ITEM = pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("matched", pa.int32()), ("coverage", pa.float64())])

@@ -1,0 +1,35 @@
+"""Corpus operators on cases that shortcuts would lose."""
+
+import random
+
+import pytest
+
+from quillspark.llm import license_scan
+
+PROSE = "the quick brown fox jumps over a lazy dog while many small birds sing in old trees near our river".split()
+
+
+@pytest.mark.parametrize("text, license", [("Released under the MIT Licence.", "mit-notice"), ("Distributed under CC BY-NC 4.0.", "cc-by-nc-4.0-notice"), ("Released under the BSD License.", "bsd-notice"), ("Licensed under CC BY 4.0.", "cc-by-4.0-notice"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0-notice")])
+def test_license_without_key_word(text, license):
+    assert [f["license"] for f in license_scan.scan(f"Some words. {text} More words.")] == [license]
+
+
+@pytest.mark.parametrize("name", [t.name for t in license_scan.templates()])
+def test_no_copy_is_skipped(name):
+    """Copies with any words replaced or left out, as many as the coverage allows, the key words among them."""
+    t = next(t for t in license_scan.templates() if t.name == name)
+    rng, m = random.Random(name), len(t.words)
+    for i in range(2 if m > license_scan.LONG else 12):
+        gone = set(rng.sample(range(m), (m - t.need) * 3 // 4 if m > license_scan.LONG else m - t.need))
+        copy = [f"x{k}" if i % 2 else None for k in range(m)]
+        copy = [c if k in gone else w for k, (w, c) in enumerate(zip(t.words, copy, strict=True))]
+        lead = [rng.choice(PROSE[9:]) for _ in range(rng.randint(0, 60))]
+        text = " ".join([*lead, *[w for w in copy if w], *PROSE])
+        begin, end = len(" ".join(lead)), len(text) - len(" ".join(PROSE))
+        assert any(f["start"] < end and f["end"] > begin for f in license_scan.scan(text)), text[:500]
+
+
+@pytest.mark.parametrize("name", [t.name for t in license_scan.templates()])
+def test_each_license_is_itself(name):
+    found = license_scan.scan("Prose before. " + (license_scan.TEMPLATES | license_scan.TEXTS)[name] + " Prose after.")
+    assert name in [f["license"] for f in found if f["coverage"] == 1.0]
