@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate and its surroundings.
 
-A candidate is a maximal run of 12 or more of [A-Za-z0-9+/_.=-] that holds a digit. The network sees the run and the
-bytes around it, is trained in numpy on labelled findings (candidates of a bounded sample of documents, labelled by the
+A candidate is a maximal run of 12 or more of [A-Za-z0-9+/_.=-]. The network sees the run and the bytes around it (of a long
+run, overlapping windows over the whole of it, of which the highest score counts), is trained in numpy on labelled findings (candidates of a bounded sample of documents, labelled by the
 fixed patterns, and seeded examples of other secrets and of harmless runs), calibrated by Platt scaling on held-out
 findings, and accepts at the largest threshold that keeps RECALL of the held-out positives. What the patterns find
-always stays; accepted candidates apart from these are added as kind 'model'.
+always stays; accepted candidates that no pattern's span holds in full are added as kind 'model'.
 
 Defined cases: a null or empty text has no findings. Offsets are code points, ends exclusive. Very long texts are
 scanned whole. Repeated rows give repeated results, rows with a null id too. An empty table gives an empty result.
@@ -33,7 +33,6 @@ ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+")
-DIGITS = re.compile(rb"[0-9]")
 
 #: Bounds of the training sample: documents read for it, and findings used.
 SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 4_000
@@ -54,17 +53,20 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidates(data: bytes) -> list[tuple[int, int]]:
-    """Runs with a digit, in bytes."""
-    if not DIGITS.search(data):
-        return []
-    return [m.span() for m in CANDIDATE.finditer(data) if DIGITS.search(data, *m.span())]
+    """Runs, in bytes."""
+    return [m.span() for m in CANDIDATE.finditer(data)]
+
+
+def stretches(start: int, end: int) -> list[tuple[int, int]]:
+    """What one window each shows of a run: the run, or overlapping pieces of a long one, the last up to its end."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]]
 
 
 def window(data: bytes, start: int, end: int) -> bytes:
-    """Context before, the run (its head and tail if long), context after; padded with zero bytes."""
-    run = data[start:end]
-    run = run if len(run) <= INSIDE else run[: INSIDE // 2] + run[-(INSIDE // 2) :]
-    return data[max(0, start - BEFORE) : start].rjust(BEFORE, b"\0") + run.ljust(INSIDE, b"\0") + data[end : end + AFTER].ljust(AFTER, b"\0")
+    """Context before, a stretch of at most INSIDE bytes, context after; padded with zero bytes."""
+    return data[max(0, start - BEFORE) : start].rjust(BEFORE, b"\0") + data[start:end].ljust(INSIDE, b"\0") + data[end : end + AFTER].ljust(AFTER, b"\0")
 
 
 def apart(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[bool]:
@@ -74,6 +76,13 @@ def apart(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> lis
     return [not (k := bisect_left(starts, end)) or reach[k - 1] <= start for start, end in runs]
 
 
+def held(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[bool]:
+    """For each run whether one span holds the whole of it. spans: by start."""
+    starts = [a for a, _, _ in spans]
+    reach = list(accumulate((b for _, b, _ in spans), max))
+    return [bool(k := bisect_left(starts, start + 1)) and reach[k - 1] >= end for start, end in runs]
+
+
 def seeded_findings(n: int = 1200, seed: int = 7) -> tuple[list[bytes], list[int]]:
     """Windows of made-up secrets (1) and of harmless runs (0), each inside made-up prose."""
     rng = np.random.default_rng(seed)
@@ -85,6 +94,7 @@ def seeded_findings(n: int = 1200, seed: int = 7) -> tuple[list[bytes], list[int
         lambda: ("", "AKIA" + pick(up + num, 16)),
         lambda: ("", pick(["ghp_", "gho_", "xoxb-", "sk-", "glpat-"], 1) + pick(low + up + num, int(rng.integers(24, 40)))),
         lambda: ("", "eyJ" + pick(low + up + num, 20) + "." + pick(low + up + num + "_-", 30)),
+        lambda: ("", "".join(rng.permutation(list(pick(low, 5) + pick(up, 5) + pick(low + up, int(rng.integers(4, 20))))))),
         lambda: (pick(["password=", "token = ", "secret: ", "api_key=", "Authorization: Bearer ", "private key "], 1), pick(low + up + num + "+/", int(rng.integers(16, 44)))),
     ]
     harmless = [
@@ -95,6 +105,12 @@ def seeded_findings(n: int = 1200, seed: int = 7) -> tuple[list[bytes], list[int
         lambda: ("//", f"{pick(low, 8)}.com/{pick(low, 5)}/{rng.integers(1, 9999)}"),
         lambda: ("+", f"{rng.integers(10, 99)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}"),
         lambda: ("", pick(low, int(rng.integers(10, 18))) + pick(num, 2)),
+        lambda: ("", pick(low, int(rng.integers(12, 20)))),
+        lambda: ("", pick(up, int(rng.integers(12, 20)))),
+        lambda: ("", "-".join(pick(low, int(rng.integers(3, 8))) for _ in range(4)) + pick([".", "", "..."], 1)),
+        lambda: ("", pick(up, 1) + pick(low, int(rng.integers(11, 16))) + pick([".", "", "."], 1)),
+        lambda: ("/", "/".join(pick(low, int(rng.integers(3, 9))) for _ in range(4))),
+        lambda: ("", pick(["-", "=", "_", "."], 1) * int(rng.integers(12, 60))),
         lambda: ("", f"{rng.integers(1, 999)}.{rng.integers(100, 999)}.{rng.integers(100, 999)}.{rng.integers(100, 999)}"),
     ]
     rows, labels = [], []
@@ -104,8 +120,9 @@ def seeded_findings(n: int = 1200, seed: int = 7) -> tuple[list[bytes], list[int
         lead, run = makers[i // 2 % len(makers)]()
         before = f"{words()} {lead}".encode()
         data = before + run.encode() + f" {words()}".encode()
-        rows.append(window(data, len(before), len(before) + len(run)))
-        labels.append(label)
+        for piece in stretches(len(before), len(before) + len(run)):
+            rows.append(window(data, *piece))
+            labels.append(label)
     return rows, labels
 
 
@@ -175,11 +192,11 @@ class Network:
         if not rows:
             return np.zeros(0)
         x = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WIDTH)
-        z = np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)])
+        z = np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]).astype(np.float64)  # near 1, single precision rounds to 1
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
     def calibrate(self, rows: list[bytes], y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the largest threshold that keeps the recall (at least 0.5)."""
+        """Platt scaling by Newton steps, then the largest threshold that keeps the recall."""
         self.slope, self.shift = 1.0, 0.0
         p = np.clip(self.score(rows), 1e-9, 1 - 1e-9)
         z = np.log(p / (1 - p))
@@ -192,7 +209,7 @@ class Network:
             step = np.linalg.solve(h, [((q - goal) * z).sum(), (q - goal).sum()])
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         self.slope, self.shift = max(float(a), 0.05), float(b)
-        self.threshold = max(0.5, quantile_threshold(pd.Series(self.score(rows)[y > 0]), recall))
+        self.threshold = quantile_threshold(pd.Series(self.score(rows)[y > 0]), recall)
 
 
 FINDING = pa.schema([("window", pa.binary()), ("label", pa.int32())])
@@ -203,9 +220,9 @@ def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows, labels = [], []
         for text in b.column(1).to_pylist():
             data = (text or "").encode()
-            runs = candidates(data)
-            for span, free in zip(runs, apart(runs, base_spans(data)) if runs else [], strict=True):
-                rows.append(window(data, *span))
+            pieces = [piece for run in candidates(data) for piece in stretches(*run)]
+            for piece, free in zip(pieces, apart(pieces, base_spans(data)) if pieces else [], strict=True):
+                rows.append(window(data, *piece))
                 labels.append(int(not free))
         yield frame({"window": rows, "label": labels}, FINDING)
 
@@ -231,21 +248,24 @@ SCANNED = pa.schema([("doc_id", pa.int64()), ("findings", pa.list_(ITEM))])
 
 def scan_batches(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
-        spans, windows, owner = [], [], []
+        spans, windows, owner, firsts = [], [], [], []
         for i, text in enumerate(b.column(1).to_pylist()):
             data = (text or "").encode()
             base = base_spans(data)
             runs = candidates(data)
-            every = sorted([*base, *[(*c, 3) for c, free in zip(runs, apart(runs, base), strict=True) if free]], key=lambda s: (s[0], s[2]))
+            every = sorted([*base, *[(*c, 3) for c, inside in zip(runs, held(runs, base), strict=True) if not inside]], key=lambda s: (s[0], s[2]))
             if not every:
                 continue
             points = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))  # code points before each byte
             for s in every:
-                windows.append(window(data, s[0], s[1]))
+                pieces = stretches(s[0], s[1])
+                firsts.append(len(windows))
+                windows += [window(data, *piece) for piece in pieces]
                 owner.append(i)
                 spans.append((KINDS[s[2]], int(points[s[0]]), int(points[s[1]])))
         found: list[list] = [[] for _ in range(b.num_rows)]
-        for i, (kind, start, end), score in zip(owner, spans, network.score(windows).tolist(), strict=True):
+        scores = np.maximum.reduceat(network.score(windows), firsts) if firsts else np.zeros(0)
+        for i, (kind, start, end), score in zip(owner, spans, scores.tolist(), strict=True):
             if kind != "model" or score >= network.threshold:
                 found[i].append({"kind": kind, "start": start, "end": end, "score": score})
         yield frame({"doc_id": b.column(0), "findings": found}, SCANNED)

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillspark.llm import license_scan
+from quillspark.llm import license_scan, secret_scan
 
 PROSE = "the quick brown fox jumps over a lazy dog while many small birds sing in old trees near our river".split()
 
@@ -33,3 +35,29 @@ def test_no_copy_is_skipped(name):
 def test_each_license_is_itself(name):
     found = license_scan.scan("Prose before. " + (license_scan.TEMPLATES | license_scan.TEXTS)[name] + " Prose after.")
     assert name in [f["license"] for f in found if f["coverage"] == 1.0]
+
+
+class Fixed:
+    """A network that accepts windows with the word zqj in the run."""
+
+    threshold = 0.3
+
+    def score(self, rows):
+        return np.array([0.4 * (b"zqj" in r[secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.INSIDE]) for r in rows])
+
+
+def findings(text):
+    [out] = secret_scan.scan_batches(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]), Fixed())
+    return [(f["kind"], f["start"], f["end"]) for f in out.column(1).to_pylist()[0]]
+
+
+@pytest.mark.parametrize("text, want", [("a AbzqjKLmnOPqrs b", [("model", 2, 16)]), ("a " + "p/" * 60 + "1zqj" + "/p" * 60 + " b", [("model", 2, 246)]), ("a zqj-24be64439e3e49cf46b2 b", [("model", 2, 26), ("hex", 6, 26)]), ("token=zqj456789012345 b", [("assign", 0, 21)])])
+def test_every_run_is_scored_whole(text, want):
+    assert findings(text) == want
+
+
+def test_recall_decides_the_threshold():
+    rows, labels = secret_scan.seeded_findings(200)
+    network, y = secret_scan.Network.fresh(), np.array(labels, np.float32)
+    network.calibrate(rows, y, 0.98)  # not trained: many positives score below 0.5
+    assert (network.score(rows)[y > 0] >= network.threshold).mean() >= 0.98
