@@ -1,12 +1,13 @@
 """Quality rules: plain counts, and Jensen-Shannon divergence of a document's histograms from language references.
 
-The references come from the whole corpus: for every language, the share of each character class and of each common
+The references come from the whole corpus: for every language that at least REFERENCE_DOCS documents, REFERENCE_SHARE of all
+documents and REFERENCE_WORDS words are tagged with, the share of each character class and of each common
 word (those of at least COMMON_SHARE of the language's words). A document is compared with every language and judged by
 the nearest, so a wrong or missing language tag costs nothing. Divergences are in bits (0 to 1).
 
 Defined cases: a null or empty text has no words, fails the base rule and has no divergence (null). The character test
 needs MIN_CHARS characters in words and the word test MIN_WORDS words; shorter documents pass the test. Documents with a
-null language are counted under the name ''. Very long texts are processed whole. Repeated rows are each counted and
+null language or one with less support are judged like all others, but make no reference; without any reference there is no divergence. Very long texts are processed whole. Repeated rows are each counted and
 judged, rows with a null id too. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
@@ -30,6 +31,8 @@ COMMON_SHARE = 0.004
 MIN_CHARS, MIN_WORDS = 200, 50
 #: A document is rejected when its nearest language is farther than this.
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.20
+#: Support that a language needs to be a reference: documents, their share of all documents, words.
+REFERENCE_DOCS, REFERENCE_SHARE, REFERENCE_WORDS = 20, 0.0005, 2_000
 #: Distinct words that a counting task holds before it hands on its counts.
 HELD_WORDS = 200_000
 
@@ -74,13 +77,16 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (a + b) / 2
 
 
+#: Name under which documents are counted.
+DOCS = " docs"
 COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of character classes under a name that no word has, per language."""
+    """Counts of words, and of character classes and documents under names that no word has, per language."""
     words: dict[str, Counter] = defaultdict(Counter)
     chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
+    docs: Counter = Counter()
 
     def rows():
         for lang, counter in words.items():
@@ -92,11 +98,12 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = (text or "").encode()
             words[lang or ""].update(data.lower().split())
             chars[lang or ""] += classes(data)
+            docs[lang or ""] += 1
         if sum(map(len, words.values())) > HELD_WORDS:
             yield from rows()
     yield from rows()
     for lang, counts in chars.items():
-        yield frame({"lang": [lang] * len(CLASSES), "word": [f" {c}" for c in CLASSES], "n": counts.tolist()}, COUNTS)
+        yield frame({"lang": [lang] * (len(CLASSES) + 1), "word": [*[f" {c}" for c in CLASSES], DOCS], "n": [*counts.tolist(), docs[lang]]}, COUNTS)
 
 
 class References:
@@ -122,8 +129,11 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(lambda it: trimmed(count_batches(it)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     totals = counts.filter("not startswith(word, ' ')").groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = sized_broadcast(totals, counts.select("lang").distinct().count())
-    kept = counts.join(totals, "lang", "left").withColumn("share", F.col("n") / F.col("total"))
+    n_langs = counts.filter(F.col("word") == DOCS).count()
+    docs_of = counts.filter(F.col("word") == DOCS).select("lang", F.col("n").alias("docs"))
+    least = F.greatest(F.lit(REFERENCE_DOCS), REFERENCE_SHARE * F.lit(docs_of.agg(F.sum("docs")).first()[0] or 0))
+    langs = docs_of.join(totals, "lang").filter((F.col("lang") != "") & (F.col("docs") >= least) & (F.col("total") >= REFERENCE_WORDS))
+    kept = counts.filter(F.col("word") != DOCS).join(sized_broadcast(langs.select("lang", "total"), n_langs), "lang").withColumn("share", F.col("n") / F.col("total"))
     found = kept.filter(F.col("word").startswith(" ") | (F.col("share") >= share)).select("lang", "word", "n", "share").collect()
     counts.unpersist()
     return References(found)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import license_scan, secret_scan
+from quillspark.llm import license_scan, quality, secret_scan
 
 PROSE = "the quick brown fox jumps over a lazy dog while many small birds sing in old trees near our river".split()
 
@@ -61,3 +61,15 @@ def test_recall_decides_the_threshold():
     network, y = secret_scan.Network.fresh(), np.array(labels, np.float32)
     network.calibrate(rows, y, 0.98)  # not trained: many positives score below 0.5
     assert (network.score(rows)[y > 0] >= network.threshold).mean() >= 0.98
+
+
+def test_no_reference_without_support(spark):
+    good = [f"the {w} and the {x} went to the old house by the river near " * 12 for w in PROSE for x in PROSE[:3]]
+    junk = "zx9 #qq 77$ kk|| " * 60
+    rows = [(i, t + str(i), "en") for i, t in enumerate(good)] + [(900, junk, "xx"), (901, junk, None), (902, junk + "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert quality.references(docs).langs == ["en"]
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].nearest == "en" and got[i].char_divergence > quality.MAX_CHAR_DIVERGENCE for i in (900, 901, 902))
+    assert got[0].nearest == "en" and got[0].char_divergence <= quality.MAX_CHAR_DIVERGENCE
