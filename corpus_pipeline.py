@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
-from quillspark.llm.common import Shared, drop_ids, table
+from quillspark.llm.common import Shared, cut, drop_ids, table
 from quillspark.llm.queries import vocabulary
 from quillspark.session import ship
 
@@ -23,14 +24,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_known(docs)
 
 
+def keyed(docs: DataFrame, order: Column) -> tuple[DataFrame, str]:
+    """The documents and a column that tells rows apart: doc_id where it is unique and not null, else a written row number in the given order."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if ids.isEmpty():
+        return docs, "doc_id"
+    return cut(docs.orderBy(order, F.md5("text")).withColumn("_row", F.monotonically_increasing_id())), "_row"
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return drop_ids(docs, exact_dedup.exact_dedup(docs).filter("not kept").select("doc_id"))
+    """Of equal texts one row stays, that with the largest id."""
+    rows, key = keyed(docs, F.asc_nulls_first("doc_id"))
+    return drop_ids(rows, exact_dedup.exact_dedup(rows, key).filter("not kept").select("doc_id"), key).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays."""
-    return drop_ids(docs, near_dedup.near_dedup(docs).filter("not kept").select("doc_id"))
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row stays, that with the smallest id."""
+    rows, key = keyed(docs, F.asc_nulls_last("doc_id"))
+    return drop_ids(rows, near_dedup.near_dedup(rows, id_col=key).filter("not kept").select("doc_id"), key).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from quillspark.llm import license_scan, quality, secret_scan
 
 PROSE = "the quick brown fox jumps over a lazy dog while many small birds sing in old trees near our river".split()
@@ -73,3 +74,12 @@ def test_no_reference_without_support(spark):
     assert len(got) == len(rows)
     assert all(got[i].nearest == "en" and got[i].char_divergence > quality.MAX_CHAR_DIVERGENCE for i in (900, 901, 902))
     assert got[0].nearest == "en" and got[0].char_divergence <= quality.MAX_CHAR_DIVERGENCE
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup"])
+def test_a_decision_hits_its_row(spark, stage):
+    one, two = " ".join(PROSE), " ".join(reversed(PROSE))
+    rows = [(1, one), (1, one), (None, one), (2, one), (2, two), (3, "another text that nobody copies at all"), (None, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, docs, "").collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == sorted([(one, 2 if stage == "exact_dedup" else 1), (two, 2), rows[5][::-1]])
