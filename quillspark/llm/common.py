@@ -7,7 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,11 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a stored table over all cores; a table that comes in as many splits as there are cores is left as it is.
+    Only for scans: for other plans, asking for the number of partitions would run them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); only where unset, as in tests, take a folder of our own."""
+    """Use the cluster's shared folder (spark.checkpoint.dir). Only a local master, as in tests, may do without one and gets a folder of its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Shared:
-    """Parquet tables in the shared folder of spark.checkpoint.dir, for what is read more than once; dropped at the end."""
+    """Parquet tables in the shared folder of spark.checkpoint.dir, for what is read more than once; dropped at the end of the with block."""
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
@@ -52,11 +63,23 @@ class Shared:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def __enter__(self) -> Shared:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_map(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: str) -> DataFrame:
+    """mapInArrow with this package on the executors and memory given back after each task."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(lambda batches: trimmed(work(batches)), shape)
+
+
 def fold5(col: str | Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id falls in no fold (null)."""
     c = F.col(col) if isinstance(col, str) else col

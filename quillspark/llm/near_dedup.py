@@ -7,21 +7,25 @@ and drops pairs far below the threshold, and the full sets decide.
 
 No bucket is expanded into all its pairs. Sets that are equal form a class, and only its smallest document goes on. In
 every bucket the smallest member is compared with the others. Verified links join members into components, pairs
-that look related into families. Inside a family that still has several components, whole sets are compared in blocks of bounded size, each pair
-of blocks in a task of its own, and only links that join components are returned; blocks of one component never meet.
-Members of different families that share a bucket meet one by one, if their set sizes allow the similarity.
+that look related into families. What this leaves open are links between components of one family, and between families
+that share a bucket. Both are settled in blocks of bounded size: members of a family (or a bucket) are dealt into blocks by
+set size, blocks of near sizes meet pair by pair, first with their sketches alone, then with the whole sets of those
+members that have a likely partner. Only links that join components are returned, and blocks of one component never meet.
+
+Sets are sets of 64-bit shingle hashes; sets count as equal when size and a 128-bit digest of the sorted hashes agree.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing (n_shingles 0, kept). A
 text with fewer words than a shingle has the whole sequence as its one shingle. Rows that repeat a doc_id are copies if
-their sets are equal; each row gets the component of its own set. Rows with a null id have a null component and are
-kept; they link nothing. Very long texts are taken whole. An empty table gives an empty result. Extra columns are
-ignored, whatever their names.
+their sets are equal; each row gets the component of its own set, also where one id stands for different texts. Ids may be of
+any type with an order. Rows with a null id have a null component and are kept; they link nothing. Very long texts are taken
+whole. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,15 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Shared, cut, frame, sized_broadcast, small_batches, trimmed
+from quillspark.llm.common import Shared, arrow_map, cut, frame, sized_broadcast, small_batches
 
 BASE, LEVELS = 1.001, 65_534
 #: Registers kept for the likelihood, and how many standard errors below the threshold an estimate drops a pair.
 KEPT, MARGIN = 128, 5.5
 #: Pairs of at least this estimate belong to one family.
 KIN = 0.4
-#: A block of a family has about so many sets and shingles.
+#: A block has about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+#: A set that more than this many pairs name as their first is sent to them in several chunks of about that size.
+CHUNK_PAIRS = 512
 #: A linked pair is a candidate with a probability of at least 1 - MISS.
 MISS, MOST_BANDS = 1e-6, 40
 
@@ -133,13 +139,15 @@ def likely_similarity(first: np.ndarray, second: np.ndarray, n1: np.ndarray, n2:
     return grid[np.arange(len(up)), fit.argmax(1)]
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def least_likely(percent: int) -> float:
+    """The estimate below which a pair is taken to be under the threshold."""
+    t = percent / 100
+    return t - MARGIN * math.sqrt(t * (1 - t) / KEPT)
 
 
 def likely_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """a, b, na, nb, ra, rb: keeps pairs of a family, and tells which of them are not far below the threshold."""
-    t = percent / 100
-    least = t - MARGIN * math.sqrt(t * (1 - t) / KEPT)
+    least = least_likely(percent)
     for whole in batches:
         for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
             first, second = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, KEPT) for i in (4, 5))
@@ -149,18 +157,23 @@ def likely_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(likely[keep] >= least)], names=["a", "b", "likely"])
 
 
+VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def verify_batches(batches: Iterator[pa.RecordBatch], sketcher: Sketcher) -> Iterator[pa.RecordBatch]:
-    """a, b, text_a, text_b: keeps pairs that are linked. Rows of one a come together, so its set is remembered."""
-    last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-    for b in small_batches(batches, "text_b", 2_000_000):
-        keep = []
-        others = shingle_sets(b.column(3), sketcher.words)
-        for i, (key, other) in enumerate(zip(b.column(0).to_pylist(), others, strict=True)):
-            if key != last[0]:
-                last = key, next(shingle_sets(b.column(2).slice(i, 1), sketcher.words))
-            shared = len(np.intersect1d(last[1], other, assume_unique=True))
-            keep.append(100 * shared >= sketcher.percent * (len(last[1]) + len(other) - shared))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    """a, first, id, text in order of a, the row of a itself (first) ahead of its partners: keeps the pairs that are linked."""
+    head = np.zeros(0, np.uint64)
+    for b in small_batches(batches, "text", 2_000_000):
+        found: dict[str, list] = {"a": [], "b": []}
+        for a, first, other, s in zip(*[b.column(i).to_pylist() for i in range(3)], shingle_sets(b.column(3), sketcher.words), strict=True):
+            if first:
+                head = s
+                continue
+            shared = len(np.intersect1d(head, s, assume_unique=True))
+            if 100 * shared >= sketcher.percent * (len(head) + len(s) - shared):
+                found["a"].append(a)
+                found["b"].append(other)
+        yield frame(found, VERIFIED)
 
 
 def linked_in_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -203,42 +216,94 @@ def linked_in_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return found
 
 
-def compare_blocks(sketcher: Sketcher):
+def likely_members(percent: int):
+    need = KEPT * least_likely(percent)
+
+    def screen(group: pd.DataFrame) -> pd.DataFrame:
+        """Rows of one pair of blocks; those stay whose sketch agrees with one of another component across the pair in as many registers as a link needs."""
+        sketches = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(-1, KEPT)
+        side, component = group["side"].to_numpy(), group["component"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a, b = np.ascontiguousarray(sketches[left].T), np.ascontiguousarray(sketches[right].T)
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for x, y in zip(a, b, strict=True):
+            same += x[:, None] == y[None]
+        likely = (same >= need) & (component[left][:, None] != component[right][None])
+        keep = np.zeros(len(group), bool)
+        keep[left] |= likely.any(1)
+        keep[right] |= likely.any(0)
+        return group.loc[keep, ["grp", "x", "y", "rep", "component", "side"]]
+
+    return screen
+
+
+def joined_components(percent: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one pair of blocks: rep, text, component, side (0: only the first block, 1: only the second; a block with itself: 2)."""
-        sets = list(shingle_sets(pa.array(group["text"], pa.string()), sketcher.words))
-        side = group["side"].to_numpy()
-        links = linked_in_block(sets, np.flatnonzero(side != 1), np.flatnonzero(side != 0), group["component"].to_numpy(), sketcher.percent)
-        reps = group["rep"].to_numpy()
-        return pd.DataFrame({"a": [min(reps[i], reps[j]) for i, j in links], "b": [max(reps[i], reps[j]) for i, j in links]}, dtype="int64")
+        """Rows of one pair of blocks: rep, component, shingles, side (0: only the first block, 1: only the second; a block with itself: 2)."""
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+        side, component = group["side"].to_numpy(), group["component"].to_numpy()
+        links = linked_in_block(sets, np.flatnonzero(side != 1), np.flatnonzero(side != 0), component, percent)
+        return pd.DataFrame({"a": [component[i] for i, _ in links], "b": [component[j] for _, j in links]}, dtype="int64")
 
     return compare
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for edges (a, b): alternating large and small stars until nothing changes."""
-    state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
+SETS = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in small_batches(batches, chars=2_000_000):
+        yield frame({"rep": b.column(0), "shingles": [s.tobytes() for s in shingle_sets(b.column(1), words)]}, SETS)
+
+
+def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
+    """node, component (smallest node reachable) for edges (a, b), without the smallest nodes themselves: alternating large
+    and small stars until only stars are left. What a node looks up is written before the join, so that a node with many
+    edges is a plain scan on both sides, which adaptive execution splits."""
+    state = shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}_0")
+    for step in count(1):
+        roles = state.select(F.col("u").alias("x"), F.lit(1).alias("own"), F.lit(0).alias("root")).unionByName(state.select(F.col("v").alias("x"), F.lit(0).alias("own"), F.lit(1).alias("root")))
+        if roles.groupBy("x").agg(F.sum("own").alias("own"), F.max("root").alias("root")).filter("own > 1 or (own = 1 and root = 1)").isEmpty():
+            return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        state = cut(small)
-        now = state.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        least = shared(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}_{step}_least")
+        large = shared(both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}_{step}_large")
+        least = shared(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_{step}_lower")
+        small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        state = shared(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}_{step}")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id, kept."""
-    sketcher, shared = Sketcher(words, percent), Shared(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = shared(rows.mapInArrow(lambda it: trimmed(sign_batches(it, sketcher)), "doc_id long, n long, set_hash binary, registers binary, keys array<long>"), "signed")
+    sketcher = Sketcher(words, percent)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with Shared(docs.sparkSession) as shared:
+        if rows.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
+            signed = shared(sign(rows, sketcher), "signed")
+            if signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).filter("a <> b").isEmpty():
+                found = linked(signed, rows.withColumn("doc_id", F.col("doc_id").cast("long")), sketcher, shared)
+                return cut(found.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType)))
+        # ids that are no whole numbers, or that stand for different sets: rows get numbers, components their smallest id
+        numbered = shared(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        keyed = numbered.filter("doc_id is not null").select(F.col("_row").alias("doc_id"), "text")
+        found = shared(linked(shared(sign(keyed, sketcher), "signed_rows"), keyed, sketcher, shared).select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_component")), "found")
+        named = shared(found.join(numbered.select("_row", "doc_id"), "_row"), "named")
+        smallest = shared(named.groupBy("_component").agg(F.min("doc_id").alias("component_id")), "smallest")
+        result = named.join(smallest, "_component").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        unnamed = sign(numbered.filter("doc_id is null").select(F.col("_row").alias("doc_id"), "text"), sketcher)
+        nothing = F.lit(None).cast(rows.schema["doc_id"].dataType)
+        return cut(result.unionByName(unnamed.select(nothing.alias("doc_id"), F.col("n").alias("n_shingles"), nothing.alias("component_id"), F.lit(True).alias("kept"))))
+
+
+def sign(rows: DataFrame, sketcher: Sketcher) -> DataFrame:
+    """Size, digest, sketch and band keys of each row's set."""
+    shape = "doc_id long, n long, set_hash binary, registers binary, keys array<long>"
+    return arrow_map(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda it: sign_batches(it, sketcher), shape)
+
+
+def linked(signed: DataFrame, rows: DataFrame, sketcher: Sketcher, shared: Shared) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of signed rows; each id stands for one set. rows: doc_id, text."""
+    percent = sketcher.percent
     live = signed.filter("n > 0 and doc_id is not null")
 
     # one representative a class of equal sets
@@ -248,80 +313,93 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     # buckets with two members or more; every member with its bucket's smallest
     banded = reps.select("rep", "n", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "low")
+    buckets = shared(banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high").select("key", "low", "members"), "buckets")
     members = shared(banded.join(buckets, "key"), "members")
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        """The texts of these distinct ids; of rows that repeat an id one is taken."""
-        ids = cut(ids)
-        return shared(rows.join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"texts_{name}")
+        """The texts of these distinct ids; rows that repeat an id have equal sets, so one of them is taken."""
+        ids = shared(ids, f"ids_{name}")
+        return rows.join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def likely_links(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the distinct pairs (a, b) that are kin, and whether their sketches allow a link (likely)."""
         a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         sized = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return shared(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: trimmed(likely_batches(it, percent)), "a long, b long, likely boolean"), f"likely_{name}")
+        return shared(arrow_map(sized.select("a", "b", "na", "nb", "ra", "rb"), lambda it: likely_batches(it, percent), "a long, b long, likely boolean"), f"likely_{name}")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the likely pairs whose full sets are linked."""
+        """Those of the likely pairs whose full sets are linked. The text of a is sent once a chunk of its pairs, that of b once a pair."""
         likely = pairs.filter("likely").select("a", "b")
-        texts = texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
-        with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return shared(both.mapInArrow(lambda it: trimmed(verify_batches(it, sketcher)), "a long, b long"), f"links_{name}")
-
-    def joined_by(first: DataFrame, *more: DataFrame) -> DataFrame:
-        """node, component of earlier components and new links together."""
-        edges = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        for m in more:
-            edges = edges.unionByName(m)
-        return components(edges)
+        texts = shared(texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name), f"texts_{name}")
+        hot = shared(likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_PAIRS).cast("int").alias("chunks")).filter("chunks > 1"), f"hot_{name}")
+        chunk = F.coalesce(F.pmod(F.hash("b"), F.col("chunks")), F.lit(0)).alias("chunk")
+        dealt = shared(likely.join(sized_broadcast(hot, hot.count()), "a", "left").select("a", "b", chunk), f"dealt_{name}")
+        firsts = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(True).alias("first"), F.col("a").alias("id"))
+        need = firsts.unionByName(dealt.select("a", "chunk", F.lit(False).alias("first"), F.col("b").alias("id")))
+        sent = need.join(texts.withColumnRenamed("doc_id", "id"), "id").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("first"))
+        return shared(arrow_map(sent.select("a", "first", "id", "text"), lambda it: verify_batches(it, sketcher), "a long, b long"), f"links_{name}")
+
+    def meetings(found: DataFrame, name: str) -> DataFrame | None:
+        """Pairs of components (a, b) that links join, of rows grp, part, rep, component, n: in every group of three sets or more, sets of different
+        parts meet (two have met as a star). None where there is no such group."""
+        total = found.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).filter("lo < hi and sets > 2")
+        total = shared(total.select("grp", ((F.col("sets") <= BLOCK_SETS) & (F.col("shingles") <= BLOCK_SHINGLES)).alias("whole")), f"groups_{name}")
+        if total.isEmpty():
+            return None
+        # linked sets are of one size class or of neighbouring ones; a group that fits one block needs no classes
+        size_class = F.when(F.col("whole"), 0).otherwise(F.floor(F.log("n") / (1.000001 * math.log(100 / percent)))).cast("int") if percent < 100 else F.lit(0)
+        dealt = shared(found.join(total, "grp").select("grp", "part", "rep", "component", "n", size_class.alias("class")), f"dealt_{name}")
+        cells = shared(dealt.groupBy("grp", "class", "part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")), f"cells_{name}")
+        large = (F.col("sets") > BLOCK_SETS // 2) | (F.col("shingles") > BLOCK_SHINGLES // 2)
+        blocks_for = F.greatest(F.ceil(F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES)), F.lit(1)).cast("int")
+        # small parts share blocks; a large one has blocks of its own
+        own = shared(cells.filter(large).groupBy("grp", "class", "part").agg(blocks_for.alias("own_blocks")), f"own_{name}")
+        mixed = shared(cells.filter(~large).groupBy("grp", "class").agg(blocks_for.alias("mixed_blocks")), f"mixed_{name}")
+        alone = F.col("own_blocks").isNotNull()
+        of_block = F.when(alone, F.pmod(F.hash("rep"), "own_blocks")).otherwise(F.pmod(F.hash("part"), "mixed_blocks"))
+        placed = dealt.join(mixed, ["grp", "class"], "left").join(own, ["grp", "class", "part"], "left")
+        block = F.struct("class", alone.alias("alone"), F.when(alone, F.col("part")).otherwise(0).alias("part"), of_block.alias("number"))
+        placed = shared(placed.select("grp", "rep", "component", block.alias("block")), f"placed_{name}")
+        blocks = shared(placed.select("grp", "block").distinct(), f"blocks_{name}")
+        near = (F.col("x.class") - F.col("y.class")).between(-1, 1)
+        strange = ~F.col("x.alone") | ~F.col("y.alone") | (F.col("x.part") != F.col("y.part"))
+        pairs = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "grp").filter(near & strange & (F.col("x") <= F.col("y")))
+        sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))
+        sides = pairs.select("grp", F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"), F.explode(sides).alias("s")).select("grp", "x", "y", "s.*")
+        met = placed.join(sides, ["grp", "block"]).join(sketches.select("rep", "registers"), "rep")
+        likely = met.select("grp", "x", "y", "rep", "component", "side", "registers").groupBy("grp", "x", "y").applyInPandas(likely_members(percent), "grp long, x long, y long, rep long, component long, side int")
+        likely = shared(likely, f"screened_{name}")
+        texts = texts_of(likely.select(F.col("rep").alias("doc_id")).distinct(), name)
+        sets = shared(arrow_map(texts, lambda it: set_batches(it, sketcher.words), "rep long, shingles binary"), f"sets_{name}")
+        return shared(likely.join(sets, "rep").groupBy("grp", "x", "y").applyInPandas(joined_components(percent), "a long, b long"), f"meetings_{name}")
+
+    def merged(joined: DataFrame, pairs: DataFrame | None, name: str) -> DataFrame:
+        """node, component after pairs of components were joined too."""
+        if pairs is None or pairs.isEmpty():
+            return joined
+        more = components(pairs, shared, name)
+        moved = joined.join(more.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+        return shared(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(more), f"merged_{name}")
 
     stars = members.filter("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     likely = likely_links(stars, "stars")
-    joined = components(links(likely, "stars"))
-    family = components(likely).select("node", F.col("component").alias("family"))
-
-    # families with several components: whole sets, block by block
-    kin = family.join(joined, "node", "left").select("family", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
-    kin = shared(kin.join(sketches.select("rep", "n"), "rep"), "kin")
-    parts = kin.groupBy("family", "component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    large = (F.col("sets") > BLOCK_SETS // 2) | (F.col("shingles") > BLOCK_SHINGLES // 2)
-    blocks_for = lambda sets, shingles: F.ceil(F.greatest(sets / BLOCK_SETS, shingles / BLOCK_SHINGLES)).cast("int")
-    several = parts.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(large, 0).otherwise(F.col("sets"))).alias("s"), F.sum(F.when(large, 0).otherwise(F.col("shingles"))).alias("w")).filter("parts > 1")
-    # small components share blocks, numbered from 0; a large one has blocks of its own, named by the component
-    small = several.select("family", F.greatest(blocks_for(F.col("s"), F.col("w")), F.lit(1)).alias("small_blocks"))
-    own = parts.filter(large).select("family", "component", blocks_for(F.col("sets"), F.col("shingles")).alias("own_blocks"))
-    placed = kin.join(small, "family").join(own, ["family", "component"], "left")
-    of_small = F.struct(F.lit(-1).cast("long").alias("component"), F.pmod(F.hash("component"), F.col("small_blocks")).alias("number"))
-    of_own = F.struct("component", F.pmod(F.hash("rep"), F.col("own_blocks")).alias("number"))
-    placed = cut(placed.select("family", "rep", "component", F.when(F.col("own_blocks").isNull(), of_small).otherwise(of_own).alias("block")))
-    blocks = placed.select("family", "block").distinct()
-    meeting = placed.join(blocks.select("family", F.col("block").alias("other")), "family").filter((F.col("block.component") == -1) | (F.col("block.component") != F.col("other.component")))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    meeting = meeting.select("rep", "family", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
-    texts = texts_of(placed.select(F.col("rep").alias("doc_id")).distinct(), "families")
-    met = meeting.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    inside = shared(met.groupBy("family", "x", "y").applyInPandas(compare_blocks(sketcher), "a long, b long"), "links_inside")
-    joined = joined_by(joined, inside)
-
-    # members of one bucket that belong to different families
-    placed = members.join(joined, F.col("rep") == F.col("node"), "left").drop("node").join(family, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("key", "rep", "n", "low", F.coalesce("component", "rep").alias("component"), F.coalesce("family", "rep").alias("family"))
-    apart = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("key")
-    apart = shared(placed.join(apart, "key"), "apart")
-    left = apart.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("family").alias("fa"))
-    right = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("family").alias("fb"), "low")
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("low")) & sizes).select("a", "b").distinct()
-    second = links(likely_links(rest, "rest"), "rest")
-    joined = joined if second.isEmpty() else joined_by(joined, second)
+    joined = components(links(likely, "stars"), shared, "joined")
+    family = components(likely, shared, "family").select("node", F.col("component").alias("family"))
+    family = shared(family.unionByName(family.select(F.col("family").alias("node"), "family").distinct()), "families")
+
+    # components of one family
+    kin = family.join(joined, "node", "left").select(F.col("family").alias("grp"), F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
+    kin = shared(kin.join(sketches.select("rep", "n"), "rep").select("grp", F.col("component").alias("part"), "rep", "component", "n"), "kin")
+    joined = merged(joined, meetings(kin, "inside"), "inside")
+
+    # families that share a bucket
+    placed = members.filter("members > 2").join(joined, F.col("rep") == F.col("node"), "left").drop("node").join(family, F.col("rep") == F.col("node"), "left")
+    placed = placed.select(F.col("key").alias("grp"), F.coalesce("family", "rep").alias("part"), "rep", F.coalesce("component", "rep").alias("component"), "n")
+    joined = merged(joined, meetings(shared(placed, "apart"), "apart"), "apart")
 
     # every document gets the component of its class
     of_class = reps.select("set_hash", "n", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("set_hash", "n", F.coalesce("component", "rep").alias("component"))
-    found = signed.select("doc_id", "n", "set_hash").join(of_class, ["set_hash", "n"], "left")
+    found = signed.select("doc_id", "n", "set_hash").join(shared(of_class, "of_class"), ["set_hash", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    result = cut(found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
-    shared.drop()
-    return result
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
