@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import BROADCAST_ROWS, cut, sized_broadcast
 
 
 def content_hash(text: Column) -> Column:
@@ -24,23 +24,27 @@ def content_hash(text: Column) -> Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One decision a row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts meet as (hash, text) keys of a hash aggregate, which compares whole keys, so bytes decide and the hash only
-    spreads the work; copies collapse on the map side before the shuffle, so a group of any size costs a row a task.
-    Rows then look up their group by hash alone, in a join whose hot keys adaptive execution splits. Hashes that two
-    different texts share are found on the way and resolved by joining on the text itself.
+    Hashes, ids and counts meet first, without texts; copies collapse on the map side, so a group of any size costs a row a
+    task. Only texts whose hash occurs again are then compared byte by byte, as keys (hash, text) of a hash aggregate that
+    collapses copies on the map side too: where these hashes are few enough to be broadcast (measured), other texts never
+    leave their task; beyond that all texts meet. Hashes that two different texts share are resolved by joining on the text
+    itself. Rows look up their group by hash alone, in a join whose hot keys adaptive execution splits.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), hash_fn(text).alias("_h"))
-    variants = rows.groupBy("_h", "_text").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    groups = cut(variants.groupBy("_h").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_variants")).filter("_n > 1"))
     light = rows.select("doc_id", "_h", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
-    found = light.join(groups, "_h", "left")
-    result = found.filter("_variants is null or _variants = 1")
-    if not (shared := groups.filter("_variants > 1")).isEmpty():
-        hard = rows.join(shared.select("_h"), "_h", "left_semi")
-        split = hard.groupBy("_h", "_text").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"), F.lit(1).cast("long").alias("_variants"))
+    groups = cut(rows.groupBy("_h").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    n_groups = groups.count()
+    again = rows.join(F.broadcast(groups.select("_h")), "_h", "left_semi") if n_groups <= BROADCAST_ROWS else rows
+    texts = again.groupBy("_h", "_text").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    shared = cut(texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("_h"))
+    result = light.join(sized_broadcast(groups, n_groups), "_h", "left")
+    if n_shared := shared.count():
+        ours = sized_broadcast(shared, n_shared)
+        hard = rows.join(ours, "_h", "left_semi")
+        split = hard.groupBy("_h", "_text").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
         sha = F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")
-        result = result.unionByName(hard.join(split, ["_h", "_text"]).select("_h", "doc_id", sha, "_keep", "_n", "_variants"))
+        result = result.join(ours, "_h", "left_anti").unionByName(hard.join(split, ["_h", "_text"]).select("_h", "doc_id", sha, "_keep", "_n"))
     grouped = F.col("_n").isNotNull()
     keep = F.when(grouped, F.col("_keep")).otherwise(F.col("doc_id"))
     return result.select(
