@@ -140,6 +140,21 @@ def frame(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def id_type(rows: DataFrame) -> str:
+    """SQL type of doc_id, which operators pass on as it is."""
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
+def typed(schema: pa.Schema, batch: pa.RecordBatch) -> pa.Schema:
+    """The schema with its first column, the id, of the type that it has in the batch."""
+    return schema.set(0, pa.field(schema.names[0], batch.schema.field(0).type))
+
+
+def share_of(id_col: str, share: float | Column) -> Column:
+    """True for about this share of the rows, by the whole range of the 64-bit hash of the id, so that tiny shares stay what they are."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1).cast("double") < F.lit(2.0**63) * share
+
+
 def quantile_threshold(scores: pd.Series, recall: float) -> float:
     """The largest threshold at which at least this share of the scores is at or above it."""
     s = scores.sort_values(ascending=False).to_numpy()

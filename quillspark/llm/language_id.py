@@ -12,7 +12,6 @@ table gives an empty result. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -23,49 +22,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold5, frame, small_batches, trimmed
+from quillspark.llm.common import arrow_map, fold5, frame, id_type, share_of, small_batches, trimmed, typed
+from quillspark.session import ship
 
 UNKNOWN = "und"
-DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20240501
+DIMENSIONS, SEED = 1024, 20240501
 #: Bound of the training sample: about so many documents a language, taken by hashed id.
 SAMPLE_DOCS = 1500
+#: Vectors of letters and of bound pairs that a Python worker keeps; beyond it the store starts afresh.
+KEPT_VECTORS = 40_000
+LAST = 0x10FFFF
 
 
 @cache
-def symbol_table() -> np.ndarray:
-    """Code point to symbol: 0 no letter, 1 to 26 a to z, other letters share the rest."""
-    points = np.arange(0x110000)
-    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    table = np.where(letter, 27 + points % (SYMBOLS - 27), 0).astype(np.uint8)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
+def is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(LAST + 1)), bool, LAST + 1)
+
+
+def letter(point: int, dimensions: int) -> np.ndarray:
+    """The random bipolar vector of a code point (0: a gap between words), from a generator seeded with it."""
+    return np.random.default_rng((SEED, point)).integers(0, 2, dimensions, np.int8) * 2 - 1
+
+
+class Store:
+    """Vectors by key: of single letters, and of pairs of letters in the first two places of an n-gram (key: 21 bits each), bound."""
+
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions, self.row, self.vectors = dimensions, {}, np.zeros((256, dimensions), np.int8)
+
+    def vector(self, key: int) -> np.ndarray:
+        if key <= LAST:
+            return letter(key, self.dimensions)
+        pair = (key >> 21) - 1, key & 0x1FFFFF
+        return np.roll(letter(pair[0], self.dimensions), 2) * np.roll(letter(pair[1], self.dimensions), 1)
+
+    def rows(self, keys: list[int]) -> list[int]:
+        """Places in vectors of these keys."""
+        row = self.row
+        if len(row) > KEPT_VECTORS:
+            row.clear()
+        for k in keys:
+            if k not in row:
+                if len(row) == len(self.vectors):
+                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                self.vectors[len(row)] = self.vector(k)
+                row[k] = len(row)
+        return [row[k] for k in keys]
 
 
 @cache
-def letter_vectors(dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Bound vectors of every pair in the first two places, and vectors of the last place."""
-    letters = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
-    pairs = np.roll(letters, 2, axis=1)[:, None] * np.roll(letters, 1, axis=1)[None]
-    return pairs.reshape(-1, dimensions), letters
+def store() -> Store:
+    return Store()
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct letter trigrams of the lower-cased text, word ends included, and their counts."""
-    symbols = symbol_table()[np.frombuffer(text.lower().encode("utf-32-le"), "<u4")]
-    symbols = np.concatenate([[0], symbols, [0]]).astype(np.uint32)
-    symbols = symbols[np.append(True, (symbols[1:] != 0) | (symbols[:-1] != 0))]
-    if len(symbols) < 3:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return np.unique((symbols[:-2] << 12) | (symbols[1:-1] << 6) | symbols[2:], return_counts=True)
+    """Distinct letter trigrams of the lower-cased text, word ends included, as three code points of 21 bits each, and their counts."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    points = np.where(is_letter()[points], points, 0)
+    points = np.concatenate([[0], points, [0]]).astype(np.uint64)
+    points = points[np.append(True, (points[1:] != 0) | (points[:-1] != 0))]
+    if len(points) < 3:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.unique((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:], return_counts=True)
 
 
 def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of the n-grams' vectors."""
-    pairs, letters = letter_vectors()
-    total = np.zeros(pairs.shape[1], np.float32)
-    for i in range(0, len(grams), 2048):
-        g = grams[i : i + 2048]
-        total += counts[i : i + 2048].astype(np.float32) @ (pairs[g >> 6] * letters[g & 63]).astype(np.float32)
+    """The sum of the n-grams' vectors: whole numbers, so sums of bundles don't depend on their order."""
+    kept = store()
+    total = np.zeros(kept.dimensions, np.int64)
+    for i in range(0, len(grams), 1024):
+        g, n = grams[i : i + 1024], counts[i : i + 1024]
+        pairs, first = np.unique((g >> np.uint64(21)) + np.uint64(1 << 21), return_inverse=True)  # counted from 1 in the first letter, so that no pair looks like a letter
+        lasts, last = np.unique(g & np.uint64(0x1FFFFF), return_inverse=True)
+        rows = np.array(kept.rows([*pairs.tolist(), *lasts.tolist()]))
+        bound = kept.vectors[rows[first]] * kept.vectors[rows[len(pairs) + last]]
+        small = np.float32 if n.sum() < 1 << 24 else np.float64
+        total += (n.astype(small) @ bound.astype(small)).astype(np.int64)
     return total
 
 
@@ -78,7 +110,7 @@ class Profiles:
         grams, counts = trigrams(text or "")
         if not len(grams) or not self.langs:
             return UNKNOWN, 0.0
-        v = bundle(grams, counts)
+        v = bundle(grams, counts).astype(np.float64)
         norm = float(np.sqrt(v @ v))
         if not norm:
             return UNKNOWN, 0.0
@@ -87,33 +119,33 @@ class Profiles:
         return self.langs[k], float(min(1.0, max(0.0, cosines[k])))
 
 
-GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
+SUMS = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("n", pa.int64())])
 
 
-def gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(SYMBOLS**3, np.int64))
-    for b in batches:
+def bundle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bundle of a task's texts for each language, a row a dimension."""
+    sums: dict[str, np.ndarray] = {}
+    for b in small_batches(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            grams, n = trigrams(text or "")
-            counts[lang][grams] += n
-    for lang, n in counts.items():
-        grams = np.flatnonzero(n)
-        yield frame({"lang": [lang] * len(grams), "gram": grams, "n": n[grams]}, GRAMS)
+            v = bundle(*trigrams(text or ""))
+            sums[lang] = sums[lang] + v if lang in sums else v
+    for lang, v in sums.items():
+        yield frame({"lang": [lang] * len(v), "place": np.arange(len(v)), "n": v}, SUMS)
 
 
 def train_profiles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Profiles:
-    """docs: doc_id, text, lang. At most SYMBOLS**3 counts a language reach the driver, however many documents there are."""
+    """docs: doc_id, text, lang. Bundles are summed by the cluster; DIMENSIONS numbers a language reach the driver, however many documents there are."""
     spark = docs.sparkSession
     labelled = docs.filter("lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return Profiles([], np.zeros((0, DIMENSIONS), np.float32))
-    rates = spark.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"]) * 1e6) for r in sizes], "lang string, rate double")
-    drawn = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate")).select("lang", "text")
-    rows = drawn.mapInArrow(lambda it: trimmed(gram_batches(it)), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    sums = [bundle(x["gram"].to_numpy(np.uint32), x["n"].to_numpy()) for x in (rows[rows["lang"] == lang] for lang in langs)]
-    return Profiles(langs, np.array([v / max(1e-9, float(np.sqrt(v @ v))) for v in sums], np.float32).reshape(-1, DIMENSIONS))
+    rates = spark.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, rate double")
+    drawn = labelled.join(F.broadcast(rates), "lang").filter(share_of("doc_id", F.col("rate"))).select("lang", "text")
+    rows = arrow_map(drawn, bundle_batches, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
+    sums = {lang: x.sort_values("place")["n"].to_numpy(np.float64) for lang, x in rows.groupby("lang")}
+    langs = sorted(lang for lang, v in sums.items() if v.any())
+    return Profiles(langs, np.array([sums[x] / np.sqrt(sums[x] @ sums[x]) for x in langs]).reshape(-1, DIMENSIONS))
 
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -122,18 +154,19 @@ PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_
 def predict_batches(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
         found = [profiles.predict(t) for t in b.column(2).to_pylist()]
-        yield frame({"doc_id": b.column(0), "held_out": b.column(1), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}, PREDICTED)
+        yield frame({"doc_id": b.column(0), "held_out": b.column(1), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}, typed(PREDICTED, b))
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, held_out (not used in training by train_and_identify), lang_pred, score (cosine, at least 0)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold5(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: trimmed(predict_batches(it, profiles)), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold5(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    return arrow_map(rows, lambda it: predict_batches(it, profiles), f"doc_id {id_type(rows)}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text") -> DataFrame:
     """The documents in which a language is recognised, columns unchanged; decided row by row, without a join."""
     profiles = train_profiles(docs.filter(fold5("doc_id") != 0), sample_docs)
+    ship(docs.sparkSession)
 
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
