@@ -5,12 +5,14 @@ Each packing task places its pieces one after another where the sum over residua
 sequences with that gap becomes smallest. Only (id, piece, length) rows travel; texts and ids never do.
 
 Defined cases: a null text counts as empty and gives one piece that holds the end id alone. Very long texts are encoded
-whole. Repeated rows are packed as often as they occur. Rows with a null id are packed like others. An empty table gives
+whole. Repeated rows are packed as often as they occur. Rows with a null id are packed like others. Of pieces of one
+length the order is that of the checksum, then of id and piece (equal ones are alike). An empty table gives
 an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -20,10 +22,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, frame, gathered, ragged, small_batches, space_words, trimmed
+from quillspark.llm.common import arrow_map, cut, frame, gathered, id_type, ragged, small_batches, space_words, typed
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces a packing task holds in memory at once (about 60 bytes each). What is left open at a task's end is the cost of splitting.
@@ -31,7 +34,7 @@ PIECES_PER_TASK = 40_000
 #: Distinct words whose ids a Python worker remembers; then those not met since half of it filled are forgotten.
 REMEMBERED_WORDS = 400_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def load_tokenizer(path: str):
@@ -44,16 +47,38 @@ def load_tokenizer(path: str):
 tokenizer = cache(load_tokenizer)
 
 
+def words_stand_alone(tok) -> bool:
+    """True for a tokenizer whose steps keep words apart and that ends words with a mark: lower case after white space became
+    single spaces, a split that drops what lies between letters, digits and signs, and plain byte pair merges."""
+    rules = json.loads(tok.to_str())
+    steps = lambda part, inner: [x["type"] for x in part.get(inner, [part])] if part else []
+    pre, model = rules.get("pre_tokenizer") or {}, rules["model"]
+    first = (pre.get("pretokenizers") or [{}])[0]
+    return (
+        steps(rules.get("normalizer"), "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and steps(pre, "pretokenizers") == ["Split", "ByteLevel"]
+        and first.get("invert") is True
+        and first.get("behavior") == "Removed"
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not any(rules.get(k) for k in ("truncation", "padding", "post_processor"))
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    )
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word: the pre-tokenizer never lets a token cross a space, so words are independent."""
+    """Ids of whole texts, word by word where the tokenizer's rules never let a token cross a space; other tokenizers get whole texts."""
 
     def __init__(self, tok, remembered: int = REMEMBERED_WORDS):
         self.tok, self.remembered, self.known, self.older = tok, remembered, {}, {}
+        self.by_word = words_stand_alone(tok)
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         at, codes, words = space_words(texts, " ")
         if len(self.known) > self.remembered // 2:
             self.known, self.older = {}, self.known
@@ -110,6 +135,7 @@ def encode_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, e
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for b in small_batches(batches if lean else gathered(batches)):
         out: dict[str, list] = {f.name: [] for f in schema}
+        schema = typed(schema, b)
         for key, text_ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
             ids = text_ids.tobytes() + end
             for at in range(0, len(ids), step):
@@ -153,8 +179,10 @@ def pack_batches(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[p
     if not (got := [b for b in batches if b.num_rows]):
         return
     held = pa.Table.from_batches(got)
-    keys = [held.column(n).to_numpy() for n in ("length", "ids_crc32", "doc_id", "piece")]
-    order = np.lexsort((keys[3], keys[2], keys[1], -keys[0]))  # longest first, then by content: the same result in any arrival order
+    keys = [held.column(n).to_numpy() for n in ("length", "ids_crc32", "piece")]
+    ids = held.column("doc_id").combine_chunks()
+    ranks = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
+    order = np.lexsort((keys[2], ranks, keys[1], -keys[0]))  # longest first, then by content: the same result in any arrival order
     held = held.take(pa.array(order))
     bins, offsets = sum_of_squares(held.column("length").to_numpy(), capacity)
     held = held.append_column("sequence_id", pa.array(bins + (np.int64(TaskContext.get().partitionId()) << 33))).append_column("offset", pa.array(offsets))
@@ -169,8 +197,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     The number of packing tasks follows the number of pieces, so waste (a few open sequences a task) stays in proportion.
     """
-    shape = PIECES + ", ids binary" * with_ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(rows.mapInArrow(lambda it: trimmed(encode_pieces(it, tokenizer_path, capacity, end_id, with_ids, lean)), shape))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shape = f"doc_id {id_type(rows)}, {PIECES}" + ", ids binary" * with_ids
+    pieces = cut(arrow_map(rows, lambda it: encode_pieces(it, tokenizer_path, capacity, end_id, with_ids, lean), shape))
     tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
-    return pieces.repartition(tasks, "doc_id", "piece").mapInArrow(lambda it: trimmed(pack_batches(it, capacity)), f"{shape}, sequence_id long, offset long")
+    # dealt in turn, whatever the ids: repeated or null ones don't meet in one task
+    return arrow_map(pieces.repartition(tasks), lambda it: pack_batches(it, capacity), f"{shape}, sequence_id long, offset long")
