@@ -1,8 +1,9 @@
 """SentencePiece encoding with byte offsets into the source, and decoding.
 
 Normalisation looks up the longest prefix of the rest of the text in the model's compiled character map (a double-array
-trie) and records, for every normalised byte, the source byte it came from. Pieces tile the normalised text, so their
-running lengths, read through that record, are spans of the source.
+trie) and records, for every normalised byte, the source byte it came from. The pieces of every document must spell its
+normalised text byte by byte (else an error is raised), so their running lengths, read through that record, are spans of
+the source. Models without byte pieces, whose unknown piece spells nothing, are refused.
 
 Defined cases: a null text counts as empty and gives the end id alone, an empty span list and an empty decoded text.
 Characters without a piece become byte pieces; all of these but the last have empty spans at the character's start,
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, ragged, small_batches, space_words, trimmed
+from quillspark.llm.common import arrow_map, frame, id_type, ragged, small_batches, space_words, typed
 
 SPACE = "▁"
 #: Distinct words whose pieces a Python worker remembers; beyond it the memory starts afresh.
@@ -122,11 +123,14 @@ class Codec:
         model.ParseFromString(self.sp.serialized_model_proto())
         kinds = type(model.pieces[0]) if model.pieces else None
         self.normalizer = Normalizer(model.normalizer_spec)
-        self.bytes_of = np.array([0 if p.type == kinds.CONTROL else 1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces])
+        content = [b"" if p.type == kinds.CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode() for p in model.pieces]
+        self.content, self.bytes_of = content, np.array([len(c) for c in content])
+        if not model.trainer_spec.byte_fallback:
+            raise ValueError("a model with byte pieces is needed")
         plain = [p.piece for p in model.pieces if p.type == kinds.NORMAL]
         spec = model.normalizer_spec
         apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain) and not any(p.type == kinds.USER_DEFINED for p in model.pieces)
-        self.by_word = apart and not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and model.trainer_spec.byte_fallback
+        self.by_word = apart and not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[str, np.ndarray, str]]:
@@ -156,11 +160,13 @@ class Codec:
                 yield text, flat[ends[i] : ends[i + 1]], "".join([strings[c] for c in codes[a:b].tolist()])
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end byte of each piece in the source."""
-        _, origin = self.normalizer.normalize(text)
-        ends = np.cumsum(self.bytes_of[ids])
-        if len(ends) and ends[-1] != len(origin) - 1:
+        """Start and end byte of each piece in the source. The normalised text decides: pieces that don't spell it byte by
+        byte are an error."""
+        normal, origin = self.normalizer.normalize(text)
+        content = self.content
+        if b"".join([content[i] for i in ids.tolist()]) != normal:
             raise ValueError("pieces don't tile the normalised text")
+        ends = np.cumsum(self.bytes_of[ids])
         return origin[np.concatenate([[0], ends[:-1]])] if len(ends) else ends, origin[ends]
 
 
@@ -169,9 +175,10 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Iterator[pa.RecordBatch]:
-    codec, schema = Codec(path), DIGEST if digest else ENCODED
+    codec = Codec(path)
     end = codec.sp.eos_id()
     for b in small_batches(batches, chars=4_000_000):
+        schema = typed(DIGEST if digest else ENCODED, b)
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, (text, ids, decimals) in zip(b.column(0).to_pylist(), codec.encode(b.column(1)), strict=True):
             starts, ends = codec.spans(text, ids)
@@ -190,6 +197,6 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """A row a document. ids (end id last), starts and ends (source bytes of each id but the end id) and the decoded text;
     with digest, their counts and hashes, so that only these leave the Python worker."""
-    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long" if digest else "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: trimmed(encode_batches(it, model_path, digest)), shape)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long" if digest else "ids array<int>, starts array<long>, ends array<long>, decoded string"
+    return arrow_map(rows, lambda it: encode_batches(it, model_path, digest), f"doc_id {id_type(rows)}, {columns}")
