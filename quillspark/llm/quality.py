@@ -1,9 +1,14 @@
-"""Quality rules: plain counts, and Jensen-Shannon divergence of a document's histograms from language references.
+"""Quality rules: plain counts, and Jensen-Shannon distance of a document's histograms from language references.
 
 The references come from the whole corpus: for every language that at least REFERENCE_DOCS documents, REFERENCE_SHARE of all
 documents and REFERENCE_WORDS words are tagged with, the share of each character class and of each common
 word (those of at least COMMON_SHARE of the language's words). A document is compared with every language and judged by
-the nearest, so a wrong or missing language tag costs nothing. Divergences are in bits (0 to 1).
+the nearest, so a wrong or missing language tag costs nothing. Divergences are in bits (0 to 1), distances their roots.
+
+The limits come from the corpus too: of the documents nearest to a language and of about the same length (powers of two, as short
+histograms are noisy), the quartiles of either distance are taken over all documents. A document is rejected beyond the
+third quartile plus FENCE interquartile ranges, or twice the median if that is more. Where fewer than REFERENCE_DOCS documents
+are alike the limits are the roots of MAX_CHAR_DIVERGENCE and MAX_WORD_DIVERGENCE.
 
 Defined cases: a null or empty text has no words, fails the base rule and has no divergence (null). The character test
 needs MIN_CHARS characters in words and the word test MIN_WORDS words; shorter documents pass the test. Documents with a
@@ -18,19 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, sized_broadcast, small_batches, trimmed
+from quillspark.llm.common import arrow_map, cut, frame, id_type, sized_broadcast, small_batches, typed
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 COMMON_SHARE = 0.004
 MIN_CHARS, MIN_WORDS = 200, 50
-#: A document is rejected when its nearest language is farther than this.
+#: Limits where too few documents are alike to derive one.
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.20
+#: Interquartile ranges beyond the third quartile at which a document is rejected.
+FENCE = 4.0
 #: Support that a language needs to be a reference: documents, their share of all documents, words.
 REFERENCE_DOCS, REFERENCE_SHARE, REFERENCE_WORDS = 20, 0.0005, 2_000
 #: Distinct words that a counting task holds before it hands on its counts.
@@ -127,7 +133,7 @@ class References:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = COMMON_SHARE) -> References:
     """Counts over all documents; only words above the share, at most 1/share a language, reach the driver."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(lambda it: trimmed(count_batches(it)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    counts = cut(arrow_map(rows, count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.filter("not startswith(word, ' ')").groupBy("lang").agg(F.sum("n").alias("total"))
     n_langs = counts.filter(F.col("word") == DOCS).count()
     docs_of = counts.filter(F.col("word") == DOCS).select("lang", F.col("n").alias("docs"))
@@ -135,14 +141,13 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs = docs_of.join(totals, "lang").filter((F.col("lang") != "") & (F.col("docs") >= least) & (F.col("total") >= REFERENCE_WORDS))
     kept = counts.filter(F.col("word") != DOCS).join(sized_broadcast(langs.select("lang", "total"), n_langs), "lang").withColumn("share", F.col("n") / F.col("total"))
     found = kept.filter(F.col("word").startswith(" ") | (F.col("share") >= share)).select("lang", "word", "n", "share").collect()
-    counts.unpersist()
     return References(found)
 
 
 JUDGED = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_divergence", pa.float64()), ("word_divergence", pa.float64()), ("nearest", pa.string())]
+    [(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("char_divergence", pa.float64()), ("word_divergence", pa.float64()), ("nearest", pa.string())]
 )
-JUDGED_SQL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_divergence double, word_divergence double, nearest string"
+JUDGED_SQL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_divergence double, word_divergence double, nearest string"
 
 
 def judge(text: str, refs: References) -> tuple:
@@ -159,20 +164,35 @@ def judge(text: str, refs: References) -> tuple:
         index = refs.words
         hits = np.bincount([index.get(w, -1) + 1 for w in lowered], minlength=len(index) + 1)
         far_words = divergence(np.append(hits[1:], hits[0]) / len(words), refs.common)
-        k = int((far + far_words).argmin())
+        k = int((np.sqrt(far) + np.sqrt(far_words)).argmin())
         by_char, by_word, nearest = float(far[k]), float(far_words[k]), refs.langs[k]
-    kept = not failed and (word_chars < MIN_CHARS or (by_char or 0) <= MAX_CHAR_DIVERGENCE) and (len(words) < MIN_WORDS or (by_word or 0) <= MAX_WORD_DIVERGENCE)
-    return len(words), word_chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, kept, by_char, by_word, nearest
+    return len(words), word_chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, by_char, by_word, nearest
 
 
 def judge_batches(batches: Iterator[pa.RecordBatch], refs: References) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
         rows = [(key, *judge(text or "", refs)) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield frame(dict(zip(JUDGED.names, map(list, zip(*rows, strict=True)), strict=True)), JUDGED)
+        yield frame(dict(zip(JUDGED.names, map(list, zip(*rows, strict=True)), strict=True)), typed(JUDGED, b))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row a document: its counts, base_failed, kept, and the divergences from its nearest language."""
+    """A row a document: its counts, base_failed, kept, and the divergences and distances from its nearest language."""
     refs = references(docs, text_col, lang_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: trimmed(judge_batches(it, refs)), JUDGED_SQL)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    judged = arrow_map(rows, lambda it: judge_batches(it, refs), f"doc_id {id_type(rows)}, {JUDGED_SQL}")
+    distance = lambda kind: F.sqrt(F.greatest(F.col(f"{kind}_divergence"), F.lit(0.0))).alias(f"{kind}_distance")
+    alike = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("_length")
+    judged = cut(judged.select("*", distance("char"), distance("word"), alike))
+    # at most 1 / REFERENCE_SHARE languages, by about 30 lengths
+    limits = judged.filter("nearest is not null and not base_failed").groupBy("nearest", "_length").agg(F.count(F.lit(1)).alias("_docs"), fence("char").alias("_char"), fence("word").alias("_word"))
+    found = judged.join(F.broadcast(limits.filter(F.col("_docs") >= REFERENCE_DOCS)), ["nearest", "_length"], "left")
+    beyond = lambda kind, most: F.coalesce(F.col(f"{kind}_distance") > F.coalesce(f"_{kind}", F.lit(most**0.5)), F.lit(False))
+    far = (beyond("char", MAX_CHAR_DIVERGENCE) & (F.col("word_chars") >= MIN_CHARS)) | (beyond("word", MAX_WORD_DIVERGENCE) & (F.col("n_words") >= MIN_WORDS))
+    kept = (~F.col("base_failed") & ~far).alias("kept")
+    return found.select(*[n for n in JUDGED.names[:7]], kept, *JUDGED.names[7:], "char_distance", "word_distance")
+
+
+def fence(kind: str) -> Column:
+    """The distance beyond which a document is unlike its kind."""
+    q = F.percentile_approx(f"{kind}_distance", [0.25, 0.5, 0.75], 1000)
+    return F.greatest(q[2] + FENCE * (q[2] - q[0]), 2 * q[1])
