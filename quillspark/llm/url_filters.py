@@ -5,7 +5,9 @@ Consecutive entries of a key become half-open intervals; an as-of lookup finds,
 parent domains, the interval that holds the fetch day. The most specific key decides.
 
 Defined cases: a capture whose url is null or has no host, or whose fetch day is null, meets no entry and is kept.
-Of several entries of a key and day, 'block' wins. Entries with a null key or day are ignored. Repeated captures are
+Keys and hosts are compared in lower case and without final dots; an IPv4 address has no parent domains.
+Of several entries of a key and day, 'block' wins. Entries with a null key or day, or an action that is neither 'block' nor
+'allow' (in any case), are ignored. Repeated captures are
 each evaluated. Empty tables give an empty result or all kept. Extra columns are ignored, whatever their names.
 """
 
@@ -18,20 +20,27 @@ from quillspark.llm.common import cut, sized_broadcast
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without port, empty if there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+    """Lower-case host without port and final dots, empty if there is none."""
+    return F.coalesce(folded(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+
+
+def folded(name: Column) -> Column:
+    """A host name as the list and the captures are compared: lower case, no final dots."""
+    return F.lower(F.regexp_replace(name, r"\.+$", ""))
 
 
 def domain_keys(host: Column) -> Column:
-    """The host and every parent domain of at least two labels, with the number of labels as rank."""
+    """The host and every parent domain of at least two labels, with the number of labels as rank. An IPv4 address has no parents."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("key"), (n - i + 1).alias("labels")))
+    last = F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.lit(1)).otherwise(F.greatest(n - 1, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("key"), (n - i + 1).alias("labels")))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """list_key, action, since, until (exclusive; null: still active)."""
-    days = entries.filter("list_key is not null and since is not null").groupBy("list_key", "since").agg(F.max("action").alias("action"))
+    known = entries.select(folded(F.col("list_key")).alias("list_key"), F.lower("action").alias("action"), "since").filter("list_key <> '' and since is not null and action in ('allow', 'block')")
+    days = known.groupBy("list_key", "since").agg(F.max("action").alias("action"))
     later = Window.partitionBy("list_key").orderBy("since")
     return days.withColumn("until", F.lead("since").over(later))
 
