@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import frame, small_batches, trimmed
+from quillspark.llm.common import arrow_map, frame, id_type, small_batches, typed
 from quillspark.llm.license_texts import TEXTS
 
 #: License notices as they are published.
@@ -317,13 +317,13 @@ SCANNED = pa.schema([("doc_id", pa.int64()), ("licenses", pa.list_(ITEM))])
 
 def scan_batches(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
-        yield frame({"doc_id": b.column(0), "licenses": [scan(t or "", coverage) for t in b.column(1).to_pylist()]}, SCANNED)
+        yield frame({"doc_id": b.column(0), "licenses": [scan(t or "", coverage) for t in b.column(1).to_pylist()]}, typed(SCANNED, b))
 
 
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, licenses array<struct<license, start, end, matched, coverage>>."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: trimmed(scan_batches(it, coverage)), "doc_id long, licenses array<struct<license string, start int, end int, matched int, coverage double>>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return arrow_map(rows, lambda it: scan_batches(it, coverage), f"doc_id {id_type(rows)}, licenses array<struct<license string, start int, end int, matched int, coverage double>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

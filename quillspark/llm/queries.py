@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sp_codec, toxicity, url_filters
-from quillspark.llm.common import table
+from quillspark.llm.common import spread, table
 
 
 def vocabulary(name: str) -> str:
@@ -16,16 +16,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """These columns of all documents, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan_secrets(documents(spark, sf_dir)))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.train_and_identify(table(spark, sf_dir, "documents"))
+    return language_id.train_and_identify(documents(spark, sf_dir, "lang"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,19 +38,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return sp_codec.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), digest=True)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.train_and_score(documents(spark, sf_dir, "lang"), table(spark, sf_dir, "labels"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+    return license_scan.digest(license_scan.scan_licenses(documents(spark, sf_dir)))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(documents(spark, sf_dir, "lang"))
 
 
 #: The pages carry neither a fetch day nor a list, so both are derived by these rules: page i was fetched i * 37 mod 366
@@ -101,7 +106,7 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85)
 
 
 QUERIES = {
