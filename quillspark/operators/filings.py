@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import texts
+from quillspark.operators.relational import prefix_sums
 
 #: Headers of the sections that are kept, by label.
 ANNUAL_HEADERS = {"item_1": r"item\s+1\b(?!\d|a)", "item_1a": r"item\s+1a\b", "item_3": r"item\s+3\b", "item_7": r"item\s+7\b(?!a)", "item_7a": r"item\s+7a\b", "item_8": r"item\s+8\b"}
@@ -124,13 +125,15 @@ def hashed_vectors(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def retag(chunks: DataFrame, keys: list[str], anchors: DataFrame) -> DataFrame:
+def retag(chunks: DataFrame, keys: list[str], anchors: DataFrame, width: int = 1000) -> DataFrame:
     """Chunks of full_text with the section in whose stretch they begin. Places are running lengths within a filing.
-    anchors: keys, section, start (few rows a filing); a chunk takes the last anchor at or before it."""
-    before = Window.partitionBy(*keys).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumn("_at", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long"))
-    both = placed.withColumn("_k", F.lit(1)).unionByName(anchors.select(*keys, F.col("section").alias("_s"), F.col("start").cast("long").alias("_at"), F.lit(0).alias("_k")), allowMissingColumns=True)
-    held = F.last("_s", True).over(Window.partitionBy(*keys).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0))
-    tagged = both.withColumn("_h", held).filter("_k = 1")
+    anchors: keys, section, start (few rows a filing); a chunk takes the last anchor at or before it. keys and chunk_index
+    name a chunk. Only lengths are summed up, in ranges of chunk indices; texts stay out of windows and sorts."""
+    size = F.coalesce(F.length("text") + 2, F.lit(0)).cast("long")
+    sizes = chunks.select(*keys, "chunk_index", size.alias("_size"))
+    placed = prefix_sums(sizes, keys, [F.floor(F.col("chunk_index") / width)], [F.col("chunk_index")], {"_end": F.col("_size")})
+    marks = anchors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "section"))).alias("_marks"))
+    passed = F.filter("_marks", lambda m: m["start"] <= F.col("_end") - F.col("_size"))
+    held = placed.join(marks, keys, "left").select(*keys, "chunk_index", F.try_element_at(passed, F.lit(-1))["section"].alias("_h"))
     fresh = F.when((F.col("section_id") == "full_text") & F.col("_h").isNotNull(), F.col("_h")).otherwise(F.col("section_id"))
-    return tagged.withColumn("section_id", fresh).select(*chunks.columns)
+    return chunks.join(held, [*keys, "chunk_index"], "left").withColumn("section_id", fresh).select(*chunks.columns)

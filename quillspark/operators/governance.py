@@ -78,6 +78,22 @@ def correctness(expected: Column, answer: Column) -> Column:
     )
 
 
+def judge_score(said: Column, key: str = "score") -> Column:
+    """A judge's score: the key of a JSON answer, else the key anywhere in the text, else the first bare 0, 1 or fraction; null without any."""
+    pick = lambda pattern: F.regexp_extract(said, pattern, 1).try_cast("double")
+    return F.coalesce(F.get_json_object(said, f"$.{key}").try_cast("double"), pick(rf'"{key}"\s*:\s*([0-9.]+)'), pick(r"\b(0\.[0-9]+|1\.0|0|1)\b"))
+
+
+#: Words of an answer that declines, and the least length of one.
+GATE_ABSTAINS, GATE_LENGTH = ["I cannot answer", "I don't have enough"], 20
+
+
+def gate(answer: Column, n_sources: Column) -> Column:
+    """pass, or why an answer fails: too short, abstention, no sources."""
+    short = F.length(F.coalesce(answer, F.lit(""))) < GATE_LENGTH
+    return F.when(short, "too short").when(T.holds_any(answer, GATE_ABSTAINS), "abstention").when(F.coalesce(n_sources, F.lit(0)) == 0, "no sources").otherwise("pass")
+
+
 def xbrl_axis(concept: Column, status: Column) -> Column:
     """1 without a concept or when verified, 0 on a mismatch, else 0.5."""
     return F.when(F.coalesce(concept, F.lit("")).isin("", "N/A") | status.isin("PASS", "verified"), 1.0).when(status.isin("FAIL", "mismatch"), 0.0).otherwise(0.5)

@@ -108,9 +108,22 @@ def period_key(period: Column) -> Column:
     return F.when(iso, F.struct(F.lit(0).alias("o"), period.alias("k"))).when(F.length(quarter) > 4, F.struct(F.lit(0).alias("o"), quarter.alias("k"))).otherwise(F.struct(F.lit(1).alias("o"), period.alias("k")))
 
 
+#: Well-known companies that the corpus doesn't cover.
+UNCOVERED = [
+    "tesla", "apple", "amazon", "alphabet", "google", "microsoft", "meta", "facebook", "netflix", "oracle", "salesforce", "adobe", "walmart", "costco", "jpmorgan",
+    "goldman sachs", "berkshire", "coca cola", "pepsi", "disney", "boeing", "ford", "general motors", "exxon", "chevron", "pfizer", "moderna", "palantir", "uber",
+    "airbnb", "spotify", "openai", "anthropic", "stripe", "blue origin", "rivian", "lucid", "snowflake",
+]
+
+
+def uncovered(question: Column, names: list[str] = UNCOVERED) -> Column:
+    """The uncovered company that a question names as a whole word, null if none; the longest name first, then by alphabet."""
+    return T.first_match(F.lower(question), [(rf"\b{re.escape(n)}\b", n) for n in sorted(names, key=lambda n: (-len(n), n))])
+
+
 def shows_figure(answer: Column) -> Column:
     """Whether an answer states a figure and isn't a refusal."""
-    return answer.rlike(r"[0-9]") & ~T.holds_any(answer, REFUSALS)
+    return answer.rlike(r"[$0-9]") & ~T.holds_any(answer, REFUSALS)
 
 
 #: Concepts by group, and the words that lead to a group.

@@ -41,6 +41,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def facts_of(facts: DataFrame, company_col: str, company, concept_col: str, concepts: list[str] | None = None) -> DataFrame:
+    """The facts of one company whose concept holds any of the given parts; all of them without parts. Both filters reach the scan."""
+    return facts.filter(F.col(company_col) == company).filter(contains_any(F.col(concept_col), concepts or []))
+
+
+def prefixed(c: Column, prefix: str, but: str) -> Column:
+    """Starts with one prefix and not with a longer one."""
+    return c.startswith(prefix) & ~c.startswith(but)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key. Spark limits within every task before the shuffle, so hot keys arrive reduced."""
     return numbered(df, keys, order).filter(F.col("_rank") <= n).drop("_rank")
@@ -74,9 +84,28 @@ def keyed_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return top_per_key(both, keys, [F.col(order).desc_nulls_last(), F.col("_new").desc()]).drop("_new")
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new whose key is not in old, one a key."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Rows of new whose key is not in old, one a key: the first in the given order, by default that of all other columns."""
+    order = order or [F.col(c) for c in new.columns if c not in keys] or [F.lit(1)]
+    return top_per_key(new, keys, order).join(old.select(*keys), keys, "left_anti")
+
+
+def prefix_sums(df: DataFrame, keys: list[str], coarse: list[Column], fine: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums within each key in the order coarse, then fine, the row itself included; without keys, over the whole table.
+
+    In two steps, so that no key is ordered in one task: rows are summed up within (keys, coarse), and the totals of these
+    ranges, one small row each, give what lies before. Choose coarse so that a range holds a bounded number of rows, such
+    as a row number divided by a constant.
+    """
+    ranges = [f"_c{i}" for i in range(len(coarse))]
+    ranked = df.withColumns({n: c for n, c in zip(ranges, coarse, strict=True)})
+    inside = Window.partitionBy(*keys, *ranges).orderBy(*fine).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranked.groupBy(*keys, *ranges).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    offsets = totals.select(*keys, *ranges, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    local = ranked.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()})
+    joined = local.join(offsets.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, *ranges]}), [local[k].eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, *ranges]])
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def replace_partitions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -56,12 +56,23 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric
     return df.filter(F.col(vector).isNotNull() & (F.size(vector) == len(query))).select(key, distance.alias("distance")).orderBy("distance", key).limit(k)
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int) -> DataFrame:
-    """query_key, key, distance: the k nearest of every query. queries is the small side: it is broadcast in full, so keep it in thousands."""
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 2000
+
+
+def knn_batch(df: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_key, key, distance: the k nearest of every query. Queries go in blocks of about so many, each broadcast to a
+    pass over the rows' vectors; only every task's k best of a query are shuffled."""
     q = queries.select(F.col(query_key), F.col(vector).alias("_q"))
-    pairs = df.crossJoin(F.broadcast(q)).select(query_key, key, V.l2(F.col(vector), F.col("_q")).alias("distance"))
+    blocks = max(1, -(-q.count() // block))
     best = Window.partitionBy(query_key).orderBy("distance", key)
-    return pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
+    found = None
+    for i in range(blocks):
+        some = q.filter(F.pmod(F.hash(query_key), F.lit(blocks)) == i) if blocks > 1 else q
+        pairs = df.select(key, vector).crossJoin(F.broadcast(some)).select(query_key, key, V.l2(F.col(vector), F.col("_q")).alias("distance"))
+        nearest = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
+        found = nearest if found is None else found.unionByName(nearest)
+    return found
 
 
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:

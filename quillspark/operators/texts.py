@@ -183,6 +183,12 @@ def longest_section(text: Column, header: str, following: str, least: int = 200)
     return F.when(F.length(best) > least, best)
 
 
+def longest_narrative(chunks: DataFrame, text: str, key: str, most: int, kind: str = "content_type") -> DataFrame:
+    """The longest chunks that are no tables, of equal ones by key; the cap bounds what is read closely of a filing."""
+    told = chunks.filter((F.coalesce(kind, F.lit("narrative")) != "table") & F.col(text).isNotNull())
+    return told.orderBy(F.desc(F.length(text)), key).limit(most)
+
+
 def normal_section(label: Column) -> Column:
     """'Item 7' and 'item_7' alike."""
     return F.lower(F.replace(label, F.lit(" "), F.lit("_")))

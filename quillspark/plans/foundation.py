@@ -240,8 +240,10 @@ def top3_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, source, round(avg(CAST(quality AS DOUBLE)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING), 6) AS rate FROM labels JOIN documents USING (doc_id)")
 def running_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative agreement in falling order of confidence."""
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", F.round(F.avg(F.col("quality").cast("double")).over(w), 6).alias("rate"))
+    v = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", "n_chars", F.col("quality").cast("long").alias("quality"))
+    sums = {"agreed": F.col("quality"), "n": F.col("quality").isNotNull().cast("long")}
+    running = R.prefix_sums(v, ["source"], [-F.col("n_chars"), F.floor(F.col("doc_id") / 10_000)], [F.col("doc_id")], sums)
+    return running.select("doc_id", "source", F.round(F.try_divide("agreed", "n"), 6).alias("rate"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM events ORDER BY 1 DESC LIMIT 6) GROUP BY ALL")
@@ -278,14 +280,12 @@ p AS (SELECT source, CAST(k * 5000 AS BIGINT) AS pos FROM (SELECT DISTINCT sourc
 SELECT p.source, pos, doc_id FROM p JOIN b ON p.source = b.source AND pos >= start AND pos < start + n_chars"""
 )
 def range_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions inside intervals; intervals of a key tile it, so an as-of lookup in one sorted union does without a range join."""
-    d = table(spark, sf_dir, "documents")
-    by = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = d.select("source", "doc_id", F.coalesce(F.sum("n_chars").over(by), F.lit(0)).cast("long").alias("at"), "n_chars")
-    points = d.select("source").distinct().select("source", F.explode(F.expr("sequence(0L, 25000L, 5000L)")).alias("at"))
-    both = bounds.select("source", "at", F.lit(0).alias("kind"), F.struct("doc_id", (F.col("at") + F.col("n_chars")).alias("end")).alias("hit")).unionByName(points.select("source", "at", F.lit(1).alias("kind")), allowMissingColumns=True)
-    held = F.last("hit", True).over(Window.partitionBy("source").orderBy("at", "kind", F.col("hit.end")).rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("h", held).filter("kind = 1 and at < h.end").select("source", F.col("at").alias("pos"), F.col("h.doc_id").alias("doc_id"))
+    """Positions inside intervals; an interval picks its positions from its key's short list of them, so there is no range join."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    ends = R.prefix_sums(d, ["source"], [F.floor(F.col("doc_id") / 1000)], [F.col("doc_id")], {"end": F.col("n_chars")})
+    points = d.select("source").distinct().select("source", F.expr("sequence(0L, 25000L, 5000L)").alias("points"))
+    inside = F.filter("points", lambda p: (p >= F.col("end") - F.col("n_chars")) & (p < F.col("end")))
+    return ends.join(points, "source").select("source", F.explode(inside).alias("pos"), "doc_id")
 
 
 @query("SELECT o_orderpriority, max(o_orderdate) AS latest FROM orders GROUP BY o_orderpriority ORDER BY latest DESC, o_orderpriority LIMIT 3")

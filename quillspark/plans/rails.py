@@ -109,18 +109,45 @@ def persona_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.missed_needs(pick(PERSONA_ROLES, 4), pick(PERSONA_TEXTS, 5), status), ",").alias("missing"))
 
 
-@query("WITH x AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id % 10 ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM x")
+@query("WITH x AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM x")
 def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a key in the trailing hour."""
-    e = table(spark, sf_dir, "events").withColumn("key", F.col("user_id") % 10)
-    return R.rate_limit_bound(e, "key", "ts", 3600, 60).select("event_id", "in_window")
+    return R.rate_limit_bound(table(spark, sf_dir, "events"), "user_id", "ts", 3600, 60).select("event_id", "in_window")
 
 
 @query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, false), (6, false)) t(id, allowed)")
 def sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of some statements may run."""
     texts = ["SELECT 1", "```sql\nWITH a AS (SELECT 1) SELECT * FROM a -- fine\n```", "DROP TABLE x", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('a', 'b')", ""]
-    return spark.createDataFrame([(i, sqlguard.refusal(t) is None) for i, t in enumerate(texts)], "id int, allowed boolean")
+    statements = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    return statements.select("id", sqlguard.refusals(F.col("t")).isNull().alias("allowed"))
+
+
+@query("""SELECT conv_id, turn, turn % 8 IN (0, 3, 5) AS allowed FROM conversations""")
+def statement_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements made of every message: in strings and comments nothing is blocked, paths, changes and second statements are."""
+    said = F.concat(F.lit("'"), F.regexp_replace("text", r"['\\\\]", ""), F.lit("'"))
+    k, name = F.col("turn") % 8, F.col("conv_id").cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("SELECT "), said, F.lit(" || '--; drop table x' AS a FROM t")))
+        .when(k == 1, F.concat(F.lit("DROP TABLE t"), name))
+        .when(k == 2, F.concat(F.lit("SELECT "), said, F.lit("; SELECT "), name))
+        .when(k == 3, F.concat(F.lit("```sql\nWITH a AS (SELECT "), name, F.lit(" AS n) SELECT n /* update */ FROM a -- fine\n```")))
+        .when(k == 4, F.concat(F.lit("SELECT * FROM parquet.`dir_"), name, F.lit("`")))
+        .when(k == 5, F.concat(F.lit("select count(*) from t where note = "), said))
+        .when(k == 6, F.concat(F.lit("SELECT "), said, F.lit(" || reflect('a', 'b')")))
+        .otherwise(said)
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sqlguard.refusals(text).isNull().alias("allowed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 4 = 0 AS allowed FROM lineitem")
+def math_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions made of every line item: arithmetic on numbers may run, names, calls and strings may not."""
+    n = F.col("l_quantity").cast("string")
+    k = F.col("l_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("(1 + "), n, F.lit(") * -2 ** 2 / 3"))).when(k == 1, F.concat(F.lit("abs("), n, F.lit(")"))).when(k == 2, F.concat(F.lit("'"), n, F.lit("' * 2"))).otherwise(F.concat(F.lit("x + "), n))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sqlguard.refusals(text, sqlguard.math_refusal).isNull().alias("allowed"))
 
 
 @query("SELECT count(*) AS n FROM (SELECT * FROM nation WHERE n_regionkey = 1 LIMIT 100)")

@@ -16,8 +16,11 @@ from quillspark.streaming import events as S
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+    """A new folder in the shared checkpoint folder; only a local master may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
     return f"{root}/{uuid.uuid4().hex}"
 
 
@@ -102,21 +105,23 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section 2.17: daily counts by a stream over the events file, the last days flushed at the end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"daily_{uuid.uuid4().hex}"
-    counted = S.daily_counts(stream)
-    q = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("day", "event_type", "n", F.round("total", 2).alias("total"))
+    return written(spark, S.daily_counts(stream), "complete").select("day", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def written(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream over all that is there gives, as Parquet in the scratch folder; the driver holds none of it."""
+    folder = scratch(spark)
+    S.run_once(stream, f"{folder}/rows", f"{folder}/checkpoint", mode)
+    if not tables.exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 @query()
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact limiter as a stateful stream over the events."""
+    """The exact limiter as a stateful stream over the events, a user at a time."""
     table(spark, sf_dir, "events")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    requests = stream.select((F.col("user_id") % 10).alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("at"))
-    name = f"limited_{uuid.uuid4().hex}"
-    q = S.rate_limited(requests, 3600, 3, forget=False).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    requests = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return written(spark, S.rate_limited(requests, 3600, 3, forget=False))

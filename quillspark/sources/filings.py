@@ -87,10 +87,17 @@ def graph_edges(spark: SparkSession, path: str) -> DataFrame:
     return edges.filter((F.coalesce(F.trim("subject"), F.lit("")) != "") & (F.coalesce(F.trim("object"), F.lit("")) != ""))
 
 
+def typed_fields(tagged: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, name, value, provenance, concept: tagged facts (keys, concept, value) and rows of statement tables (keys, label, value)."""
+    facts = tagged.select(*keys, F.col("concept").alias("name"), "value", F.lit("XBRL").alias("provenance"), F.nullif("concept", F.lit("")).alias("concept"))
+    lines = rows.select(*keys, F.col("label").alias("name"), "value", F.lit("STRUCTURED_TABLE").alias("provenance"), F.lit(None).cast("string").alias("concept"))
+    return facts.unionByName(lines)
+
+
 def golden_set(spark: SparkSession, path: str, id: int | None = None, mode: str | None = None) -> DataFrame:
     from quillspark.operators.relational import optional_filter
 
-    return optional_filter(spark.read.schema(SCHEMAS["golden"]).option("header", True).option("multiLine", True).csv(path), id=id, failure_mode=mode)
+    return optional_filter(spark.read.schema(SCHEMAS["golden"]).option("header", True).option("multiLine", True).option("escape", '"').csv(path), id=id, failure_mode=mode)
 
 
 def views(spark: SparkSession, folder: str, names: list[str]) -> None:

@@ -15,6 +15,30 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+#: Most characters of an event's name and view.
+EVENT_NAME, EVENT_VIEW = 200, 100
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    append(events.withColumns({"event": F.substring("event", 1, EVENT_NAME), "view": F.substring("view", 1, EVENT_VIEW)}), path)
+
+
+def lists_as_json(df: DataFrame) -> DataFrame:
+    """Array columns as JSON text."""
+    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema if f.dataType.typeName() == "array"})
+
+
+def append_run(rows: DataFrame, run: DataFrame, folder: str, run_id: str) -> None:
+    """Rows first, the run's own row last: what finished_rows shows is whole, whenever the writer stops."""
+    append(rows.withColumn("run_id", F.lit(run_id)), f"{folder}/rows")
+    append(run, f"{folder}/runs")
+
+
+def finished_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of runs whose own row is there."""
+    return spark.read.parquet(f"{folder}/rows").join(spark.read.parquet(f"{folder}/runs").select("run_id").distinct(), "run_id", "left_semi")
+
+
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Write the partitions that df brings, whole; others stay as they are."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

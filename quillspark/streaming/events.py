@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,24 +24,29 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
 
 def limiter(seconds: int, most: int, forget: bool):
     """State function: requests in order of time; a request passes if fewer than most passed in the seconds before it.
-    Refused requests are not remembered. The state, the passed times of the window, is bounded by most."""
+    Refused requests are not remembered. The state, the passed times of the window, is bounded by most. Of a key's requests
+    in one micro-batch (whose size the source bounds, see maxFilesPerTrigger) only time and id are held, 16 bytes each."""
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        passed = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        allowed = []
-        for at in rows["at"]:
-            passed = [t for t in passed if at - t < seconds]
-            allowed.append(len(passed) < most)
-            if allowed[-1]:
-                passed.append(float(at))
-        state.update((passed,))
+        passed = deque(sorted(state.get[0]) if state.exists else [])
+        held = [(b["at"].to_numpy(), b["id"].to_numpy()) for b in batches]
+        at, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, at))
+        for some in np.array_split(order, max(1, len(order) // 10_000)):
+            allowed = []
+            for now in at[some].tolist():
+                while passed and now - passed[0] >= seconds:
+                    passed.popleft()
+                allowed.append(len(passed) < most)
+                if allowed[-1]:
+                    passed.append(now)
+            yield pd.DataFrame({"key": key[0], "id": ids[some], "allowed": allowed})
+        state.update((list(passed),))
         if forget:
             state.setTimeoutDuration(2_000 * seconds)
-        yield pd.DataFrame({"key": key[0], "id": rows["id"], "allowed": allowed})
 
     return judge
 
@@ -52,5 +59,11 @@ def rate_limited(requests: DataFrame, seconds: int = 60, most: int = 60, forget:
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and end."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Process what is there and end. The file sink only appends: where results are kept whole (complete), every
+    micro-batch replaces the files of the last one."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
