@@ -174,7 +174,7 @@ def event_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "event_type", "user_id")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, round(max(value) FILTER (WHERE event_type = 'click'), 2) AS click, round(max(value) FILTER (WHERE event_type = 'error'), 2) AS error, round(max(value) FILTER (WHERE event_type = 'view'), 2) AS view FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS day, round(max(value) FILTER (WHERE event_type = 'click'), 2) AS click, round(max(value) FILTER (WHERE event_type = 'error'), 2) AS error, round(max(value) FILTER (WHERE event_type = 'view'), 2) AS view, round(max(value) FILTER (WHERE event_type = 'purchase'), 2) AS purchase, round(max(value) FILTER (WHERE event_type = 'signup'), 2) AS signup FROM events GROUP BY 1")
 def pivot_period_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Period by label; a column for every event type there is."""
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).pivot("event_type").agg(F.round(F.max("value"), 2))

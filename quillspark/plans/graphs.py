@@ -9,10 +9,10 @@ from quillspark.operators import graph as G
 from quillspark.plans.registry import query, table
 
 #: Customer-to-nation, nation-to-region and supplier-to-nation edges with made-up types and confidences.
-#: The SQL deals them to 100 and 10 chunks, edges() to as many or more, in proportion to the tables; on sf0.001 that is the same.
+#: The number of chunks follows the tables, so that the limit of a chunk stays one.
 EDGE_SQL = """edges AS (
-SELECT c_mktsegment AS ticker, 'c' || (c_custkey % 100) AS chunk_id, c_name AS subject, ' has segment' AS predicate, 'NATION_' || c_nationkey AS object, (c_custkey % 13) / 10.0 AS confidence, CASE WHEN c_custkey % 7 = 0 THEN 'Thing' ELSE 'Company' END AS subject_type, CASE WHEN c_custkey % 5 = 0 THEN 'Metric' ELSE 'Segment' END AS object_type FROM customer
-UNION ALL SELECT 'SUPPLY', 's' || (s_suppkey % 10), s_name, 'supplied by', 'NATION_' || s_nationkey, (s_suppkey % 11) / 10.0, 'Company', 'Metric' FROM supplier
+SELECT c_mktsegment AS ticker, 'c' || (c_custkey % greatest(100, (SELECT count(*) FROM customer) * 2 // 3)) AS chunk_id, c_name AS subject, ' has segment' AS predicate, 'NATION_' || c_nationkey AS object, (c_custkey % 13) / 10.0 AS confidence, CASE WHEN c_custkey % 7 = 0 THEN 'Thing' ELSE 'Company' END AS subject_type, CASE WHEN c_custkey % 5 = 0 THEN 'Metric' ELSE 'Segment' END AS object_type FROM customer
+UNION ALL SELECT 'SUPPLY', 's' || (s_suppkey % greatest(10, (SELECT count(*) FROM supplier))), s_name, 'supplied by', 'NATION_' || s_nationkey, (s_suppkey % 11) / 10.0, 'Company', 'Metric' FROM supplier
 UNION ALL SELECT 'WORLD', 'n', n_name, '', r_name, 1.0, 'Metric', 'Regulator' FROM nation JOIN region ON n_regionkey = r_regionkey),
 valid AS (SELECT ticker, chunk_id, subject, CASE trim(predicate) WHEN 'has segment' THEN 'HAS_SEGMENT' WHEN 'supplied by' THEN 'SUPPLIED_BY' ELSE 'RELATED_TO' END AS predicate, object, greatest(0.0, least(1.0, confidence)) AS confidence, subject_type, object_type FROM edges WHERE subject_type <> 'Thing' AND least(1.0, confidence) >= 0.5),
 ids AS (SELECT *, sha1(concat_ws(chr(31), ticker, chunk_id, lower(subject), lower(predicate), lower(object))) AS id FROM valid),
@@ -92,8 +92,8 @@ def triple_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH e AS (SELECT DISTINCT 'P' || p_partkey AS ticker, 'P' || (p_partkey * 7 % 200) AS object FROM part WHERE p_partkey < 200 AND p_partkey % 4 = 0),
-s AS (SELECT 'P' || p_partkey AS ticker, p_brand AS sector FROM part WHERE p_partkey < 200),
+WITH e AS (SELECT DISTINCT 'P' || p_partkey AS ticker, 'P' || (p_partkey * 7 % (SELECT count(*) FROM part)) AS object FROM part WHERE p_partkey % 4 = 0),
+s AS (SELECT 'P' || p_partkey AS ticker, p_brand AS sector FROM part),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sector ORDER BY ticker) <= 5),
 u AS (SELECT ticker, object AS peer, 0 AS way FROM e UNION ALL SELECT object, ticker, 1 FROM e UNION ALL SELECT s.ticker, f.ticker, 2 FROM s JOIN f USING (sector)),
 g AS (SELECT ticker, peer, min(way) AS way FROM u WHERE ticker <> peer GROUP BY ALL)

@@ -198,7 +198,7 @@ def asked_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", M.asked_metric(F.concat(lead, F.col("text"))).alias("metric"))
 
 
-@query("SELECT l_suppkey, l_orderkey, l_linenumber, round(l_extendedprice * CASE l_linenumber % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 WHEN 2 THEN 1000000 ELSE 1 END, 2) AS usd FROM lineitem WHERE l_orderkey % 100 = 0")
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, round(l_extendedprice * CASE l_linenumber % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 WHEN 2 THEN 1000000 ELSE 1 END, 2) AS usd FROM lineitem")
 def normalize_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units to dollars."""
     from quillspark.functions.numbers import to_usd

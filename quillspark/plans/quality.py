@@ -12,7 +12,7 @@ FIELDS_SQL = """
 o AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 17 = 0 THEN 'x1' ELSE CAST(o_custkey AS VARCHAR) END AS cik,
  lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-24-' || CASE WHEN o_orderkey % 19 = 0 THEN '12' ELSE lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') END AS accession,
  CASE o_orderkey % 5 WHEN 0 THEN '8-K' WHEN 1 THEN '10-K' WHEN 2 THEN '10-Q' WHEN 3 THEN '10-K/A' ELSE '10-K' END AS form_type,
- CASE WHEN o_orderkey % 23 = 0 THEN '2024-13-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period, o_totalprice AS p FROM orders WHERE o_orderkey < 5000),
+ CASE WHEN o_orderkey % 23 = 0 THEN '2024-13-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period, o_totalprice AS p FROM orders),
 n AS (SELECT * FROM (VALUES (1, 'Revenues', 1.0), (2, 'NetIncomeLoss', 0.02), (3, 'Assets', 3.0), (4, 'Liabilities', 2.0), (5, 'StockholdersEquity', 1.0), (6, 'OperatingIncomeLoss', 0.3), (7, 'CostOfRevenue', 0.6), (8, 'GrossProfit', 0.4), (9, 'Item 4.02', 0.0)) t(k, name, factor)),
 fields AS (SELECT record_id, cik, accession, form_type, period, name, CASE WHEN k = 9 OR (k = 2 AND record_id % 7 = 0) THEN NULL ELSE p * factor * CASE WHEN k = 3 AND record_id % 11 = 0 THEN 1.2 ELSE 1 END END AS value,
  CASE WHEN k = 9 THEN CASE WHEN record_id % 3 = 0 THEN 'Substantial doubt' ELSE 'Auditor left' END END AS text_value,

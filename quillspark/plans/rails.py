@@ -83,7 +83,7 @@ def risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("conv_id", "turn", R.consensus_reason(F.col("t"), route).alias("reason"))
 
 
-@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Revenue was $' || l_orderkey || ', margin ' || l_linenumber || '%, tax ' || l_suppkey AS a, 'It was ' || l_orderkey || ' and ' || l_partkey AS b FROM lineitem WHERE l_orderkey % 50 = 0), f AS (SELECT *, list_distinct(list_transform(regexp_extract_all(a, '\\$?[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: regexp_replace(x, '[$,%]', '', 'g'))) AS p, list_distinct(list_transform(regexp_extract_all(b, '\\$?[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: regexp_replace(x, '[$,%]', '', 'g'))) AS s FROM x) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(len(list_filter(p, lambda x: NOT list_contains(s, x))) / len(p), 6) AS divergence FROM f")
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Revenue was $' || l_orderkey || ', margin ' || l_linenumber || '%, tax ' || l_suppkey AS a, 'It was ' || l_orderkey || ' and ' || l_partkey AS b FROM lineitem), f AS (SELECT *, list_distinct(list_transform(regexp_extract_all(a, '\\$?[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: regexp_replace(x, '[$,%]', '', 'g'))) AS p, list_distinct(list_transform(regexp_extract_all(b, '\\$?[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: regexp_replace(x, '[$,%]', '', 'g'))) AS s FROM x) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(len(list_filter(p, lambda x: NOT list_contains(s, x))) / len(p), 6) AS divergence FROM f")
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of figures that a second answer lacks."""
     li = table(spark, sf_dir, "lineitem")
