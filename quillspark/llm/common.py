@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import ship
+from quillspark.session import ship, spread  # noqa: F401
 
 #: A side of at most this many rows of ids may be broadcast (8 to 40 bytes a row).
 BROADCAST_ROWS = 1_000_000
@@ -28,13 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows of a stored table over all cores; a table that comes in as many splits as there are cores is left as it is.
-    Only for scans: for other plans, asking for the number of partitions would run them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder (spark.checkpoint.dir). Only a local master, as in tests, may do without one and gets a folder of its own."""
     sc = spark.sparkContext
