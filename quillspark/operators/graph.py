@@ -41,8 +41,7 @@ def metric_links(triples: DataFrame, concepts: DataFrame) -> DataFrame:
     side = lambda node, kind: triples.filter(F.col(kind) == "Metric").select(F.col(node).alias("metric"))
     metrics = side("subject", "subject_type").union(side("object", "object_type")).distinct().withColumn("_m", R.stem(F.col("metric")))
     tags = concepts.select("concept").distinct().withColumn("_c", R.stem(F.col("concept")))
-    long = (F.length("_m") >= 4) & (F.length("_c") >= 4)
-    return metrics.join(tags, long & (F.col("_m").contains(F.col("_c")) | F.col("_c").contains(F.col("_m")))).groupBy("metric").agg(F.min("concept").alias("concept"))
+    return R.contained_links(metrics, tags, "_m", "_c").groupBy("metric").agg(F.min("concept").alias("concept"))
 
 
 def entity_search(triples: DataFrame, names: list[str], limit: int = 500) -> DataFrame:

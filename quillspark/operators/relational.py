@@ -91,7 +91,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
 
 
 def prefix_sums(df: DataFrame, keys: list[str], coarse: list[Column], fine: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Running sums within each key in the order coarse, then fine, the row itself included; without keys, over the whole table.
+    """Running sums (0 where all is null so far) within each key in the order coarse, then fine, the row itself included; without keys, over the whole table.
 
     In two steps, so that no key is ordered in one task: rows are summed up within (keys, coarse), and the totals of these
     ranges, one small row each, give what lies before. Choose coarse so that a range holds a bounded number of rows, such
@@ -105,7 +105,7 @@ def prefix_sums(df: DataFrame, keys: list[str], coarse: list[Column], fine: list
     offsets = totals.select(*keys, *ranges, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     local = ranked.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()})
     joined = local.join(offsets.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, *ranges]}), [local[k].eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, *ranges]])
-    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums])
+    return joined.select(*df.columns, *[(F.coalesce(n, F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def replace_partitions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,6 +118,23 @@ def stem(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
+def grams(c: Column, n: int = 4) -> Column:
+    """Distinct parts of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def contained_links(left: DataFrame, right: DataFrame, a: str, b: str, least: int = 4) -> DataFrame:
+    """Pairs of rows of which one's text holds the other's; texts of fewer than least characters link nothing.
+    What holds a text holds its last characters too, so candidates meet in plain equi-joins on these."""
+    left, right = left.filter(F.length(a) >= least), right.filter(F.length(b) >= least)
+    last = lambda c: F.substring(c, -least, least)
+    parts = lambda df, c: df.withColumn("_g", F.explode(grams(F.col(c), least)))
+    holds = parts(left, a).join(right.withColumn("_g", last(b)), "_g").filter(F.col(a).contains(F.col(b)))
+    lies = parts(right, b).join(left.withColumn("_g", last(a)), "_g").filter(F.col(b).contains(F.col(a)) & (F.length(a) < F.length(b)))
+    columns = [*left.columns, *right.columns]
+    return holds.select(*columns).unionByName(lies.select(*columns))
+
+
 def resolve_columns(df: DataFrame, candidates: dict[str, list[str]]) -> dict[str, str]:
     """Logical name to the first existing column among its candidates, ignoring case."""
     present = {c.lower(): c for c in reversed(df.columns)}

@@ -130,11 +130,11 @@ c AS (SELECT DISTINCT p_name AS concept, regexp_replace(lower(p_name), '[^a-z0-9
 SELECT metric, min(concept) AS concept FROM m JOIN c ON length(ms) >= 4 AND length(cs) >= 4 AND (contains(ms, cs) OR contains(cs, ms)) GROUP BY metric"""
 )
 def theta_substring_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels linked by mutual containment of stems; both sides are distinct vocabularies, of which the smaller is broadcast."""
+    """Labels linked by mutual containment of stems; both sides are distinct vocabularies that meet on shared letters."""
     part = table(spark, sf_dir, "part")
-    metric = part.select(F.col("p_type").alias("metric")).distinct().withColumn("ms", R.stem(F.col("metric"))).filter("length(ms) >= 4")
-    concepts = part.select(F.col("p_name").alias("concept")).union(part.select(F.concat_ws(" ", "p_type", "p_brand"))).distinct().withColumn("cs", R.stem(F.col("concept"))).filter("length(cs) >= 4")
-    return concepts.join(metric, F.col("ms").contains(F.col("cs")) | F.col("cs").contains(F.col("ms"))).groupBy("metric").agg(F.min("concept").alias("concept"))
+    metric = part.select(F.col("p_type").alias("metric")).distinct().withColumn("ms", R.stem(F.col("metric")))
+    concepts = part.select(F.col("p_name").alias("concept")).union(part.select(F.concat_ws(" ", "p_type", "p_brand"))).distinct().withColumn("cs", R.stem(F.col("concept")))
+    return R.contained_links(concepts, metric, "cs", "ms").groupBy("metric").agg(F.min("concept").alias("concept"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS latest_order FROM orders GROUP BY o_custkey")

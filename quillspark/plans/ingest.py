@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import filings, texts
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, texts_table
 
 
 @query()
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to text, sections, chunks and vectors in one plan."""
-    pages = table(spark, sf_dir, "pages").select("page_id", texts.html_to_text(F.col("html")).alias("text"))
+    pages = texts_table(spark, sf_dir, "pages", "page_id", "html").select("page_id", texts.html_to_text(F.col("html")).alias("text"))
     chunks = filings.with_vectors(filings.chunk_filings(pages, ["page_id"]), filings.hashed_vectors(64), "search_document: ")
     return chunks.select("page_id", "section_id", "section_type", "content_type", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"), F.size("embedding").alias("dims"))
 

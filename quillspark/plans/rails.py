@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import rails as R
 from quillspark.operators import sqlguard
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, texts_table
 
 #: Phrases put before the test messages, by row number modulo their count, so that every rule is met.
 LEADS = [
@@ -59,7 +59,7 @@ def masked_sql() -> str:
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data masked in order."""
     masked = R.masked(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(masked).alias("masked_md5"), (masked != F.col("text")).alias("found"))
+    return texts_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(masked).alias("masked_md5"), (masked != F.col("text")).alias("found"))
 
 
 ENTITY_SQL = "list_distinct(list_concat(regexp_extract_all({0}, '\\$?[0-9][0-9,.]+%?'), regexp_extract_all({0}, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')))"
@@ -109,6 +109,18 @@ def persona_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.missed_needs(pick(PERSONA_ROLES, 4), pick(PERSONA_TEXTS, 5), status), ",").alias("missing"))
 
 
+@query(
+    "WITH x AS (SELECT conv_id, turn, text AS t, CASE turn % 4 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(PERSONA_ROLES)) + " END AS role, turn % 3 = 0 AS verified FROM conversations), "
+    f"p AS (SELECT *, {holds_sql(R.CITES)} OR regexp_matches(lower(t), '\\b(item|part)\\s+[0-9ivx]+') AS cites, {holds_sql(R.VERIFIES)} AS says, {holds_sql(R.CAVEATS)} AS hedges, regexp_matches(t, '(?i){R.FIGURE}') AS figure FROM x) "
+    "SELECT conv_id, turn, concat_ws(',', CASE WHEN role = 'compliance_officer' AND NOT cites THEN 'cite source filing / section' END, CASE WHEN role = 'compliance_officer' AND NOT (says OR verified) THEN 'surface verification status' END, CASE WHEN role = 'equity_research_analyst' AND NOT cites THEN 'cite the filing section' END, CASE WHEN role = 'credit_analyst' AND figure AND NOT (cites OR says OR verified) THEN 'source / verification for figures' END, CASE WHEN role = 'credit_analyst' AND figure AND NOT (verified OR hedges) THEN 'caveat any unverified number' END) AS missing FROM p"
+)
+def persona_fit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every message of the conversations lacks for a role."""
+    role = F.element_at(F.array(*[F.lit(r) for r in PERSONA_ROLES]), (F.col("turn") % 4 + 1).cast("int"))
+    status = F.when(F.col("turn") % 3 == 0, "Pass").otherwise("FAIL")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(R.missed_needs(role, F.col("text"), status), ",").alias("missing"))
+
+
 @query("WITH x AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM x")
 def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a key in the trailing hour."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.session import ship
+from quillspark.session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,8 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """These columns, over all cores: for plans that work long on every text, which a small file would leave to one core."""
+    return spread(table(spark, sf_dir, name).select(*columns))

@@ -106,6 +106,30 @@ def eval_run_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.finished_rows(spark, folder).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+FILES_SQL = """f AS (SELECT o_custkey AS cik, CASE o_orderkey % 4 WHEN 0 THEN 'dei' ELSE 'us-gaap' END AS taxonomy, CASE o_orderkey % 3 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'Assets' ELSE 'EarningsPerShareBasic' END AS concept,
+ CASE o_orderkey % 7 WHEN 0 THEN 'EUR' WHEN 1 THEN 'shares' WHEN 2 THEN 'USD/shares' ELSE 'USD' END AS unit, o_totalprice AS value, strftime(o_orderdate, '%Y-%m-%d') AS period_end, o_orderkey AS accession, CASE o_orderkey % 5 WHEN 0 THEN '10-Q' WHEN 1 THEN '20-F' ELSE '10-K' END AS form FROM orders WHERE o_custkey IS NOT NULL),
+k AS (SELECT *, CASE unit WHEN 'USD' THEN 0 WHEN 'USD/shares' THEN 1 WHEN 'shares' THEN 2 END AS o FROM f WHERE form IN ('10-K', '20-F')),
+b AS (SELECT * FROM k WHERE o IS NOT NULL QUALIFY o = min(o) OVER (PARTITION BY cik, concept)),
+h AS (SELECT *, bool_or(form = '10-K') OVER (PARTITION BY cik, concept) AS home FROM b),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY cik, concept ORDER BY period_end DESC) AS r FROM h WHERE form = '10-K' OR NOT home)"""
+
+
+@query(f"WITH {FILES_SQL} SELECT cik, taxonomy, concept, unit, round(value, 2) AS value, period_end, CAST(accession AS VARCHAR) AS accession, form AS form_type FROM p WHERE r <= 2")
+def company_fact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact files of every company, made of its orders, to long rows: annual forms, the first unit that a concept has, its two latest periods, domestic before foreign."""
+    o, folder, k = table(spark, sf_dir, "orders"), scratch(spark), F.col("o_orderkey")
+    unit = F.when(k % 7 == 0, "EUR").when(k % 7 == 1, "shares").when(k % 7 == 2, "USD/shares").otherwise("USD")
+    fact = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("end"), F.col("o_totalprice").alias("val"), k.cast("string").alias("accn"), F.lit("FY").alias("fp"), F.when(k % 5 == 0, "10-Q").when(k % 5 == 1, "20-F").otherwise("10-K").alias("form"))
+    rows = o.select(F.col("o_custkey").alias("cik"), F.when(k % 4 == 0, "dei").otherwise("us-gaap").alias("t"), F.when(k % 3 == 0, "Revenues").when(k % 3 == 1, "Assets").otherwise("EarningsPerShareBasic").alias("c"), unit.alias("u"), fact.alias("f"))
+    by_unit = rows.groupBy("cik", "t", "c", "u").agg(F.collect_list("f").alias("f"))
+    by_concept = by_unit.groupBy("cik", "t", "c").agg(F.map_from_entries(F.collect_list(F.struct("u", "f"))).alias("units"))
+    by_taxonomy = by_concept.groupBy("cik", "t").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("units").alias("d")))).alias("m"))
+    files = by_taxonomy.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("t", "m"))).alias("facts"))
+    files.write.json(folder)
+    facts = filings.latest_periods(filings.first_unit(filings.company_facts(spark, folder, filings.ANNUAL_FORMS, lines=True)), ["cik", "concept"], 2)
+    return facts.select("cik", "taxonomy", "concept", "unit", F.round("value", 2).alias("value"), "period_end", "accession", "form_type")
+
+
 POINT_SQL = """f AS (SELECT user_id AS cik, event_type AS concept, CAST(ts AS DATE) AS period_end, CASE event_id % 4 WHEN 0 THEN 'us-gaap' WHEN 1 THEN 'dei' WHEN 2 THEN 'invest' ELSE 'other' END AS taxonomy, value, event_id AS filed FROM events),
 w AS (SELECT DISTINCT cik, concept, period_end FROM f WHERE cik % 3 = 0),
 b AS (SELECT cik, concept, period_end, arg_min(value, struct_pack(o := CASE taxonomy WHEN 'us-gaap' THEN 0 WHEN 'dei' THEN 1 ELSE 2 END, f := filed)) AS v FROM f WHERE taxonomy <> 'other' GROUP BY ALL)"""

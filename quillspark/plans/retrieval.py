@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
 from quillspark.operators import retrieval as R
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, texts_table
 
 QUESTION = "the and that with from the unge"
 TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
@@ -26,7 +26,7 @@ b AS (SELECT len.doc_id, round(coalesce(score, 0) * CASE WHEN source = 'src3' TH
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with a source boost."""
-    found = R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", QUESTION, 25, F.col("source") == "src3")
+    found = R.bm25(texts_table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "text", QUESTION, 25, F.col("source") == "src3")
     return found.select("doc_id", F.round("score", 5).alias("score"))
 
 
@@ -72,7 +72,7 @@ SELECT doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM u GROUP BY doc
 @query(FUSE_SQL)
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused ranks of two lists."""
-    d = table(spark, sf_dir, "documents")
+    d = texts_table(spark, sf_dir, "documents", "doc_id", "source", "n_chars", "text")
     one = R.ranked(R.bm25(d, "doc_id", "text", QUESTION, 30, F.col("source") == "src3"), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
     two = R.ranked(d.orderBy(F.desc("n_chars"), "doc_id").limit(30), [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "rank")
     return R.fuse([one, two], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
@@ -89,7 +89,7 @@ SELECT doc_id, round(score, 6) AS score FROM f ORDER BY f.score DESC, seen LIMIT
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector candidates (twice as many as asked for), fused, the best ten."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    d, e = texts_table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "embeddings")
     words = R.ranked(R.bm25(d, "doc_id", "text", QUESTION, 20, F.col("source") == "src3"), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
     near = R.ranked(R.knn(e, "vec_id", "embedding", probe(), 20), [F.col("distance"), F.col("vec_id")]).select(F.col("vec_id").alias("doc_id"), "rank")
     return R.fuse([words, near], "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import texts as T
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, texts_table
 
 #: Words that occur in the test documents stand in for a lexicon.
 LEX = {"positive": ["the", "eau", "ciudad", "schein"], "negative": ["that", "des", "los", "nicht"], "uncertainty": ["this", "pour", "para", "und"]}
@@ -22,7 +22,7 @@ SELECT *, round((positive - negative) / greatest(total_words, 1), 6) AS net_sent
 )
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment of every document."""
-    out = T.sentiment(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", LEX)
+    out = T.sentiment(texts_table(spark, sf_dir, "documents", "doc_id", "text"), "text", LEX)
     return out.select("doc_id", "total_words", "positive", "negative", "uncertainty", "net_sentiment", "tone_score")
 
 
@@ -34,14 +34,14 @@ s AS (SELECT source, lang, count(*) AS total_words, count(DISTINCT w) FILTER (WH
 @query(SECTION_SQL + " SELECT *, round((positive - negative) / greatest(total_words, 1), 6) AS net_sentiment, round((positive - negative - uncertainty) / greatest(total_words, 1), 6) AS tone_score FROM s")
 def sentiment_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment of sections, a word counted once a section."""
-    out = T.section_sentiment(table(spark, sf_dir, "documents"), ["source", "lang"], "text", LEX)
+    out = T.section_sentiment(texts_table(spark, sf_dir, "documents", "source", "lang", "doc_id", "text"), ["source", "lang"], "text", LEX)
     return out.select("source", "lang", "total_words", "positive", "negative", "uncertainty", "net_sentiment", "tone_score")
 
 
 @query(SECTION_SQL + ", f AS (SELECT source, sum(total_words) AS n, sum(positive) AS positive FROM s GROUP BY source), o AS (SELECT *, lag(n) OVER w AS pn, lag(positive) OVER w AS pp FROM f WINDOW w AS (ORDER BY source)) SELECT source, CAST(n - pn AS BIGINT) AS delta, round((n - pn) / greatest(pn, 1) * 100, 1) AS delta_pct, CAST(positive - pp AS BIGINT) AS delta_positive FROM o WHERE pn IS NOT NULL")
 def sentiment_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes from filing to filing (one row a source, so the ordering window is small)."""
-    s = T.section_sentiment(table(spark, sf_dir, "documents"), ["source", "lang"], "text", LEX)
+    s = T.section_sentiment(texts_table(spark, sf_dir, "documents", "source", "lang", "doc_id", "text"), ["source", "lang"], "text", LEX)
     f = s.groupBy("source").agg(F.sum("total_words").alias("n"), F.sum("positive").alias("positive"))
     w = Window.orderBy("source")
     pn, pp = F.lag("n").over(w), F.lag("positive").over(w)
@@ -67,14 +67,14 @@ SELECT doc_id, len(s) AS n_sentences, max(list_aggregate(list_transform(s, lambd
 )
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document; the SQL marks the ends instead of looking behind."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    d = texts_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.sentences(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic chunks with their places."""
-    d = table(spark, sf_dir, "documents")
+    d = texts_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     chunks = d.select("doc_id", F.posexplode(T.semantic_chunks(F.col("text"))).alias("chunk_index", "chunk"))
     return chunks.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
@@ -89,7 +89,7 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of pages, by a parser."""
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return texts_table(spark, sf_dir, "pages", "page_id", "html").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query(

@@ -27,10 +27,11 @@ ANNUAL_FORMS = ["10-K", "10-K/A", "20-F", "20-F/A"]
 UNITS = ["USD", "USD/shares", "shares"]
 
 
-def company_facts(spark: SparkSession, path: str, forms: list[str] | None = None) -> DataFrame:
+def company_facts(spark: SparkSession, path: str, forms: list[str] | None = None, lines: bool = False) -> DataFrame:
     """One row a fact: cik, taxonomy, concept, label, unit, value, period_start, period_end, accession, fiscal_year,
-    fiscal_period, form_type, filed. Files are read with a fixed layout and taken apart by explodes."""
-    files = spark.read.schema(FACTS_JSON).option("multiLine", True).json(path)
+    fiscal_period, form_type, filed. Files (a company a file, or with lines a company a line) are read with a fixed layout and
+    taken apart by explodes."""
+    files = spark.read.schema(FACTS_JSON).option("multiLine", not lines).json(path)
     concepts = files.select("cik", F.explode("facts").alias("taxonomy", "_c")).select("cik", "taxonomy", F.explode("_c").alias("concept", "_d"))
     units = concepts.select("cik", "taxonomy", "concept", F.col("_d.label").alias("label"), F.explode("_d.units").alias("unit", "_u"))
     rows = units.select("cik", "taxonomy", "concept", "label", "unit", F.explode("_u").alias("f"))
