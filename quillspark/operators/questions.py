@@ -11,8 +11,11 @@ from quillspark.functions import text as T
 
 #: Signal words of intents and kinds.
 COMPARISON = ["compare", "comparison", "versus", " vs ", " vs.", "over the years", "year over year", "year-over-year", "y-o-y", "yoy", "trend", "historically", "history", "last 3 years", "last 5 years", "last two years", "last three years", "how has", "changed over", "change over", "growth over", "quarter over quarter", "quarter-over-quarter", "q-o-q", "qoq", "multi-year", "multiyear"]
+#: Words for the latest period.
 LATEST = ["latest", "most recent", "current", "most recently", "last quarter", "last fiscal", "this year", "this quarter"]
+#: Words of questions for numbers.
 NUMERIC = ["gross margin", "gross profit margin", "gross margin growth", "operating margin", "operating income margin", "net margin", "profit margin", "net income margin", "free cash flow", "fcf", "current ratio", "liquidity ratio", "debt to equity", "debt-to-equity", "d/e ratio", "net debt", "net cash position", "r&d", "research and development", "rd intensity", "revenue", "net sales", "total revenue", "net income", "net earnings", "calculate", "compute", "percentage", "ratio", "growth rate", "yoy", "year over year"]
+#: Words of questions for text.
 QUALITATIVE = [
     "sentiment", "tone", "risk", "management discussion", "md&a", "highlighted by management", "strategy", "outlook", "competitive landscape", "threat", "challenge", "opportunities", "strengths", "weaknesses",
     "how does the company", "why did the company", "mentioned", "stated", "noted", "warned", "cautioned", "material weakness", "going concern", "contingency", "litigation", "regulation", "regulatory", "compliance",
@@ -21,11 +24,17 @@ QUALITATIVE = [
     "where does the revenue", "where did the revenue", "come from", "made up of", "driven by", "data center", "gaming", "policy", "recognition", "structure", "compensation", "plan", "definition", "accounting", "treatment",
     "standard", "guidance", "methodology", "approach", "technique", "method", "process", "capitalization", "amortization", "depreciation", "call", "transcript", "conference",
 ]
+#: Words that rule a chart out.
 CHART_VETO = ["policy", "recognition", "structure", "compensation", "plan", "definition", "accounting", "treatment", "standard", "guidance", "methodology", "approach", "technique", "method", "process", "regulation", "rule", "requirement", "disclosure"]
+#: Phrases and the chart they ask for, the first that fits.
 CHART_METRICS = [("gross margin|gross profit margin", "gross_margin"), ("operating margin", "operating_margin"), ("net margin|profit margin", "net_margin"), ("gross profit", "gross_profit"), ("operating income", "operating_income"), ("r&d|research and development", "rd_expense"), ("net income|earnings|profit", "net_income"), ("revenue|sales|top line", "revenue")]
+#: Words for several years.
 HISTORY = ["over the years", "over time", "trend", "history", "historical", "each year", "year by year", "year-by-year", "annually", "past few years", "last few years", "over the past", "over the last"]
+#: Words of answers that decline.
 REFUSALS = ["don't have", "do not have", "insufficient", "no information", "does not contain", "not contain", "cannot answer", "can't answer", "no financial", "no revenue", "no numerical", "would need"]
+#: Numbers in words.
 NUMBER_WORDS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+#: Words and the concepts they ask for.
 CONCEPTS = [
     (["gross margin", "gross profit"], ["GrossProfit", "Revenues", "RevenueFromContractWithCustomer", "CostOfGoodsAndServicesSold", "CostOfRevenue"]),
     (["revenue", "sales", "net sales"], ["Revenues", "RevenueFromContractWithCustomer"]),
@@ -36,6 +45,7 @@ CONCEPTS = [
     (["long[- ]?term debt", "debt"], ["LongTermDebt"]),
     (["assets"], ["Assets"]),
 ]
+#: Concepts where nothing was asked for.
 DEFAULT_CONCEPTS = ["Revenues", "NetIncomeLoss", "OperatingIncomeLoss"]
 
 
@@ -135,6 +145,7 @@ GROUPS = {
     "valuation": ["CommonStockSharesOutstanding", "CommonStockSharesIssued", "TreasuryStockSharesAcquired", "MarketCapitalization"],
     "banking": ["InterestIncomeExpenseNet", "ProvisionForLoanLeaseAndOtherLosses", "InvestmentIncomeNet", "LoansAndLeasesReceivableNetReportedAmount", "Deposits", "TradingAccountAssets"],
 }
+#: Words that lead to a group.
 GROUP_WORDS = {
     "revenue": ["revenue", "sales", "top line"],
     "profitability": ["income", "gross profit", "gross margin", "net income", "profit", "earnings", "eps", "operating income", "operating margin", "r&d", "research", "expense", "cost", "margin"],
@@ -143,6 +154,7 @@ GROUP_WORDS = {
     "valuation": ["share", "outstanding", "market cap"],
     "banking": ["loan", "deposit", "interest income", "net interest", "provision"],
 }
+#: Groups by relevance to a group.
 GROUP_ORDER = {
     "revenue": ["revenue", "profitability", "liquidity", "leverage"],
     "profitability": ["profitability", "revenue", "liquidity", "leverage"],

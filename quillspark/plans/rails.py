@@ -42,7 +42,7 @@ def injection_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("conv_id", "turn", R.injection_reason(F.col("t")).alias("reason"), R.needs_deep_check(F.col("t")).alias("deep"))
 
 
-@query(f"WITH {MESSAGE_SQL} SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'general' WHEN {any_sql(R.ADVICE)} THEN 'investment_advice' WHEN regexp_matches(lower(t), '\\b(?:{R.FINANCIAL})\\b') THEN 'financial' WHEN {any_sql(R.OFF_TOPIC)} THEN 'off_topic' ELSE 'general' END AS topic FROM m")
+@query(f"WITH {MESSAGE_SQL} SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'general' WHEN {any_sql(R.ADVICE)} THEN 'investment_advice' WHEN regexp_matches(lower(t), '\\b(?:{'|'.join(R.FINANCIAL)})\\b') THEN 'financial' WHEN {any_sql(R.OFF_TOPIC)} THEN 'off_topic' ELSE 'general' END AS topic FROM m")
 def dialog_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advice, financial, off topic or general."""
     return messages(spark, sf_dir).select("conv_id", "turn", R.dialog_topic(F.col("t")).alias("topic"))
