@@ -107,6 +107,12 @@ def with_vectors(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
     return chunks.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
 
 
+def described(companies: DataFrame, name: str, description: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """text ("name: description", the name alone without one) and embedding of every company."""
+    text = F.when(F.coalesce(F.trim(description), F.lit("")) == "", F.col(name)).otherwise(F.concat(F.col(name), F.lit(": "), F.col(description)))
+    return with_vectors(companies.withColumn("text", text), embed, "search_document: ")
+
+
 def hashed_vectors(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A stand-in embedder: signed hashes of words."""
 

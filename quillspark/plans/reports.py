@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import filings as embedding
 from quillspark.operators import governance as G
+from quillspark.operators import graph
 from quillspark.operators import questions as Q
 from quillspark.operators import relational as R
 from quillspark.operators import retrieval, texts
@@ -193,3 +195,40 @@ def tolerant_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = F.col("turn") % 3
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(string_list(F.when(k == 0, '["a", "b"]').when(k == 1, "no list"))).alias("n"))
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ': ' || p_type END AS text, 64 AS dims FROM part")
+def company_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and descriptions of companies to one text and a vector each; a company without a description has its name alone."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("description"))
+    return embedding.described(p, "p_name", "description", embedding.hashed_vectors(64)).select("p_partkey", "text", F.size("embedding").alias("dims"))
+
+
+@query(
+    "WITH covered AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id % 4 <> 0), fresh AS (SELECT user_id, event_type AS concept, value FROM events JOIN covered USING (user_id) WHERE event_id % 2 = 1) "
+    "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT user_id, event_type AS concept, value FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM fresh) UNION ALL SELECT * FROM fresh) GROUP BY 1"
+)
+def coverage_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the covered companies replaced by what their new files hold; a company without new facts keeps its old ones."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("concept"), "value", "event_id")
+    covered = e.filter("concept = 'purchase' and user_id % 4 <> 0").select("user_id").distinct()
+    fresh = e.filter("event_id % 2 = 1").join(covered, "user_id", "left_semi").drop("event_id")
+    stored = R.replace_partitions(e.filter("event_id % 2 = 0").drop("event_id"), fresh, ["user_id"])
+    return stored.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(
+    """WITH c AS (SELECT source, doc_id, lang FROM documents WHERE source IN ('src1', 'src2', 'src3') QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) <= 40),
+t AS (SELECT DISTINCT source AS ticker, 'd' || doc_id AS chunk_id, upper(source) AS subject, 'REPORTS' AS predicate, 'Metric ' || lang AS object FROM c WHERE doc_id % 3 <> 0),
+i AS (SELECT sha1(concat_ws(chr(31), ticker, chunk_id, lower(subject), lower(predicate), lower(object))) AS id, object FROM t)
+SELECT id, CASE WHEN object = 'Metric en' THEN 'metricen' END AS concept FROM i"""
+)
+def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each company its longest chunks, the triples read from them, checked and stored once, and their metrics linked to filed concepts."""
+    d = table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2", "src3")).select("source", "doc_id", "lang", "text")
+    some = R.top_per_key(d, ["source"], [F.desc(F.length("text")), F.col("doc_id")], 40)
+    read = some.select(F.col("source").alias("ticker"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.upper("source").alias("subject"), F.lit(" reports ").alias("predicate"), F.concat(F.lit("Metric "), "lang").alias("object"), F.when(F.col("doc_id") % 3 == 0, 0.2).otherwise(0.9).alias("confidence"), F.lit("Company").alias("subject_type"), F.lit("Metric").alias("object_type"))
+    triples = graph.valid_triples(read)
+    stored = graph.new_triples(triples.limit(0), triples.unionByName(triples))
+    links = graph.metric_links(stored, spark.createDataFrame([("metricen",)], "concept string"))
+    return stored.join(links, F.col("object") == F.col("metric"), "left").select("id", "concept")
