@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import texts
 from quillspark.operators.relational import prefix_sums
+from quillspark.session import shipped
 
 #: Headers of the sections that are kept, by label.
 ANNUAL_HEADERS = {"item_1": r"item\s+1\b(?!\d|a)", "item_1a": r"item\s+1a\b", "item_3": r"item\s+3\b", "item_7": r"item\s+7\b(?!a)", "item_7a": r"item\s+7a\b", "item_8": r"item\s+8\b"}
@@ -75,7 +76,7 @@ def chunk_filings(filings: DataFrame, keys: list[str], text: str = "text", form:
         for filed in batches:
             yield pd.Series([[{"s": s, "k": k, "t": t} for s, k, t in chunks_of(x or "", headers)] for x in filed], dtype=object)
 
-    rows = filings.withColumn("_c", F.pandas_udf(split, "array<struct<s:string,k:string,t:string>>")(text))
+    rows = filings.withColumn("_c", F.pandas_udf(shipped(split), "array<struct<s:string,k:string,t:string>>")(text))
     exploded = rows.select(*keys, F.col(form).alias("form_type") if form else F.lit("10-K").alias("form_type"), F.posexplode("_c").alias("_p", "_c"))
     place = Window.partitionBy(*keys, "_c.s").orderBy("_p")
     total = Window.partitionBy(*keys, "_c.s")
@@ -104,7 +105,7 @@ def with_vectors(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
                 out.append((a / max(float(np.linalg.norm(a)), 1e-12)).tolist())
             yield pd.Series(out, dtype=object)
 
-    return chunks.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
+    return chunks.withColumn("embedding", F.pandas_udf(shipped(run), "array<float>")(text))
 
 
 def described(companies: DataFrame, name: str, description: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:

@@ -24,6 +24,13 @@ def session(app: str = "quillspark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shipped(f):
+    """A function of the package for use in Python tasks; where a session is active, the package is sent to its executors."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+    return f
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a stored table over all cores; a table that comes in as many splits as there are cores is left as it is.
     Only for scans: for other plans, asking for the number of partitions would run them."""

@@ -23,6 +23,11 @@ def append_events(events: DataFrame, path: str) -> None:
     append(events.withColumns({"event": F.substring("event", 1, EVENT_NAME), "view": F.substring("view", 1, EVENT_VIEW)}), path)
 
 
+def with_ids(df: DataFrame, name: str = "id") -> DataFrame:
+    """A random id (version 4) a row, for logs that are appended once; a retried task draws others, so write before use."""
+    return df.select(F.uuid().alias(name), "*")
+
+
 def lists_as_json(df: DataFrame) -> DataFrame:
     """Array columns as JSON text."""
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema if f.dataType.typeName() == "array"})

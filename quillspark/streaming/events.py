@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.session import shipped
+
 
 def daily_counts(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """day, event_type, n, total; rows later than the watermark are dropped."""
@@ -55,7 +57,7 @@ def rate_limited(requests: DataFrame, seconds: int = 60, most: int = 60, forget:
     """key, id, allowed of a stream of requests (key, id, at in seconds). With forget, idle keys leave the state; a run over
     what is there (availableNow) needs forget=False, as pending timeouts would keep it going."""
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return requests.groupBy("key").applyInPandasWithState(limiter(seconds, most, forget), "key long, id long, allowed boolean", "passed array<double>", "append", timeout)
+    return requests.groupBy("key").applyInPandasWithState(shipped(limiter(seconds, most, forget)), "key long, id long, allowed boolean", "passed array<double>", "append", timeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

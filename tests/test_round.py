@@ -139,3 +139,10 @@ def test_tables_apart_from_prose():
     table = "\n".join(f"| row {i} with a longer label | {i} | {i * 2} |" for i in range(6))
     kinds = filings.segments(f"Some prose.\nMore prose.\n{table}\nThe end.")
     assert [k for k, _ in kinds] == ["narrative", "table", "narrative"] and kinds[1][1] == table
+
+
+def test_row_ids(spark):
+    from quillspark.sources import tables
+
+    got = tables.with_ids(spark.range(50)).collect()
+    assert len({r[0] for r in got}) == 50 and all(len(r[0]) == 36 and r[0][14] == "4" for r in got)
