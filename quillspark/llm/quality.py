@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import arrow_map, cut, frame, id_type, sized_broadcast, small_batches, typed
@@ -37,6 +37,8 @@ MIN_CHARS, MIN_WORDS = 200, 50
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.20
 #: Interquartile ranges beyond the third quartile at which a document is rejected.
 FENCE = 4.0
+#: Steps of a distance (0 to 1) in which quartiles are taken, rounded up.
+BINS = 1000
 #: Support that a language needs to be a reference: documents, their share of all documents, words.
 REFERENCE_DOCS, REFERENCE_SHARE, REFERENCE_WORDS = 20, 0.0005, 2_000
 #: Distinct words that a counting task holds before it hands on its counts.
@@ -184,15 +186,22 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("_length")
     judged = cut(judged.select("*", distance("char"), distance("word"), alike))
     # at most 1 / REFERENCE_SHARE languages, by about 30 lengths
-    limits = judged.filter("nearest is not null and not base_failed").groupBy("nearest", "_length").agg(F.count(F.lit(1)).alias("_docs"), fence("char").alias("_char"), fence("word").alias("_word"))
-    found = judged.join(F.broadcast(limits.filter(F.col("_docs") >= REFERENCE_DOCS)), ["nearest", "_length"], "left")
+    found = judged.join(F.broadcast(limits(judged.filter("nearest is not null and not base_failed"))), ["nearest", "_length"], "left")
     beyond = lambda kind, most: F.coalesce(F.col(f"{kind}_distance") > F.coalesce(f"_{kind}", F.lit(most**0.5)), F.lit(False))
     far = (beyond("char", MAX_CHAR_DIVERGENCE) & (F.col("word_chars") >= MIN_CHARS)) | (beyond("word", MAX_WORD_DIVERGENCE) & (F.col("n_words") >= MIN_WORDS))
     kept = (~F.col("base_failed") & ~far).alias("kept")
     return found.select(*[n for n in JUDGED.names[:7]], kept, *JUDGED.names[7:], "char_distance", "word_distance")
 
 
-def fence(kind: str) -> Column:
-    """The distance beyond which a document is unlike its kind."""
-    q = F.percentile_approx(f"{kind}_distance", [0.25, 0.5, 0.75], 1000)
-    return F.greatest(q[2] + FENCE * (q[2] - q[0]), 2 * q[1])
+def limits(judged: DataFrame) -> DataFrame:
+    """nearest, _length, _char, _word: the distances beyond which a document is unlike its kind, where enough are alike.
+    Quartiles come from counts of distances in BINS steps, so a kind of any size is a few rows a task before the shuffle."""
+    step = lambda kind: F.struct(F.lit(kind).alias("kind"), F.ceil(F.col(f"{kind}_distance") * BINS).alias("bin"))
+    counts = judged.select("nearest", "_length", F.inline(F.array(step("char"), step("word")))).groupBy("nearest", "_length", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("nearest", "_length", "kind")
+    summed = counts.withColumns({"upto": F.sum("n").over(one.orderBy("bin")), "all": F.sum("n").over(one)}).filter(F.col("all") >= REFERENCE_DOCS)
+    quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / BINS
+    fence = F.greatest(quartile(0.75) + FENCE * (quartile(0.75) - quartile(0.25)), 2 * quartile(0.5))
+    by_kind = summed.groupBy("nearest", "_length", "kind").agg(fence.alias("fence"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fence"))).alias(f"_{kind}")
+    return by_kind.groupBy("nearest", "_length").agg(pick("char"), pick("word"))

@@ -28,18 +28,13 @@ def texts(docs):
 # ---- 1
 
 
-def test_secrets_by_kind():
+def test_secrets_by_kind(docs):
     """Kinds that no pattern describes, planted anew: recall by kind, and harmless runs left alone."""
-    rows, labels, kinds = secret_scan.seeded_by_kind()
-    strange, y = np.array([k in secret_scan.UNPATTERNED for k in kinds]), np.array(labels, np.float32)
-    held = np.random.default_rng(11).random(len(rows)) < 0.2
-    x, network = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, secret_scan.WIDTH), secret_scan.Network.fresh()
-    network.fit(x[~held], y[~held])
-    network.calibrate([r for r, h in zip(rows, held, strict=True) if h], y[held], secret_scan.RECALL, strange[held])
+    network = secret_scan.train(docs.select("doc_id", "text"))
     rows, labels, kinds = secret_scan.seeded_by_kind(2400, seed=1234)
     found, kinds = network.score(rows) >= network.threshold, np.array(kinds)
     recall = {k: found[kinds == k].mean() for k in secret_scan.UNPATTERNED}
-    assert min(recall.values()) >= 0.85 and np.mean(list(recall.values())) >= 0.94, recall
+    assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) >= 0.95, recall
     assert found[np.array(labels) == 0].mean() <= 0.06
 
 
@@ -214,7 +209,7 @@ def test_histograms_and_verdicts(spark, docs, texts):
         limits = [quality.MAX_CHAR_DIVERGENCE**0.5, quality.MAX_WORD_DIVERGENCE**0.5]
         if len(same) >= quality.REFERENCE_DOCS:
             for n, kind in enumerate(("char_distance", "word_distance")):
-                ordered = sorted(getattr(x, kind) for x in same)
+                ordered = sorted(math.ceil(getattr(x, kind) * quality.BINS) / quality.BINS for x in same)
                 low, middle, high = (ordered[max(0, math.ceil(q * len(ordered)) - 1)] for q in (0.25, 0.5, 0.75))
                 limits[n] = max(high + quality.FENCE * (high - low), 2 * middle)
         far = r.nearest is not None and ((r.word_chars >= quality.MIN_CHARS and r.char_distance > limits[0]) or (r.n_words >= quality.MIN_WORDS and r.word_distance > limits[1]))
@@ -265,3 +260,22 @@ def test_text_ids_stay(spark, op):
         "exact": exact_dedup.exact_dedup,
     }[op]
     assert {r.doc_id for r in run(docs).select("doc_id").collect()} == {"a1", "b2", None}
+
+
+def test_defined_cases(spark):
+    """Null and empty texts, a very long word, repeated rows and extra columns, by value."""
+    long = "y" * 30_000
+    rows = [(1, None, "a"), (2, "", "b"), (3, long, "c"), (4, "same words", "d"), (4, "same words", "d"), (5, "password=abcdefgh12345 é", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, findings string").withColumn("licenses", F.lit(1)).withColumn("piece", F.lit("p"))
+    sp = sp_codec.processor(queries.vocabulary("piece_bpe_32k.model"))
+    for r in sp_codec.encode_documents(docs, queries.vocabulary("piece_bpe_32k.model")).collect():
+        text = {i: t or "" for i, t, _ in rows}[r.doc_id]
+        assert r.ids == sp.encode(text, add_eos=True) and r.decoded == sp.decode(r.ids) and len(r.starts) == len(r.ends) == len(r.ids) - 1
+        assert (r.ids == [sp.eos_id()]) == (text == "")
+    found = sorted((r.doc_id, [(f.kind, f.start, f.end) for f in r.findings if f.kind != "model"]) for r in secret_scan.scan_secrets(docs).collect())
+    assert found == [(1, []), (2, []), (3, []), (4, []), (4, []), (5, [("assign", 0, 22)])]
+    assert [(r.doc_id, r.licenses) for r in license_scan.scan_licenses(docs).orderBy("doc_id").collect()] == [(i, []) for i, _, _ in rows]
+    placed = packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id, r.length) for r in placed if r.doc_id in (1, 2, 4))[:2] == [(1, 1), (2, 1)]
+    same = [r for r in placed if r.doc_id == 4]
+    assert len(same) == 2 and same[0].ids_crc32 == same[1].ids_crc32 and (same[0].sequence_id, same[0].offset) != (same[1].sequence_id, same[1].offset)
