@@ -145,7 +145,7 @@ def typed(schema: pa.Schema, batch: pa.RecordBatch) -> pa.Schema:
 
 def share_of(id_col: str, share: float | Column) -> Column:
     """True for about this share of the rows, by the whole range of the 64-bit hash of the id, so that tiny shares stay what they are."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1).cast("double") < F.lit(2.0**63) * share
+    return F.shiftrightunsigned(F.xxhash64(id_col), 1).cast("double") < F.lit(2.0**63) * share
 
 
 def quantile_threshold(scores: pd.Series, recall: float) -> float:

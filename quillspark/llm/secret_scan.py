@@ -5,7 +5,7 @@ run, overlapping windows over the whole of it, of which the highest score counts
 findings: candidates of a bounded sample of documents, labelled by the fixed patterns, and seeded examples of secrets by
 kind and of harmless runs. It is calibrated by Platt scaling on held-out findings. The threshold is set on held-out secrets
 of the kinds that no pattern describes (UNPATTERNED), as the patterns' own findings stay anyway: the largest one that keeps
-RECALL of them. So it does not move with what the patterns find in a corpus. What the patterns find always stays; accepted
+RECALL of every single kind. So it does not move with what the patterns find in a corpus. What the patterns find always stays; accepted
 candidates that no pattern's span holds in full are added as kind 'model'.
 
 Defined cases: a null or empty text has no findings. Offsets are code points, ends exclusive. Very long texts are
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, frame, id_type, quantile_threshold, share_of, small_batches, trimmed, typed
+from quillspark.llm.common import arrow_map, cut, frame, id_type, quantile_threshold, share_of, small_batches, trimmed, typed
 from quillspark.session import ship
 
 #: Fixed values of the scan's contract: kinds in order, patterns, least lengths.
@@ -37,11 +37,11 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+")
 
-#: Bounds of the training sample: documents read for it, and findings used.
+#: Bounds of the training sample: about so many documents read for it, and about so many findings used.
 SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 4_000
-RECALL = 0.98
-#: Seeded findings.
-SEEDED = 2400
+RECALL = 0.95
+#: Seeded findings to learn from, and others that are held out.
+SEEDED, SEEDED_HELD = 2400, 1600
 BEFORE, INSIDE, AFTER = 28, 44, 8
 WIDTH = BEFORE + INSIDE + AFTER
 
@@ -218,8 +218,9 @@ class Network:
         z = np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]).astype(np.float64)  # near 1, single precision rounds to 1
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
-    def calibrate(self, rows: list[bytes], y: np.ndarray, recall: float, counts: np.ndarray | None = None) -> None:
-        """Platt scaling by Newton steps, then the largest threshold that keeps the recall of the positives (of those that count)."""
+    def calibrate(self, rows: list[bytes], y: np.ndarray, recall: float, kinds: np.ndarray | None = None) -> None:
+        """Platt scaling by Newton steps, then the largest threshold that keeps the recall of the positives, or of those of
+        each unpatterned kind."""
         self.slope, self.shift = 1.0, 0.0
         p = np.clip(self.score(rows), 1e-9, 1 - 1e-9)
         z = np.log(p / (1 - p))
@@ -232,7 +233,9 @@ class Network:
             step = np.linalg.solve(h, [((q - goal) * z).sum(), (q - goal).sum()])
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         self.slope, self.shift = max(float(a), 0.05), float(b)
-        self.threshold = quantile_threshold(pd.Series(self.score(rows)[(y > 0) if counts is None else counts & (y > 0)]), recall)
+        scores = self.score(rows)
+        groups = [y > 0] if kinds is None else [kinds == k for k in UNPATTERNED]
+        self.threshold = min(quantile_threshold(pd.Series(scores[g]), recall) for g in groups)
 
 
 FINDING = pa.schema([("window", pa.binary()), ("label", pa.int32())])
@@ -253,15 +256,17 @@ def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = SAMPLE_FINDINGS, recall: float = RECALL) -> Network:
     """docs: doc_id, text. The sample is taken by hashed id, so it is the same on every run."""
     drawn = docs.filter(share_of("doc_id", min(1.0, sample_docs / max(1, docs.count()))))
-    found = arrow_map(drawn, sample_batches, "window binary, label int").orderBy(F.xxhash64("window"), "label").limit(findings).collect()
-    rows, labels, kinds = seeded_by_kind()
-    strange = np.array([k in UNPATTERNED for k in kinds] + [False] * len(found))
+    found = cut(arrow_map(drawn, sample_batches, "window binary, label int"))
+    found = sorted(found.filter(share_of("window", min(1.0, findings / max(1, found.count())))).collect())  # about so many; no task sends more than its share
+    rows, labels = seeded_findings()
     rows, labels = rows + [bytes(r.window) for r in found], np.array(labels + [r.label for r in found], np.float32)
-    held = np.random.default_rng(11).random(len(rows)) < 0.2
+    held = (np.random.default_rng(11).random(len(rows)) < 0.2) & (np.arange(len(rows)) >= len(rows) - len(found))
     x = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WIDTH)
     network = Network.fresh()
     network.fit(x[~held], labels[~held])
-    network.calibrate([r for r, h in zip(rows, held, strict=True) if h], labels[held], recall, strange[held])
+    apart, apart_labels, kinds = seeded_by_kind(SEEDED_HELD, seed=8)
+    apart, kinds = apart + [r for r, h in zip(rows, held, strict=True) if h], np.array(kinds + [""] * int(held.sum()))
+    network.calibrate(apart, np.concatenate([np.array(apart_labels, np.float32), labels[held]]), recall, kinds)
     return network
 
 
