@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sp_codec, toxicity, url_filters
+from quillspark.llm import exact_dedup, fim, importance, language_id, license_scan, near_dedup, packing, quality, secret_scan, sp_codec, topk, toxicity, url_filters
 from quillspark.llm.common import spread, table
 
 
@@ -109,6 +109,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(documents(spark, sf_dir)))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -120,9 +132,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_near_dedup": op10_near_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_url_filters": URL_SQL,
+    "op12_fill_in_middle": fim.ORACLE_SQL,
+    "op13_exact_topk": topk.ORACLE_SQL,
 }
