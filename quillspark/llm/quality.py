@@ -1,14 +1,20 @@
 """Quality rules: plain counts, and Jensen-Shannon distance of a document's histograms from language references.
 
-The references come from the whole corpus: for every language that at least REFERENCE_DOCS documents, REFERENCE_SHARE of all
-documents and REFERENCE_WORDS words are tagged with, the share of each character class and of each common
+The references come from the whole corpus: for every language that at least REFERENCE_DOCS documents and REFERENCE_WORDS words
+are tagged with (of more than REFERENCES such tags those with the most documents), the share of each character class and of each common
 word (those of at least COMMON_SHARE of the language's words). A document is compared with every language and judged by
 the nearest, so a wrong or missing language tag costs nothing. Divergences are in bits (0 to 1), distances their roots.
 
+A document of a language without a reference is not measured by the words of another one: where the nearest reference's common
+words make up less than FOREIGN of the share that they have in that language, the document is foreign to all references, and
+only its shape counts: character classes with letters of any script as one, against the nearest reference's, with the fixed limit
+MAX_SHAPE_DIVERGENCE (letters of scripts without capitals are 0.025 off; symbols, rules and shouting much further).
+
 The limits come from the corpus too: of the documents nearest to a language and of about the same length (powers of two, as short
 histograms are noisy), the quartiles of either distance are taken over all documents. A document is rejected beyond the
 third quartile plus FENCE interquartile ranges, or twice the median if that is more. Where fewer than REFERENCE_DOCS documents
-are alike the limits are the roots of MAX_CHAR_DIVERGENCE and MAX_WORD_DIVERGENCE.
+are alike the limits are those of documents of that length in any language, if these are larger than the roots of MAX_CHAR_DIVERGENCE and
+MAX_WORD_DIVERGENCE.
 
 Defined cases: a null or empty text has no words, fails the base rule and has no divergence (null). The character test
 needs MIN_CHARS characters in words and the word test MIN_WORDS words; shorter documents pass the test. Documents with a
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, cut, frame, id_type, sized_broadcast, small_batches, typed
+from quillspark.llm.common import arrow_map, cut, frame, id_type, small_batches, typed
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -39,8 +45,10 @@ MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.20
 FENCE = 4.0
 #: Steps of a distance (0 to 1) in which quartiles are taken, rounded up.
 BINS = 1000
-#: Support that a language needs to be a reference: documents, their share of all documents, words.
-REFERENCE_DOCS, REFERENCE_SHARE, REFERENCE_WORDS = 20, 0.0005, 2_000
+#: Support that a language needs to be a reference: documents, words; and references at most, which bounds what tasks are sent.
+REFERENCE_DOCS, REFERENCE_WORDS, REFERENCES = 20, 2_000, 1_000
+#: A document with a smaller part of the common words than this is foreign; limit for the shape of foreign documents.
+FOREIGN, MAX_SHAPE_DIVERGENCE = 0.25, 0.036
 #: Distinct words that a counting task holds before it hands on its counts.
 HELD_WORDS = 200_000
 
@@ -76,6 +84,13 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def shape(counts: np.ndarray) -> np.ndarray:
+    """Shares of character classes, lower-case letters and those of other scripts as one."""
+    folded = counts[..., :-1].astype(float)
+    folded[..., 0] += counts[..., -1]
+    return folded / np.maximum(folded.sum(-1, keepdims=True), 1e-12)
+
+
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of a distribution p from each row of q."""
     m = (p + q) / 2
@@ -128,7 +143,9 @@ class References:
                 self.chars[k, CLASSES.index(r.word[1:])] = r.n
             else:
                 self.common[k, self.words[r.word.encode()]] = r.share
+        self.shapes = shape(self.chars)
         self.chars /= np.maximum(self.chars.sum(1, keepdims=True), 1)
+        self.known = self.common.sum(1)
         self.common[:, -1] = 1 - self.common.sum(1)
 
 
@@ -137,19 +154,18 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     counts = cut(arrow_map(rows, count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.filter("not startswith(word, ' ')").groupBy("lang").agg(F.sum("n").alias("total"))
-    n_langs = counts.filter(F.col("word") == DOCS).count()
     docs_of = counts.filter(F.col("word") == DOCS).select("lang", F.col("n").alias("docs"))
-    least = F.greatest(F.lit(REFERENCE_DOCS), REFERENCE_SHARE * F.lit(docs_of.agg(F.sum("docs")).first()[0] or 0))
-    langs = docs_of.join(totals, "lang").filter((F.col("lang") != "") & (F.col("docs") >= least) & (F.col("total") >= REFERENCE_WORDS))
-    kept = counts.filter(F.col("word") != DOCS).join(sized_broadcast(langs.select("lang", "total"), n_langs), "lang").withColumn("share", F.col("n") / F.col("total"))
+    langs = docs_of.join(totals, "lang").filter((F.col("lang") != "") & (F.col("docs") >= REFERENCE_DOCS) & (F.col("total") >= REFERENCE_WORDS))
+    langs = langs.orderBy(F.desc("docs"), "lang").limit(REFERENCES)
+    kept = counts.filter(F.col("word") != DOCS).join(F.broadcast(langs.select("lang", "total")), "lang").withColumn("share", F.col("n") / F.col("total"))
     found = kept.filter(F.col("word").startswith(" ") | (F.col("share") >= share)).select("lang", "word", "n", "share").collect()
     return References(found)
 
 
 JUDGED = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("char_divergence", pa.float64()), ("word_divergence", pa.float64()), ("nearest", pa.string())]
+    [(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("char_divergence", pa.float64()), ("word_divergence", pa.float64()), ("nearest", pa.string()), ("is_foreign", pa.bool_()), ("shape_divergence", pa.float64())]
 )
-JUDGED_SQL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_divergence double, word_divergence double, nearest string"
+JUDGED_SQL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_divergence double, word_divergence double, nearest string, is_foreign boolean, shape_divergence double"
 
 
 def judge(text: str, refs: References) -> tuple:
@@ -159,7 +175,8 @@ def judge(text: str, refs: References) -> tuple:
     word_chars = len(text) - (len(data) - len(data.translate(None, SPACES)))
     repeats = repeated_words(words)
     failed = len(words) < 20 or 100 * repeats > 30 * len(words)
-    by_char = by_word = nearest = None
+    by_char = by_word = nearest = by_shape = None
+    foreign = False
     if words and refs.langs:
         far = divergence((c := classes(data)) / c.sum(), refs.chars)
         lowered = data.lower().split()
@@ -168,7 +185,10 @@ def judge(text: str, refs: References) -> tuple:
         far_words = divergence(np.append(hits[1:], hits[0]) / len(words), refs.common)
         k = int((np.sqrt(far) + np.sqrt(far_words)).argmin())
         by_char, by_word, nearest = float(far[k]), float(far_words[k]), refs.langs[k]
-    return len(words), word_chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, by_char, by_word, nearest
+        by_shape = float(divergence(shape(c), refs.shapes).min())
+        met = np.where(refs.common[:, :-1] > 0, hits[1:], 0).sum(1) / len(words)
+        foreign = bool((met < FOREIGN * refs.known).all())
+    return len(words), word_chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, failed, by_char, by_word, nearest, foreign, by_shape
 
 
 def judge_batches(batches: Iterator[pa.RecordBatch], refs: References) -> Iterator[pa.RecordBatch]:
@@ -185,23 +205,27 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distance = lambda kind: F.sqrt(F.greatest(F.col(f"{kind}_divergence"), F.lit(0.0))).alias(f"{kind}_distance")
     alike = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("_length")
     judged = cut(judged.select("*", distance("char"), distance("word"), alike))
-    # at most 1 / REFERENCE_SHARE languages, by about 30 lengths
-    found = judged.join(F.broadcast(limits(judged.filter("nearest is not null and not base_failed"))), ["nearest", "_length"], "left")
-    beyond = lambda kind, most: F.coalesce(F.col(f"{kind}_distance") > F.coalesce(f"_{kind}", F.lit(most**0.5)), F.lit(False))
+    # at most REFERENCES languages, by about 30 lengths
+    own = judged.filter("nearest is not null and not base_failed and not is_foreign")
+    found = judged.join(F.broadcast(limits(own)), ["nearest", "_length"], "left").join(F.broadcast(limits(own, False)), ["_length"], "left")
+    limit = lambda kind, most: F.coalesce(f"_{kind}", F.greatest(f"_any_{kind}", F.lit(most**0.5)))
+    beyond = lambda kind, most: F.coalesce(F.col(f"{kind}_distance") > limit(kind, most), F.lit(False))
     far = (beyond("char", MAX_CHAR_DIVERGENCE) & (F.col("word_chars") >= MIN_CHARS)) | (beyond("word", MAX_WORD_DIVERGENCE) & (F.col("n_words") >= MIN_WORDS))
+    far = F.when(F.col("is_foreign"), (F.col("shape_divergence") > MAX_SHAPE_DIVERGENCE) & (F.col("word_chars") >= MIN_CHARS)).otherwise(far)
     kept = (~F.col("base_failed") & ~far).alias("kept")
     return found.select(*[n for n in JUDGED.names[:7]], kept, *JUDGED.names[7:], "char_distance", "word_distance")
 
 
-def limits(judged: DataFrame) -> DataFrame:
-    """nearest, _length, _char, _word: the distances beyond which a document is unlike its kind, where enough are alike.
-    Quartiles come from counts of distances in BINS steps, so a kind of any size is a few rows a task before the shuffle."""
+def limits(judged: DataFrame, by_language: bool = True) -> DataFrame:
+    """nearest, _length, _char, _word: the distances beyond which a document is unlike its kind, where enough are alike; or
+    _length, _any_char, _any_word, over all languages. Quartiles come from counts of distances in BINS steps, so a kind of any size is a few rows a task before the shuffle."""
+    keys, lead = (["nearest", "_length"], "_") if by_language else (["_length"], "_any_")
     step = lambda kind: F.struct(F.lit(kind).alias("kind"), F.ceil(F.col(f"{kind}_distance") * BINS).alias("bin"))
-    counts = judged.select("nearest", "_length", F.inline(F.array(step("char"), step("word")))).groupBy("nearest", "_length", "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
-    one = Window.partitionBy("nearest", "_length", "kind")
+    counts = judged.select(*keys, F.inline(F.array(step("char"), step("word")))).groupBy(*keys, "kind", "bin").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy(*keys, "kind")
     summed = counts.withColumns({"upto": F.sum("n").over(one.orderBy("bin")), "all": F.sum("n").over(one)}).filter(F.col("all") >= REFERENCE_DOCS)
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / BINS
     fence = F.greatest(quartile(0.75) + FENCE * (quartile(0.75) - quartile(0.25)), 2 * quartile(0.5))
-    by_kind = summed.groupBy("nearest", "_length", "kind").agg(fence.alias("fence"))
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fence"))).alias(f"_{kind}")
-    return by_kind.groupBy("nearest", "_length").agg(pick("char"), pick("word"))
+    by_kind = summed.groupBy(*keys, "kind").agg(fence.alias("fence"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fence"))).alias(f"{lead}{kind}")
+    return by_kind.groupBy(*keys).agg(pick("char"), pick("word"))

@@ -190,7 +190,7 @@ def test_histograms_and_verdicts(spark, docs, texts):
             kind = "lower" if "a" <= ch <= "z" else "upper" if "A" <= ch <= "Z" else "digit" if "0" <= ch <= "9" else "line" if ch == "\n" else "space" if ch in " \t\r\x0b\x0c" else "stop" if ch in ".,;:!?'\"()-" else "symbol" if ch in "#*$%&|<>" else "wide" if ord(ch) > 127 else "other"
             c[kind] += 1
         words.setdefault(lang[i], Counter()).update(t.encode().lower().split())
-    good = [x for x in sorted(filter(None, n_docs)) if n_docs[x] >= max(quality.REFERENCE_DOCS, quality.REFERENCE_SHARE * len(texts)) and words[x].total() >= quality.REFERENCE_WORDS]
+    good = [x for x in sorted(filter(None, n_docs)) if n_docs[x] >= quality.REFERENCE_DOCS and words[x].total() >= quality.REFERENCE_WORDS]
     refs = quality.references(docs)
     assert refs.langs == good
     for k, x in enumerate(good):
@@ -199,23 +199,51 @@ def test_histograms_and_verdicts(spark, docs, texts):
         assert {w: round(refs.common[k, i], 9) for w, i in refs.words.items() if refs.common[k, i]} == {w: round(n, 9) for w, n in common.items()}
     got = queries.QUERIES["op8_quality_rules"](spark, SF).collect()
     alike = {}
+    length = lambda r: int(math.log2(max(1, r.n_words)))
     for r in got:
         if r.nearest is not None:
             assert math.isclose(r.char_distance, math.sqrt(max(0, r.char_divergence))) and math.isclose(r.word_distance, math.sqrt(max(0, r.word_divergence)))
-            if not r.base_failed:
-                alike.setdefault((r.nearest, int(math.log2(max(1, r.n_words)))), []).append(r)
+            if not r.base_failed and not r.is_foreign:
+                alike.setdefault((r.nearest, length(r)), []).append(r)
+                alike.setdefault(length(r), []).append(r)
+
+    def fence(same, kind):
+        ordered = sorted(math.ceil(getattr(x, kind) * quality.BINS) / quality.BINS for x in same)
+        low, middle, high = (ordered[max(0, math.ceil(q * len(ordered)) - 1)] for q in (0.25, 0.5, 0.75))
+        return max(high + quality.FENCE * (high - low), 2 * middle)
+
     for r in got:
-        same = alike.get((r.nearest, int(math.log2(max(1, r.n_words)))), [])
-        limits = [quality.MAX_CHAR_DIVERGENCE**0.5, quality.MAX_WORD_DIVERGENCE**0.5]
-        if len(same) >= quality.REFERENCE_DOCS:
-            for n, kind in enumerate(("char_distance", "word_distance")):
-                ordered = sorted(math.ceil(getattr(x, kind) * quality.BINS) / quality.BINS for x in same)
-                low, middle, high = (ordered[max(0, math.ceil(q * len(ordered)) - 1)] for q in (0.25, 0.5, 0.75))
-                limits[n] = max(high + quality.FENCE * (high - low), 2 * middle)
+        limits = []
+        for kind, most in (("char_distance", quality.MAX_CHAR_DIVERGENCE), ("word_distance", quality.MAX_WORD_DIVERGENCE)):
+            same, near = alike.get((r.nearest, length(r)), []), alike.get(length(r), [])
+            limits.append(fence(same, kind) if len(same) >= quality.REFERENCE_DOCS else max([most**0.5, *([fence(near, kind)] if len(near) >= quality.REFERENCE_DOCS else [])]))
         far = r.nearest is not None and ((r.word_chars >= quality.MIN_CHARS and r.char_distance > limits[0]) or (r.n_words >= quality.MIN_WORDS and r.word_distance > limits[1]))
+        if r.is_foreign:
+            far = r.word_chars >= quality.MIN_CHARS and r.shape_divergence > quality.MAX_SHAPE_DIVERGENCE
         assert r.kept == (not r.base_failed and not far)
 
 
+@pytest.mark.parametrize("n", [15, 24, 40])
+def test_rare_languages_live(spark, docs, n):
+    """Documents of a language of their own stay, however few they are; junk in it doesn't. Few of them are no reference."""
+    import random
+
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("абвгдежзиклмнопрстуфхцчшя") for _ in range(rng.randint(2, 9)))
+    common = [word() for _ in range(30)]
+
+    def prose(k):
+        words = [rng.choice(common) if rng.random() < 0.4 else word() for _ in range(k)]
+        return " ".join(w.capitalize() + "," if i % 11 == 0 else w + "." * (i % 9 == 8) for i, w in enumerate(words))
+
+    good = [prose(rng.choice([25, 60, 200, 900])) for _ in range(n)]
+    junk = [" ".join(w + "###" for w in prose(150).split()), " | ".join(prose(150).split()), "1234 567 89 " * 80, "".join(f"<{w}> {i} | %% " for i, w in enumerate(prose(120).split()))]
+    rows = [(10_000_000 + i, t, "ru") for i, t in enumerate(good + junk)]
+    every = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r.doc_id - 10_000_000: r.kept for r in quality.quality_rules(every).filter("doc_id >= 10000000").collect()}
+    assert [i for i in range(n) if not kept[i]] == [] and not any(kept[n + i] for i in range(len(junk)))
+
+
 # ---- 9
 
 
