@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
 from quillspark.operators import retrieval as R
+from quillspark.operators import vectorindex as X
 from quillspark.plans.registry import query, table, texts_table
+from quillspark.plans.storage import scratch
 
 QUESTION = "the and that with from the unge"
 TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
@@ -61,6 +63,33 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn_batch(e, queries, "vec_id", "query_id", "embedding", 5).select("query_id", "vec_id", F.round("distance", 3).alias("distance"))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an index over all embeddings: most rows stored first, those of label 7 added later."""
+    e, folder = table(spark, sf_dir, "embeddings"), scratch(spark)
+    X.build(e.filter("label <> 7"), "vec_id", "embedding", folder)
+    X.add(e.filter("label = 7"), "vec_id", "embedding", folder)
+    return folder
+
+
+@query(
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round(CAST(list_distance(embedding, q) AS DOUBLE), 3) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, q), vec_id) AS INTEGER) AS rank FROM embeddings, q QUALIFY rank <= 5"
+)
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index with all lists probed, which is exact; a part of the rows was added later."""
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = X.search(queries, "query_id", "embedding", vector_index(spark, sf_dir), 5, X.MOST_LISTS)
+    return found.select("query_id", F.col("key").alias("vec_id"), F.round("distance", 3).alias("distance"), "rank")
+
+
+@query()
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many lists probed as sampled rows need for a recall of 0.9; a test measures what the queries get."""
+    e, folder = table(spark, sf_dir, "embeddings"), vector_index(spark, sf_dir)
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    probes = X.probes_for(e, "vec_id", "embedding", folder, 10)
+    return X.search(queries, "query_id", "embedding", folder, 10, probes).select("query_id", F.col("key").alias("vec_id"), "distance", "rank")
+
+
 FUSE_SQL = f"""
 WITH {BM25_SQL},
 l1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b QUALIFY rank < 30),
