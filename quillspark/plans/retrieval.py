@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
 from quillspark.operators import retrieval as R
+from quillspark.operators import textindex as I
 from quillspark.operators import vectorindex as X
 from quillspark.plans.registry import query, table, texts_table
 from quillspark.plans.storage import scratch
@@ -28,8 +29,49 @@ b AS (SELECT len.doc_id, round(coalesce(score, 0) * CASE WHEN source = 'src3' TH
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with a source boost."""
-    found = R.bm25(texts_table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "text", QUESTION, 25, F.col("source") == "src3")
-    return found.select("doc_id", F.round("score", 5).alias("score"))
+    return words_found(spark, sf_dir, 25).select("doc_id", F.round("score", 5).alias("score"))
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> I.TextIndex:
+    """The index of all documents, made once (S50): filings are documents, labels are sources."""
+    make = lambda index: index.add(texts_table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "text", "doc_id", F.col("source"))
+    return I.kept_index(spark, f"{sf_dir}/documents.parquet", scratch(spark), make)
+
+
+def words_found(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """doc_id, score, rank (from 1) of the fixed question's best documents."""
+    one = spark.range(1).select(F.lit(QUESTION).alias("text"), F.lit("src3").alias("label"), F.lit(0).alias("q"))
+    return text_index(spark, sf_dir).search(one, "q", "text", k, "label").select(F.col("key").alias("doc_id"), "score", "rank")
+
+
+MANY_SQL = f"""
+WITH tok AS (SELECT doc_id, source, {TOKENS} AS t FROM documents WHERE source NOT IN ('src1', 'src2')),
+len AS (SELECT doc_id, len(t) AS dl FROM tok),
+corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, corpus GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, tf.doc_id, round(sum(idf * times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN len USING (doc_id), corpus GROUP BY ALL),
+f AS (SELECT doc_id FROM len ORDER BY doc_id LIMIT 5),
+u AS (SELECT * FROM s UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, f WHERE (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM s))
+SELECT item_id, doc_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY u.score DESC, doc_id) AS INTEGER) AS rank FROM u QUALIFY rank <= 5"""
+
+
+@query(MANY_SQL)
+def bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a question, all in one plan, over an index that was kept up: filings were added in two
+    generations, two of them taken out, and one of those added anew and taken out again."""
+    d = texts_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    index = I.TextIndex(spark, scratch(spark))
+    index.add(d.filter("doc_id % 4 > 0"), "doc_id", "text", "source")
+    index.add(d.filter("doc_id % 4 = 0"), "doc_id", "text", "source")
+    gone = lambda *names: spark.createDataFrame([(n,) for n in names], "source string")
+    index.remove(gone("src1", "src2"))
+    index.add(d.filter("source = 'src1'"), "doc_id", "text", "source")
+    index.remove(gone("src1"))
+    found = index.search(table(spark, sf_dir, "benchmark"), "item_id", "text", 5)
+    return found.select("item_id", F.col("key").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 
 
 def probe() -> list[float]:
@@ -101,8 +143,8 @@ SELECT doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM u GROUP BY doc
 @query(FUSE_SQL)
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused ranks of two lists."""
-    d = texts_table(spark, sf_dir, "documents", "doc_id", "source", "n_chars", "text")
-    one = R.ranked(R.bm25(d, "doc_id", "text", QUESTION, 30, F.col("source") == "src3"), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    one = words_found(spark, sf_dir, 30).select("doc_id", (F.col("rank") - 1).alias("rank"))
     two = R.ranked(d.orderBy(F.desc("n_chars"), "doc_id").limit(30), [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "rank")
     return R.fuse([one, two], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
@@ -118,8 +160,8 @@ SELECT doc_id, round(score, 6) AS score FROM f ORDER BY f.score DESC, seen LIMIT
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector candidates (twice as many as asked for), fused, the best ten."""
-    d, e = texts_table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "embeddings")
-    words = R.ranked(R.bm25(d, "doc_id", "text", QUESTION, 20, F.col("source") == "src3"), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
+    e = table(spark, sf_dir, "embeddings")
+    words = words_found(spark, sf_dir, 20).select("doc_id", (F.col("rank") - 1).alias("rank"))
     near = R.ranked(R.knn(e, "vec_id", "embedding", probe(), 20), [F.col("distance"), F.col("vec_id")]).select(F.col("vec_id").alias("doc_id"), "rank")
     return R.fuse([words, near], "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files under a path: another one once any of them changes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sha256("\n".join(sorted(files)).encode()).hexdigest()
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -196,3 +196,65 @@ def test_vectors_are_unit(spark):
     df = spark.createDataFrame([("a b c",), ("",), (None,)], "text string")
     rows = filings.with_vectors(df, filings.hashed_vectors(8)).collect()
     assert sum(x * x for x in rows[0].embedding) == pytest.approx(1.0) and sum(rows[1].embedding) == 0.0
+
+
+# ---- dictionary matching
+
+
+def plain_mentions(text, aliases):
+    import re
+
+    return sorted((m.start(), a, v) for a, v, cased in aliases for m in re.finditer(rf"(?<!\w)(?={re.escape(a)}(?!\w))", text, 0 if cased else re.I))
+
+
+def test_hundred_thousand_aliases(spark):
+    """As many aliases in one join, against a matcher that tries each at every place."""
+    import random
+
+    from quillspark.operators import dictionary as D
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)] + ["Été", "J.P.", "at&t", "o'neil", "On", "x-1", "naïve"]
+    aliases = {" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4))): f"T{i}" for i in range(160_000)}
+    aliases = [(a, v, a == "On") for a, v in aliases.items()] + [("!odd", "no", False), ("two  blanks", "yes", False)]
+    texts = [(i, " ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", "'s"]) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(60, None), (61, "!odd two  blanks, ON on On"), (62, "été ÉTÉ xété")]
+    docs, table = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(aliases, "alias string, value string, cased boolean")
+    assert len(aliases) > 100_000
+    got = D.mentions(docs, "id", "text", table)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and len(plan) < 20_000
+    import re
+    from collections import defaultdict
+
+    by_first = defaultdict(list)
+    for a in (x for x in aliases if re.fullmatch(r"\w(.*\w)?", x[0])):
+        by_first[re.match(r"\w*", a[0])[0].lower()].append(a)
+    want = defaultdict(list)
+    for i, t in texts:
+        near = {x for w in re.findall(r"\w+", (t or "").lower()) for x in by_first[w]}
+        for start, a, v in plain_mentions(t or "", near):
+            want[i].append((len(re.findall(r"\w+|\W+", t[:start])), a, v))
+    rows = got.collect()
+    assert sorted((r.id, r.place, r.alias, r.value) for r in rows) == sorted((i, *x) for i, found in want.items() for x in found)
+    kept = D.leftmost_longest(got, "id").collect()
+    size = {(r.id, r.place, r.alias): r.size for r in rows}
+    expected = []
+    for i, found in want.items():
+        free = 0
+        for place, a, v in sorted(found, key=lambda x: (x[0], -size[i, x[0], x[1]], x[1], x[2])):
+            if place >= free:
+                expected.append((i, place, a, v))
+                free = place + size[i, place, a]
+    assert sorted((r.id, r.place, r.alias, r.value) for r in kept) == sorted(expected)
+
+
+def test_no_aliases_and_shuffled_aliases(spark, monkeypatch):
+    from quillspark.operators import dictionary as D
+
+    docs = spark.createDataFrame([(1, "Micron beats Intel; INTEL and ON"), (2, "on"), (3, None)], "id long, text string")
+    table = spark.createDataFrame([("intel", "INTC", False), ("Micron", "MU", False), ("ON", "ON", True)], "alias string, value string, cased boolean")
+    assert D.mentions(docs, "id", "text", table.limit(0)).count() == 0
+    monkeypatch.setattr(D, "BROADCAST_ALIASES", 1)
+    got = {r.id: r.named for r in D.in_order(docs, "id", "text", table, "named").collect()}
+    assert got == {1: ["MU", "INTC", "ON"], 2: [], 3: []}
+    assert {r.id: r.best for r in D.longest_value(docs, "id", "text", table, "best").collect()} == {1: "MU", 2: None, 3: None}
