@@ -3,7 +3,8 @@
 A text is split where word characters meet others; n-grams run from a word to a word with what stands between, so a
 joined n-gram is exactly the text of a mention, punctuation included. Only n-grams with as many pieces as some alias has are
 made. The work grows with the text, not with the number of aliases; nothing in the plan depends on them but the sizes.
-An alias begins and ends with a word character; others can't be whole words and are never found.
+An alias begins and ends with a word character; others can't be whole words and are never found. Keys name rows: of rows that share
+one, all texts count together.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from quillspark.session import shipped
 
 #: Word characters; aliases that are broadcast at most (beyond it both sides are shuffled), pieces of an alias at most.
 WORD, ASCII_WORD = r"\p{L}\p{N}_", "0-9A-Za-z_"
-BROADCAST_ALIASES, MOST_PIECES = 200_000, 63
+BROADCAST_ALIASES, MOST_PIECES = 200_000, 31
 
 
 def pieces(text: Column, word: str = WORD) -> Column:
@@ -39,8 +40,10 @@ def mentions(rows: DataFrame, key: str | list[str], text: str, aliases: DataFram
     sizes = sorted(figures.sizes) or [1]
     split = rows.select(*keys, pieces(F.coalesce(F.col(text), F.lit("")), word).alias("_p"))
     at = F.sequence(F.lit(1), F.size("_p"))
-    gram = lambda i, n: F.when(F.get("_p", i - 1).rlike(f"^[{word}]"), F.struct((i - 1).alias("place"), F.lit(n).alias("size"), F.concat_ws("", F.slice("_p", i, n)).alias("text")))
-    grams_of = lambda n: F.filter(F.transform(at, lambda i: gram(i, n)), lambda g: g.isNotNull())
+    # pieces are picked one by one: slices would copy the whole array each
+    said = lambda i, n: F.concat(*[F.get("_p", i + (j - 1)) for j in range(n)])
+    gram = lambda i, n: F.when(F.get("_p", i - 1).rlike(f"^[{word}]"), F.struct((i - 1).alias("place"), F.lit(n).alias("size"), said(i, n).alias("text")))
+    grams_of = lambda n: F.filter(F.transform(at, lambda i: gram(i, n)), lambda g: g["text"].isNotNull())
     made = F.flatten(F.array(*map(grams_of, sizes)))
     grams = split.select(*keys, F.explode(made).alias("_g")).select(*keys, "_g.place", "_g.text", F.col("_g.size").alias("size"), F.lower("_g.text").alias("_gram"))
     found = grams.join(F.broadcast(known) if figures.n <= BROADCAST_ALIASES else known, ["_gram", "size"])
@@ -69,12 +72,19 @@ def leftmost_longest(found: DataFrame, key: str | list[str]) -> DataFrame:
     return grouped.select(*keys, F.explode(F.pandas_udf(shipped(run), kind)("_h")).alias("_m")).select(*keys, "_m.*")
 
 
+def joined_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows with the columns found for their keys; null keys are keys like others."""
+    named = found.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(named[f"_k_{k}"]) for k in keys]
+    return rows.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def longest_value(rows: DataFrame, key: str | list[str], text: str, aliases: DataFrame, name: str, word: str = WORD) -> DataFrame:
     """All rows with the value of the longest alias in their text, of equally long ones the first by alphabet; null if there is none."""
     keys = [key] if isinstance(key, str) else key
-    order = F.struct((-F.length("alias")).alias("_n"), F.lower("alias").alias("_a"))
+    order = F.struct((-F.length("alias")).alias("_n"), F.lower("alias").alias("_a"), F.col("value").alias("_v"))
     best = mentions(rows, keys, text, aliases, word).groupBy(*keys).agg(F.min_by("value", order).alias(name))
-    return rows.join(best, keys, "left")
+    return joined_back(rows, best, keys)
 
 
 def in_order(rows: DataFrame, key: str | list[str], text: str, aliases: DataFrame, name: str, word: str = WORD) -> DataFrame:
@@ -82,4 +92,4 @@ def in_order(rows: DataFrame, key: str | list[str], text: str, aliases: DataFram
     keys = [key] if isinstance(key, str) else key
     first = mentions(rows, keys, text, aliases, word).groupBy(*keys, "value").agg(F.min("place").alias("place"))
     listed = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias(name))
-    return rows.join(listed, keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return joined_back(rows, listed, keys).withColumn(name, F.coalesce(name, F.array().cast("array<string>")))

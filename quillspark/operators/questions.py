@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import dictionary
 
 #: Signal words of intents and kinds.
 COMPARISON = ["compare", "comparison", "versus", " vs ", " vs.", "over the years", "year over year", "year-over-year", "y-o-y", "yoy", "trend", "historically", "history", "last 3 years", "last 5 years", "last two years", "last three years", "how has", "changed over", "change over", "growth over", "quarter over quarter", "quarter-over-quarter", "q-o-q", "qoq", "multi-year", "multiyear"]
@@ -91,18 +92,15 @@ def asked_concepts(question: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(c) for c in DEFAULT_CONCEPTS]))
 
 
-def named_companies(question: Column, names: dict[str, list[str]]) -> Column:
-    """Tickers named in a question in the order of their first mention: names as whole words, symbols of three letters and
-    more; the name 'on' counts in capitals only."""
-    hits = []
-    for ticker, known in names.items():
-        patterns = [r"\bON\b" if n == "on" else r"(?i)\b" + re.escape(n) + r"\b" for n in known]
-        if len(ticker) >= 3:
-            patterns.append(r"(?i)\b" + re.escape(ticker) + r"\b")
-        places = [F.nullif(F.length(F.regexp_extract(question, f"(?s)^(.*?)(?:{p})", 0)), F.lit(0)) for p in patterns]
-        hits.append(F.struct(F.array_min(F.array(*places)).alias("at"), F.lit(ticker).alias("ticker")))
-    found = F.filter(F.array(*hits), lambda h: h["at"].isNotNull())
-    return F.transform(F.array_sort(found), lambda h: h["ticker"])
+def named_companies(questions: DataFrame, key: str | list[str], text: str, aliases: DataFrame, name: str = "named") -> DataFrame:
+    """All questions with the distinct tickers that they name as whole words, in the order of first mention. aliases: alias, value, cased."""
+    return dictionary.in_order(questions, key, text, aliases, name)
+
+
+def aliases_of(spark, names: dict[str, list[str]]) -> DataFrame:
+    """Names and symbols of three letters and more as a table of aliases; the name 'on' counts in capitals only."""
+    known = {(n, t) for t, ns in names.items() for n in [*ns, *([t.lower()] if len(t) >= 3 else [])]}
+    return spark.createDataFrame([("ON" if n == "on" else n, t, n == "on") for n, t in sorted(known)], "alias string, value string, cased boolean")
 
 
 def comparison_mode(question: Column, named: Column, subject: Column) -> Column:
@@ -126,9 +124,10 @@ UNCOVERED = [
 ]
 
 
-def uncovered(question: Column, names: list[str] = UNCOVERED) -> Column:
-    """The uncovered company that a question names as a whole word, null if none; the longest name first, then by alphabet."""
-    return T.first_match(F.lower(question), [(rf"\b{re.escape(n)}\b", n) for n in sorted(names, key=lambda n: (-len(n), n))])
+def uncovered(questions: DataFrame, key: str | list[str], text: str, aliases: DataFrame, name: str = "company") -> DataFrame:
+    """All questions with the uncovered company that they name as a whole word, null if none; the longest name first, then by alphabet.
+    aliases: alias, value."""
+    return dictionary.longest_value(questions, key, text, aliases, name)
 
 
 def shows_figure(answer: Column) -> Column:

@@ -109,19 +109,6 @@ def relevance_filter(chunks: DataFrame, text: str, question: str, least: float =
     return (scored.orderBy(F.desc("_o")).limit(1) if kept.isEmpty() else kept).drop("_o", "_k")
 
 
-def resolve_ticker(questions: DataFrame, text: str, aliases: list[tuple[str, str]]) -> Column:
-    """The ticker of the longest alias that occurs as a whole word; of equally long ones the alphabetically first. Symbols need three letters."""
-    import re
-
-    found = None
-    for alias, ticker in sorted(aliases, key=lambda a: (-len(a[0]), a[0])):
-        if len(alias) < 3:
-            continue
-        hit = F.when(F.col(text).rlike(r"(?i)\b" + re.escape(alias) + r"\b"), F.lit(ticker))
-        found = hit if found is None else F.coalesce(found, hit)
-    return found if found is not None else F.lit(None).cast("string")
-
-
 def keyword_fallback(docs: DataFrame, key: str, text: str, question: str, k: int, most_words: int = 10) -> DataFrame:
     """Documents that hold any of the question's first words of four letters and more, in the order of their keys."""
     words = [w for w in question.lower().split() if len(w) >= 4][:most_words]

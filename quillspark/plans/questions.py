@@ -33,11 +33,29 @@ def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("event_id", Q.intent(t).alias("intent"), Q.kind(t).alias("kind"), Q.chart_metric(t).alias("chart"), F.coalesce(Q.year_horizon(t), F.lit(0)).alias("horizon"))
 
 
-@query(f"WITH {BASE} SELECT event_id, CASE event_id % 12 WHEN 1 THEN 'INTC,AMD' WHEN 9 THEN 'AMD,INTC,NVDA' WHEN 10 THEN 'ON,MU' ELSE '' END AS named, CASE event_id % 12 WHEN 1 THEN 'explicit' WHEN 9 THEN 'explicit' WHEN 10 THEN 'explicit' WHEN 11 THEN 'peer' END AS mode FROM m")
+W = r"[\pL\pN_]"
+#: Names that the tables' texts hold: the first two and the first three words of every benchmark passage.
+NAMES_SQL = f"a AS (SELECT DISTINCT 'B' || item_id AS v, lower(regexp_extract(text, '^({W}+ ){{' || n || '}}{W}+')) AS alias FROM benchmark, (VALUES (1), (2)) t(n)), k AS (SELECT * FROM a WHERE alias <> '')"
+MET_SQL = rf"low AS MATERIALIZED (SELECT doc_id, lower(text) AS low FROM documents), met AS MATERIALIZED (SELECT doc_id, v, alias, low FROM low, k WHERE contains(low, alias)), hit AS MATERIALIZED (SELECT * FROM met WHERE regexp_matches(low, '(^|[^\pL\pN_])' || alias || '($|[^\pL\pN_])'))"
+
+
+def passage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = lambda n: F.regexp_extract("text", rf"^([\p{{L}}\p{{N}}_]+ ){{{n}}}[\p{{L}}\p{{N}}_]+", 0)
+    each = F.explode(F.array(lead(1), lead(2))).alias("alias")
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("value"), each).filter("alias <> ''")
+
+
+@query(
+    rf"""WITH {NAMES_SQL}, {MET_SQL},
+h AS (SELECT doc_id, v, min(length(regexp_extract(low, '(?s)^(.*?)(?:^|[^\pL\pN_])' || alias || '(?:$|[^\pL\pN_])', 1))) AS place FROM hit GROUP BY ALL),
+n AS (SELECT doc_id, list(v ORDER BY place, v) AS vs FROM h GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(vs, ','), '') AS named, CASE WHEN len(vs) >= 2 THEN 'explicit' WHEN len(vs) = 1 AND (contains(lower(text), 'competitor') OR contains(lower(text), 'peers') OR contains(lower(text), 'industry') OR contains(lower(text), 'rivals')) THEN 'peer' END AS mode
+FROM documents LEFT JOIN n USING (doc_id)"""
+)
 def companies_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies in the order of mention, and the kind of comparison."""
-    rows = asked(spark, sf_dir).withColumn("n", Q.named_companies(F.col("t"), NAMES))
-    return rows.select("event_id", F.array_join("n", ",").alias("named"), Q.comparison_mode(F.col("t"), F.col("n"), F.lit("NVDA")).alias("mode"))
+    """Names in every document in the order of mention, and the kind of comparison."""
+    rows = Q.named_companies(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", passage_names(spark, sf_dir))
+    return rows.select("doc_id", F.array_join("named", ",").alias("named"), Q.comparison_mode(F.col("text"), F.col("named"), F.lit(None).cast("string")).alias("mode"))
 
 
 @query(f"WITH {BASE} SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'GrossProfit,Revenues,RevenueFromContractWithCustomer,CostOfGoodsAndServicesSold,CostOfRevenue' WHEN 1 THEN 'Revenues,RevenueFromContractWithCustomer' WHEN 2 THEN 'Revenues,RevenueFromContractWithCustomer' WHEN 3 THEN 'NetIncomeLoss' WHEN 4 THEN 'ResearchAndDevelopmentExpense' WHEN 5 THEN 'Revenues,RevenueFromContractWithCustomer' WHEN 7 THEN 'NetCashProvidedByUsedInOperatingActivities,PaymentsToAcquirePropertyPlantAndEquipment,LongTermDebt' ELSE 'Revenues,NetIncomeLoss,OperatingIncomeLoss' END AS concepts FROM m")

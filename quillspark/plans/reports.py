@@ -11,6 +11,7 @@ from quillspark.operators import graph
 from quillspark.operators import questions as Q
 from quillspark.operators import relational as R
 from quillspark.operators import retrieval, texts
+from quillspark.plans.questions import MET_SQL, NAMES_SQL, passage_names
 from quillspark.plans.registry import query, table
 from quillspark.plans.storage import scratch
 from quillspark.sources import filings, tables
@@ -36,15 +37,11 @@ def longest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.longest_narrative(chunks.filter("source = 'src3'"), "text", "doc_id", 40).select("doc_id", F.length("text").cast("long").alias("size"))
 
 
-UNCOVERED_SQL = "CASE turn % 5 WHEN 0 THEN 'what of boeing' WHEN 1 THEN 'ford or general motors?' WHEN 2 THEN 'a fordable metadata question' WHEN 3 THEN 'Compare Coca Cola, please' ELSE 'nothing named' END"
-
-
-@query(f"SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'boeing' WHEN 1 THEN 'general motors' WHEN 3 THEN 'coca cola' END AS company FROM (SELECT conv_id, turn, {UNCOVERED_SQL} AS t FROM conversations)")
+@query(rf"WITH {NAMES_SQL}, {MET_SQL}, b AS (SELECT doc_id, arg_min(v, struct_pack(n := -length(alias), a := alias, v := v)) AS company FROM hit GROUP BY doc_id) SELECT doc_id, company FROM documents LEFT JOIN b USING (doc_id)")
 def uncovered_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies named that the corpus doesn't cover, as whole words."""
-    k = F.col("turn") % 5
-    said = F.when(k == 0, "what of boeing").when(k == 1, "ford or general motors?").when(k == 2, "a fordable metadata question").when(k == 3, "Compare Coca Cola, please").otherwise("nothing named")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.uncovered(said).alias("company"))
+    """The longest name of a list in every document, as whole words."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Q.uncovered(rows, "doc_id", "text", passage_names(spark, sf_dir)).select("doc_id", "company")
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 ELSE round(doc_id % 100 / 100.0, 2) END AS score FROM documents")

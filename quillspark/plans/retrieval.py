@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
+from quillspark.operators import dictionary as D
 from quillspark.operators import retrieval as R
 from quillspark.operators import textindex as I
 from quillspark.operators import vectorindex as X
@@ -187,9 +188,10 @@ def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\b(berg|that)\\b', 'i') AND NOT regexp_matches(text, '\\bpour\\b', 'i') THEN CASE WHEN regexp_matches(text, '\\bberg\\b', 'i') THEN 'BRG' ELSE 'THT' END WHEN regexp_matches(text, '\\bberg\\b', 'i') THEN 'BRG' WHEN regexp_matches(text, '\\bpour\\b', 'i') THEN 'POU' WHEN regexp_matches(text, '\\bthat\\b', 'i') THEN 'THT' END AS ticker FROM conversations")
 def ticker_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-word aliases in a text, the longest first, then by name."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", R.resolve_ticker(c, "text", [("that", "THT"), ("pour", "POU"), ("berg", "BRG"), ("on", "ON")]).alias("ticker"))
+    """Whole-word aliases in a text, the longest first, then by name; aliases need three letters."""
+    known = [("that", "THT"), ("pour", "POU"), ("berg", "BRG"), ("on", "ON")]
+    aliases = spark.createDataFrame([x for x in known if len(x[0]) >= 3], "alias string, value string")
+    return D.longest_value(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", aliases, "ticker", D.ASCII_WORD).select("conv_id", "turn", "ticker")
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'erst') OR contains(lower(text), 'chkeit') ORDER BY doc_id LIMIT 30")

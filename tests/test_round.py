@@ -119,7 +119,8 @@ def test_number_formats(spark, v, precise, cell, usd):
 
 
 def test_uncovered_company(spark):
-    ask = lambda t: spark.range(1).select(questions.uncovered(F.lit(t))).first()[0]
+    names = spark.createDataFrame([(n, n) for n in questions.UNCOVERED], "alias string, value string")
+    ask = lambda t: questions.uncovered(spark.range(1).withColumn("t", F.lit(t)), "id", "t", names).first().company
     assert ask("What about Goldman Sachs and Ford?") == "goldman sachs" and ask("affordable metadata") is None and ask("META?") == "meta" and ask(None) is None
 
 
@@ -146,3 +147,11 @@ def test_row_ids(spark):
 
     got = tables.with_ids(spark.range(50)).collect()
     assert len({r[0] for r in got}) == 50 and all(len(r[0]) == 36 and r[0][14] == "4" for r in got)
+
+
+def test_companies_in_the_order_of_mention(spark):
+    aliases = questions.aliases_of(spark, {"INTC": ["intel"], "AMD": ["advanced micro", "amd"], "NVDA": ["nvidia"], "ON": ["on"], "MU": ["micron"]})
+    asked = ["Compare Intel and AMD revenue over the years", "AMD vs intel, then NVDA", "is ON better than micron on margins", "What are its competitors?", None, "on and on", "Advanced Micro beats INTC"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "id int, t string")
+    got = {r.id: (r.named, r.mode) for r in questions.named_companies(rows, "id", "t", aliases).select("id", "named", questions.comparison_mode(F.col("t"), F.col("named"), F.lit("NVDA")).alias("mode")).collect()}
+    assert got == {0: (["INTC", "AMD"], "explicit"), 1: (["AMD", "INTC", "NVDA"], "explicit"), 2: (["ON", "MU"], "explicit"), 3: ([], "peer"), 4: ([], None), 5: ([], None), 6: (["AMD", "INTC"], "explicit")}
