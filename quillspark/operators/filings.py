@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import texts
 from quillspark.operators.relational import prefix_sums
-from quillspark.session import shipped
+from quillspark.session import ship, shipped
 
 #: Headers of the sections that are kept, by label.
 ANNUAL_HEADERS = {"item_1": r"item\s+1\b(?!\d|a)", "item_1a": r"item\s+1a\b", "item_3": r"item\s+3\b", "item_7": r"item\s+7\b(?!a)", "item_7a": r"item\s+7a\b", "item_8": r"item\s+8\b"}
-PROSPECTUS_HEADERS = {"summary": r"prospectus summary", "risk_factors": r"risk factors", "use_of_proceeds": r"use of proceeds", "mda": r"management.s discussion and analysis", "business": r"business", "financial_statements": r"(?:index to )?(?:consolidated )?financial statements"}
+PROSPECTUS_HEADERS = {
+    "prospectus_summary": r"prospectus\s+summary",
+    "risk_factors": r"risk\s+factors",
+    "use_of_proceeds": r"use\s+of\s+proceeds",
+    "capitalization": r"capitalization",
+    "dilution": r"dilution",
+    "md_and_a": r"management['’]?s\s+discussion\s+and\s+analysis",
+    "business": r"business(?:\s+overview)?",
+}
+#: What a table looks like, in the order in which spans are claimed: piped rows, columns apart by blanks, labels with two figures, lines with amounts.
+TABLE_PATTERNS = [
+    r"(?:^|\n)\s*\|.+\|(?:\s*\n\s*\|.+\|)+",
+    r"(?:^|\n)(?:\S+(?:\s{3,}\S+){2,}\s*\n){2,}",
+    r"(?:^|\n)(?:[^\n]{3,60})\s{2,}[\d,.$()%-]+\s{2,}[\d,.$()%-]+(?:\s*\n(?:[^\n]{3,60})\s{2,}[\d,.$()%-]+\s{2,}[\d,.$()%-]+)+",
+    r"(?:^|\n)(?:.*\$\s*[\d,]+.*\n){3,}",
+]
 LEAST_SECTION, LEAST_COVERAGE, LEAST_TABLE = 200, 0.15, 100
-_ROW = re.compile(r"\|.*\||[^\s|]\s{2,}\(?[$]?[\d,.]+[%)]?\s{2,}\(?[$]?[\d,.]+[%)]?|\$\s*[\d,]+")
+_TABLES = [re.compile(p, re.M) for p in TABLE_PATTERNS]
 
 
 def sections(text: str, headers: dict[str, str], any_header: str | None = None) -> list[tuple[str, str]]:
@@ -38,24 +54,78 @@ def sections(text: str, headers: dict[str, str], any_header: str | None = None)
     return [(label, longest[label]) for label in headers if label in longest]
 
 
+def table_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of tables, in order, none overlapping: patterns claim theirs one after the other, and what comes later yields.
+    Matches of at most LEAST_TABLE characters, blanks around not counted, claim nothing."""
+    taken: list[tuple[int, int]] = []
+    for pattern in _TABLES:
+        for m in pattern.finditer(text):
+            k = bisect_left(taken, m.span())
+            free = (k == 0 or taken[k - 1][1] <= m.start()) and (k == len(taken) or m.end() <= taken[k][0])
+            if free and len(m[0].strip()) > LEAST_TABLE:
+                taken.insert(k, m.span())
+    return taken
+
+
 def segments(text: str) -> list[tuple[str, str]]:
-    """(kind, text) in order: runs of three and more row-like lines are tables if they are long enough, the rest is narrative."""
-    out: list[tuple[str, list[str]]] = []
-    lines = text.split("\n")
-    rows = [bool(_ROW.search(x)) for x in lines]
-    i = 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and rows[j] == rows[i]:
-            j += 1
-        block = lines[i:j]
-        kind = "table" if rows[i] and j - i >= 3 and len("\n".join(block).strip()) > LEAST_TABLE else "narrative"
-        if out and out[-1][0] == kind == "narrative":
-            out[-1][1].extend(block)
-        else:
-            out.append((kind, block))
-        i = j
-    return [(kind, body) for kind, block in out if (body := "\n".join(block).strip())]
+    """(kind, text) in order: tables, and the narrative around them; blank stretches are left out."""
+    spans = table_spans(text)
+    edges = [0, *(x for span in spans for x in span), len(text)]
+    kinds = ["narrative", *["table", "narrative"] * len(spans)]
+    return [(kind, body) for kind, (a, b) in zip(kinds, pairwise(edges), strict=True) if (body := text[a:b].strip())]
+
+
+class TableSpans:
+    """Table function: start, end, body of every table of a text, for LATERAL joins."""
+
+    def eval(self, text: str):
+        for a, b in table_spans(text or ""):
+            yield a, b, text[a:b].strip()
+
+
+class TextSegments:
+    """Table function: place, kind, body of what a text is made of."""
+
+    def eval(self, text: str):
+        for i, (kind, body) in enumerate(segments(text or "")):
+            yield i, kind, body
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """table_spans(text) and text_segments(text) for SQL, as in SELECT id, t.* FROM texts, LATERAL table_spans(text) t."""
+    ship(spark)
+    spark.udtf.register("table_spans", F.udtf(TableSpans, returnType="start int, end int, body string"))
+    spark.udtf.register("text_segments", F.udtf(TextSegments, returnType="place int, kind string, body string"))
+
+
+BLANKS = " \t\n\r\f\x0b"
+
+
+def titled_sections(filings: DataFrame, keys: list[str], text: str, headers: dict[str, str] = PROSPECTUS_HEADERS, least: int = LEAST_SECTION) -> DataFrame:
+    """keys, label, body of titled sections, by built-in functions alone; keys name a filing.
+
+    A header is a line that begins with a title and has at most 80 characters after it. Lines become rows with their place,
+    headers are kept, and each one's stretch ends at the next (`lead`). Contents lists repeat the titles, so of a label the
+    longest stretch stays, the first of equally long ones. A filing without a stretch of more than `least` characters is one section, full_text.
+    Only places go through windows; texts are cut once, at the end."""
+    line = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    rows = filings.select(*keys, F.posexplode(line).alias("_n", "_line"))
+    label = F.coalesce(*[F.when(F.col("_line").rlike(rf"(?i)^[ \t]*{p}[^\n]{{0,80}}\z"), F.lit(n)) for n, p in headers.items()])
+    measured = rows.select(*keys, "_n", (F.length("_line") + 1).cast("long").alias("_size"), label.alias("label"))
+    before = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    marks = measured.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).filter(F.col("label").isNotNull())
+    ends = marks.withColumn("_end", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_n")))
+    listed = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_start", "_end", "label"))).alias("_marks"))
+    named = listed.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    joined = filings.join(named, [filings[k].eqNullSafe(named[f"_k_{k}"]) for k in keys], "left")
+    body = lambda m: F.btrim(F.substr(F.col(text), (m["_start"] + 1).cast("int"), (F.coalesce(m["_end"], F.length(text).cast("long")) - m["_start"]).cast("int")), F.lit(BLANKS))
+    labelled = lambda name: lambda c: c["label"] == name
+    cut = F.transform("_marks", lambda m: F.struct(m["label"].alias("label"), body(m).alias("body")))
+    per_label = [F.array_max(F.transform(F.filter("_cut", labelled(name)), lambda c, i: F.struct(F.length(c["body"]).alias("size"), (-i).alias("first"), c["label"].alias("label"), c["body"].alias("body")))) for name in headers]
+    longest = F.filter(F.array(*per_label), lambda s: s["size"] > least)
+    found = joined.withColumn("_cut", cut).withColumn("_found", longest)
+    whole = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("first"), F.lit("full_text").alias("label"), F.col(text).alias("body")))
+    return found.select(*keys, F.explode(F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole)).alias("_s")).select(*keys, "_s.label", "_s.body")
 
 
 def chunks_of(text: str, headers: dict[str, str], any_header: str | None = r"item\s+\d") -> Iterator[tuple[str, str, str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators import filings
 from quillspark.operators import texts as T
 from quillspark.plans.registry import query, table, texts_table
 
@@ -100,6 +101,45 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.visible_text(F.col("html"))).alias("text_md5"))
 
 
+@query(
+    r"""WITH t AS (SELECT l_orderkey, string_agg('| line ' || l_linenumber || ' | ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' | ' || l_returnflag || l_linestatus || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS body, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS order_key, length('Order ' || l_orderkey || ' of a customer.') AS start, length('Order ' || l_orderkey || ' of a customer.') + 1 + length(body) AS "end", md5(body) AS body_md5 FROM t WHERE n > 1 AND length(body) > 100"""
+)
+def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables within texts, as spans, by a table function in SQL; the texts hold every order's lines as a table between prose."""
+    filings.register_table_functions(spark)
+    row = F.concat(F.lit("| line "), "l_linenumber", F.lit(" | "), F.col("l_quantity").cast("int"), F.lit(" | "), "l_returnflag", "l_linestatus", F.lit(" |"))
+    listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", row.alias("row")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["row"]), "\n")
+    texts = listed.select(F.col("l_orderkey").alias("order_key"), F.concat(F.lit("Order "), "l_orderkey", F.lit(" of a customer.\n"), body, F.lit("\nThat is all of it.")).alias("text"))
+    return spark.sql("SELECT order_key, t.start, t.end, md5(t.body) AS body_md5 FROM {texts}, LATERAL table_spans(text) t", texts=texts)
+
+
+PROSPECTUS = ["Prospectus Summary", "RISK FACTORS", "Use  of Proceeds", "  Business overview of the company"]
+SECTIONED_SQL = "WITH f AS (SELECT doc_id, text, " + " || chr(10) || ".join(f"'{h}'" for h in PROSPECTUS) + " || chr(10) || " + " || chr(10) || ".join(f"'{h}' || chr(10) || substr(text, {1 + 400 * i})" for i, h in enumerate(PROSPECTUS)) + " AS t FROM documents WHERE text IS NOT NULL)"
+
+
+@query(
+    rf"""{SECTIONED_SQL},
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM f),
+p AS (SELECT doc_id, n, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+h AS (SELECT *, CASE {' '.join(f"WHEN regexp_full_match(line, '(?i)[ \t]*{p.replace(chr(39), chr(39) * 2)}[^\n]{{0,80}}') THEN '{n}'" for n, p in filings.PROSPECTUS_HEADERS.items())} END AS label FROM p),
+s AS (SELECT doc_id, label, start, lead(start) OVER (PARTITION BY doc_id ORDER BY n) AS stop FROM h WHERE label IS NOT NULL),
+b AS (SELECT s.doc_id, label, start, trim(CASE WHEN stop IS NULL THEN substr(t, CAST(start + 1 AS BIGINT)) ELSE substr(t, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) END, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS body FROM s JOIN f USING (doc_id)),
+k AS (SELECT doc_id, label, body FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY length(body) DESC, start) = 1),
+g AS (SELECT * FROM k WHERE length(body) > 200)
+SELECT doc_id, label, length(body) AS size, md5(body) AS body_md5 FROM g UNION ALL SELECT doc_id, 'full_text', length(t), md5(t) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM g)"""
+)
+def prospectus_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titled sections of prospectuses, made of every document: a list of contents, then four sections of falling length."""
+    part = lambda i, h: F.concat(F.lit(f"{h}\n"), F.expr(f"substr(text, {1 + 400 * i})"))
+    contents = "\n".join(PROSPECTUS) + "\n"
+    d = texts_table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    made = d.select("doc_id", F.concat(F.lit(contents), F.concat_ws("\n", *[part(i, h) for i, h in enumerate(PROSPECTUS)])).alias("t"))
+    found = filings.titled_sections(made, ["doc_id"], "t")
+    return found.select("doc_id", "label", F.length("body").cast("long").alias("size"), F.md5("body").alias("body_md5"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE page_id % 4 WHEN 0 THEN 'risk_factors' ELSE 'business' END ELSE CASE page_id % 4 WHEN 1 THEN 'mda' ELSE 'narrative' END END AS kind FROM pages")
 def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section types by form and label, whatever the spelling of the label."""

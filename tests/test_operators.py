@@ -258,3 +258,74 @@ def test_no_aliases_and_shuffled_aliases(spark, monkeypatch):
     got = {r.id: r.named for r in D.in_order(docs, "id", "text", table, "named").collect()}
     assert got == {1: ["MU", "INTC", "ON"], 2: [], 3: []}
     assert {r.id: r.best for r in D.longest_value(docs, "id", "text", table, "best").collect()} == {1: "MU", 2: None, 3: None}
+
+
+# ---- tables and titled sections
+
+
+def plain_spans(text):
+    import re
+
+    from quillspark.operators import filings
+
+    taken = []
+    for p in filings.TABLE_PATTERNS:
+        for m in re.finditer(p, text, re.M):
+            if len(m[0].strip()) > 100 and not any(a < m.end() and b > m.start() for a, b in taken):
+                taken.append(m.span())
+    return sorted(taken)
+
+
+PIPES = "\n".join(f"| label of row {i} | {i} | {i * 7} |" for i in range(6))
+GRID = "\n".join(f"name{i}     {i}.0     {i}.5     more" for i in range(8)) + "\n"
+FIGURES = "\n".join(f"Net sales of segment {i}   1,23{i}   ({i}5.0)%" for i in range(5))
+AMOUNTS = "\n".join(f"We paid $ {i},000 for part {i} of the whole" for i in range(5)) + "\n"
+
+
+@pytest.mark.parametrize("text", ["", "prose only", PIPES, f"a\n{PIPES}\nb\n\n{GRID}c\n{FIGURES}\n\nd\n{AMOUNTS}e", f"{AMOUNTS}{PIPES}\n{AMOUNTS}", f"x\n{GRID}{GRID}\n{FIGURES} $ 5\n{AMOUNTS}", "| a |\n| b |", f"{FIGURES}\n{PIPES}"])
+def test_table_spans(text):
+    from quillspark.operators import filings
+
+    spans = filings.table_spans(text)
+    assert spans == plain_spans(text)
+    rebuilt, at = [], 0
+    for a, b in spans:
+        rebuilt += [("narrative", text[at:a].strip()), ("table", text[a:b].strip())]
+        at = b
+    assert filings.segments(text) == [s for s in [*rebuilt, ("narrative", text[at:].strip())] if s[1]]
+
+
+def test_table_functions_in_sql(spark):
+    from quillspark.operators import filings
+
+    filings.register_table_functions(spark)
+    texts = spark.createDataFrame([(1, f"a\n{PIPES}\nb\n\n{GRID}c"), (2, None), (3, "nothing")], "id int, text string")
+    got = spark.sql("SELECT id, t.start, t.end, t.body FROM {texts}, LATERAL table_spans(text) t", texts=texts).collect()
+    assert [(r.id, r.body) for r in sorted(got)] == [(1, PIPES), (1, GRID.strip())]
+    parts = spark.sql("SELECT id, s.place, s.kind FROM {texts}, LATERAL text_segments(text) s", texts=texts).collect()
+    assert sorted(map(tuple, parts)) == [(1, 0, "narrative"), (1, 1, "table"), (1, 2, "narrative"), (1, 3, "table"), (1, 4, "narrative"), (3, 0, "narrative")]
+
+
+def test_titled_sections_equal_the_sliced_text(spark):
+    import re
+
+    from quillspark.operators import filings
+
+    body = lambda w, n: " ".join([w] * n)
+    long_line = "business " + "x" * 200
+    texts = [
+        f"PROSPECTUS SUMMARY\nRisk factors\nBusiness\n\nPROSPECTUS SUMMARY of all\n{body('sum', 100)}\n  risk   FACTORS\n{body('danger', 100)}\n{long_line}\nUSE OF PROCEEDS\nshort\nManagement’s Discussion and Analysis\n{body('mda', 80)}\n\n",
+        "nothing here", "", None, "RISK FACTORS\nshort", f"Dilution\n{body('a', 200)}\nDilution\n{body('b', 200)}\r\n", f"Business\n{body('é漢😀', 120)}\nCapitalization",
+    ]
+    want = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        marks = sorted((m.start(), n) for n, p in filings.PROSPECTUS_HEADERS.items() for m in re.finditer(rf"(?im)^[ \t]*{p}[^\n]{{0,80}}$", t))
+        longest = {}
+        for k, (a, n) in enumerate(marks):
+            part = t[a : marks[k + 1][0] if k + 1 < len(marks) else len(t)].strip()
+            if len(part) > max(200, len(longest.get(n, ""))):
+                longest[n] = part
+        want += [(i, n, b) for n, b in longest.items()] or [(i, "full_text", texts[i])]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert sorted(map(tuple, filings.titled_sections(d, ["id"], "text").collect())) == sorted(want)

@@ -130,7 +130,7 @@ def test_sections_of_both_kinds(spark):
     found = dict(filings.sections(annual, filings.ANNUAL_HEADERS, r"item\s+\d"))
     assert set(found) == {"item_1", "item_1a", "item_7"} and found["item_1"].endswith("long") and "risk" in found["item_1a"]
     prospectus = f"PROSPECTUS SUMMARY\n{body('sum', 100)}\nRISK FACTORS\n{body('danger', 100)}\nUSE OF PROCEEDS\nshort"
-    assert [k for k, _ in filings.sections(prospectus, filings.PROSPECTUS_HEADERS)] == ["summary", "risk_factors"]
+    assert [k for k, _ in filings.sections(prospectus, filings.PROSPECTUS_HEADERS)] == ["prospectus_summary", "risk_factors"]
     assert filings.sections("nothing here", filings.ANNUAL_HEADERS) == [("full_text", "nothing here")]
     longest = spark.range(1).select(texts.longest_section(F.lit(annual), r"item 1\.", r"item [0-9]", 50)).first()[0]
     assert longest.endswith("long")
