@@ -1,8 +1,9 @@
 """A stored inverted index for BM25: written once, kept up by filing, and read only where a question's terms are.
 
 A folder holds, all as Parquet:
-  postings   one row a term and document (tf, length, label, filing), partitioned by bucket (a hash of the term) and sorted by term and level
-             in each file, so that the scan skips row groups of other terms; every document has one of the empty term, which stands for the document
+  postings   one row a term and document (tf, length), partitioned by bucket (a hash of the term) and sorted by term and level in each file,
+             so that the scan skips row groups of other terms
+  documents  key, filing, label, dl of one generation
   blocks     partitioned by bucket, one row a term and level of a generation: its documents (negative for what a removal takes away),
              largest tf and smallest length, which bound what these documents can score; their sum is the term's df
   removed    filings that were taken out, and in which generation
@@ -22,14 +23,15 @@ from quillspark.functions import text as T
 from quillspark.operators.retrieval import EPSILON, K1, B
 from quillspark.sources.tables import exists, fingerprint
 
-#: Partitions of terms, tasks that write one, levels a unit of impact, length that levels are reckoned with, the term that stands for the document.
-BUCKETS, SPLIT, LEVELS, NOMINAL, SELF = 32, 4, 4, 400.0, ""
+#: Partitions of terms, tasks that write one, levels a unit of impact, length that levels are reckoned with.
+BUCKETS, SPLIT, LEVELS, NOMINAL = 32, 4, 4, 400.0
 #: Rows of questions' terms that are broadcast at most; postings of a search from which on blocks are left out by their bounds.
 BROADCAST_ROWS, PRUNED_ROWS = 200_000, 2_000_000
 
 SHAPES = {
-    "postings": "term string, key {key}, tf int, dl int, label string, filing string, level int, generation int, bucket int",
+    "postings": "term string, key {key}, tf int, dl int, level int, generation int, bucket int",
     "blocks": "term string, level int, df long, most int, least int, generation int, bucket int",
+    "documents": "key {key}, filing string, label string, dl int, generation int",
     "removed": "filing string, generation int",
     "stats": "generation int, n long, mean double, mean_idf double, terms long, key_type string",
 }
@@ -73,27 +75,26 @@ class TextIndex:
 
     def documents(self, *more: int) -> DataFrame:
         """key, filing, label, dl of the documents that are there."""
-        own = self.spark.range(1).select(bucket(F.lit(SELF)).alias("b")).first().b
-        rows = self.read("postings", *more).filter((F.col("bucket") == own) & (F.col("term") == SELF))
-        return self.without_removed(rows, *more).select("key", "filing", "label", "dl")
+        return self.without_removed(self.read("documents", *more), *more).select("key", "filing", "label", "dl")
 
     def next_generation(self) -> int:
         """A number that no generation has, not even one that failed."""
-        used = [self.spark.read.parquet(f"{self.folder}/{n}").agg(F.max("generation")).first()[0] for n in ("postings", "removed") if exists(self.spark, f"{self.folder}/{n}")]
+        used = [self.spark.read.parquet(f"{self.folder}/{n}").agg(F.max("generation")).first()[0] for n in ("documents", "removed") if exists(self.spark, f"{self.folder}/{n}")]
         return max([-1, *(u for u in used if u is not None)]) + 1
 
     def add(self, docs: DataFrame, key: str, text: str, filing: str | None = None, label: Column | None = None) -> None:
         """Documents as one more generation. Keys must be new. filing: what they are removed by; label: what a question may boost."""
         generation, self.key_type = self.next_generation(), docs.schema[key].dataType.simpleString()
         mark = F.lit(generation).alias("generation")
+        parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         named = [F.col(key).alias("key"), (F.col(filing) if filing else F.lit(None)).cast("string").alias("filing"), (F.lit(None) if label is None else label).cast("string").alias("label")]
-        tokens = docs.select(*named, T.space_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-        # a document's tokens are in one task, so they are counted before the shuffle
-        each = F.explode(F.array_append("_t", F.lit(SELF))).alias("term")
-        counted = tokens.select("key", "filing", "label", F.size("_t").alias("dl"), each).groupBy("term", "key", "dl", "filing", "label").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        body = F.coalesce(F.col(text), F.lit(""))
+        docs.select(*named, F.regexp_count(body, F.lit(f"{T.SPACE[:1]}^{T.SPACE[1:]}+")).alias("dl"), mark).write.mode("append").parquet(f"{self.folder}/documents")
+        # documents are dealt by key, so that their terms are counted where they are
+        tokens = docs.select(F.col(key).alias("key"), body.alias("_b")).repartition(parts, "key").select("key", T.space_tokens(F.col("_b")).alias("_t"))
+        counted = tokens.select("key", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         level = F.floor(impact(F.col("tf"), F.col("dl"), NOMINAL) * LEVELS).cast("int").alias("level")
-        rows = counted.select("term", "key", "tf", "dl", "label", "filing", level, mark, bucket(F.col("term")).alias("bucket"))
-        parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = counted.select("term", "key", "tf", "dl", level, mark, bucket(F.col("term")).alias("bucket"))
         rows.repartition(parts, "bucket", F.pmod(F.xxhash64("key"), F.lit(SPLIT))).sortWithinPartitions("bucket", "term", "level").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
         stored = self.read("postings", generation).filter(F.col("generation") == generation)
         self.finish(stored.groupBy("bucket", "term", "level").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least")), generation)
@@ -102,8 +103,8 @@ class TextIndex:
         """Take all documents of these filings (one column) out; they may be added anew later."""
         generation, self.key_type = self.next_generation(), self.now.key_type
         gone = filings.select(F.col(filings.columns[0]).cast("string").alias("_f")).distinct()
-        there = self.without_removed(self.read("postings").select("bucket", "term", "level", "filing", "generation"))
-        lost = there.join(gone, F.col("filing").eqNullSafe(F.col("_f")), "left_semi").groupBy("bucket", "term", "level").agg((-F.count(F.lit(1))).alias("df"))
+        keys = self.documents().join(gone, F.col("filing").eqNullSafe(F.col("_f")), "left_semi").select("key")
+        lost = self.read("postings").join(keys, "key", "left_semi").groupBy("bucket", "term", "level").agg((-F.count(F.lit(1))).alias("df"))
         lost = lost.withColumns({"most": F.lit(0), "least": F.lit(None).cast("int")})
         lost.write.mode("overwrite").parquet(f"{self.folder}/staged")  # what is lost is read before the removal is on record
         gone.select(F.col("_f").alias("filing"), F.lit(generation).alias("generation")).write.mode("append").parquet(f"{self.folder}/removed")
@@ -114,7 +115,7 @@ class TextIndex:
         changes.select("term", "level", "df", "most", "least", F.lit(generation).alias("generation"), "bucket").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/blocks")
         live = self.documents(generation)
         corpus = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean")).first()
-        df = self.read("blocks", generation).filter(F.col("term") != SELF).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        df = self.read("blocks", generation).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         raw = df.select((F.log(F.lit(corpus.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
         figures = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0)).alias("mean_idf"), F.count(F.lit(1)).alias("terms")).first()
         row = (generation, corpus.n, corpus.mean, figures.mean_idf, figures.terms, self.key_type)
@@ -157,12 +158,12 @@ class TextIndex:
     def opened(self, blocks: DataFrame, buckets: list[int], small, boost: float) -> DataFrame:
         """_q, key, score: what these blocks' postings add up to."""
         postings = self.read("postings").filter(F.col("bucket").isin(buckets))
-        rows = self.without_removed(postings.join(small(blocks.select("_q", "_label", "bucket", "term", "level", "weight")), ["bucket", "term", "level"]))
+        rows = postings.join(small(blocks.select("_q", "_label", "bucket", "term", "level", "weight")), ["bucket", "term", "level"])
         part = impact(F.col("tf"), F.col("dl"), self.now.mean) * F.col("weight")
         times = F.when(F.col("label") == F.col("_label"), F.lit(boost)).otherwise(1.0)
-        summed = rows.groupBy("_q", "key").agg(F.sum(part).alias("score"), F.first(times).alias("_b"))
+        summed = rows.groupBy("_q", "_label", "key").agg(F.sum(part).alias("score")).join(self.documents().select("key", "label"), "key")
         # sums in another order differ in their last digits: scores equal to 9 digits are ties
-        return summed.select("_q", "key", F.round(F.col("score") * F.col("_b"), 9).alias("score"))
+        return summed.select("_q", "key", F.round(F.col("score") * times, 9).alias("score"))
 
     def worth_opening(self, blocks: DataFrame, k: int, boost: float) -> DataFrame:
         """Blocks whose bound, with the best that the question's other terms can add, reaches the k-th best score that the

@@ -178,7 +178,7 @@ def test_upkeep_by_filing(spark, tmp_path, monkeypatch):
 def test_only_the_buckets_of_the_terms_are_read(spark, tmp_path):
     index = filled(spark, f"file://{tmp_path}/i", spark.createDataFrame(some_docs(50), "doc_id long, source string, text string"))
     plan = scanned(index.search(spark.createDataFrame([(1, "w3")], "q long, t string"), "q", "t", 3))
-    assert plan.count("PartitionFilters: [isnotnull(bucket") + plan.count("PartitionFilters: [bucket") + plan.count("PartitionFilters: [(bucket") >= 3, plan
+    assert plan.count("PartitionFilters: [isnotnull(bucket") + plan.count("PartitionFilters: [bucket") + plan.count("PartitionFilters: [(bucket") >= 2, plan
 
 
 def test_kept_index_is_made_once(spark, tmp_path):
