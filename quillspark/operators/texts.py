@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,22 +81,18 @@ def topic_chunks(text: str | None, most: int = 1500, least: int = 200, similarit
     parts = [p for p in (x.strip(" \t\n\r\f") for x in _END.split(text or "")) if p]
     if not parts or len(text) <= most:
         return [text] if parts else []
-    chunks: list[str] = []
-    now, size = [parts[0]], len(parts[0])
+    ends = [0, *accumulate(map(len, parts))]  # characters before each sentence
     topics = [frozenset(_TOPIC.findall(p.lower())) - _STOPS for p in parts]
-    for p, before, topic in zip(parts[1:], topics, topics[1:], strict=False):
-        alike = len(before & topic) / len(before | topic) if before and topic else 0.0
-        if size + len(p) > most or (alike < similarity and size >= least):
-            chunks.append(" ".join(now))
-            now, size = [], 0
-        now.append(p)
-        size += len(p)
-    rest = " ".join(now)
-    if chunks and len(rest) < least:
-        chunks[-1] = f"{chunks[-1]} {rest}"
-    else:
-        chunks.append(rest)
-    return chunks
+    turns = [i for i, (a, b) in enumerate(pairwise(topics), 1) if len(a & b) < similarity * len(a | b) or not a & b]
+    cuts = [0]
+    while cuts[-1] < len(parts):
+        at = cuts[-1]
+        full = bisect_right(ends, ends[at] + most) - 1
+        turn = bisect_left(turns, max(at + 1, bisect_left(ends, ends[at] + least)))
+        cuts.append(min(max(at + 1, full), *turns[turn : turn + 1], len(parts)))
+    if len(cuts) > 2 and len(" ".join(parts[cuts[-2] :])) < least:
+        del cuts[-2]
+    return [" ".join(parts[a:b]) for a, b in pairwise(cuts)]
 
 
 def semantic_chunks(text: Column, most: int = 1500, least: int = 200, similarity: float = 0.15) -> Column:

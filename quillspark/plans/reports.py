@@ -14,7 +14,7 @@ from quillspark.operators import retrieval, texts
 from quillspark.plans.questions import MET_SQL, NAMES_SQL, passage_names
 from quillspark.plans.registry import query, table
 from quillspark.plans.storage import scratch
-from quillspark.sources import filings, tables
+from quillspark.sources import filings, tables, xbrl
 
 
 @query("SELECT o_orderkey, o_orderdate, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey DESC) AS INTEGER) AS place FROM orders WHERE o_custkey = 7 AND (o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%LOW%')")
@@ -78,6 +78,26 @@ def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.groupBy("record_id", "provenance").agg(F.count(F.lit(1)).alias("n"), F.count("concept").alias("n_concepts"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query(
+    "SELECT o_orderkey AS order_key, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, x.taxonomy, x.concept, CASE x.concept WHEN 'Revenues' THEN o_totalprice END AS number, CASE x.concept WHEN 'Revenues' THEN 'USD' END AS unit, strftime(o_orderdate, '%Y-%m-%d') AS period_end, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS member FROM orders, (VALUES ('us-gaap', 'Revenues'), ('dei', 'DocumentType')) x(taxonomy, concept)"
+)
+def xbrl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders as an XBRL instance, written, read back and joined with contexts and units; orders in part are dimensional."""
+    o = table(spark, sf_dir, "orders")
+    ref, day = F.concat(F.lit("c"), "o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    segment = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('<xbrli:segment><xbrldi:explicitMember dimension="own:Priority">'), "o_orderpriority", F.lit("</xbrldi:explicitMember></xbrli:segment>"))).otherwise("")
+    who = F.concat(F.lit('<xbrli:entity><xbrli:identifier scheme="http://www.sec.gov/CIK">'), F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lit("</xbrli:identifier>"), segment, F.lit("</xbrli:entity>"))
+    context = F.concat(F.lit('<xbrli:context id="'), ref, F.lit('">'), who, F.lit("<xbrli:period><xbrli:instant>"), day, F.lit("</xbrli:instant></xbrli:period></xbrli:context>"))
+    facts = F.concat(F.lit('<us-gaap:Revenues contextRef="'), ref, F.lit('" unitRef="usd" decimals="2">'), F.col("o_totalprice").cast("string"), F.lit('</us-gaap:Revenues><dei:DocumentType contextRef="'), ref, F.lit('">10-K &amp; more</dei:DocumentType>'))
+    body = F.array_join(F.collect_list(F.concat(context, facts)), "")
+    names = " ".join(f'xmlns:{n}="urn:{n}"' for n in ("xbrli", "xbrldi", "us-gaap", "dei"))
+    whole = o.groupBy("o_custkey").agg(F.concat(F.lit(f'<xbrli:xbrl {names}><xbrli:unit id="usd"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>'), body, F.lit("</xbrli:xbrl>")).alias("value"))
+    path = scratch(spark)
+    whole.select("value").write.text(path)
+    found = xbrl.column_facts(spark.read.text(path), "value", ["us-gaap:Revenues", "dei:DocumentType"])
+    return found.select(F.substring("context", 2, 30).cast("long").alias("order_key"), "cik", "taxonomy", "concept", "number", "unit", "period_end", F.get("dimensions", 0)["member"].alias("member"))
+
+
 @query("SELECT doc_id, substr(text, 1, 200) AS event, substr(source || '/' || lang || '/' || text, 1, 100) AS view FROM documents")
 def event_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the log keeps them, names and views cut to their lengths."""

@@ -68,3 +68,38 @@ def test_replaced_partitions(spark, tmp_path, keys):
     tables.replace_partitions(spark.createDataFrame([("A", "1", 9)], rows.schema), str(tmp_path / "p"), keys)
     left = sorted(r.v for r in spark.read.parquet(str(tmp_path / "p")).collect())
     assert left == ([3, 9] if len(keys) == 1 else [2, 3, 9])
+
+
+def test_xbrl_instances(spark, tmp_path):
+    from quillspark.sources import xbrl
+
+    (tmp_path / "a.xml").write_text(
+        """<?xml version="1.0" encoding="utf-8"?>
+<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:us-gaap="http://fasb.org/us-gaap/2023" xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:xsi="urn:xsi">
+<xbrli:context id="c1"><xbrli:entity><xbrli:identifier scheme="http://www.sec.gov/CIK">0000320193</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2023-01-01</xbrli:startDate><xbrli:endDate>2023-12-31</xbrli:endDate></xbrli:period></xbrli:context>
+<xbrli:context id="c2"><xbrli:entity><xbrli:identifier scheme="http://www.sec.gov/CIK">0000320193</xbrli:identifier><xbrli:segment><xbrldi:explicitMember dimension="us-gaap:X">us-gaap:Y</xbrldi:explicitMember><xbrldi:explicitMember dimension="us-gaap:Z">us-gaap:W</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2023-12-31</xbrli:instant></xbrli:period></xbrli:context>
+<xbrli:unit id="usd"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>
+<xbrli:unit id="eps"><xbrli:divide><xbrli:unitNumerator><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unitNumerator><xbrli:unitDenominator><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unitDenominator></xbrli:divide></xbrli:unit>
+<us-gaap:Revenues contextRef="c1" unitRef="usd" decimals="-6">100</us-gaap:Revenues>
+<us-gaap:Revenues contextRef="c2" unitRef="usd" decimals="-6">40</us-gaap:Revenues>
+<us-gaap:Eps contextRef="c1" unitRef="eps">2.5</us-gaap:Eps>
+<us-gaap:Goodwill contextRef="c1" unitRef="usd" xsi:nil="true"/>
+<us-gaap:Note contextRef="gone">text &amp; more</us-gaap:Note>
+</xbrli:xbrl>"""
+    )
+    facts = xbrl.instance_facts(spark, f"file://{tmp_path}/a.xml")
+    got = ((r.concept, r.value, r.number, r.unit, r.cik, r.period_start, r.period_end, [tuple(d) for d in r.dimensions]) for r in facts.collect())
+    got = sorted(got, key=str)
+    cik = "0000320193"
+    assert got == sorted(
+        [
+            ("Revenues", "100", 100.0, "USD", cik, "2023-01-01", "2023-12-31", []),
+            ("Revenues", "40", 40.0, "USD", cik, None, "2023-12-31", [("us-gaap:X", "us-gaap:Y"), ("us-gaap:Z", "us-gaap:W")]),
+            ("Eps", "2.5", 2.5, "USD/shares", cik, "2023-01-01", "2023-12-31", []),
+            ("Goodwill", None, None, "USD", cik, "2023-01-01", "2023-12-31", []),
+            ("Note", "text & more", None, None, None, None, None, []),
+        ],
+        key=str,
+    )
+    assert xbrl.plain(facts).count() == 4 and {r.taxonomy for r in facts.collect()} == {"us-gaap"}
+    assert xbrl.instance_facts(spark, f"file://{tmp_path}/a.xml", ["us-gaap:Eps", "dei:None"]).count() == 1
