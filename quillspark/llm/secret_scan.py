@@ -19,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import accumulate
 
 import numpy as np
@@ -38,8 +39,10 @@ HEX = re.compile(rb"[0-9a-f]{16,}")
 CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+")
 
 #: Bounds of the training sample: about so many documents read for it, and about so many findings used.
-SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 4_000
+SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 2_000
 RECALL = 0.95
+#: Weight in training of runs that no pattern marks.
+UNMARKED = 0.1
 #: Seeded findings to learn from, and others that are held out.
 SEEDED, SEEDED_HELD = 2400, 1600
 BEFORE, INSIDE, AFTER = 28, 44, 8
@@ -181,10 +184,10 @@ class Network:
         h = np.concatenate(pooled, 1)
         return h @ p["out"] + p["bias"], [h, kept]
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         p = self.params
         z, (h, kept) = self.forward(x)
-        dz = (1 / (1 + np.exp(-z)) - y) / len(x)
+        dz = ((1 / (1 + np.exp(-z)) - y) * weight / len(x)).astype(np.float32)
         g = {"out": h.T @ dz, "bias": dz.sum(keepdims=True), "emb": np.zeros_like(p["emb"])} | {f"{c}{w}": np.zeros_like(p[f"{c}{w}"]) for w in self.widths for c in "wb"}
         dh = dz[:, None] * p["out"] * (h > 0)
         size, at = p["emb"].shape[1], 0
@@ -199,13 +202,15 @@ class Network:
             np.add.at(g["emb"], index, de)
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 5) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 5) -> None:
         rng, m, v, t = np.random.default_rng(seed), {}, {}, 0
+        weight = np.ones(len(x), np.float32) if weight is None else weight
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 t += 1
-                for k, g in self.gradient(x[order[i : i + batch]], y[order[i : i + batch]]).items():
+                some = order[i : i + batch]
+                for k, g in self.gradient(x[some], y[some], weight[some]).items():
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * g
                     v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
                     self.params[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
@@ -238,32 +243,41 @@ class Network:
         self.threshold = min(quantile_threshold(pd.Series(scores[g]), recall) for g in groups)
 
 
-FINDING = pa.schema([("window", pa.binary()), ("label", pa.int32())])
+FINDING = pa.schema([("place", pa.int64()), ("window", pa.binary()), ("label", pa.int32())])
 
 
 def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
-        rows, labels = [], []
-        for text in b.column(1).to_pylist():
+        places, rows, labels = [], [], []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             data = (text or "").encode()
             pieces = [piece for run in candidates(data) for piece in stretches(*run)]
             for piece, free in zip(pieces, apart(pieces, base_spans(data)) if pieces else [], strict=True):
+                places.append(int.from_bytes(blake2b(f"{key}:{piece[0]}".encode(), digest_size=8).digest(), "big", signed=True))
                 rows.append(window(data, *piece))
                 labels.append(int(not free))
-        yield frame({"window": rows, "label": labels}, FINDING)
+        yield frame({"place": places, "window": rows, "label": labels}, FINDING)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = SAMPLE_FINDINGS, recall: float = RECALL) -> Network:
-    """docs: doc_id, text. The sample is taken by hashed id, so it is the same on every run."""
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = SAMPLE_FINDINGS) -> list[tuple[bytes, int]]:
+    """At most so many windows with their labels, of about so many documents, in an order of their own."""
     drawn = docs.filter(share_of("doc_id", min(1.0, sample_docs / max(1, docs.count()))))
-    found = cut(arrow_map(drawn, sample_batches, "window binary, label int"))
-    found = sorted(found.filter(share_of("window", min(1.0, findings / max(1, found.count())))).collect())  # about so many; no task sends more than its share
+    found = cut(arrow_map(drawn, sample_batches, "place long, window binary, label int"))
+    some = found.filter(share_of("place", min(1.0, findings / max(1, found.count()))))  # no task sends more than its share
+    return sorted((bytes(r.window), r.label) for r in some.limit(findings).collect())
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = SAMPLE_FINDINGS, recall: float = RECALL) -> Network:
+    """docs: doc_id, text. The sample is taken by hashed id and place, so it is the same on every run."""
+    found = sample(docs, sample_docs, findings)
     rows, labels = seeded_findings()
-    rows, labels = rows + [bytes(r.window) for r in found], np.array(labels + [r.label for r in found], np.float32)
-    held = (np.random.default_rng(11).random(len(rows)) < 0.2) & (np.arange(len(rows)) >= len(rows) - len(found))
+    made = len(rows)
+    rows, labels = rows + [w for w, _ in found], np.array(labels + [label for _, label in found], np.float32)
+    corpus = np.arange(len(rows)) >= made
+    held = (np.random.default_rng(11).random(len(rows)) < 0.2) & corpus & (labels > 0)
     x = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WIDTH)
     network = Network.fresh()
-    network.fit(x[~held], labels[~held])
+    network.fit(x[~held], labels[~held], np.where(corpus & (labels == 0), UNMARKED, 1.0).astype(np.float32)[~held])
     apart, apart_labels, kinds = seeded_by_kind(SEEDED_HELD, seed=8)
     apart, kinds = apart + [r for r, h in zip(rows, held, strict=True) if h], np.array(kinds + [""] * int(held.sum()))
     network.calibrate(apart, np.concatenate([np.array(apart_labels, np.float32), labels[held]]), recall, kinds)

@@ -307,3 +307,58 @@ def test_defined_cases(spark):
     assert sorted((r.doc_id, r.length) for r in placed if r.doc_id in (1, 2, 4))[:2] == [(1, 1), (2, 1)]
     same = [r for r in placed if r.doc_id == 4]
     assert len(same) == 2 and same[0].ids_crc32 == same[1].ids_crc32 and (same[0].sequence_id, same[0].offset) != (same[1].sequence_id, same[1].offset)
+
+
+# ---- 1, again
+
+
+def test_a_repeated_window_is_sampled_like_others(spark):
+    """One line in 20 000 documents: no more windows than the bound are collected, and the network still learns."""
+    line = "The same notice stands in every one of them: internationalization_of_notices and no more."
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(line).alias("text"))
+    found = secret_scan.sample(docs)
+    assert 0.8 * secret_scan.SAMPLE_FINDINGS < len(found) <= secret_scan.SAMPLE_FINDINGS
+    few = secret_scan.sample(docs, findings=100)
+    assert 50 < len(few) <= 100 and len({w for w, _ in few}) == 1
+    network = secret_scan.train(docs)
+    rows, labels, kinds = secret_scan.seeded_by_kind(600, seed=77)
+    assert (network.score(rows) >= network.threshold)[np.isin(kinds, secret_scan.UNPATTERNED)].mean() >= 0.9
+
+
+def test_planted_secrets_that_the_generator_does_not_make(spark, docs):
+    """Other kinds in other surroundings, one in each of 200 whole held-out documents: recall, and precision over all that is added."""
+    import random
+
+    rng = random.Random(17)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {
+        "google": lambda: ("const mapsKey(", "AIza" + pick(low + up + num + "_-", 35), ");"),
+        "mailer": lambda: ("X-Smtp-Auth ", "SG." + pick(low + up + num, 22) + "." + pick(low + up + num + "_-", 43), "\n"),
+        "live": lambda: ("<charge using='", "rk_live_" + pick(low + up + num, 24), "'/>"),
+        "account": lambda: ("AccountKey=", pick(low + up + num + "+/", 86) + "==", ";EndpointSuffix"),
+        "hook": lambda: ("POST https://hooks.example.com/services/", "T" + pick(up + num, 8) + "/B" + pick(up + num, 8) + "/" + pick(low + up + num, 24), " every hour"),
+        "signed": lambda: ("&Signature=", pick(low + up + num, 40), "&Expires"),
+    }
+    network = secret_scan.train(docs.select("doc_id", "text").filter("doc_id % 2 = 1"))
+    held = [r.text for r in docs.filter("doc_id % 2 = 0").orderBy("doc_id").collect()] * 2
+    rows, where = [], {}
+    for i, text in enumerate(held):
+        kind = list(kinds)[i % len(kinds)]
+        lead, secret, tail = kinds[kind]()
+        at = text.find(" ", len(text) // 2) + 1
+        rows.append((i, text[:at] + lead + secret + tail + " " + text[at:]))
+        where[i] = (kind, at + len(lead), at + len(lead) + len(secret))
+    hits, added, right = Counter(), 0, 0
+    for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), network).collect():
+        kind, a, b = where[r.doc_id]
+        inside = [f for f in r.findings if f.start < b and f.end > a]
+        hits[kind] += any(min(f.end, b) - max(f.start, a) >= 0.8 * (b - a) for f in inside)
+        model = [f for f in r.findings if f.kind == "model"]
+        added += len(model)
+        right += sum(f in inside for f in model)
+    total = Counter(kind for kind, _, _ in where.values())
+    recall = {k: round(hits[k] / total[k], 3) for k in kinds}
+    print("recall", recall, "precision", round(right / max(1, added), 3), added)
+    # the only words taken for secrets are the joined-up ones planted next to one kind (EndpointSuffix)
+    assert sum(hits.values()) / sum(total.values()) >= 0.9 and right / added >= 0.85
