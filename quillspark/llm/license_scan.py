@@ -2,12 +2,13 @@
 
 A template and a stretch of text are aligned on the words that are unique in both: of these anchors the longest run that
 is in order on both sides is kept (patience sorting), equal words next to the anchors join it, and the gaps between are
-aligned in the same way, and small gaps without such words by a longest common subsequence. The share of the template's words that the alignment covers decides.
+aligned in the same way, and gaps without such words by a longest common subsequence. The share of the template's words that the alignment covers decides.
 
 Stretches are found by anchors: of a template's words the rarest are taken until they have one place more than a copy may
 lack, so every copy at or above the coverage holds one of them. Each place of an anchor in the text is taken for each of its places in
-the template, which tells where the copy would begin and end, with some slack. Full license texts are tried at every place instead.
-So every mention in a long text is judged on its own, and a template that occurs twice is found twice.
+the template, which tells where the copy would begin and end, with some slack. From there the stretch grows at both ends, a
+slack at a time, while at least one word in DENSE of what is added is one that the template still lacks: words put in between make a copy
+longer, not another text. So every mention in a long text is judged on its own, and a template that occurs twice is found twice.
 
 Defined cases: a null or empty text has no license. Words are runs of letters and digits in lower case; offsets are
 code points, ends exclusive. Of findings of one stretch that overlap, the one that matches more words stays, of equal ones
@@ -23,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -132,10 +134,10 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Aff
 }
 #: Words too frequent in any text to look for first.
 COMMON = frozenset("a all an and any are as at be but by for from have if in is it may not of on or other that the their this to under use was we which with you your".split())
-#: Templates of more words than this are looked for at every place, not by anchors.
-LONG = 400
-#: Gaps of at most so many pairs of words are aligned in full where no word is unique on both sides.
-GAP = 2_500
+#: A stretch grows while one in so many of the words added is still lacking; it may begin with this part of the words that a copy needs.
+DENSE, FIRST = 5, 0.4
+#: Gaps of at most so many pairs of words are aligned by a full table, larger ones are halved first.
+TABLE = 2_500
 COVERAGE = 0.75
 WORD = re.compile(r"[^\W_]+")
 
@@ -174,10 +176,39 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def common(a: list[str], b: list[str], i: int, ie: int, j: int, je: int, most: int = GAP) -> list[tuple[int, int]]:
-    """A longest common subsequence of two small gaps; none for larger gaps."""
-    if (ie - i) * (je - j) > most:
-        return []
+def prefix_lengths(a: list[str], b: list[str]) -> list[int]:
+    """Length of a longest common subsequence of a with every prefix of b, from the empty one on."""
+    masks: dict[str, int] = {}
+    for j, w in enumerate(b):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for w in a:
+        u = v & masks.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return [0, *accumulate(bit == "0" for bit in reversed(f"{v:0{len(b)}b}"))] if b else [0]
+
+
+def common(a: list[str], b: list[str], i: int, ie: int, j: int, je: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of two gaps, as places: one gap is halved and the other cut where both halves together match
+    most, until the rest fits a table. Memory grows with the gaps' length, not with their product."""
+    pairs, todo = [], [(i, ie, j, je)]
+    while todo:
+        i, ie, j, je = todo.pop()
+        if i == ie or j == je:
+            continue
+        if ie - i > 1 and (ie - i) * (je - j) > TABLE:
+            half, part = (i + ie) // 2, b[j:je]
+            ahead, back = prefix_lengths(a[i:half], part), prefix_lengths(a[half:ie][::-1], part[::-1])
+            k = max(range(len(part) + 1), key=lambda k: ahead[k] + back[len(part) - k])
+            todo += [(i, half, j, j + k), (half, ie, j + k, je)]
+        else:
+            pairs += tabled(a, b, i, ie, j, je)
+    return sorted(pairs)
+
+
+def tabled(a: list[str], b: list[str], i: int, ie: int, j: int, je: int) -> list[tuple[int, int]]:
+    """The same for small gaps."""
     rest = [[0] * (je - j + 1) for _ in range(ie - i + 1)]
     for x in range(ie - i - 1, -1, -1):
         for y in range(je - j - 1, -1, -1):
@@ -251,39 +282,51 @@ def anchor_words(coverage: float) -> frozenset[str]:
     return frozenset(w for t in templates(coverage) for w in t.anchors)
 
 
+def grown(t: Template, words: list[str], low: int, high: int, free: int) -> tuple[int, int, int]:
+    """The stretch low to high, grown at both ends while it takes in words that the template lacks, and how many of these it then has."""
+    lack = t.bag - Counter(words[low:high])
+    for step in (1, -1):
+        while True:
+            a, b = (high, min(len(words), high + t.slack)) if step > 0 else (max(free, low - t.slack), low)
+            new = Counter(words[a:b]) & lack
+            if a >= b or new.total() * DENSE < b - a:
+                break
+            lack -= new
+            low, high = min(low, a), max(high, b)
+    return low, high, len(t.words) - lack.total()
+
+
 def copies(t: Template, words: list[str]) -> Iterator[list[tuple[int, int]]]:
     """Alignments of the template, as places in it and in the text, that cover enough; they don't overlap.
     A stretch has its words in the template's bag counted before it is aligned: places so near that the words which come in
     between can't make up what lacks are passed over."""
-    m, slack = len(t.words), t.slack
-    if m > LONG:
-        begins = ((i, i) for i in range(-slack, len(words)))
-    else:
-        begins = iter(sorted((p - i, p) for p, w in enumerate(words) if w in t.anchors for i in t.anchors[w]))
+    m, slack, first = len(t.words), t.slack, max(1, int(FIRST * t.need))
     free = 0  # words before it belong to a finding of this template
     following = -len(words) - m  # the first begin that may be a copy's
 
-    def pairs_at(begin: int) -> list[tuple[int, int]]:
-        a = max(free, begin - slack)
-        part = words[a : max(a, begin + m + slack)]
+    def pairs_at(low: int, high: int) -> list[tuple[int, int]]:
+        part = words[low:high]
         pairs = align(t.words, part)
-        if len(pairs) < t.need and m <= LONG and common_length(t.words, part) >= t.need:  # unique words that moved misled the alignment
-            pairs = common(t.words, part, 0, m, 0, len(part), m * len(part))
-        return [(x, a + y) for x, y in pairs]
+        if len(pairs) < t.need and common_length(t.words, part) >= t.need:  # unique words that moved misled the alignment
+            pairs = common(t.words, part, 0, m, 0, len(part))
+        return [(x, low + y) for x, y in pairs]
 
-    for begin, p in begins:
+    for begin, p in sorted((p - i, p) for p, w in enumerate(words) if w in t.anchors for i in t.anchors[w]):
         if begin < following or p < free:
             continue
-        have = Counter(words[max(free, begin - slack, 0) : max(0, begin + m + slack)])
+        low, high = max(free, begin - slack), min(len(words), max(begin + m + slack, free))
+        have = Counter(words[low:high])
         held = sum(min(n, have[w]) for w, n in t.bag.items() if w in have)
-        if held < t.need:
-            following = begin + t.need - held
+        if held < first:
+            following = begin + first - held
             continue
-        pairs = pairs_at(begin)
-        if len(pairs) < t.need:
-            following = begin + (slack // 2 if m > LONG else 1)
+        low, high, held = grown(t, words, low, high, free)
+        pairs = pairs_at(low, high) if held >= t.need else []
+        if len(pairs) < t.need:  # a copy that begins within half a slack would lie in this stretch
+            following = begin + max(1, slack // 2)
             continue
-        again = pairs_at(pairs[0][1] - pairs[0][0])  # the copy's own place
+        a, b = pairs[0][1] - pairs[0][0], pairs[-1][1] + m - pairs[-1][0]  # the copy's own place, with room for what its ends may lack
+        again = pairs_at(*grown(t, words, max(free, min(low, a - slack)), min(len(words), max(high, b + slack)), free)[:2])
         pairs = max(pairs, again, key=len)
         free = pairs[-1][1] + 1
         yield pairs
