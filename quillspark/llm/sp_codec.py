@@ -2,8 +2,8 @@
 
 Normalisation looks up the longest prefix of the rest of the text in the model's compiled character map (a double-array
 trie) and records, for every normalised byte, the source byte it came from. The pieces of every document must spell its
-normalised text byte by byte (else an error is raised), so their running lengths, read through that record, are spans of
-the source. Models without byte pieces, whose unknown piece spells nothing, are refused.
+normalised text byte by byte; then their running lengths, read through that record, are spans of the source. A document whose pieces
+don't has its ids and decoded text all the same, and null instead of spans. Models without byte pieces, whose unknown piece spells nothing, are refused.
 
 Defined cases: a null text counts as empty and gives the end id alone, an empty span list and an empty decoded text.
 Characters without a piece become byte pieces; all of these but the last have empty spans at the character's start,
@@ -159,13 +159,12 @@ class Codec:
             else:
                 yield text, flat[ends[i] : ends[i + 1]], "".join([strings[c] for c in codes[a:b].tolist()])
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end byte of each piece in the source. The normalised text decides: pieces that don't spell it byte by
-        byte are an error."""
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Start and end byte of each piece in the source, None where the pieces don't spell the normalised text byte by byte."""
         normal, origin = self.normalizer.normalize(text)
         content = self.content
         if b"".join([content[i] for i in ids.tolist()]) != normal:
-            raise ValueError("pieces don't tile the normalised text")
+            return None
         ends = np.cumsum(self.bytes_of[ids])
         return origin[np.concatenate([[0], ends[:-1]])] if len(ends) else ends, origin[ends]
 
@@ -181,14 +180,14 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -
         schema = typed(DIGEST if digest else ENCODED, b)
         out: dict[str, list] = {f.name: [] for f in schema}
         for key, (text, ids, decimals) in zip(b.column(0).to_pylist(), codec.encode(b.column(1)), strict=True):
-            starts, ends = codec.spans(text, ids)
+            found = codec.spans(text, ids)
             every = [*ids.tolist(), end]
             decoded = codec.sp.decode(every)
             if digest:
-                spans = zlib.crc32(np.stack([starts, ends]).astype("<i8").tobytes())
+                spans = None if found is None else zlib.crc32(np.stack(found).astype("<i8").tobytes())
                 row = (key, len(every), hashlib.sha256(f"{decimals}{end}".encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), spans)
             else:
-                row = (key, every, starts.tolist(), ends.tolist(), decoded)
+                row = (key, every, *(x if x is None else x.tolist() for x in found or (None, None)), decoded)
             for name, value in zip(out, row, strict=True):
                 out[name].append(value)
         yield frame(out, schema)

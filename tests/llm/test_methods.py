@@ -362,3 +362,20 @@ def test_planted_secrets_that_the_generator_does_not_make(spark, docs):
     print("recall", recall, "precision", round(right / max(1, added), 3), added)
     # the only words taken for secrets are the joined-up ones planted next to one kind (EndpointSuffix)
     assert sum(hits.values()) / sum(total.values()) >= 0.9 and right / added >= 0.85
+
+
+def test_pieces_that_do_not_tile_lose_no_job(spark, monkeypatch):
+    """A document whose pieces don't spell its normalised text keeps ids and text; its spans are null."""
+    docs = spark.createDataFrame([(1, "some words"), (2, "odd one"), (3, "more words")], "doc_id long, text string")
+    path = queries.vocabulary("piece_bpe_32k.model")
+    codec = sp_codec.Codec(path)
+    assert codec.spans("some words", np.array(codec.sp.encode("some other words"))) is None
+    keep = sp_codec.Codec.spans
+    monkeypatch.setattr(sp_codec.Codec, "spans", lambda self, text, ids: None if text == "odd one" else keep(self, text, ids))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3]), "text": pa.array(["some words", "odd one", "more words"])})
+    for digest in (False, True):
+        (out,) = sp_codec.encode_batches(iter([batch]), path, digest)
+        rows = out.to_pylist()
+        assert [r["spans_crc32" if digest else "starts"] is None for r in rows] == [False, True, False]
+        assert [r["n_tokens"] if digest else len(r["ids"]) for r in rows] == [len(codec.sp.encode(t)) + 1 for t in ("some words", "odd one", "more words")]
+    assert sp_codec.encode_documents(docs, path).count() == 3
