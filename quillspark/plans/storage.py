@@ -13,6 +13,7 @@ from quillspark.operators import relational as R
 from quillspark.plans.registry import query, table
 from quillspark.sources import filings, tables
 from quillspark.streaming import events as S
+from quillspark.streaming import merge as M
 
 
 def scratch(spark: SparkSession) -> str:
@@ -125,3 +126,27 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     requests = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("at"))
     return written(spark, S.rate_limited(requests, 3600, 3, forget=False))
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, round(arg_max(value, struct_pack(a := ts, b := event_id)), 2) AS value FROM events GROUP BY ALL")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of several batches, merged into a stored table that keeps each key's latest row."""
+    folder = scratch(spark)
+    table(spark, sf_dir, "events").repartition(4).write.parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    rows = stream.select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("at"))
+    merged = M.MergedTable(spark, f"{folder}/table", ["user_id", "event_type"], "at")
+    merged.follow(rows, f"{folder}/checkpoint", None).awaitTermination()
+    return merged.read().select("user_id", "event_type", "event_id", F.round("value", 2).alias("value"))
+
+
+@query(
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k"
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 2.17: sessions of every user, ended by half an hour without an event, by a stream over all events."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = written(spark, S.sessions(stream, "user_id"), "complete")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "n")

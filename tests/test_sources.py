@@ -103,3 +103,39 @@ def test_xbrl_instances(spark, tmp_path):
     )
     assert xbrl.plain(facts).count() == 4 and {r.taxonomy for r in facts.collect()} == {"us-gaap"}
     assert xbrl.instance_facts(spark, f"file://{tmp_path}/a.xml", ["us-gaap:Eps", "dei:None"]).count() == 1
+
+
+def test_merged_table(spark, tmp_path, monkeypatch):
+    from quillspark.streaming.merge import KEPT, LEAST_SECONDS, MergedTable
+
+    frame = lambda rows: spark.createDataFrame(rows, "k string, at int, v int")
+    merged = MergedTable(spark, f"file://{tmp_path}/t", ["k"], "at", buckets=4)
+    assert merged.read() is None
+    assert merged.upsert(frame([("a", 1, 1), ("b", 1, 1), (None, 1, 1), ("a", 2, 5)]), 0)
+    assert merged.upsert(frame([("a", 1, 9), ("b", 1, 2), ("c", 3, 3)]), 1)
+    want = [("a", 2, 5), ("b", 1, 2), ("c", 3, 3)]
+    got = {tuple(r) for r in merged.read().collect()}
+    assert got == {*want, (None, 1, 1)}
+    # a replayed batch changes nothing, whatever it holds
+    assert not merged.upsert(frame([("a", 99, 99)]), 1) and not merged.upsert(frame([("a", 99, 99)]), 0)
+    assert {tuple(r) for r in merged.read().collect()} == got
+    # a broken batch leaves the old snapshot, and can be delivered again
+    with monkeypatch.context() as m:
+        m.setattr(MergedTable, "put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            merged.upsert(frame([("a", 3, 7)]), 2)
+    assert {tuple(r) for r in merged.read().collect()} == got
+    assert merged.upsert(frame([("a", 3, 7)]), 2)
+    assert ("a", 3, 7) in {tuple(r) for r in merged.read().collect()}
+    for i in range(3, 8):
+        merged.upsert(frame([("b", i, i)]), i)
+    assert len(merged.batches()) <= KEPT + 1 and ("c", 3, 3) in {tuple(r) for r in merged.read().collect()}
+    assert merged.upsert(frame([]), 8) and merged.read().count() == 4
+    asked = []
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("k string, at int, v int").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(type(stream.writeStream), "trigger", lambda self, **how: (asked.append(how), self)[1])
+    monkeypatch.setattr(type(stream.writeStream), "start", lambda self: None)
+    for seconds in (1, 90, None):
+        merged.follow(stream, f"file://{tmp_path}/c", seconds)
+    assert LEAST_SECONDS == 60 and asked == [{"processingTime": "60 seconds"}, {"processingTime": "90 seconds"}, {"availableNow": True}]
