@@ -73,14 +73,15 @@ def markdown_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     the lines with bars that follow; short rows are filled up to the header's width, long ones cut."""
     lines = F.split(F.col(text), "\n")
     at = lambda i: F.get(F.col("_l"), i)
-    heads = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: at(i).contains("|") & ~is_delimiter(at(i)) & F.coalesce(is_delimiter(at(i + 1)), F.lit(False)))
-    split = df.withColumn("_l", lines).withColumn("_h", heads).filter(F.size("_h") > 0)
-    body = split.select(*keys, "_l", "_h", F.posexplode("_l").alias("line", "_t"))
-    head = F.array_max(F.filter("_h", lambda h: h <= F.col("line") - 2))  # the table that may hold the line
-    unbroken = F.forall(F.slice("_l", F.col("_head") + 1, F.col("line") - F.col("_head") + 1), lambda x: x.contains("|"))
-    rows = body.withColumn("_head", head).filter("_head is not null").filter(unbroken)
-    wide = F.size(markdown_cells(at(F.col("_head"))))
-    cells = F.slice(F.concat(markdown_cells(F.col("_t")), F.array_repeat(F.lit(""), wide)), 1, wide)
+    every = F.sequence(F.lit(0), F.size("_l") - 1)
+    heads = F.filter(every, lambda i: at(i).contains("|") & ~is_delimiter(at(i)) & F.coalesce(is_delimiter(at(i + 1)), F.lit(False)))
+    split = df.withColumn("_l", lines).withColumn("_h", heads).filter(F.size("_h") > 0).withColumn("_o", F.filter(every, lambda i: ~at(i).contains("|")))
+    # a table ends at the first line without a bar, or where the next table's body begins; each goes on with its own lines only
+    stop = lambda h: F.least(F.coalesce(F.array_min(F.filter("_o", lambda o: o > h)), F.size("_l")), F.coalesce(F.array_min(F.filter("_h", lambda x: x > h)) + 2, F.size("_l")))
+    tables = F.transform("_h", lambda h: F.struct(h.alias("head"), F.size(markdown_cells(at(h))).alias("wide"), F.slice("_l", h + 3, F.greatest(stop(h) - h - 2, F.lit(0))).alias("body")))
+    one = split.select(*keys, F.explode(tables).alias("_t"))
+    rows = one.select(*keys, "_t.head", "_t.wide", F.posexplode("_t.body").alias("_i", "_line")).withColumn("line", F.col("_i") + F.col("head") + 2)
+    cells = F.slice(F.concat(markdown_cells(F.col("_line")), F.array_repeat(F.lit(""), F.col("wide"))), F.lit(1), F.col("wide"))
     return rows.select(*keys, "line", cells.alias("cells"))
 
 

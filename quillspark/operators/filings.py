@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -144,23 +145,31 @@ def chunk_filings(filings: DataFrame, keys: list[str], text: str = "text", form:
 
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for filed in batches:
-            yield pd.Series([[{"s": s, "k": k, "t": t} for s, k, t in chunks_of(x or "", headers)] for x in filed], dtype=object)
+            yield pd.Series([numbered_chunks(x or "", headers) for x in filed], dtype=object)
 
-    rows = filings.withColumn("_c", F.pandas_udf(shipped(split), "array<struct<s:string,k:string,t:string>>")(text))
-    exploded = rows.select(*keys, F.col(form).alias("form_type") if form else F.lit("10-K").alias("form_type"), F.posexplode("_c").alias("_p", "_c"))
-    place = Window.partitionBy(*keys, "_c.s").orderBy("_p")
-    total = Window.partitionBy(*keys, "_c.s")
+    rows = filings.withColumn("_c", F.pandas_udf(shipped(split), "array<struct<s:string,k:string,i:int,n:int,t:string>>")(text))
+    exploded = rows.select(*keys, F.col(form).alias("form_type") if form else F.lit("10-K").alias("form_type"), F.explode("_c").alias("_c"))
     return exploded.select(
         *keys,
         F.col("_c.s").alias("section_id"),
         texts.section_type(F.col("_c.s"), F.col("form_type")).alias("section_type"),
         F.col("_c.k").alias("content_type"),
-        (F.row_number().over(place) - 1).alias("chunk_index"),
-        F.count(F.lit(1)).over(total).alias("total_chunks"),
+        F.col("_c.i").alias("chunk_index"),
+        F.col("_c.n").alias("total_chunks"),
         F.col("_c.t").alias("text"),
     )
 
 
+def numbered_chunks(text: str, headers: dict[str, str]) -> list[dict]:
+    """The chunks of a filing with their place in the section and the section's number of chunks."""
+    found = list(chunks_of(text, headers))
+    total, seen, out = Counter(s for s, _, _ in found), Counter(), []
+    for s, k, t in found:
+        out.append({"s": s, "k": k, "i": seen[s], "n": total[s], "t": t})
+        seen[s] += 1
+    return out
+
+
 def with_vectors(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], prefix: str = "", text: str = "text") -> DataFrame:
     """embedding: vectors of the texts from any function on lists, scaled to unit length; matrices (token vectors) are averaged first."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import relative_gap
-from quillspark.operators.relational import prefix_sums
+from quillspark.operators.relational import ordered_ranges, prefix_sums
 
 c = F.col
 RECORD = ["record_id", "cik", "accession", "form_type", "period"]
@@ -130,9 +130,10 @@ def market_check(facts: DataFrame, market: DataFrame, fields: dict[str, str], to
 
 def calibrate(verdicts: DataFrame, least: int = 3, high_rate: float = 0.95, medium_rate: float = 0.75) -> DataFrame:
     """One row: thresholds where the agreement of all verdicts at least so confident still meets the rates, else defaults.
-    verdicts: id (a number), confidence, agrees. The running rate is summed up in two steps, by confidence and ranges of ids."""
+    verdicts: id (a number), confidence, agrees. The running rate is summed up in two steps, by ranges of confidence."""
     sums = {"_agreed": c("agrees").cast("long"), "_judged": c("agrees").isNotNull().cast("long")}
-    running = prefix_sums(verdicts.select("id", "confidence", "agrees"), [], [-c("confidence"), F.floor(c("id") / 10_000)], [c("id")], sums)
+    rows = verdicts.select("id", "confidence", "agrees")
+    running = prefix_sums(rows, [], ordered_ranges(rows, -c("confidence"), c("id")), [-c("confidence"), c("id")], sums)
     running = running.withColumn("rate", F.try_divide("_agreed", "_judged"))
     at = lambda rate: F.min(F.when(c("rate") >= rate, c("confidence")))
     one = running.agg(F.count(F.lit(1)).alias("verdicts_used"), at(high_rate).alias("_h"), at(medium_rate).alias("_m"), F.avg(c("agrees").cast("double")).alias("_a"))

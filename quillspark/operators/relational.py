@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,6 +109,19 @@ def prefix_sums(df: DataFrame, keys: list[str], coarse: list[Column], fine: list
     return joined.select(*df.columns, *[(F.coalesce(n, F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
+def ordered_ranges(df: DataFrame, value: Column, tie: Column, n: int = 256, width: int = 10_000) -> list[Column]:
+    """Coarse columns for prefix_sums in the order of value, then tie (a number): n ranges of about as many rows each, by approximate
+    quantiles. A value that fills more than a range, however often it occurs, is split further by tie, width numbers a part."""
+    edges = df.select(value.cast("double").alias("_v")).approxQuantile("_v", [i / n for i in range(1, n)], 0.25 / n)
+    hot = sorted({a for a, b in pairwise(edges) if a == b})
+    cuts = sorted(set(edges))
+    if not cuts:
+        return [F.lit(0), F.lit(0)]
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value.cast("double")))
+    part = F.when(value.cast("double").isin(hot), F.floor(tie / width)) if hot else F.lit(None).cast("long")
+    return [F.coalesce(place, F.lit(-1)), F.coalesce(part, F.lit(-(2**62)))]
+
+
 def replace_partitions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """DELETE by key, then INSERT: rows of old whose key new does not bring, and all of new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

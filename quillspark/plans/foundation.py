@@ -242,7 +242,7 @@ def running_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative agreement in falling order of confidence."""
     v = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", "n_chars", F.col("quality").cast("long").alias("quality"))
     sums = {"agreed": F.col("quality"), "n": F.col("quality").isNotNull().cast("long")}
-    running = R.prefix_sums(v, ["source"], [-F.col("n_chars"), F.floor(F.col("doc_id") / 10_000)], [F.col("doc_id")], sums)
+    running = R.prefix_sums(v, ["source"], R.ordered_ranges(v, -F.col("n_chars"), F.col("doc_id")), [-F.col("n_chars"), F.col("doc_id")], sums)
     return running.select("doc_id", "source", F.round(F.try_divide("agreed", "n"), 6).alias("rate"))
 
 

@@ -115,10 +115,3 @@ def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five worst answers."""
     return golden(spark, sf_dir).orderBy("overall", "id").limit(5).select("id", "overall")
-
-
-@query("SELECT CAST(40 AS BIGINT) AS n, CAST(0 AS BIGINT) AS same")
-def choice_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generators of section 2.15: seeded choice tasks whose profiles differ."""
-    t = G.choice_tasks(40, LEVELS, 5, spark)
-    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("profile_a") == F.col("profile_b")).alias("same"))

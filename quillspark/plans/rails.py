@@ -127,14 +127,6 @@ def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rate_limit_bound(table(spark, sf_dir, "events"), "user_id", "ts", 3600, 60).select("event_id", "in_window")
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, false), (6, false)) t(id, allowed)")
-def sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of some statements may run."""
-    texts = ["SELECT 1", "```sql\nWITH a AS (SELECT 1) SELECT * FROM a -- fine\n```", "DROP TABLE x", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('a', 'b')", ""]
-    statements = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    return statements.select("id", sqlguard.refusals(F.col("t")).isNull().alias("allowed"))
-
-
 @query("""SELECT conv_id, turn, turn % 8 IN (0, 3, 5) AS allowed FROM conversations""")
 def statement_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements made of every message: in strings and comments nothing is blocked, paths, changes and second statements are."""

@@ -155,3 +155,28 @@ def test_companies_in_the_order_of_mention(spark):
     rows = spark.createDataFrame(list(enumerate(asked)), "id int, t string")
     got = {r.id: (r.named, r.mode) for r in questions.named_companies(rows, "id", "t", aliases).select("id", "named", questions.comparison_mode(F.col("t"), F.col("named"), F.lit("NVDA")).alias("mode")).collect()}
     assert got == {0: (["INTC", "AMD"], "explicit"), 1: (["AMD", "INTC", "NVDA"], "explicit"), 2: (["ON", "MU"], "explicit"), 3: ([], "peer"), 4: ([], None), 5: ([], None), 6: (["AMD", "INTC"], "explicit")}
+
+
+def test_choice_tasks_differ(spark):
+    from quillspark.operators import governance
+    from quillspark.plans.governance import LEVELS
+
+    rows = governance.choice_tasks(40, LEVELS, 5, spark).collect()
+    assert len(rows) == 40 and all(r.profile_a != r.profile_b for r in rows)
+
+
+def test_statements_that_may_run(spark):
+    from quillspark.operators import sqlguard
+
+    said = ["SELECT 1", "```sql\nWITH a AS (SELECT 1) SELECT * FROM a -- fine\n```", "```\nSELECT 2", "DROP TABLE x", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('a', 'b')", "", "```"]
+    assert [sqlguard.refusal(t) is None for t in said] == [True, True, True, False, False, False, False, False, False]
+
+
+def test_ranges_hold_bounded_rows(spark):
+    """As many rows a range whatever the values: distinct ones, and one that a third of all rows share."""
+    df = spark.range(9000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.rand(3)).alias("v"))
+    coarse = relational.ordered_ranges(df, -F.col("v"), F.col("id"), 32, 1000)
+    sizes = [r[0] for r in df.groupBy(*coarse).count().select("count").collect()]
+    assert max(sizes) < 900 and len(sizes) < 80
+    got = relational.prefix_sums(df, [], coarse, [-F.col("v"), F.col("id")], {"n": F.lit(1)}).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 9001)) and [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
