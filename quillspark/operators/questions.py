@@ -135,24 +135,103 @@ def shows_figure(answer: Column) -> Column:
     return answer.rlike(r"[$0-9]") & ~T.holds_any(answer, REFUSALS)
 
 
-#: Concepts by group, and the words that lead to a group.
-GROUPS = {
-    "revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet", "SalesRevenueGoodsNet", "RevenueFromContractWithCustomerIncludingAssessedTax"],
-    "profitability": ["NetIncomeLoss", "GrossProfit", "OperatingIncomeLoss", "EarningsPerShareBasic", "EarningsPerShareDiluted", "CostOfGoodsAndServicesSold", "CostOfRevenue", "ResearchAndDevelopmentExpense", "SellingGeneralAndAdministrativeExpense", "OperatingExpenses", "InterestExpense", "IncomeTaxExpenseBenefit"],
-    "leverage": ["Assets", "Liabilities", "StockholdersEquity", "LongTermDebt", "LongTermDebtCurrent", "LiabilitiesCurrent", "AssetsCurrent", "DebtInstrumentCarryingAmount"],
-    "liquidity": ["CashAndCashEquivalentsAtCarryingValue", "OperatingCashFlow", "NetCashProvidedByUsedInOperatingActivities", "NetCashProvidedByUsedInInvestingActivities", "NetCashProvidedByUsedInFinancingActivities", "PaymentsToAcquirePropertyPlantAndEquipment", "FreeCashFlow"],
-    "valuation": ["CommonStockSharesOutstanding", "CommonStockSharesIssued", "TreasuryStockSharesAcquired", "MarketCapitalization"],
-    "banking": ["InterestIncomeExpenseNet", "ProvisionForLoanLeaseAndOtherLosses", "InvestmentIncomeNet", "LoansAndLeasesReceivableNetReportedAmount", "Deposits", "TradingAccountAssets"],
+#: The group of each concept.
+CONCEPT_GROUP = {
+    "Revenues": "revenue",
+    "RevenueFromContractWithCustomerExcludingAssessedTax": "revenue",
+    "SalesRevenueNet": "revenue",
+    "SalesRevenueGoodsNet": "revenue",
+    "RevenueFromContractWithCustomerIncludingAssessedTax": "revenue",
+    "NetIncomeLoss": "profitability",
+    "GrossProfit": "profitability",
+    "OperatingIncomeLoss": "profitability",
+    "EarningsPerShareBasic": "profitability",
+    "EarningsPerShareDiluted": "profitability",
+    "CostOfGoodsAndServicesSold": "profitability",
+    "CostOfRevenue": "profitability",
+    "ResearchAndDevelopmentExpense": "profitability",
+    "SellingGeneralAndAdministrativeExpense": "profitability",
+    "OperatingExpenses": "profitability",
+    "InterestExpense": "profitability",
+    "IncomeTaxExpenseBenefit": "profitability",
+    "Assets": "leverage",
+    "Liabilities": "leverage",
+    "StockholdersEquity": "leverage",
+    "LongTermDebt": "leverage",
+    "LongTermDebtCurrent": "leverage",
+    "LiabilitiesCurrent": "leverage",
+    "AssetsCurrent": "leverage",
+    "DebtInstrumentCarryingAmount": "leverage",
+    "CashAndCashEquivalentsAtCarryingValue": "liquidity",
+    "OperatingCashFlow": "liquidity",
+    "NetCashProvidedByUsedInOperatingActivities": "liquidity",
+    "NetCashProvidedByUsedInInvestingActivities": "liquidity",
+    "NetCashProvidedByUsedInFinancingActivities": "liquidity",
+    "PaymentsToAcquirePropertyPlantAndEquipment": "liquidity",
+    "FreeCashFlow": "liquidity",
+    "CommonStockSharesOutstanding": "valuation",
+    "CommonStockSharesIssued": "valuation",
+    "TreasuryStockSharesAcquired": "valuation",
+    "MarketCapitalization": "valuation",
+    "InterestIncomeExpenseNet": "banking",
+    "ProvisionForLoanLeaseAndOtherLosses": "banking",
+    "InvestmentIncomeNet": "banking",
+    "LoansAndLeasesReceivableNetReportedAmount": "banking",
+    "Deposits": "banking",
+    "TradingAccountAssets": "banking",
 }
-#: Words that lead to a group.
-GROUP_WORDS = {
-    "revenue": ["revenue", "sales", "top line"],
-    "profitability": ["income", "gross profit", "gross margin", "net income", "profit", "earnings", "eps", "operating income", "operating margin", "r&d", "research", "expense", "cost", "margin"],
-    "leverage": ["debt", "leverage", "liability", "equity", "balance sheet", "asset"],
-    "liquidity": ["cash", "liquidity", "free cash", "cash flow", "capex", "capital expenditure", "operating cash"],
-    "valuation": ["share", "outstanding", "market cap"],
-    "banking": ["loan", "deposit", "interest income", "net interest", "provision"],
+#: Words of questions, and the group that each leads to.
+WORD_GROUP = {
+    "revenue": "revenue",
+    "sales": "revenue",
+    "top line": "revenue",
+    "income": "profitability",
+    "gross profit": "profitability",
+    "gross margin": "profitability",
+    "net income": "profitability",
+    "profit": "profitability",
+    "earnings": "profitability",
+    "eps": "profitability",
+    "operating income": "profitability",
+    "operating margin": "profitability",
+    "r&d": "profitability",
+    "research": "profitability",
+    "expense": "profitability",
+    "cost": "profitability",
+    "margin": "profitability",
+    "debt": "leverage",
+    "leverage": "leverage",
+    "liability": "leverage",
+    "equity": "leverage",
+    "balance sheet": "leverage",
+    "asset": "leverage",
+    "cash": "liquidity",
+    "liquidity": "liquidity",
+    "free cash": "liquidity",
+    "cash flow": "liquidity",
+    "capex": "liquidity",
+    "capital expenditure": "liquidity",
+    "operating cash": "liquidity",
+    "share": "valuation",
+    "outstanding": "valuation",
+    "market cap": "valuation",
+    "loan": "banking",
+    "deposit": "banking",
+    "interest income": "banking",
+    "net interest": "banking",
+    "provision": "banking",
 }
+
+
+def by_group(table: dict[str, str]) -> dict[str, list[str]]:
+    """What belongs to each group, in the table's order."""
+    found: dict[str, list[str]] = {}
+    for name, group in table.items():
+        found.setdefault(group, []).append(name)
+    return found
+
+
+GROUPS = by_group(CONCEPT_GROUP)
 #: Groups by relevance to a group.
 GROUP_ORDER = {
     "revenue": ["revenue", "profitability", "liquidity", "leverage"],
@@ -162,6 +241,7 @@ GROUP_ORDER = {
     "valuation": ["valuation", "profitability", "revenue", "liquidity"],
     "banking": ["banking", "profitability", "liquidity", "leverage"],
 }
+#: Named margins and profits, and the concept of each.
 PRIORITIES = [("gross margin", "GrossProfit"), ("gross profit", "GrossProfit"), ("operating margin", "OperatingIncomeLoss"), ("operating income", "OperatingIncomeLoss"), ("net margin", "NetIncomeLoss"), ("profit margin", "NetIncomeLoss"), ("net income", "NetIncomeLoss")]
 NEWEST = re.compile(r"(?i)\b(?:latest|most recent|current|newest|last reported)\b")
 
@@ -169,7 +249,7 @@ NEWEST = re.compile(r"(?i)\b(?:latest|most recent|current|newest|last reported)\
 def question_group(question: str) -> str:
     """The group with most matching words; of equally many the one whose longest word comes first in the order of length."""
     q, votes = question.lower(), {}
-    words = sorted(((w, g) for g, ws in GROUP_WORDS.items() for w in ws), key=lambda x: -len(x[0]))
+    words = sorted(WORD_GROUP.items(), key=lambda x: -len(x[0]))
     for w, g in words:
         if re.search(r"\b" + re.escape(w) + r"\b", q):
             votes[g] = votes.get(g, 0) + 1
