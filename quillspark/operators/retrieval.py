@@ -56,21 +56,17 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric
     return df.filter(F.col(vector).isNotNull() & (F.size(vector) == len(query))).select(key, distance.alias("distance")).orderBy("distance", key).limit(k)
 
 
-#: Queries of a block, rows of a shard at most.
-QUERY_BLOCK, SHARD_ROWS = 2000, 1_000_000
+#: Rows of a shard at most.
+SHARD_ROWS = 1_000_000
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_key, key, distance: the k nearest of every query. Rows are dealt to shards of bounded size, queries to blocks of
-    about so many; every block visits every shard in one join by shard, so the plan is the same for any number of queries.
-    Only every task's k best of a query are shuffled on."""
-    q = queries.select(F.col(query_key), F.col(vector).alias("_q"))
-    blocks = max(1, -(-q.count() // block))
+def knn_batch(df: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """query_key, key, distance: the k nearest of every query. Rows are dealt to shards of bounded size and every query visits every
+    shard in one join by shard, so the plan is the same for any number of queries. Only every task's k best of a query are shuffled on."""
     shards = max(-(-df.count() // shard_rows), df.sparkSession.sparkContext.defaultParallelism)
-    held = q.groupBy(F.pmod(F.hash(query_key), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(query_key, "_q")).alias("_held"))
-    visits = held.select("_held", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
+    visits = queries.select(F.col(query_key), F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
     dealt = df.select(key, vector, F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("_s"))
-    pairs = dealt.join(visits, "_s").select(key, vector, F.explode("_held").alias("_one")).select(F.col(f"_one.{query_key}"), key, V.l2(F.col(vector), F.col("_one._q")).alias("distance"))
+    pairs = dealt.join(visits, "_s").select(query_key, key, V.l2(F.col(vector), F.col("_q")).alias("distance"))
     best = Window.partitionBy(query_key).orderBy("distance", key)
     return pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
