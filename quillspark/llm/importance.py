@@ -151,6 +151,7 @@ def gains_of(corpus: np.ndarray, target: np.ndarray, scale: int = 1000) -> np.nd
 
 def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_000, chunk: int = CHUNK, scale: int = 1000) -> DataFrame:
     """doc_id, n_words, n_features, weight of every row of docs (doc_id, text); target: text."""
+    docs = docs.select("doc_id", "text")
     asked = target.select(F.lit(0).cast("long").alias("doc_id"), "text")
     rows = pieces(docs, n, chunk)
     gains = gains_of(bucket_counts(rows, n, buckets), bucket_counts(pieces(asked, n, chunk), n, buckets), scale)

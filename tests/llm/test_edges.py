@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sp_codec, toxicity, url_filters
+from quillspark.llm import exact_dedup, fim, importance, language_id, license_scan, near_dedup, packing, quality, secret_scan, sp_codec, toxicity, url_filters
 from quillspark.llm.queries import vocabulary
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -25,6 +25,8 @@ def docs(spark):
 
 OPERATORS = {
     "exact_dedup": exact_dedup.exact_dedup,
+    "fill_in_middle": fim.fill_in_middle,
+    "importance": lambda d: importance.resample(d, d.select("text"), chunk=4096),
     "language_id": language_id.train_and_identify,
     "license_scan": license_scan.scan_licenses,
     "near_dedup": lambda d: near_dedup.near_dedup(d, 3, 85),
