@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import relational as R
 from quillspark.plans.registry import query, table
+from quillspark.sources import layouts as L
 from quillspark.sources import tables
 from quillspark.streaming import events as S
 from quillspark.streaming import merge as M
@@ -137,3 +138,21 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     found = written(spark, S.sessions(stream, "user_id"), "complete")
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "n")
+
+
+#: Layouts of an event log over time.
+EVENT_LAYOUTS = [
+    [L.Column("event_id", "int"), L.Column("value", "float")],
+    [L.Column("event_id", "int"), L.Column("value", "double"), L.Column("event_type", "string", "'unknown'")],
+    [L.Column("event_id", "bigint"), L.Column("value", "double"), L.Column("event_type", "string", "'unknown'"), L.Column("user_id", "bigint", "CAST(event_id % 10 AS BIGINT)")],
+]
+
+
+@query("SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN CAST(CAST(value AS FLOAT) AS DOUBLE) ELSE value END, 2) AS value, CASE event_id % 3 WHEN 0 THEN 'unknown' ELSE event_type END AS event_type, CASE event_id % 3 WHEN 2 THEN user_id ELSE event_id % 10 END AS user_id FROM events WHERE value > 5")
+def layout_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored in three layouts, one after the other, read in the last: columns added with defaults, types widened."""
+    e, folder = table(spark, sf_dir, "events"), scratch(spark)
+    for i, layout in enumerate(EVENT_LAYOUTS, 1):
+        some = e.filter(F.col("event_id") % 3 == i - 1).select(*[F.col(c.name).cast(c.type).alias(c.name) for c in layout])
+        L.write_version(some, folder, EVENT_LAYOUTS, i)
+    return L.read_versions(spark, folder, EVENT_LAYOUTS).filter("value > 5").withColumn("value", F.round("value", 2))

@@ -139,3 +139,24 @@ def test_merged_table(spark, tmp_path, monkeypatch):
     for seconds in (1, 90, None):
         merged.follow(stream, f"file://{tmp_path}/c", seconds)
     assert LEAST_SECONDS == 60 and asked == [{"processingTime": "60 seconds"}, {"processingTime": "90 seconds"}, {"availableNow": True}]
+
+
+def test_layouts_of_several_versions(spark, tmp_path):
+    from quillspark.sources.layouts import Column, difference, migrated, read_versions, write_version
+
+    versions = [[Column("id", "int"), Column("v", "float")], [Column("id", "bigint"), Column("v", "double"), Column("kind", "string", "concat('k', id)"), Column("n", "int")]]
+    folder = f"file://{tmp_path}/t"
+    assert read_versions(spark, folder, versions).count() == 0
+    write_version(spark.createDataFrame([(1, 0.5), (2, None)], "id int, v float"), folder, versions, 1)
+    write_version(spark.createDataFrame([("x", 2**40, 1.5, 7)], "kind string, id bigint, v double, n int"), folder, versions, 2)
+    assert sorted(map(tuple, read_versions(spark, folder, versions).collect())) == [(1, 0.5, "k1", None), (2, None, "k2", None), (2**40, 1.5, "x", 7)]
+    plan = read_versions(spark, folder, versions).filter("v > 1").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [IsNotNull(v)") == 2 and "kind" not in plan
+    old = spark.createDataFrame([], "ID int, v double").schema
+    assert [c.name for c in difference(old, versions[1])[0]] == ["kind", "n"] and [c.name for c in difference(old, versions[1])[1]] == ["id"]
+    with pytest.raises(ValueError):
+        difference(old, versions[0])  # v would be narrowed
+    with pytest.raises(ValueError):
+        migrated(spark.createDataFrame([], "id int, v float, more int"), versions[1])  # a column would be lost
+    with pytest.raises(ValueError):
+        write_version(spark.createDataFrame([], "id int, v float"), folder, versions, 2)
