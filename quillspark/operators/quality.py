@@ -6,6 +6,8 @@ a record's findings are arrays of reason codes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +130,15 @@ def market_check(facts: DataFrame, market: DataFrame, fields: dict[str, str], to
     return mapped.join(market, ["ticker", "field"]).withColumn("agrees", relative_gap(c("value"), c("market_value")) <= tolerance)
 
 
+#: Names that known audit firms go by.
+AUDITORS = ["deloitte", "pricewaterhousecoopers", "pwc", "ernst & young", "ey", "kpmg", "grant thornton", "bdo", "rsm", "crowe", "mazars", "moss adams", "cbiz", "plante moran"]
+
+
+def known_auditor(name: Column) -> Column:
+    """Whether a name holds that of a known audit firm, in any case; a null one doesn't."""
+    return F.coalesce(F.lower(name).rlike("|".join(re.escape(a) for a in AUDITORS)), F.lit(False))
+
+
 def calibrate(verdicts: DataFrame, least: int = 3, high_rate: float = 0.95, medium_rate: float = 0.75) -> DataFrame:
     """One row: thresholds where the agreement of all verdicts at least so confident still meets the rates, else defaults.
     verdicts: id (a number), confidence, agrees. The running rate is summed up in two steps, by ranges of confidence."""

@@ -148,3 +148,10 @@ def market_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.lit("MarketCapitalization").alias("concept"), F.col("c_acctbal").alias("value"))
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg((F.max("o_totalprice") / 50).alias("market_value")).withColumn("field", F.lit("market_cap"))
     return Q.market_check(f, m, {"MarketCapitalization": "market_cap"}).select("ticker", "agrees")
+
+
+@query("SELECT doc_id, substr(text, 1, 120) AS name, coalesce(" + " OR ".join(f"contains(lower(substr(text, 1, 120)), '{a}')" for a in Q.AUDITORS) + ", false) AS recognized FROM documents")
+def auditor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what stands where a name is expected holds that of a known audit firm."""
+    name = F.substring("text", 1, 120)
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), Q.known_auditor(name).alias("recognized"))

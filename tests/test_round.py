@@ -180,3 +180,39 @@ def test_ranges_hold_bounded_rows(spark):
     assert max(sizes) < 900 and len(sizes) < 80
     got = relational.prefix_sums(df, [], coarse, [-F.col("v"), F.col("id")], {"n": F.lit(1)}).orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 9001)) and [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+@pytest.mark.parametrize(
+    ("sql", "why"),
+    [
+        ("SELECT a, count(*) FROM t WHERE a > 1 GROUP BY a HAVING count(*) > 1 ORDER BY a LIMIT 3", None),
+        ("WITH w AS (SELECT * FROM t) SELECT x.a, upper(x.b) FROM w x JOIN t y ON x.a = y.a WHERE x.a IN (SELECT a FROM t) AND EXISTS (SELECT 1 FROM w)", None),
+        ("SELECT a, row_number() OVER (PARTITION BY b ORDER BY a) FROM t UNION ALL SELECT 1, 2", None),
+        ("SELECT * FROM (VALUES (1, 2)) v(a, b)", None),
+        ("SELECT * FROM secrets", "tables: secrets"),
+        ("SELECT a FROM t WHERE a = (SELECT max(a) FROM other.t)", "tables: other.t"),
+        ("SELECT * FROM parquet.`/tmp/x`", "tables: parquet./tmp/x"),
+        ("SELECT * FROM information_schema.tables", "tables: information_schema.tables"),
+        ("WITH w AS (SELECT * FROM hidden) SELECT * FROM w", "tables: hidden"),
+        ("SELECT reflect('java.lang.System', 'exit', 0) FROM t", "functions: reflect"),
+        ("SELECT a FROM t WHERE a IN (SELECT java_method('a', 'b') FROM t)", "functions: java_method"),
+        ("DROP TABLE t", "not a question"), ("INSERT INTO t SELECT 1, 2", "not a question"), ("CREATE VIEW v AS SELECT 1", "not a question"), ("SET a = 1", "not a question"),
+        ("SELECT a FROM t WHERE (", "does not parse"),
+    ],
+)
+def test_parsed_plans_are_checked(spark, sql, why):
+    from quillspark.operators import sqlguard
+
+    got = sqlguard.plan_refusal(spark, sql, ["t"])
+    assert got == why or (why and got and got.startswith(why)), got
+
+
+def test_guarded_query_runs_on_known_tables_only(spark):
+    from quillspark.operators import sqlguard
+
+    spark.range(5).createOrReplaceTempView("known_ids")
+    assert sqlguard.run_read_only(spark, "SELECT id FROM known_ids WHERE id > :n", n=2).count() == 2
+    with pytest.raises(ValueError, match="tables"):
+        sqlguard.run_read_only(spark, "SELECT id FROM unknown_ids")
+    with pytest.raises(ValueError, match="tables"):
+        sqlguard.run_read_only(spark, "SELECT id FROM known_ids", tables=["other"])
