@@ -74,8 +74,8 @@ class TextIndex:
         return rows.join(gone, F.col("filing").eqNullSafe(F.col("_filing")) & (F.col("generation") < F.col("_gone")), "left_anti")
 
     def documents(self, *more: int) -> DataFrame:
-        """key, filing, label, dl of the documents that are there."""
-        return self.without_removed(self.read("documents", *more), *more).select("key", "filing", "label", "dl")
+        """key, generation, filing, label, dl of the documents that are there."""
+        return self.without_removed(self.read("documents", *more), *more).select("key", "generation", "filing", "label", "dl")
 
     def next_generation(self) -> int:
         """A number that no generation has, not even one that failed."""
@@ -83,7 +83,7 @@ class TextIndex:
         return max([-1, *(u for u in used if u is not None)]) + 1
 
     def add(self, docs: DataFrame, key: str, text: str, filing: str | None = None, label: Column | None = None) -> None:
-        """Documents as one more generation. Keys must be new. filing: what they are removed by; label: what a question may boost."""
+        """Documents as one more generation. Keys must not be there; those of removed filings may come again. filing: what they are removed by; label: what a question may boost."""
         generation, self.key_type = self.next_generation(), docs.schema[key].dataType.simpleString()
         mark = F.lit(generation).alias("generation")
         parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
@@ -103,8 +103,8 @@ class TextIndex:
         """Take all documents of these filings (one column) out; they may be added anew later."""
         generation, self.key_type = self.next_generation(), self.now.key_type
         gone = filings.select(F.col(filings.columns[0]).cast("string").alias("_f")).distinct()
-        keys = self.documents().join(gone, F.col("filing").eqNullSafe(F.col("_f")), "left_semi").select("key")
-        lost = self.read("postings").join(keys, "key", "left_semi").groupBy("bucket", "term", "level").agg((-F.count(F.lit(1))).alias("df"))
+        keys = self.documents().join(gone, F.col("filing").eqNullSafe(F.col("_f")), "left_semi").select("key", "generation")
+        lost = self.read("postings").join(keys, ["key", "generation"], "left_semi").groupBy("bucket", "term", "level").agg((-F.count(F.lit(1))).alias("df"))
         lost = lost.withColumns({"most": F.lit(0), "least": F.lit(None).cast("int")})
         lost.write.mode("overwrite").parquet(f"{self.folder}/staged")  # what is lost is read before the removal is on record
         gone.select(F.col("_f").alias("filing"), F.lit(generation).alias("generation")).write.mode("append").parquet(f"{self.folder}/removed")
@@ -161,7 +161,8 @@ class TextIndex:
         rows = postings.join(small(blocks.select("_q", "_label", "bucket", "term", "level", "weight")), ["bucket", "term", "level"])
         part = impact(F.col("tf"), F.col("dl"), self.now.mean) * F.col("weight")
         times = F.when(F.col("label") == F.col("_label"), F.lit(boost)).otherwise(1.0)
-        summed = rows.groupBy("_q", "_label", "key").agg(F.sum(part).alias("score")).join(self.documents().select("key", "label"), "key")
+        # a filing that was taken out and added anew has its keys in several generations, one of them there
+        summed = rows.groupBy("_q", "_label", "key", "generation").agg(F.sum(part).alias("score")).join(self.documents().select("key", "generation", "label"), ["key", "generation"])
         # sums in another order differ in their last digits: scores equal to 9 digits are ties
         return summed.select("_q", "key", F.round(F.col("score") * times, 9).alias("score"))
 

@@ -156,12 +156,16 @@ def test_upkeep_by_filing(spark, tmp_path, monkeypatch):
     index = filled(spark, f"file://{tmp_path}/i", frame(rows[:120]))
     index.add(frame(rows[120:]), "doc_id", "text", "source", F.col("source"))
     index.remove(spark.createDataFrame([("s1",), ("s4",), ("none",)], "f string"))
-    again = [(10_000 + i, "s4", t) for i, s, t in rows if s == "s4"]
+    again = [(i if i % 2 else 10_000 + i, "s4", f"{t} w3") for i, s, t in rows if s == "s4"]  # some with the keys that they had
     index.add(frame(again), "doc_id", "text", "source", F.col("source"))
     left = [r for r in rows if r[1] not in ("s1", "s4")] + again
     ask = lambda i: sorted((r.q, r.key, round(r.score, 6), r.rank) for r in i.search(spark.createDataFrame(ASKED, "q long, t string, label string"), "q", "t", 6, "label").collect())
     assert ask(index) == plain_bm25(left, ASKED, 6)
 
+    index.remove(spark.createDataFrame([("s4",)], "f string"))
+    index.add(frame(again), "doc_id", "text", "source", F.col("source"))
+    assert ask(index) == plain_bm25(left, ASKED, 6)
+
     def fails(*_):
         raise RuntimeError
 
