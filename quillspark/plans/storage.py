@@ -14,6 +14,7 @@ from quillspark.sources import layouts as L
 from quillspark.sources import tables
 from quillspark.streaming import events as S
 from quillspark.streaming import merge as M
+from quillspark.streaming import timers
 
 
 def scratch(spark: SparkSession) -> str:
@@ -116,6 +117,23 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, S.rate_limited(requests, 3600, 3, forget=False))
 
 
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "w AS (SELECT user_id, event_id, i, true AS allowed, [us] AS passed FROM e WHERE i = 1 UNION ALL "
+    "SELECT e.user_id, e.event_id, e.i, len(list_filter(passed, lambda t: e.us - t < 3600000000)) < 3, CASE WHEN len(list_filter(passed, lambda t: e.us - t < 3600000000)) < 3 THEN list_append(list_filter(passed, lambda t: e.us - t < 3600000000), e.us) ELSE passed END "
+    "FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) SELECT user_id AS key, event_id AS id, allowed FROM w"
+)
+def stream_limiter_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B10, section 2.17: three requests an hour of every user, by event time; users idle for two hours leave the state by timers."""
+    folder = scratch(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    requests = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = timers.limited(requests, 3600, 3, 7200)
+    timers.run_counted(spark, rows, f"{folder}/rows", f"{folder}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 @query("SELECT user_id, event_type, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, round(arg_max(value, struct_pack(a := ts, b := event_id)), 2) AS value FROM events GROUP BY ALL")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream of several batches, merged into a stored table that keeps each key's latest row."""

@@ -24,6 +24,20 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def admitted(at: np.ndarray, ids: np.ndarray, passed: deque, seconds: int, most: int) -> Iterator[tuple[np.ndarray, list[bool]]]:
+    """Ids in order of time, in blocks, and whether each request passes; passed, the times within the window, is kept up."""
+    order = np.lexsort((ids, at))
+    for some in np.array_split(order, max(1, len(order) // 10_000)):
+        allowed = []
+        for now in at[some].tolist():
+            while passed and now - passed[0] >= seconds:
+                passed.popleft()
+            allowed.append(len(passed) < most)
+            if allowed[-1]:
+                passed.append(now)
+        yield ids[some], allowed
+
+
 def limiter(seconds: int, most: int, forget: bool):
     """State function: requests in order of time; a request passes if fewer than most passed in the seconds before it.
     Refused requests are not remembered. The state, the passed times of the window, is bounded by most. Of a key's requests
@@ -36,16 +50,8 @@ def limiter(seconds: int, most: int, forget: bool):
         passed = deque(sorted(state.get[0]) if state.exists else [])
         held = [(b["at"].to_numpy(), b["id"].to_numpy()) for b in batches]
         at, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, at))
-        for some in np.array_split(order, max(1, len(order) // 10_000)):
-            allowed = []
-            for now in at[some].tolist():
-                while passed and now - passed[0] >= seconds:
-                    passed.popleft()
-                allowed.append(len(passed) < most)
-                if allowed[-1]:
-                    passed.append(now)
-            yield pd.DataFrame({"key": key[0], "id": ids[some], "allowed": allowed})
+        for some, allowed in admitted(at, ids, passed, seconds, most):
+            yield pd.DataFrame({"key": key[0], "id": some, "allowed": allowed})
         state.update((list(passed),))
         if forget:
             state.setTimeoutDuration(2_000 * seconds)
