@@ -27,6 +27,9 @@ MONETARY = ["Revenues", "NetIncomeLoss", "Assets", "Liabilities", "StockholdersE
 PROVENANCE = {"XBRL": 0.98, "STRUCTURED_TABLE": 0.85, "NARRATIVE_LLM": 0.55}
 SCALE_FLOOR, TOLERANCE, IMPLAUSIBLE, MATCH = 10_000.0, 0.05, 0.6, 0.01
 HIGH, MEDIUM = 0.85, 0.55
+#: Items of the identities, concepts whose values must be plausible.
+BALANCED = ["Assets", "Liabilities", "StockholdersEquity", "Revenues", "CostOfRevenue", "GrossProfit"]
+CHECKED = ["Revenues", "NetIncomeLoss", "OperatingIncomeLoss"]
 
 
 def codes(**rules: Column) -> Column:
@@ -57,18 +60,22 @@ def schema_checks(fields: DataFrame) -> DataFrame:
     return per.select("record_id", found.alias("schema_codes"))
 
 
-def semantic_checks(fields: DataFrame, filed: DataFrame) -> DataFrame:
-    """record_id, semantic_codes: identities off by over 5 %, malformed references, values far from the filed ones.
-    filed: cik, concept, period, filed_value (one row a key)."""
-    per = fields.groupBy(*RECORD).agg(*[value_of(n).alias(n) for n in ("Assets", "Liabilities", "StockholdersEquity", "Revenues", "CostOfRevenue", "GrossProfit")])
+def semantic_codes(far: Column) -> Column:
+    """Reasons of a record whose values of the identities' items are columns; far: whether a value is far from the filed one."""
     off = lambda stated, implied: F.coalesce(relative_gap(implied, stated) > TOLERANCE, F.lit(False))
     identity = off(c("Assets"), c("Liabilities") + c("StockholdersEquity")) | off(c("GrossProfit"), c("Revenues") - c("CostOfRevenue"))
     iso = c("period").rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$")
     reference = ~F.coalesce(F.trim("cik").rlike("^[0-9]+$"), F.lit(False)) | ((c("period") != "") & ~iso)
-    checked = fields.filter(c("concept").isin("Revenues", "NetIncomeLoss", "OperatingIncomeLoss") & c("value").isNotNull())
+    return codes(IDENTITY_VIOLATION=identity, REFERENTIAL=F.coalesce(reference, F.lit(False)), OUT_OF_RANGE=far)
+
+
+def semantic_checks(fields: DataFrame, filed: DataFrame) -> DataFrame:
+    """record_id, semantic_codes: identities off by over 5 %, malformed references, values far from the filed ones.
+    filed: cik, concept, period, filed_value (one row a key)."""
+    per = fields.groupBy(*RECORD).agg(*[value_of(n).alias(n) for n in BALANCED])
+    checked = fields.filter(c("concept").isin(CHECKED) & c("value").isNotNull())
     far = checked.join(filed, ["cik", "concept", "period"]).filter(relative_gap(c("value"), c("filed_value")) > IMPLAUSIBLE).select("record_id").distinct().withColumn("_far", F.lit(True))
-    joined = per.join(far, "record_id", "left")
-    return joined.select("record_id", codes(IDENTITY_VIOLATION=identity, REFERENTIAL=F.coalesce(reference, F.lit(False)), OUT_OF_RANGE=c("_far").isNotNull()).alias("semantic_codes"))
+    return per.join(far, "record_id", "left").select("record_id", semantic_codes(c("_far").isNotNull()).alias("semantic_codes"))
 
 
 def accession_prefix_differs(cik: Column, accession: Column) -> Column:
@@ -89,28 +96,51 @@ def record_confidence(validated: DataFrame) -> DataFrame:
     return validated.groupBy("record_id").agg(F.min("field_confidence").alias("confidence"), F.max(F.coalesce(~c("matched"), F.lit(False))).alias("xbrl_mismatch"))
 
 
-def triggers(fields: DataFrame) -> DataFrame:
-    """record_id, triggers: what always escalates, from fields that carry also semantic_codes, xbrl_mismatch,
-    unknown_concept and downstream. Amended filings are seen by form or accession."""
-    said = F.lower(F.coalesce("text_value", F.lit("")))
-    any_of = lambda rule: F.max(F.coalesce(rule, F.lit(False)))
-    eight = c("form_type") == "8-K"
-    rules = {
-        "balance_sheet_imbalance": F.array_contains("semantic_codes", "IDENTITY_VIOLATION"),
+def trigger_rules(findings: Column, mismatch: Column, unknown: Column, downstream: Column) -> dict[str, Column]:
+    """What always escalates, by name, as rules of a field's row. Amended filings are seen by form or accession."""
+    said, eight = F.lower(F.coalesce("text_value", F.lit(""))), c("form_type") == "8-K"
+    return {
+        "balance_sheet_imbalance": F.array_contains(findings, "IDENTITY_VIOLATION"),
         "amended_filing": c("form_type").contains("/A") | c("accession").contains("/A"),
         "bankruptcy_8k": eight & c("name").contains("1.03") & said.contains("bankruptcy"),
         "non_reliance_8k": eight & (c("name").contains("4.02") | said.contains("non-reliance")),
         "auditor_change_8k": eight & (c("name").contains("4.01") | said.contains("auditor")),
         "going_concern": said.contains("going concern") | said.contains("substantial doubt"),
-        "xbrl_mismatch": c("xbrl_mismatch"),
-        "unrecognized_concept": c("unknown_concept"),
-        "out_of_range": F.array_contains("semantic_codes", "OUT_OF_RANGE"),
-        "downstream_action": c("downstream"),
+        "xbrl_mismatch": mismatch,
+        "unrecognized_concept": unknown,
+        "out_of_range": F.array_contains(findings, "OUT_OF_RANGE"),
+        "downstream_action": downstream,
     }
+
+
+def any_of(rule: Column) -> Column:
+    return F.max(F.coalesce(rule, F.lit(False)))
+
+
+def triggers(fields: DataFrame) -> DataFrame:
+    """record_id, triggers, from fields that carry also semantic_codes, xbrl_mismatch, unknown_concept and downstream."""
+    rules = trigger_rules(c("semantic_codes"), c("xbrl_mismatch"), c("unknown_concept"), c("downstream"))
     per = fields.groupBy("record_id").agg(*[any_of(r).alias(n) for n, r in rules.items()])
     return per.select("record_id", codes(**{n: c(n) for n in rules}).alias("triggers"))
 
 
+def decide(fields: DataFrame, filed: DataFrame, unknown: Column, downstream: Column) -> DataFrame:
+    """record_id, semantic_codes, confidence, xbrl_mismatch, triggers, route: all of the above in one join with the filed facts and
+    one aggregate by record, whose first half runs before the shuffle. A record's keys are the same in all its fields.
+    unknown, downstream: rules of a field's row. fields and filed as above; a record without fields has no row."""
+    seen = cross_validate(fields, filed)
+    far = c("concept").isin(CHECKED) & (relative_gap(c("value"), c("filed_value")) > IMPLAUSIBLE)
+    none = F.array().cast("array<string>")
+    of_rows = trigger_rules(none, ~c("matched"), unknown, downstream)
+    per = seen.groupBy(*RECORD).agg(
+        *[value_of(n).alias(n) for n in BALANCED], any_of(far).alias("_far"), F.min("field_confidence").alias("confidence"), *[any_of(r).alias(f"_{n}") for n, r in of_rows.items()]
+    )
+    found = per.withColumn("semantic_codes", semantic_codes(c("_far")))
+    by_record = trigger_rules(c("semantic_codes"), c("_xbrl_mismatch"), F.lit(False), F.lit(False))
+    fired = codes(**{n: by_record[n] if n in ("balance_sheet_imbalance", "out_of_range") else c(f"_{n}") for n in of_rows})
+    return found.withColumn("triggers", fired).select("record_id", "semantic_codes", "confidence", c("_xbrl_mismatch").alias("xbrl_mismatch"), "triggers", route(c("confidence"), c("triggers")).alias("route"))
+
+
 def route(confidence: Column, fired: Column, high: float = HIGH, medium: float = MEDIUM) -> Column:
     return F.when(F.size(fired) > 0, "ESCALATE").when(confidence >= high, "AUTO").when(confidence >= medium, "SAMPLED_REVIEW").otherwise("ESCALATE")
 

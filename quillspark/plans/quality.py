@@ -91,11 +91,8 @@ def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, confidence, triggers, route."""
-    f, known = fields(spark, sf_dir), filed(spark, sf_dir)
-    confidence = Q.record_confidence(Q.cross_validate(f, known))
-    rich = f.join(Q.semantic_checks(f, known), "record_id").join(confidence, "record_id").withColumns({"unknown_concept": F.col("record_id") % 31 == 0, "downstream": F.lit(False)})
-    fired = Q.triggers(rich)
-    return confidence.join(fired, "record_id").withColumn("route", Q.route(F.col("confidence"), F.col("triggers")))
+    done = Q.decide(fields(spark, sf_dir), filed(spark, sf_dir), F.col("record_id") % 31 == 0, F.lit(False))
+    return done.select("record_id", "confidence", "triggers", "route")
 
 
 @query(ALL_SQL + "SELECT record_id, triggers, route FROM routed")
