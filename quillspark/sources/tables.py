@@ -105,8 +105,3 @@ def complete_only(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Rows of keys none of whose vectors is missing."""
     whole = df.groupBy(*keys).agg(F.min(F.col(vector).isNotNull()).alias("_whole")).filter("_whole")
     return df.join(whole, keys, "left_semi")
-
-
-def write_jdbc(df: DataFrame, url: str, staging: str, properties: dict[str, str], batch: int = 1000) -> None:
-    """To a staging table, from which the database inserts what it lacks (ON CONFLICT DO NOTHING)."""
-    df.write.mode("overwrite").option("batchsize", batch).jdbc(url, staging, properties=properties)
