@@ -45,12 +45,12 @@ def preferred_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.preferred(G.conjoint_counts(responses(spark, sf_dir), ATTRS), LEVELS)
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS valid FROM documents")
+@query("SELECT event_id, coalesce(CAST(props ->> 'k' AS INTEGER) BETWEEN 0 AND 49, false) AS valid, false AS lacking FROM events")
 def profile_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles with exactly the known attributes and levels."""
-    k = F.col("doc_id") % 3
-    p = F.when(k == 0, '{"tone":"warm","length":"long","charts":"none"}').when(k == 1, '{"tone":"warm","length":"long"}').otherwise('{"tone":"loud","length":"long","charts":"none"}')
-    return table(spark, sf_dir, "documents").select("doc_id", G.valid_profile(p, LEVELS).alias("valid"))
+    """Profiles with exactly the known attributes and levels; every event's properties are one, whose level is known below 50; an attribute more is lacking in all."""
+    known = {"k": [str(i) for i in range(50)]}
+    p = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", G.valid_profile(p, known).alias("valid"), G.valid_profile(p, known | {"tone": ["warm"]}).alias("lacking"))
 
 
 @query("SELECT coalesce(CASE WHEN user_id % 4 = 0 THEN NULL ELSE event_type END, 'unknown') AS arm, count(*) AS n, count(CASE WHEN value > 5 THEN value END) AS rated, round(avg(CASE WHEN value > 5 THEN value END), 4) AS mean FROM events GROUP BY 1")

@@ -44,27 +44,37 @@ def uncovered_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.uncovered(rows, "doc_id", "text", passage_names(spark, sf_dir)).select("doc_id", "company")
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 ELSE round(doc_id % 100 / 100.0, 2) END AS score FROM documents")
+@query(r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(?:^|[^0-9A-Za-z_])(0\.[0-9]+|1\.0|0|1)(?:[^0-9A-Za-z_]|$)', 1), '') AS DOUBLE) AS score FROM documents")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5: scores read from what a judge wrote: JSON, JSON in prose, a bare number."""
-    k, n = F.col("doc_id") % 5, F.format_string("%.2f", F.col("doc_id") % 100 / 100.0)
-    said = F.when(k == 0, F.concat(F.lit('{"why": "x", "score": '), n, F.lit("}"))).when(k == 1, F.concat(F.lit('Here it is: {"score" : '), n, F.lit(", and so on"))).when(k == 2, "I give 0.5 for 23 claims").when(k == 3, "It is 1.0.").otherwise("no idea")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(G.judge_score(said), 2).alias("score"))
+    """E5: the first bare score in every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", G.judge_score(F.col("text")).alias("score"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'too short' WHEN doc_id % 7 = 1 THEN 'abstention' WHEN doc_id % 3 = 0 THEN 'no sources' ELSE 'pass' END AS verdict FROM documents")
+@query("SELECT event_id, CAST(props ->> 'k' AS DOUBLE) AS score, CAST(props ->> 'k' AS DOUBLE) AS in_prose, CAST(CASE props ->> 'k' WHEN '0' THEN 0 WHEN '1' THEN 1 END AS DOUBLE) AS bare FROM events")
+def judge_scores_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: scores in the JSON of every event: as it is, in prose around it, and as a bare number."""
+    e, k = table(spark, sf_dir, "events"), F.get_json_object("props", "$.k")
+    return e.select("event_id", G.judge_score(F.col("props"), "k").alias("score"), G.judge_score(F.concat_ws(" ", "event_type", "props", "event_type"), "k").alias("in_prose"), G.judge_score(F.concat(F.lit("It is "), k, F.lit("."))).alias("bare"))
+
+
+GATE_SQL = " OR ".join("contains(lower(text), '" + p.lower().replace("'", "''") + "')" for p in G.GATE_ABSTAINS)
+
+
+@query(f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) < {G.GATE_LENGTH} THEN 'too short' WHEN {GATE_SQL} THEN 'abstention' WHEN coalesce(quality, 0) = 0 THEN 'no sources' ELSE 'pass' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
 def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that are long enough, no abstentions, and carry a source."""
-    k = F.col("doc_id") % 7
-    answer = F.when(k == 0, "Too short.").when(k == 1, "Sadly I cannot answer that question.").otherwise("Revenue rose to 5 million dollars in 2023.")
-    return table(spark, sf_dir, "documents").select("doc_id", G.gate(answer, (F.col("doc_id") % 3).cast("int")).alias("verdict"))
+    """Texts that are long enough, no abstentions, and carry a source, which is what their label counts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.select("doc_id", G.gate(F.col("text"), F.col("quality")).alias("verdict"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'From filing text' ELSE '' END AS badge FROM documents")
+REFUSAL_SQL = " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" for p in Q.REFUSALS)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN role = 'assistant' AND regexp_matches(text, '[$0-9]') AND NOT ({REFUSAL_SQL}) THEN 'From filing text' ELSE '' END AS badge FROM conversations")
 def text_grounded_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A badge only for answers from text that state a figure and decline nothing."""
-    answer = F.when(F.col("doc_id") % 2 == 0, "It earned $5 then.").otherwise("I do not have data for 2023.")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when((F.col("doc_id") % 3 == 0) & Q.shows_figure(answer), "From filing text").otherwise("").alias("badge"))
+    """A badge only for answers, of all messages, that state a figure and decline nothing."""
+    fits = (F.col("role") == "assistant") & Q.shows_figure(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(fits, "From filing text").otherwise("").alias("badge"))
 
 
 @query(
@@ -189,14 +199,17 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(table(spark, sf_dir, "documents").filter("source = 'src1'"), F.col("n_chars"), "doc_id", 10).select("doc_id", "rerank_score")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE round(o_totalprice, 2) END AS v FROM orders")
+@query(
+    "WITH o AS (SELECT o_orderkey, string_split(o_orderpriority, '-') AS p, CAST(pow(10.0, o_totalprice / 1000) AS VARCHAR) AS big FROM orders) "
+    "SELECT o_orderkey, TRY_CAST(p[1] AS DOUBLE) AS number, TRY_CAST(p[2] AS DOUBLE) AS label, CASE WHEN isfinite(TRY_CAST(big AS DOUBLE)) THEN 1 ELSE 0 END AS held FROM o"
+)
 def finite_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P25: only finite numbers count."""
+    """P25: of texts only finite numbers count: both halves of every order's priority, and powers that leave the range of doubles."""
     from quillspark.functions.numbers import finite
 
-    k = F.col("o_orderkey") % 5
-    said = F.when(k == 0, "NaN").when(k == 1, "Infinity").when(k == 2, "n/a").otherwise(F.col("o_totalprice").cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(finite(said), 2).alias("v"))
+    part = lambda i: finite(F.get(F.split("o_orderpriority", "-"), i))
+    big = F.pow(F.lit(10.0), F.col("o_totalprice") / 1000).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", part(0).alias("number"), part(1).alias("label"), finite(big).isNotNull().cast("int").alias("held"))
 
 
 @query("SELECT doc_id FROM documents WHERE source LIKE 'src1%' AND source NOT LIKE 'src19%'")
@@ -205,13 +218,15 @@ def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(R.prefixed(F.col("source"), "src1", "src19")).select("doc_id")
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 0 END AS n FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, ' ')) END AS n, 0 AS n_cut, 0 AS n_plain FROM conversations")
 def tolerant_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lists that may be broken or missing."""
+    """the words of every message as a JSON list, read back; the same list without its last bracket and the plain text are no lists."""
     from quillspark.functions.text import string_list
 
-    k = F.col("turn") % 3
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(string_list(F.when(k == 0, '["a", "b"]').when(k == 1, "no list"))).alias("n"))
+    listed = F.to_json(F.split("text", " "))
+    size = lambda c: F.size(string_list(c))
+    cut = F.regexp_replace(listed, r"\]$", "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", size(listed).alias("n"), size(cut).alias("n_cut"), size(F.col("text")).alias("n_plain"))
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ': ' || p_type END AS text, 64 AS dims FROM part")

@@ -140,14 +140,15 @@ def prospectus_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "label", F.length("body").cast("long").alias("size"), F.md5("body").alias("body_md5"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE page_id % 4 WHEN 0 THEN 'risk_factors' ELSE 'business' END ELSE CASE page_id % 4 WHEN 1 THEN 'mda' ELSE 'narrative' END END AS kind FROM pages")
+def map_sql(named: dict[str, str]) -> str:
+    return "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in named.items()) + " END"
+
+
+@query(f"WITH p AS (SELECT p_partkey, 'item_' || p_size AS label FROM part) SELECT p_partkey, coalesce({map_sql(T.SECTION_TYPES)}, {map_sql(T.FOREIGN_SECTION_TYPES)}, 'narrative') AS domestic, coalesce({map_sql(T.FOREIGN_SECTION_TYPES)}, {map_sql(T.SECTION_TYPES)}, 'narrative') AS abroad FROM p")
 def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section types by form and label, whatever the spelling of the label."""
-    p = table(spark, sf_dir, "pages")
-    k = F.col("page_id") % 4
-    label = F.when(k == 0, "Item 3").when(k == 2, "item_4").when(k == 1, "Item 7").otherwise("Item 99")
-    form = F.when(F.col("page_id") % 2 == 0, "20-F/A").otherwise("10-K")
-    return p.select("page_id", T.section_type(T.normal_section(label), form).alias("kind"))
+    """Section types of labels, numbered by every part's size and spelled as filings do, by the form."""
+    label = T.normal_section(F.concat(F.lit("Item "), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.section_type(label, F.lit("10-K")).alias("domestic"), T.section_type(label, F.lit("20-F/A")).alias("abroad"))
 
 
 @query(
