@@ -250,15 +250,15 @@ def coverage_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT source, doc_id, lang FROM documents WHERE source IN ('src1', 'src2', 'src3') QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) <= 40),
+    """WITH c AS (SELECT source, doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) <= 40),
 t AS (SELECT DISTINCT source AS ticker, 'd' || doc_id AS chunk_id, upper(source) AS subject, 'REPORTS' AS predicate, 'Metric ' || lang AS object FROM c WHERE doc_id % 3 <> 0),
 i AS (SELECT sha1(concat_ws(chr(31), ticker, chunk_id, lower(subject), lower(predicate), lower(object))) AS id, object FROM t)
 SELECT id, CASE WHEN object = 'Metric en' THEN 'metricen' END AS concept FROM i"""
 )
 def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each company its longest chunks, the triples read from them, checked and stored once, and their metrics linked to filed concepts."""
-    d = table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2", "src3")).select("source", "doc_id", "lang", "text")
-    some = R.top_per_key(d, ["source"], [F.desc(F.length("text")), F.col("doc_id")], 40)
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", F.length("text").alias("size"))
+    some = R.top_per_key(d, ["source"], [F.desc("size"), F.col("doc_id")], 40)
     read = some.select(F.col("source").alias("ticker"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.upper("source").alias("subject"), F.lit(" reports ").alias("predicate"), F.concat(F.lit("Metric "), "lang").alias("object"), F.when(F.col("doc_id") % 3 == 0, 0.2).otherwise(0.9).alias("confidence"), F.lit("Company").alias("subject_type"), F.lit("Metric").alias("object_type"))
     triples = graph.valid_triples(read)
     stored = graph.new_triples(triples.limit(0), triples.unionByName(triples))
