@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import filings, texts
+from quillspark.operators import missing as M
 from quillspark.plans.registry import query, table, texts_table
+from quillspark.plans.storage import scratch
 
 
 @query()
@@ -48,3 +50,23 @@ def extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = F.struct(F.col("l_linenumber").cast("string").alias("name"), F.col("l_quantity").alias("value"), F.lit("XBRL").alias("provenance"))
     records = joined.groupBy(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("accession")).agg(F.collect_list(field).alias("fields"))
     return records.select("ticker", "accession", F.size("fields").cast("long").alias("n_fields"), F.round(F.array_min(F.transform("fields", lambda f: f["value"])), 2).alias("least"))
+
+
+@query(
+    "WITH f AS (SELECT o_custkey, o_orderstatus = 'F' AS had, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL), t AS (SELECT o_custkey, o_orderpriority = '1-URGENT' AS had, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY ALL) "
+    "SELECT c_custkey AS o_custkey, "
+    + ", ".join(f"CASE WHEN {a}.n > 0 THEN 'kept' WHEN {b}.n > 0 THEN 'added' ELSE 'none' END AS {name}_state, coalesce({a}.n, {b}.n, 0) AS {name}_rows" for a, b, name in (("a", "b", "facts"), ("c", "d", "chunks")))
+    + " FROM customer k LEFT JOIN f a ON a.o_custkey = c_custkey AND a.had LEFT JOIN f b ON b.o_custkey = c_custkey AND NOT b.had LEFT JOIN t c ON c.o_custkey = c_custkey AND c.had LEFT JOIN t d ON d.o_custkey = c_custkey AND NOT d.had"
+)
+def missing_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and chunks of customers that the stores lack are filled in, customers that are there are left as they are; run twice, as after a break."""
+    o, folder = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"), scratch(spark)
+    companies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    before = {"facts": o.filter("o_orderstatus = 'F'"), "chunks": o.filter("o_orderpriority = '1-URGENT'")}
+    for name, rows in before.items():
+        rows.write.parquet(f"{folder}/{name}")
+    offered = {"facts": o.filter("o_orderstatus = 'O'"), "chunks": o.filter("o_orderpriority = '2-HIGH'")}
+    for _ in range(2):
+        if failed := M.fill_missing(spark, companies, "o_custkey", offered, folder):
+            raise RuntimeError(str(failed))
+    return M.coverage(companies, "o_custkey", before, {name: spark.read.parquet(f"{folder}/{name}") for name in before})
