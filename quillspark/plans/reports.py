@@ -63,8 +63,9 @@ GATE_SQL = " OR ".join("contains(lower(text), '" + p.lower().replace("'", "''")
 @query(f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) < {G.GATE_LENGTH} THEN 'too short' WHEN {GATE_SQL} THEN 'abstention' WHEN coalesce(quality, 0) = 0 THEN 'no sources' ELSE 'pass' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
 def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are long enough, no abstentions, and carry a source, which is what their label counts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", G.gate(F.col("text"), F.col("quality")).alias("verdict"))
+    said = table(spark, sf_dir, "documents").select("doc_id", G.gate(F.col("text"), F.lit(1)).alias("verdict"))  # judged before the join, so no text is shuffled
+    unsourced = (F.col("verdict") == "pass") & (F.coalesce("quality", F.lit(0)) == 0)
+    return said.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.when(unsourced, "no sources").otherwise(F.col("verdict")).alias("verdict"))
 
 
 REFUSAL_SQL = " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" for p in Q.REFUSALS)
