@@ -19,6 +19,12 @@ def relative_gap(claimed: Column, filed: Column) -> Column:
     return F.abs(claimed - filed) / F.greatest(F.abs(filed), F.lit(1.0))
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of doubles as that of decimals with 8 places, which no order of the rows changes; a value that is no such decimal is added as a double."""
+    exact = c.try_cast("decimal(28,8)")
+    return F.when(F.count(c) > 0, F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(F.when(exact.isNull(), c)), F.lit(0.0)))
+
+
 def finite(c: Column) -> Column:
     """A double, or null for text that is no number, NaN and infinities."""
     v = c.try_cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.numbers import exact_sum
 from quillspark.operators import metrics as M
 from quillspark.plans.registry import ORACLES, QUERIES, query, table
 
@@ -170,8 +171,11 @@ def trailing_twelve_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + "SELECT CAST(yr AS INTEGER) AS yr, CAST(company AS BIGINT) AS company, round(" + METRIC_SQL["debt_to_equity"] + ", 4) AS value, row_number() OVER (PARTITION BY yr ORDER BY round(" + METRIC_SQL["debt_to_equity"] + ", 4) ASC NULLS LAST, company) AS rank FROM b")
 def peer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies ranked by leverage, the lowest first, missing last."""
-    f = figures(spark, sf_dir).select("company", "yr", M.METRICS["debt_to_equity"].column().alias("value"))
+    """Companies ranked by leverage, the lowest first, missing last. Debt and equity are summed up exactly: many ratios
+    lie between two of four digits, and the order of the line items must not decide for one of them."""
+    q, k = F.col("l_quantity"), F.col("l_suppkey").alias("company")
+    sums = [(exact_sum(q * F.col("l_linenumber")) * 20).alias("debt"), (exact_sum(q * F.col("l_tax")) * 500).alias("equity")]
+    f = table(spark, sf_dir, "lineitem").groupBy(k, F.year("l_shipdate").alias("yr")).agg(*sums).select("company", "yr", M.METRICS["debt_to_equity"].column().alias("value"))
     return M.peer_ranking(f, "value", True, ["yr"]).select("yr", "company", "value", F.col("rank").cast("long").alias("rank"))
 
 
