@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
+from quillspark.session import shipped
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -56,17 +61,77 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric
     return df.filter(F.col(vector).isNotNull() & (F.size(vector) == len(query))).select(key, distance.alias("distance")).orderBy("distance", key).limit(k)
 
 
-#: Rows of a shard at most.
-SHARD_ROWS = 1_000_000
-
-
-def knn_batch(df: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_key, key, distance: the k nearest of every query. Rows are dealt to shards of bounded size and every query visits every
-    shard in one join by shard, so the plan is the same for any number of queries. Only every task's k best of a query are shuffled on."""
-    shards = max(-(-df.count() // shard_rows), df.sparkSession.sparkContext.defaultParallelism)
-    visits = queries.select(F.col(query_key), F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
-    dealt = df.select(key, vector, F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("_s"))
-    pairs = dealt.join(visits, "_s").select(query_key, key, V.l2(F.col(vector), F.col("_q")).alias("distance"))
+#: Rows and queries of a tile at most; queries and pairs of a tile that are looked at at a time.
+TILE_ROWS, TILE_QUERIES, SOME_QUERIES, SOME_PAIRS = 32_768, 8_192, 1_024, 2_000_000
+#: Tasks that tiles are dealt to at most.
+MOST_TASKS = 2_000
+
+
+def usable(vector: str, size: int | None = None) -> Column:
+    """Vectors (of the size, if one is given) whose components are all finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce((F.size(vector) > 0 if size is None else F.size(vector) == size) & finite, F.lit(False))
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def tile_best(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of queries and of their k nearest rows, and the distances; ties to the smaller index of a row. A matrix product says which
+    rows may be among the k best, within its rounding; these are measured component by component, in order, as a sum over the array would be."""
+    xx, qq = (x * x).sum(1), (q * q).sum(1)
+    slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (qq + xx.max())
+    step, out = max(k + 1, SOME_PAIRS // SOME_QUERIES), []
+    for at in range(0, len(q), SOME_QUERIES):
+        some, size, wide = q[at : at + SOME_QUERIES], qq[at : at + SOME_QUERIES, None], slack[at : at + SOME_QUERIES]
+        bound = np.full(len(some), np.inf)
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for row in range(0, len(x), step):
+            near = size + xx[row : row + step] - 2 * some @ x[row : row + step].T
+            if near.shape[1] > k:
+                bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1] + wide) if row == 0 else bound
+            i, j = np.nonzero(~(near > (bound + wide)[:, None]))
+            far = [np.sqrt(np.cumsum((x[row + j[n : n + 100_000]] - some[i[n : n + 100_000]]) ** 2, axis=1)[:, -1]) for n in range(0, len(i), 100_000)]
+            i, j, d = (np.concatenate(both) for both in zip(kept, (i, row + j, np.concatenate(far) if far else np.empty(0)), strict=True))
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            last = place == k - 1
+            bound[i[last]] = d[last] ** 2 + wide[i[last]]
+            kept = (i[place < k], j[place < k], d[place < k])
+        out.append((kept[0] + at, *kept[1:]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def tile_search(rows: DataFrame, queries: DataFrame, tile: list[str], key: str, query_key: str, k: int, tasks: int) -> DataFrame:
+    """query_key, key, distance (L2): the k nearest rows of every tile for each of the tile's queries. rows: tile, key, _x; queries: tile,
+    query_key, _q; vectors of a tile are usable and of one size."""
+
+    def run(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if len(some) == 0 or len(asked) == 0:
+            return pa.table({query_key: asked[query_key].slice(0, 0), key: some[key].slice(0, 0), "distance": pa.array([], pa.float64())})
+        some = some.take(pc.sort_indices(some, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        i, j, d = tile_best(matrix(some["_x"]), matrix(asked["_q"]), k)
+        return pa.table({query_key: asked[query_key].take(pa.array(i)), key: some[key].take(pa.array(j)), "distance": pa.array(d)})
+
+    kind = StructType([queries.schema[query_key], rows.schema[key], StructField("distance", DoubleType())])
+    dealt = [df.repartition(tasks, *tile).groupBy(*tile) for df in (rows.select(*tile, key, "_x"), queries.select(*tile, query_key, "_q"))]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(shipped(run), kind)
+
+
+def knn_batch(df: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """query_key, key, distance: the k nearest of every query among the rows whose vectors have its size. Rows and queries are dealt to
+    tiles of bounded size, each a group of its own, so a task holds one tile; only every tile's k best of a query are shuffled on. Vectors that
+    are null or hold null or non-finite components have no distance and take no part."""
+    asked = queries.filter(usable(vector)).select(F.col(query_key), F.col(vector).alias("_q"), F.size(vector).alias("_d"))
+    good = df.filter(usable(vector)).select(F.col(key), F.col(vector).alias("_x"), F.size(vector).alias("_d"))
+    shards = max(-(-df.count() // tile_rows), df.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-queries.count() // TILE_QUERIES))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    rows = good.select(key, "_x", "_d", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("_s"), every(blocks, "_b"))
+    visits = asked.select(query_key, "_q", "_d", F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int").alias("_b"), every(shards, "_s"))
+    pairs = tile_search(rows, visits, ["_d", "_s", "_b"], key, query_key, k, min(shards * blocks, MOST_TASKS))
     best = Window.partitionBy(query_key).orderBy("distance", key)
     return pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 

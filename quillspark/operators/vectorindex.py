@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import vectors as V
-from quillspark.operators.retrieval import knn_batch
+from quillspark.operators.retrieval import MOST_TASKS, TILE_QUERIES, knn_batch, tile_search, usable
 from quillspark.session import shipped
 
 #: Vectors that centroids are fitted on at most, lists at most, rounds of fitting, queries that recall is measured on at most.
@@ -54,12 +53,6 @@ def centroids(points: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     return centers
 
 
-def usable(vector: str, size: int) -> Column:
-    """Vectors of the size whose components are all finite."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return F.coalesce((F.size(vector) == size) & finite, F.lit(False))
-
-
 def near_lists(centers: np.ndarray, vector: Column, n: int = 1) -> Column:
     """array<int>: the n nearest lists."""
 
@@ -113,8 +106,12 @@ def search(queries: DataFrame, query_key: str, vector: str, folder: str, k: int,
     probed = [r.list for r in asked.select("list").distinct().collect()]  # at most as many as there are lists
     stored = spark.read.parquet(f"{folder}/vectors").filter(F.col("list").isin(probed))
     parts = stored.groupBy("list").agg(F.max("part").alias("_last"))
-    asked = asked.join(F.broadcast(parts), "list").select(query_key, "_q", "list", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("part"))
-    pairs = stored.join(asked, ["list", "part"]).select(query_key, "key", V.l2(F.col("vector"), F.col("_q")).alias("distance"))
+    # a part of a list and a block of queries are a tile
+    blocks = max(1, -(-queries.count() // TILE_QUERIES))
+    asked = asked.join(F.broadcast(parts), "list").select(query_key, "_q", "list", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("part"), F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int").alias("block"))
+    rows = stored.select("key", F.col("vector").alias("_x"), "list", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    tasks = max(spark.sparkContext.defaultParallelism, min(len(probed) * blocks // 4, MOST_TASKS))
+    pairs = tile_search(rows, asked, ["list", "part", "block"], "key", query_key, k, tasks)
     best = Window.partitionBy(query_key).orderBy("distance", "key")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
