@@ -2,7 +2,7 @@
 
 A text is split where word characters meet others; n-grams run from a word to a word with what stands between, so a
 joined n-gram is exactly the text of a mention, punctuation included. Only n-grams with as many pieces as some alias has are
-made. The work grows with the text, not with the number of aliases; nothing in the plan depends on them but the sizes.
+made, and only from words that some alias begins with (where these are few enough to travel with the plan). The work grows with the text, not with the number of aliases; nothing in the plan depends on them but the sizes.
 An alias begins and ends with a word character; others can't be whole words and are never found. Keys name rows: of rows that share
 one, all texts count together.
 """
@@ -20,6 +20,8 @@ from quillspark.session import shipped
 #: Word characters; aliases that are broadcast at most (beyond it both sides are shuffled), pieces of an alias at most.
 WORD, ASCII_WORD = r"\p{L}\p{N}_", "0-9A-Za-z_"
 BROADCAST_ALIASES, MOST_PIECES = 200_000, 31
+#: Different first words of aliases up to which n-grams are made from these words only.
+FIRST_WORDS = 10_000
 
 
 def pieces(text: Column, word: str = WORD) -> Column:
@@ -38,14 +40,18 @@ def mentions(rows: DataFrame, key: str | list[str], text: str, aliases: DataFram
     known = known.filter(F.col("alias").rlike(f"^[{word}](?:.*[{word}])?$") & (F.col("size") <= MOST_PIECES)).distinct()
     figures = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
     sizes = sorted(figures.sizes) or [1]
+    folded = lambda piece: F.upper(F.lower(piece))  # noqa: E731  one form of letters whose small form depends on what follows
+    firsts = [r[0] for r in known.select(folded(pieces(F.col("alias"), word)[0])).distinct().limit(FIRST_WORDS + 1).collect()]
     split = rows.select(*keys, pieces(F.coalesce(F.col(text), F.lit("")), word).alias("_p"))
     at = F.sequence(F.lit(1), F.size("_p"))
+    if len(firsts) <= FIRST_WORDS:
+        at = F.filter(at, lambda i: F.coalesce(folded(F.get("_p", i - 1)).isin(firsts), F.lit(False)))
     # pieces are picked one by one: slices would copy the whole array each
     said = lambda i, n: F.concat(*[F.get("_p", i + (j - 1)) for j in range(n)])
     gram = lambda i, n: F.when(F.get("_p", i - 1).rlike(f"^[{word}]"), F.struct((i - 1).alias("place"), F.lit(n).alias("size"), said(i, n).alias("text")))
-    grams_of = lambda n: F.filter(F.transform(at, lambda i: gram(i, n)), lambda g: g["text"].isNotNull())
+    grams_of = lambda n: F.filter(F.transform("_at", lambda i: gram(i, n)), lambda g: g["text"].isNotNull())
     made = F.flatten(F.array(*map(grams_of, sizes)))
-    grams = split.select(*keys, F.explode(made).alias("_g")).select(*keys, "_g.place", "_g.text", F.col("_g.size").alias("size"), F.lower("_g.text").alias("_gram"))
+    grams = split.withColumn("_at", at).select(*keys, F.explode(made).alias("_g")).select(*keys, "_g.place", "_g.text", F.col("_g.size").alias("size"), F.lower("_g.text").alias("_gram"))
     found = grams.join(F.broadcast(known) if figures.n <= BROADCAST_ALIASES else known, ["_gram", "size"])
     return found.filter(~F.col("_cased") | (F.col("text") == F.col("alias"))).select(*keys, "place", "size", "alias", "value")
 
